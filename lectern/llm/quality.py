@@ -32,11 +32,11 @@ SYMBOLS = b"#*$%&|<>"
 
 #: Base rule, and limits of the divergence tests: least words or characters, and greatest distance (base 2, 0 to 1).
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
-MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.35
+MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.3
 MIN_COMMON_WORDS, MAX_COMMON_DISTANCE = 100, 0.6
 
 _STATS = pa.schema(
-    [(c, pa.int64()) for c in ("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
+    [(c, pa.int64()) for c in ("row", "tag", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
 )
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -126,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = out[name]
             ends = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
             out[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel().astype(np.int64)))
-        yield from record_batches(_STATS, out | {"row": rows.column("row"), "lang": rows.column("lang")}, 4096)
+        yield from record_batches(_STATS, out | {"row": rows.column("row"), "tag": rows.column("tag"), "lang": rows.column("lang")}, 4096)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -140,16 +140,16 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(inner, F.lit(0.0)))
 
 
-_DDL = "row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, classes array<long>, common array<long>"
+_DDL = "row long, tag long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, classes array<long>, common array<long>"
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: did, the counts, class_distance, common_distance, base_failed, kept.
+    """One row per input row: did, tag (hash of the text), the counts, class_distance, common_distance, base_failed, kept.
 
     A null text has no words and fails the base rule; a null id is held last; a null language is a language of its own; repeated
     rows are counted each time; an empty table gives no rows.
     """
-    base = docs.select(internal_id(id_col).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(internal_id(id_col).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     stats = materialise(base.mapInArrow(_scan, _DDL), "stats", compression="zstd")
     sums = [F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(f"ref_{c}") for c, n in (("classes", CLASSES), ("common", len(_common_index()[0]) + 1))]
     refs = materialise(stats.groupBy("lang").agg(*sums), "references").withColumnRenamed("lang", "ref_lang")

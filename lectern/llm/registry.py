@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, exact_dedup, simhash, substring_dedup
+from . import byte_dedup, exact_dedup, extraction, mixing, packing, quality, simhash, substring_dedup, url_filter, warc
 
 
 def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,10 +17,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": _on("documents", substring_dedup.op1),
         "op2_byte_dedup": _on("documents", byte_dedup.op2),
+        "op3_mixing": _on("documents", mixing.op3),
+        "op4_warc": _on("pages", warc.op4),
+        "op5_extraction": _on("pages", extraction.op5),
         "op6_simhash": _on("documents", simhash.op6),
+        "op7_quality": _on("documents", quality.op7),
+        "op8_packing": _on("documents", packing.op8),
         "op9_exact_dedup": _on("documents", exact_dedup.op9),
+        "op10_url_filter": _on("pages", url_filter.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_url_filter": url_filter.OP10_SQL}

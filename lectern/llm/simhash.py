@@ -31,7 +31,7 @@ CODE = 15
 #: Homes and copies of one tile.
 TILE = 4096
 
-_PRINT = pa.schema([("did", pa.int64()), ("fp", pa.int64())])
+_PRINT = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 _COPY = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -58,7 +58,7 @@ def _prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
     for rows, data, off in slices(batches, "text"):
         buf = data.tobytes()
         prints = [fingerprint(buf[a:b], shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        yield from record_batches(_PRINT, {"did": rows.column("did"), "fp": np.array(prints, np.uint64).view(np.int64)})
+        yield from record_batches(_PRINT, {"did": rows.column("did"), "tag": rows.column("tag"), "fp": np.array(prints, np.uint64).view(np.int64)})
 
 
 @lru_cache(maxsize=8)
@@ -239,19 +239,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: did, fp (the fingerprint's bits as a signed integer), component.
+    """One row per input row: did, tag (hash of the text), fp (the fingerprint's bits as a signed integer), component.
 
     Fingerprints link at THRESHOLD or fewer differing bits; component is the smallest id reachable over links.
     A text without words (null, empty, blank) has fingerprint zero and links like any other; a null id ranks last;
     repeated rows share their component; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(internal_id(id_col).alias("did"), text.alias("text"))
-    prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, fp long"), "fingerprints")
+    base = docs.select(internal_id(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), text.alias("text"))
+    prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, tag long, fp long"), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("did").alias("node")), "nodes")
     labels = components(materialise(links(nodes), "links"))
     where = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(where, "fp").select("did", "fp", "component")
+    return prints.join(where, "fp").select("did", "tag", "fp", "component")
 
 
 def op6(docs: DataFrame) -> DataFrame:

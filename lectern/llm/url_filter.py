@@ -69,7 +69,7 @@ def build_level(keys: DataFrame, number: int) -> Level | None:
     if bits > MAX_BITS:
         raise ValueError(f"level {number} needs {bits} bits; join with the list instead, or raise MAX_BITS")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits))).alias("p"))
-    rows = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
+    rows = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
     words = [0] * (bits // 64)
     for w, b in rows.collect():  # at most MAX_BITS / 64 rows
         words[w] = b
@@ -127,7 +127,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     rows = pages.select(F.col(id_col), F.col(url_col).alias("__url")).select(F.col(id_col), host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
     keyed = rows.select("*", candidate_keys(F.col("host"), F.col("path"), rules).alias("__keys"))
     universe = keyed.select(F.explode("__keys").alias("key"))
-    of = lambda verdict: spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
+    of = lambda verdict: spark.range(1).select(F.explode(F.array(*[F.lit(h + p) for v, h, p in rules if v == verdict]).cast("array<string>")).alias("key"))
     block, allow = Cascade(of("block"), universe), Cascade(of("allow"), universe)
     rule = F.get(F.filter("__keys", lambda k: block.holds(k) | allow.holds(k)), F.lit(0))
     found = keyed.select(id_col, "host", "path", rule.alias("rule"))
