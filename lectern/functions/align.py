@@ -1,38 +1,81 @@
 """Approximate substring alignment: one string is consumed, the other's edges are cheap to leave out.
 
-Costs are integers in hundredths, so equal distances are equal. A row of the dynamic program is one vector step:
-skipping characters within the second string is a running minimum.
+Costs are integers in hundredths, so equal distances are equal. Short strings are aligned cell by cell; batches of lines are aligned
+together, one character of every line a step, with skips within the targets as a running minimum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 UNIT = 100
+#: Pairs that are aligned together.
+BATCH = 256
 
 
 def alignment_cost(consumed: str, target: str, edge: int, middle: int = UNIT, diagonal: int = UNIT, vertical: int = UNIT) -> int:
     """Least cost in hundredths. `diagonal` is paid where characters differ, `vertical` for a consumed character without a
     counterpart, `middle` for one of the target's in between, `edge` for one at its ends. Equal characters are free."""
     n = len(target)
-    codes = np.frombuffer(target.encode("utf-32-le"), np.uint32)
-    ramp = np.arange(n + 1, dtype=np.int64)
-    row = ramp * edge
-    for c in np.frombuffer(consumed.encode("utf-32-le"), np.uint32):
-        step = np.empty(n + 1, np.int64)
-        step[0] = row[0] + diagonal
-        same = codes == c
-        step[1:] = np.where(same, row[:-1], np.minimum(row[:-1] + diagonal, row[1:] + vertical))
-        row = np.minimum.accumulate(step - ramp * middle) + ramp * middle
-    return int((row + (n - ramp) * edge).min())
+    row = [j * edge for j in range(n + 1)]
+    for c in consumed:
+        before = row[0]
+        left = row[0] = before + diagonal
+        for j, d in enumerate(target, 1):
+            above = row[j]
+            cost = before if c == d else min(before + diagonal, above + vertical)
+            left += middle
+            if cost < left:
+                left = cost
+            before, row[j] = above, left
+    return min(x + (n - j) * edge for j, x in enumerate(row))
+
+
+def alignment_costs(consumed: Sequence[str], targets: Sequence[str], edge: int, middle: int = UNIT, diagonal: int = UNIT, vertical: int = UNIT) -> np.ndarray:
+    """alignment_cost of many pairs."""
+    out = np.zeros(len(consumed), np.int64)
+    sizes = np.array([len(t) for t in targets])
+    by_size = np.argsort(sizes, kind="stable")
+    for a in range(0, len(by_size), BATCH):
+        part = sorted(by_size[a : a + BATCH].tolist(), key=lambda i: -len(consumed[i]))
+        n = sizes[part]
+        m = np.array([len(consumed[i]) for i in part])
+        width, depth = int(n.max()), int(m.max())
+        t = np.zeros((width, len(part)), np.uint32)
+        c = np.zeros((depth, len(part)), np.uint32)
+        for k, i in enumerate(part):
+            t[: n[k], k] = np.frombuffer(targets[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+            c[: m[k], k] = np.frombuffer(consumed[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        ramp = np.arange(width + 1, dtype=np.int32)[:, None]
+        row = np.repeat(ramp * edge, len(part), axis=1).astype(np.int32)
+        for i in range(depth):
+            live = int(np.searchsorted(-m, -i))  # pairs are in order of length: those with a character left lead
+            r = row[:, :live]
+            step = np.minimum(r[:-1] + np.int32(diagonal), r[1:] + np.int32(vertical))
+            np.copyto(step, r[:-1], where=t[:, :live] == c[i, :live])
+            r[0] += diagonal
+            r[1:] = step
+            r -= ramp * middle
+            np.minimum.accumulate(r, axis=0, out=r)
+            r += ramp * middle
+        left = n[None, :] - ramp
+        out[part] = np.where(left >= 0, row + left * edge, np.iinfo(np.int32).max).min(axis=0)
+    return out
+
+
+def _ascii(text: str | None) -> str:
+    text = text or ""
+    return text if text.isascii() else "".join(ch for ch in text if ord(ch) < 128)
 
 
 def line_distance(ocr_line: str | None, ref_line: str | None, edge: int = 1) -> float:
     """Per character of the OCR line; 1 if that is blank. Case counts."""
-    ocr_line = "".join(ch for ch in ocr_line or "" if ord(ch) < 128)
+    ocr_line = _ascii(ocr_line)
     if not ocr_line.strip():
         return 1.0
     return alignment_cost(ocr_line, ref_line or "", edge) / UNIT / len(ocr_line)
@@ -40,7 +83,7 @@ def line_distance(ocr_line: str | None, ref_line: str | None, edge: int = 1) ->
 
 def word_distance(ocr_word: str | None, correct: str | None, edge: int = 80) -> float:
     """The correct text is consumed, the OCR word may stick out; case does not count; blank text costs the word's edges."""
-    ocr_word = "".join(ch for ch in ocr_word or "" if ord(ch) < 128)
+    ocr_word = _ascii(ocr_word)
     if not (correct or "").strip():
         return len(ocr_word) * edge / UNIT
     return alignment_cost(correct.lower(), ocr_word.lower(), edge) / UNIT
@@ -48,7 +91,13 @@ def word_distance(ocr_word: str | None, correct: str | None, edge: int = 80) ->
 
 @F.pandas_udf(DoubleType())
 def line_distance_udf(ocr_line: pd.Series, ref_line: pd.Series) -> pd.Series:
-    return pd.Series([line_distance(a, b) for a, b in zip(ocr_line, ref_line, strict=True)], dtype=float)
+    lines = [_ascii(x) for x in ocr_line]
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    out = np.ones(len(lines))
+    if filled:
+        refs = ref_line.tolist()
+        out[filled] = alignment_costs([lines[i] for i in filled], [refs[i] or "" for i in filled], 1) / UNIT / np.array([len(lines[i]) for i in filled])
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import edits, geometry, highlights, ids, match, repair, scroll, temporal
-from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, corpus, doc_lines, doc_words, frames, table
+from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, corpus, doc_lines, doc_tokens, doc_words, frames, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,16 +32,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = match.document_evidence(doc_words(spark, sf_dir), match.document_dictionary(corpus(spark, sf_dir)), KEYS)
+    evidence = match.document_evidence(doc_tokens(spark, sf_dir), match.document_dictionary(corpus(spark, sf_dir)), KEYS)
     return match.best_document(evidence, KEYS)
 
 
 def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.anchored_lines(doc_words(spark, sf_dir), _best(spark, sf_dir), match.unique_words(corpus(spark, sf_dir)), KEYS)
+    return match.anchored_lines(doc_tokens(spark, sf_dir), _best(spark, sf_dir), match.unique_words(corpus(spark, sf_dir)), KEYS)
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_lines(doc_lines(spark, sf_dir), doc_words(spark, sf_dir), _best(spark, sf_dir), corpus(spark, sf_dir), KEYS)
+    return match.match_lines(doc_lines(spark, sf_dir), doc_tokens(spark, sf_dir), _best(spark, sf_dir), corpus(spark, sf_dir), KEYS)
 
 
 @query(f"WITH {SQL_BEST} SELECT doc_id, doc_name, score FROM BEST")

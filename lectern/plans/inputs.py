@@ -22,6 +22,12 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "line_idx", "text", bbox(F.lit(0), F.col("line_idx") * 20, (n + 1) * 8, F.col("line_idx") * 20 + 12 + n % 9).alias("bbox"))
 
 
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_idx, word_idx, text): what matching needs of words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.coalesce("text", F.lit("")))).alias("line_idx", "line"))
+    return docs.select("doc_id", "line_idx", F.posexplode(tokens("line")).alias("word_idx", "text"))
+
+
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_idx, word_idx, text, bbox, highlight): 8 pixels a character and a space, moved by up to 2 pixels.
 

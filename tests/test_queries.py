@@ -1,0 +1,44 @@
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__
+from lectern.plans import driver
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def plain(frame, columns):
+    def value(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        return v.item() if hasattr(v, "item") else v
+
+    return sorted((tuple(value(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(driver.SQL))
+def test_query_equals_its_sql(spark, tables, name):
+    got = driver.QUERIES[name](spark, SF).toPandas()
+    want = tables.execute(driver.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert plain(got, columns) == plain(want, columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(driver.QUERIES) - set(driver.SQL)))
+def test_other_queries_run(spark, name):
+    assert driver.QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 186

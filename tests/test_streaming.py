@@ -1,0 +1,28 @@
+from lectern.operators.highlights import grouped_change_log
+from lectern.streaming.changes import stream_change_log, stream_counts
+
+
+def test_change_log_over_a_stream_equals_the_batch(spark, tmp_path):
+    data = [("s", t, [1, 2] if t % 3 else [1], c) for t, c in enumerate(["white", "yellow", "yellow", "blue", "blue", "white", "yellow"])]
+    df = spark.createDataFrame(data, "session string, t int, ids array<int>, color string")
+    for k, part in enumerate((df.filter("t < 3"), df.filter("t >= 3"))):
+        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in{k}")
+    schema = df.schema
+    for k in (0, 1):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in{k}")
+        query = stream_change_log(source, "session", "t", "ids", "color").writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c{k}").option("path", f"file://{tmp_path}/out{k}").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    first = {(r["t"], r["gid"], r["color"], r["former"]) for r in spark.read.parquet(f"file://{tmp_path}/out0").collect()}
+    batch = grouped_change_log(df.filter("t < 3").withColumnsRenamed({"ids": "global_ids", "color": "highlight"}).selectExpr("*", "'w' AS text"), ["session"], ["t"])
+    want = {(r["t"], r["gid"], r["color"], r["former"][r["id_group"].index(r["gid"])]) for r in batch.collect()}
+    assert first == want
+
+
+def test_windowed_counts(spark, tmp_path):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:01' AS ts, 'a' AS v UNION ALL SELECT timestamp'2024-01-01 00:00:11', 'a'")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
+    query = stream_counts(source, "ts", "v", "10 seconds", "1 minute").writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [r["count"] for r in spark.sql("SELECT * FROM counts ORDER BY start").collect()] == [1, 1]
