@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -245,7 +246,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append([])
             parts[-1].append((key, row))
     merged = iter(LoserTree([iter(p) for parts in runs.values() for p in parts]))
-    while rows := [r for r, _ in zip(merged, range(4096), strict=False)]:
+    while rows := list(islice(merged, 4096)):
         yield from record_batches(_CAPTURE, dict(zip(_CAPTURE.names, zip(*rows, strict=True), strict=True)))
 
 
