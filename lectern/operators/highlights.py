@@ -70,7 +70,7 @@ def nearest_pair(rows: DataFrame, background: Sequence[Column], foreground: Sequ
 
 def report_json(events: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """(keys, report): events as JSON, by time."""
-    one = F.struct("gid", "text", "id_group", "color", "former")
+    one = F.struct(F.col("gid").alias("id"), "text", "id_group", "color", F.col("former").alias("former colors"))
     per_time = events.groupBy(*keys, time).agg(F.array_sort(F.collect_list(one)).alias("rows"))
     return per_time.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(time).cast("string"), "rows"))))).alias("report"))
 

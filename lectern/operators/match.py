@@ -54,8 +54,9 @@ def unique_words(ref_lines: DataFrame) -> DataFrame:
 
 def anchored_lines(words: DataFrame, best: DataFrame, unique: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_idx, doc_name, ref_idx, anchors): lines with two or more unique words that all stand in one line of the text."""
-    chosen = words.join(best.select(*keys, "doc_name"), list(keys))
-    hits = chosen.join(unique, (chosen["doc_name"] == unique["doc_name"]) & (chosen["text"] == unique["word"])).drop(unique["doc_name"])
+    # the words that are unique somewhere are few: they are found first, and only they move to their document
+    marks = unique.select(F.col("word").alias("text"), "doc_name", "ref_idx")
+    hits = words.select(*keys, "line_idx", "text").join(marks, "text").join(best.select(*keys, "doc_name"), [*keys, "doc_name"])
     agreed = hits.groupBy(*keys, "line_idx", "doc_name").agg(F.count("*").alias("anchors"), F.min("ref_idx").alias("ref_idx"), F.max("ref_idx").alias("other"))
     return agreed.filter("anchors >= 2 AND ref_idx = other").select(*keys, "line_idx", "doc_name", "ref_idx", "anchors")
 

@@ -7,6 +7,7 @@ and the document's scalars, so it runs per line. Both are grouped maps over Arro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,11 @@ def char_widths(perfect: DataFrame, spaces: DataFrame, keys: Sequence[str]) -> D
     return gathered.select(*keys, "med_height", "space_width", fold("all", "space_width").alias("widths"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _cost(ocr: str, correct: str) -> int:
+    return round(word_distance(ocr, correct) * 100)
+
+
 class LineRepair:
     """One line: OCR boxes with their texts, and the correct words to spread over them."""
 
@@ -59,7 +65,7 @@ class LineRepair:
         """Hundredths of the distance between a box's text and the words with these numbers."""
         key = (box, tuple(chosen))
         if key not in self._costs:
-            self._costs[key] = round(word_distance(self.texts[box], " ".join(self.correct[i] for i in chosen)) * 100)
+            self._costs[key] = _cost(self.texts[box], " ".join(self.correct[i] for i in chosen))
         return self._costs[key]
 
     def total(self, pairing: list[list[int]]) -> int:
@@ -169,6 +175,8 @@ class LineRepair:
             price = self.total(pairing)
             if best is None or price < best:
                 best, found, offset = price, pairing, by
+            if not best:
+                break
         return found, offset
 
     def repaired(self, pairing: list[list[int]]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import edits, geometry, highlights, ids, match, repair, scroll, temporal
+from ..operators import edits, gaze, geometry, highlights, ids, match, repair, scroll, temporal
 from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, corpus, doc_lines, doc_tokens, doc_words, frames, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +484,104 @@ def stitched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scroll.stitched_lines(adjacent, corpus(spark, sf_dir), ["item"])
 
 
+# more of geometry, text and colour
+
+
+@query(f"WITH {SQL_BOXES} SELECT doc_id, line_idx, word_idx FROM B WHERE l >= 1280 OR r >= 1280 OR t >= 720 OR b >= 720")
+def words_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.out_of_image(doc_words(spark, sf_dir), 1280, 720).select("doc_id", "line_idx", "word_idx")
+
+
+@query()
+def editable_words_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.words_json(editable_words(spark, sf_dir), KEYS)
+
+
+_SQL_PERFECT = (
+    SQL_BEST
+    + """, ML AS (SELECT A.doc_id, A.line_idx, R.line FROM A JOIN R ON R.doc_name = A.doc_name AND R.line_idx = A.ref_idx),
+ONCE AS (SELECT doc_id, line_idx, text FROM (SELECT doc_id, line_idx, unnest(string_split(line, ' ')) AS text FROM ML) GROUP BY ALL HAVING count(*) = 1),
+PW AS (SELECT W.doc_id, W.line_idx, W.word_idx, W.text FROM W JOIN ONCE USING (doc_id, line_idx, text))"""
+)
+
+
+def _perfect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = _session_lines(spark, sf_dir).select("doc_id", "line_idx", "updated_line")
+    return match.perfect_words(doc_words(spark, sf_dir), matched, KEYS)
+
+
+@query(f"WITH {_SQL_PERFECT} SELECT doc_id, line_idx, word_idx, text FROM PW")
+def perfect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _perfect(spark, sf_dir).select("doc_id", "line_idx", "word_idx", "text")
+
+
+@query(
+    f"""WITH {_SQL_PERFECT}, CH AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?s).')) AS char FROM PW WHERE length(text) > 0)
+SELECT doc_id, char, CAST(8.0 AS DOUBLE) AS width FROM CH GROUP BY doc_id, char HAVING count(*) >= 5"""
+)
+def char_width_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All characters are eight pixels wide in the driver's boxes."""
+    return geometry.char_width_means(_perfect(spark, sf_dir), KEYS).select("doc_id", "char", F.round("width", 6).alias("width"))
+
+
+@query(f"WITH {SQL_CORPUS} SELECT doc_name, max(line_idx) * 24.0 + 16 AS extent FROM R GROUP BY doc_name")
+def page_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scroll.page_extent(_static_page(spark, sf_dir), ["doc_name"])
+
+
+@query("SELECT doc_id, source || '_' || lang || '_' || doc_id AS session_id FROM documents")
+def recording_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".mp4").otherwise(".MKV")))
+    return table(spark, sf_dir, "documents").select("doc_id", S.session_name(path).alias("session_id"))
+
+
+@query(f"WITH {SQL_BOXES} SELECT doc_id, line_idx, word_idx, CAST(l AS DOUBLE) AS \"left\", CAST(b AS DOUBLE) AS bottom, CAST(word_idx % 100 AS VARCHAR) AS conf FROM B")
+def title_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes written as title attributes and parsed again."""
+    from ..sources.hocr import title_attributes, title_bbox
+
+    sides = [F.col(f"bbox.{side}").cast("long").cast("string") for side in ("left", "top", "right", "bottom")]
+    title = F.concat(F.lit("bbox "), F.concat_ws(" ", *sides), F.lit("; x_wconf "), (F.col("word_idx") % 100).cast("string"))
+    rows = doc_words(spark, sf_dir).select("doc_id", "line_idx", "word_idx", title.alias("title"))
+    box = title_bbox(F.col("title"))
+    return rows.select("doc_id", "line_idx", "word_idx", box["left"].alias("left"), box["bottom"].alias("bottom"), title_attributes(F.col("title"))["x_wconf"].alias("conf"))
+
+
+@query("SELECT p_partkey, printf('#%02x%02x%02x', p_partkey % 256, p_size * 5 % 256, CAST(floor(p_retailprice) AS BIGINT) % 256) AS hex, round(p_partkey % 256 * 0.299 + p_size * 5 % 256 * 0.587 + CAST(floor(p_retailprice) AS BIGINT) % 256 * 0.114, 6) AS grey FROM part")
+def part_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g, b = F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.floor("p_retailprice") % 256
+    return table(spark, sf_dir, "part").select("p_partkey", S.rgb_hex(r, g, b).alias("hex"), F.round(S.grey(r, g, b), 6).alias("grey"))
+
+
+@query(
+    f"""WITH {SQL_BEST}, G AS (SELECT doc_id, greatest(count(*) FILTER (WHERE length(text) > 0), 1) AS n FROM L GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(1 + (doc_id * 31) % 100 AS DOUBLE) AS gaze_x, CAST(2 * (1 + (doc_id * 31) % 100) + 50 AS DOUBLE) AS mapped_x FROM G"""
+)
+def mapped_gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gaze sample a document, mapped from a frame box to one twice its size, fifty pixels to the right."""
+    lines = doc_lines(spark, sf_dir).groupBy("doc_id").agg(F.greatest(F.count(F.when(F.length("text") > 0, 1)), F.lit(1)).alias("n"))
+    frame, page = S.bbox(F.lit(0), F.lit(0), F.lit(100), F.lit(100)), S.bbox(F.lit(50), F.lit(0), F.lit(250), F.lit(200))
+    corner = F.struct(frame.alias("bbox"), page.alias("page_box"))
+    corners = lines.select("doc_id", corner.alias("a"), corner.alias("b"))
+    samples = lines.select("doc_id", "n", (1 + (F.col("doc_id") * 31) % 100).cast("double").alias("gaze_x"), F.lit(10.0).alias("gaze_y"))
+    return gaze.map_to_page(gaze.valid_gaze(samples), corners, KEYS, 1000, 1000).select("doc_id", "n", "gaze_x", "mapped_x")
+
+
+@query(
+    """WITH S AS (SELECT l_orderkey AS k, l_linenumber AS i, CAST(l_linenumber * 10 AS DOUBLE) AS y, l_quantity AS x FROM lineitem),
+P AS (SELECT a.k, a.i AS label_id, b.i AS segment_id, abs(a.y - b.y - 3) * 2 AS d FROM S a JOIN S b ON a.k = b.k)
+SELECT k AS l_orderkey, label_id, segment_id, CAST(d AS DOUBLE) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY k, label_id ORDER BY d, segment_id) AS n FROM P) WHERE n = 1"""
+)
+def nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizontal segments, a line item each, next to the same ones moved by three pixels."""
+    y = F.col("l_linenumber") * 10.0
+    base = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), y.alias("y"), F.col("l_quantity").alias("x"))
+    side = lambda dy: [F.lit(0.0).alias("x1"), (F.col("y") + dy).alias("y1"), F.col("x").alias("x2"), (F.col("y") + dy).alias("y2")]
+    labelled, found = base.select("l_orderkey", F.col("i").alias("label_id"), *side(0)), base.select("l_orderkey", F.col("i").alias("segment_id"), *side(3))
+    same_ends = found.withColumn("x2", F.lit(1.0))
+    return gaze.nearest_segments(same_ends, labelled.withColumn("x2", F.lit(1.0)), ["l_orderkey"])
+
+
 @query("SELECT user_id, CAST(window_start AS BIGINT) AS day, n FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS window_start, count(*) AS n FROM events GROUP BY 1, 2)")
 def daily_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("user_id", F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"))

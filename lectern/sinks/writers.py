@@ -26,6 +26,19 @@ def write_report(report: DataFrame, path: str, session: str = "session_id") -> N
     report.select(session, F.col("report").alias("value")).write.mode("overwrite").partitionBy(session).text(path)
 
 
+def metadata_json(intervals: DataFrame, session: str = "session_id") -> DataFrame:
+    """(session, value): a session's intervals as a JSON list, by start."""
+    one = F.struct("start_time", "part", "end_time", "transitions")
+    ordered = F.transform(F.array_sort(F.collect_list(one)), lambda r: F.struct(r["part"].alias("part"), r["start_time"].alias("start_time"), r["end_time"].alias("end_time"), r["transitions"].alias("transitions")))
+    return intervals.groupBy(session).agg(F.to_json(ordered).alias("value"))
+
+
+def stitched_json(page: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value): a page as a JSON list of [line, top, bottom]."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line", "top", "bottom"))), lambda r: F.concat(F.lit("["), F.concat_ws(", ", F.get(F.split(F.to_json(F.struct(r["line"].alias("x"))), r'^\{"x":|\}$'), 1), F.coalesce(r["top"].cast("string"), F.lit("null")), F.coalesce(r["bottom"].cast("string"), F.lit("null"))), F.lit("]")))
+    return page.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]")).alias("value"))
+
+
 def hocr_text(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, value): pages as hOCR again, lines and words in order with their boxes and, where present, ids and highlight."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))

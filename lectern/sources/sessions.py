@@ -90,3 +90,9 @@ def read_stitched(spark: SparkSession, path: str) -> DataFrame:
     """(line_idx, line, top, bottom) of a page in JSON: a list of [text, top, bottom]."""
     rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("line_idx", "r"))
     return rows.select("line_idx", F.get("r", 0).alias("line"), F.get("r", 1).cast("double").alias("top"), F.get("r", 2).cast("double").alias("bottom"))
+
+
+def read_gaze(spark: SparkSession, path: str) -> DataFrame:
+    """(gaze_x, gaze_y, timestamp, time) of an eye tracker's table; time in seconds of the recording."""
+    rows = spark.read.schema("GazeX double, GazeY double, Timestamp string, MediaTime double").option("header", True).csv(path)
+    return rows.select(F.col("GazeX").alias("gaze_x"), F.col("GazeY").alias("gaze_y"), F.col("Timestamp").alias("timestamp"), F.col("MediaTime").alias("time"))

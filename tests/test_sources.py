@@ -115,3 +115,20 @@ def test_transitions_of_intervals(spark):
     times = spark.createDataFrame([("s", 5.0), ("s", 1.0), ("s", 7.0)], "session_id string, t double")
     got = {r["part"]: r["transitions"] for r in with_transitions(spans, times, ["session_id"], "t").collect()}
     assert got == {"a": [1.0, 5.0], "b": [7.0]}
+
+
+def test_interchange_files_round_trip(spark, tmp_path):
+    page = spark.createDataFrame([("s", 0, 'say "a", b', 1.0, 2.5), ("s", 1, "c", 3.0, None)], "session_id string, line_idx int, line string, top double, bottom double")
+    (tmp_path / "p.json").write_text(writers.stitched_json(page, ["session_id"]).first()["value"])
+    assert [tuple(r) for r in sessions.read_stitched(spark, f"file://{tmp_path}/p.json").collect()] == [(0, 'say "a", b', 1.0, 2.5), (1, "c", 3.0, None)]
+    spans = spark.createDataFrame([("s", "b", 6.0, 9.0, [7.0]), ("s", "a", 0.0, 5.0, [1.0])], "session_id string, part string, start_time double, end_time double, transitions array<double>")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "metadata.json").write_text(writers.metadata_json(spans).first()["value"])
+    assert sorted(tuple(r) for r in sessions.read_metadata(spark, f"file://{tmp_path}").collect()) == sorted(tuple(r) for r in spans.collect())
+    from lectern.operators.highlights import report_json
+
+    events = spark.createDataFrame([("s", 1.5, 3, "w", [3, 4], "yellow", ["white", "white"])], "s string, t double, gid int, text string, id_group array<int>, color string, former array<string>")
+    (tmp_path / "r.json").write_text(report_json(events, ["s"], "t").first()["report"])
+    assert [tuple(r) for r in sessions.read_report(spark, f"file://{tmp_path}/r.json").collect()] == [(1.5, 3, "w", [3, 4], "yellow", ["white", "white"])]
+    (tmp_path / "g.csv").write_text("GazeX,GazeY,Timestamp,MediaTime\n1,-2,12:00,0.5\n")
+    assert tuple(sessions.read_gaze(spark, f"file://{tmp_path}/g.csv").first()) == (1.0, -2.0, "12:00", 0.5)
