@@ -112,7 +112,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest id, each is kept: they can't be told apart. An empty table gives no rows.
     """
     rows = recipes(docs, id_col, text_col)
-    groups = rows.groupBy("recipe").agg(F.min("did").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    # written, so that the join below stands between two exchanges and a recipe with very many rows can be split
+    groups = materialise(rows.groupBy("recipe").agg(F.min("did").alias("first"), F.count("*").alias("members")).filter("members > 1"), "groups")
     return rows.join(groups, "recipe", "left").select(
         "did",
         F.coalesce("first", "did").alias("keep"),
