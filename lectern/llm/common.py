@@ -47,7 +47,16 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that materialise() gave and that no later step reads."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def internal_id(column: str | Column) -> Column:

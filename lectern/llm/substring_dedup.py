@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
+from .common import discard, external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
 from .textscan import Ranges, byte_table, cover, mix, runs, sliding_min, words
 
 #: Depth in words of the nodes that count, of the partitioning prefix, and of the further branching levels.
@@ -35,7 +35,7 @@ SUBTREE_ROWS = 200_000
 POSITION = (1 << 40) - 1
 
 _ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64())])
-_SUFFIX = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("settled", pa.bool_())])
+_SUFFIX = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("more", pa.list_(pa.int64())), ("settled", pa.bool_())])
 _FLAG = pa.schema([("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int64())])
 
 
@@ -87,9 +87,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(k0), bool)
         new[1:] = (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         settled = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
+        # a window that its own document repeats travels once, with its other places
+        own = new.copy()
+        own[1:] |= (did[1:] != did[:-1]) | settled[1:]
+        at = np.flatnonzero(own)
+        ends = np.append(at[1:], len(own)) - at - 1
+        more = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), pa.array(pos[~own]))
+        k0, k1, k2, did, pos, settled = (x[at] for x in (k0, k1, k2, did, pos, settled))
         # what is settled passes the exchange dealt by its own place, not by its prefix
         k0 = np.where(settled, mix(did.view(np.uint64) * np.uint64(31) + pos.view(np.uint64)), k0)
-        yield from record_batches(_SUFFIX, {"k0": k0.view(np.int64), "k1": k1.view(np.int64), "k2": k2.view(np.int64), "did": did, "pos": pos, "settled": settled})
+        yield from record_batches(_SUFFIX, {"k0": k0.view(np.int64), "k1": k1.view(np.int64), "k2": k2.view(np.int64), "did": did, "pos": pos, "more": more, "settled": settled})
 
 
 def _to_runs(did: np.ndarray, pos: np.ndarray) -> dict:
@@ -133,7 +140,8 @@ class Subtree:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes sorted by prefix, words and document: subtree by subtree, each within the memory budget."""
-    held = np.zeros((0, 5), np.int64)
+    held = np.zeros((0, 6), np.int64)
+    others: list[np.ndarray] = []  # a row's further places, by the number in its last column
     carry: tuple | None = None  # window and first document of a node that went on past the budget
 
     def emit(part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,17 +150,29 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             later |= (part[:, :3] == carry[0]).all(axis=1) & (part[:, 3] > carry[1])
         if later.any():
-            yield from record_batches(_FLAG, _to_runs(part[later, 3], part[later, 4]))
+            did, pos, number = part[later, 3], part[later, 4], part[later, 5]
+            for i in np.flatnonzero(number >= 0):
+                places = others[number[i]]
+                did, pos = np.append(did, np.full(len(places), did[i])), np.append(pos, places)
+            yield from record_batches(_FLAG, _to_runs(did, pos))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         settled = np.asarray(batch.column("settled").to_numpy(zero_copy_only=False), bool)
-        rows = np.column_stack([np.asarray(batch.column(c)) for c in ("k0", "k1", "k2", "did", "pos")])
+        rows = np.column_stack([np.asarray(batch.column(c)) for c in ("k0", "k1", "k2", "did", "pos")] + [np.full(batch.num_rows, -1, np.int64)])
+        more = batch.column("more")
+        for i in np.flatnonzero(np.asarray(more.value_lengths()) > 0):
+            rows[i, 5] = len(others)
+            others.append(np.asarray(more[i].values))
         if settled.any():
             yield from record_batches(_FLAG, _to_runs(rows[settled, 3], rows[settled, 4]))
             rows = rows[~settled]
         held = np.concatenate([held, rows])
+        if len(others) > SUBTREE_ROWS:  # places of rows that are gone are let go
+            used = np.flatnonzero(held[:, 5] >= 0)
+            others = [others[k] for k in held[used, 5]]
+            held[used, 5] = np.arange(len(used))
         while len(held) > SUBTREE_ROWS:
             cut = 0
             for depth in (1, 2, 3):  # the shortest prefix whose last subtree leaves something complete behind
@@ -205,9 +225,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(did, pos, len): runs of window starts, in words, whose windows also start in a document with a smaller id."""
     base = _base(docs, id_col, text_col)
     anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long"), "anchors", compression="zstd")
-    shared = anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("h")
+    # written, so that the join stands between two exchanges and a gram of very many documents can be split
+    shared = materialise(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("h"), "grams")
     lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(F.collect_set("h").alias("shared")), "shared")
-    suffixes = base.join(lists, ["did", "tag"]).mapInArrow(_suffixes, "k0 long, k1 long, k2 long, did long, pos long, settled boolean")
+    discard(anchors)
+    discard(shared)
+    suffixes = base.join(lists, ["did", "tag"]).mapInArrow(_suffixes, "k0 long, k1 long, k2 long, did long, pos long, more array<long>, settled boolean")
     dealt = suffixes.repartition("k0").sortWithinPartitions("k0", "k1", "k2", "did")
     return dealt.mapInArrow(_subtrees, "did long, pos long, len long")
 
