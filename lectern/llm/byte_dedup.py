@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
+from .common import discard, external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
 from .textscan import Ranges, byte_table, cover, mix, runs, sliding_min
 
 #: Threshold depth and gram length in bytes; bytes a radix pass looks at; low bits that hold a place in a slice.
@@ -29,7 +29,7 @@ GROUP_WINDOWS, HOT_GRAM = 500_000, 20_000
 
 POSITION = (1 << 40) - 1
 
-_ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64())])
+_ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())])
 _RUN = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("bytes", pa.binary())])
 _FLAG = pa.schema([("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int64())])
 
@@ -67,11 +67,19 @@ def _byte_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams that each text owns, and in how many places."""
     for rows, data, off in slices(batches, "text"):
         start, _, owned = _byte_windows(data, off)
+        if not len(start):
+            continue
         of = np.searchsorted(off, start, side="right") - 1
-        if len(of):
-            yield from record_batches(_ANCHOR, {"h": owned.view(np.int64), "did": np.asarray(rows.column("did"))[of], "tag": np.asarray(rows.column("tag"))[of]})
+        order = np.lexsort((owned, of))
+        of, owned = of[order], owned[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (owned[1:] != owned[:-1])
+        at = np.flatnonzero(new)
+        of, owned, n = of[at], owned[at], np.diff(np.append(at, len(new)))
+        yield from record_batches(_ANCHOR, {"h": owned.view(np.int64), "did": np.asarray(rows.column("did"))[of], "tag": np.asarray(rows.column("tag"))[of], "n": n})
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -235,10 +243,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, pos, len): runs of window starts, in bytes, whose 100-byte windows also start earlier."""
     base = _base(docs, id_col, text_col)
-    anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long"), "grams", compression="zstd")
-    shared = anchors.groupBy("h").count().filter("count > 1")
+    anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long, n long"), "grams", compression="zstd")
+    # written, so that the join stands between two exchanges and a gram of very many texts can be split
+    shared = materialise(anchors.groupBy("h").agg(F.sum("n").alias("count")).filter("count > 1"), "counts")
     own = [F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("count") > HOT_GRAM, F.col("h"))).alias("hot")]
     lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(*own), "shared")
+    discard(anchors)
+    discard(shared)
     found = base.join(lists, ["did", "tag"]).mapInArrow(_runs, "h long, did long, pos long, len int, bytes binary")
     return found.repartition("h").sortWithinPartitions("h", "bytes", "did", "pos").mapInArrow(_sorted_groups, "did long, pos long, len long")
 
