@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, record_batches, slices
+from .common import discard, external_id, internal_id, materialise, record_batches, slices
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 #: (lowest bit, number of bits) of the blocks; each is searched with threshold THRESHOLD // len(BLOCKS).
@@ -156,7 +156,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if small.any():  # every home against its tile's rows, all tiles at once
             tile = np.cumsum(new) - 1
             h = np.flatnonzero(home & small[tile])
-            for part in np.array_split(h, max(1, int(size[tile[h]].sum()) >> 21)):
+            for part in np.array_split(h, max(1, int(size[tile[h]].sum()) >> 19)):
                 n = size[tile[part]]
                 left = np.repeat(part, n)
                 right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[tile[part]], n)
@@ -214,7 +214,7 @@ def _min_of(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
+    """(node, component): the smallest node reachable, for every node that reaches a smaller one.
 
     Large-star and small-star steps alternate until the edge table is a set of stars. Each step is a grouped minimum
     and a join on the node; each round is written to the shared folder, so a lost executor costs one round at most.
@@ -230,7 +230,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(_min_of(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        table = materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        before_table, table = table, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(before_table)
         after = state(table)
         if after == before:
             break
