@@ -32,8 +32,12 @@ FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar skip sidebar side aside rail widget widgets "
     "header masthead footer foot copyright legal disclaimer share sharing social follow related recommended recommendations more trending popular "
     "comment comments commentlist disqus respond reply replies discussion newsletter subscribe subscription signup login search form paywall hidden "
-    "complementary contentinfo search-form author-bio tags taglist".split()
+    "complementary contentinfo tags taglist".split()
 )
+#: Beginnings of such words, for names without separators (sidebarLeft, commentBox); words that say the opposite; words of reader comments.
+FURNITURE_STEMS = ("sidebar", "comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "navbar", "navigation", "footer", "disqus", "popup", "masthead", "sharing", "pagination")
+NEGATIONS = frozenset("has with no without not".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 #: Elements that end an open element of the same kind.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl div section article main body blockquote td th li".split())
@@ -45,43 +49,50 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
-_WORDS = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)?|[a-z]+")
+_DIGITS, _SEPARATORS = re.compile(r"[0-9]+"), re.compile(r"[-_:]+")
 
 
 class Block:
-    __slots__ = ("path", "ancestors", "text", "linked", "tags", "marks")
+    __slots__ = ("path", "ancestors", "text", "linked", "tags", "marks", "suspect")
 
-    def __init__(self, path: str, ancestors: tuple[int, ...], text: str, linked: int, tags: int):
-        self.path, self.ancestors, self.text, self.linked, self.tags = path, ancestors, text, linked, max(1, tags)
+    def __init__(self, path: str, ancestors: tuple[int, ...], text: str, linked: int, tags: int, suspect: int):
+        self.path, self.ancestors, self.text, self.linked, self.tags, self.suspect = path, ancestors, text, linked, max(1, tags), suspect
         self.marks = len(_MARKS.findall(text))
 
 
-def _is_furniture(name: str, attributes: str, inside_content: bool) -> tuple[bool, str]:
-    """Whether an element is furniture, and its path component."""
-    label = name
-    if attributes:
-        words: set[str] = set()
+#: What an element is: furniture by its name, by its class, reader comments, or neither.
+_PLAIN, _BY_CLASS, _COMMENTS, _BY_NAME = 0, 1, 2, 3
+
+
+def _role(name: str, attributes: str, inside_content: bool) -> tuple[int, str]:
+    """What an element is, and its path component."""
+    label, kind = name, _PLAIN
+    if attributes and name not in ("body", "html"):
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "hidden":
-                words.add("hidden")
-                continue
-            for part in value.split():
-                label += f".{re.sub(r'[0-9]+', '0', part)}"
-                words.add(part)
-                words.update(re.split(r"[-_]+", part))
-        if name not in CONTENT and name not in ("body", "html") and words & FURNITURE_WORDS:
-            header_only = words & FURNITURE_WORDS <= {"header"}
-            if not (header_only and inside_content):
-                return True, label
-    return name in FURNITURE or name == "header" and not inside_content, label
+                return _BY_NAME, label
+            for token in value.split():
+                label += f".{_DIGITS.sub('0', token)}"
+                words = _SEPARATORS.split(token)
+                if name in CONTENT and not COMMENT_WORDS & set(words) or words[0] in NEGATIONS:
+                    continue
+                hits = {w for w in (token, *words) if w in FURNITURE_WORDS or w.startswith(FURNITURE_STEMS)}
+                if inside_content:
+                    hits -= {"header", "more", "tags", "follow"}
+                if hits:
+                    kind = max(kind, _COMMENTS if any(w in COMMENT_WORDS or w.startswith("comment") for w in hits) else _BY_CLASS)
+    if name in FURNITURE or name == "header" and not inside_content:
+        return _BY_NAME, label
+    return kind, label
 
 
 def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     """Text blocks outside furniture in page order, and the names of the elements by number."""
     out: list[Block] = []
     names: dict[int, str] = {}
-    stack: list[tuple[str, str, int, bool]] = []  # name, path up to here, number, furniture
+    roles: dict[int, int] = {}
+    stack: list[tuple[str, str, int, bool, int]] = []  # name, path up to here, number, furniture by name, suspect element
     parts: list[str] = []
     linked = tags = link_depth = 0
     content_depth = 0
@@ -92,7 +103,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(stack[-1][1] if stack else "", tuple(x[2] for x in stack), text, linked, tags))
+                out.append(Block(stack[-1][1] if stack else "", tuple(x[2] for x in stack), text, linked, tags, stack[-1][4] if stack else 0))
             parts.clear()
         linked = tags = 0
 
@@ -120,8 +131,6 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                 link_depth = 0 if m[2] else 1
             elif name == "br":
                 parts.append(" ")
-            elif name == "span" and m[4] and not m[2] and len(m[4]) > 1:
-                pass
             continue
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
@@ -133,22 +142,22 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             link_depth = 0
             continue
         end_block()
-        link_depth = 0 if name not in ("div", "h1", "h2", "h3", "h4", "h5", "h6", "p") else link_depth
+        link_depth = link_depth if name in ("div", "h1", "h2", "h3", "h4", "h5", "h6", "p") else 0
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in _CLOSES.get(name, ()):
                 pop_to(i)
                 break
             if stack[i][0] in _SCOPE:
                 break
-        if name not in ("p", "br") and name not in INLINE and stack and stack[-1][0] == "p":
+        if name != "p" and stack and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
-        if name in VOID or m[4].endswith("/>") and name in ("path", "rect", "circle"):
+        if name in VOID:
             continue
-        under = stack[-1] if stack else ("", "", 0, False)
-        furniture, label = _is_furniture(name, m[4][:-1], content_depth > 0)
+        under = stack[-1] if stack else ("", "", 0, False, 0)
+        role, label = _role(name, m[4][:-1], content_depth > 0)
         number += 1
-        names[number] = name
-        stack.append((name, f"{under[1]}/{label}", number, under[3] or furniture))
+        names[number], roles[number] = name, role
+        stack.append((name, f"{under[1]}/{label}", number, under[3] or role == _BY_NAME, under[4] or (number if role else 0)))
         content_depth += name in CONTENT
         tags = 1
     if last < len(page) and not (stack and stack[-1][3]):
@@ -156,7 +165,11 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         cut = tail.rfind("<")
         parts.append(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z]", tail[cut:]) else tail)
     end_block()
-    return out, names
+    # a class that seems to mark furniture around nearly all of a page's text marks the page
+    plain = sum(len(b.text) for b in out if not b.suspect)
+    doubtful = sum(len(b.text) for b in out if b.suspect and roles[b.suspect] == _BY_CLASS)
+    trust = plain * 10 >= doubtful
+    return [b for b in out if not b.suspect or not trust and roles[b.suspect] == _BY_CLASS], names
 
 
 def path_scores(found: list[Block], radius: int = 1) -> dict[str, float]:
