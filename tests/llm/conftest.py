@@ -22,7 +22,8 @@ def rows():
         words = out[3][1].split(" ")
         words[i % len(words)] = "changed"
         out.append((i, " ".join(words), "fr", "b"))
-    out += [(105, None, None, None), (106, "", "en", "a"), (107, " \n\t ", "en", "a"), (108, "x", "de", "a"), (109, "ab" * 300, "en", "a"), (110, "na " * 400, "en", "b"), (111, sentence(rng, 4000), "en", "a"), (112, "%% $$ ## " * 40, "en", "c")]
+    out += [(105, None, None, None), (106, "", "en", "a"), (107, " \n\t ", "en", "a"), (108, "x", "de", "a"), (109, "ab" * 300, "en", "a"), (110, "na " * 400, "en", "b"), (111, sentence(rng, 4000), "en", "a"), (112, "%% $$ ## " * 40, "en", "c"), (113, "intro " + "na " * 150 + "end", "en", "b"), (114, "na\tna " * 80, "fr", "b")]
+    out.append((115, " ".join(rng.choice(["%%", "$$x", "##", "&&a", "**", "<|>"]) for _ in range(200)), "en", "c"))
     out += [out[10], out[105], (None, out[12][1], "en", "a")]
     return out
 

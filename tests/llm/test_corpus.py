@@ -58,12 +58,13 @@ def test_mix_meets_its_targets(docs, rows):
 
 
 def test_heavier_documents_come_first_more_often(spark):
-    rows = [(i, " ".join(["word"] * 10), "s") for i in range(4000)]
-    df = spark.createDataFrame(rows + [(10**6 + i, "word " * 10, "t") for i in range(4000)], "doc_id long, text string, source string")
+    rows = [(k * 10**6 + i, "word " * 10, s) for k, s in enumerate("rst") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     heavy = F.when(F.col("did") % 2 == 0, 3.0).otherwise(1.0)
     taken = mixing.mix(df, quality=heavy).filter("source = 't'").groupBy((F.col("did") % 2).alias("odd")).agg(F.sum("taken").alias("n")).collect()
     n = {r["odd"]: r["n"] for r in taken}
-    assert n[0] > 1.5 * n[1]
+    assert n[0] + n[1] == pytest.approx(40_000 / 1.2, abs=2)
+    assert n[0] > 1.25 * n[1]
 
 
 def test_mixed_documents_hold_the_words_taken(docs):
@@ -105,11 +106,13 @@ def test_archives_round_trip(pages):
 
 
 def test_index_is_in_global_order(spark, pages, tmp_path):
-    many = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/{i * 7919 % 100}", f"t{i % 90}") for i in range(500)], "page_id long, url string, html string").repartition(4)
+    many = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/{i * 7919 % 100}", f"t{i % 90}") for i in range(9000)], "page_id long, url string, html string").repartition(2)
     index = warc.archive_pages(many, f"file://{tmp_path}/w").collect()
     keys = [(r["urlkey"], r["timestamp"], r["page_id"]) for r in index]
     assert len({r["archive"] for r in index}) > 1
     assert sorted(keys) == keys
+    assert {r["page_id"] for r in index} == set(range(9000))
+    assert len(index) == 9000
     with_digest = {r["payload_digest"] for r in index if r["record_type"] == "response"}
     assert {r["payload_digest"] for r in index} == with_digest
 
