@@ -36,7 +36,7 @@ MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.3
 MIN_COMMON_WORDS, MAX_COMMON_DISTANCE = 100, 0.6
 
 _STATS = pa.schema(
-    [(c, pa.int64()) for c in ("row", "tag", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
+    [(c, pa.int64()) for c in ("row", "tag", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
 )
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,7 +116,7 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     dup = np.bincount(line_text[~_first_flags(line_text, exact.of(a, b))[0]], minlength=n) if len(a) else np.zeros(n, np.int64)
     word_chars = classes.sum(axis=1) - classes[:, 3]
     symbols = classes[:, 6]
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "classes": classes, "common": common}
+    return {"chars": classes.sum(axis=1), "n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "classes": classes, "common": common}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,18 +129,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from record_batches(_STATS, out | {"row": rows.column("row"), "tag": rows.column("tag"), "lang": rows.column("lang")}, 4096)
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts; null if either is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+def divergence(counts: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of an array of counts that add up to `total` and an array of shares; null if total is zero.
+
+    Totals are columns, not expressions within the fold, which would be evaluated once an element.
+    """
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    share = F.zip_with(p, q, lambda x, y: F.struct((x / F.nullif(total(p), F.lit(0.0))).alias("x"), (y / F.nullif(total(q), F.lit(0.0))).alias("y")))
-    inner = F.aggregate(
-        share, F.lit(0.0), lambda acc, s: acc + (part(s["x"], (s["x"] + s["y"]) / 2) + part(s["y"], (s["x"] + s["y"]) / 2)) / 2
-    )
-    return F.sqrt(F.greatest(inner, F.lit(0.0)))
+    pairs = F.zip_with(counts, reference, lambda x, y: F.struct(F.try_divide(x.cast("double"), total.cast("double")).alias("x"), y.alias("y")))
+    inner = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + (part(s["x"], (s["x"] + s["y"]) / 2) + part(s["y"], (s["x"] + s["y"]) / 2)) / 2)
+    return F.when(total > 0, F.sqrt(F.greatest(inner, F.lit(0.0))))
+
+
+_DDL = "row long, tag long, chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, classes array<long>, common array<long>"
 
 
-_DDL = "row long, tag long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, classes array<long>, common array<long>"
+def language_references(stats: DataFrame) -> DataFrame:
+    """(ref_lang, ref_classes, ref_common): each language's shares, over all its documents."""
+    widths = {"classes": CLASSES, "common": len(_common_index()[0]) + 1}
+    sums = stats.groupBy("lang").agg(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in widths.items() for i in range(n)], F.sum("chars").alias("chars"), F.sum("n_words").alias("n_words"))
+    share = lambda c, total: F.array(*[F.coalesce(F.try_divide(F.col(f"{c}{i}").cast("double"), F.col(total).cast("double")), F.lit(0.0)) for i in range(widths[c])]).alias(f"ref_{c}")
+    return sums.select(F.col("lang").alias("ref_lang"), share("classes", "chars"), share("common", "n_words"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -151,14 +159,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(internal_id(id_col).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     stats = materialise(base.mapInArrow(_scan, _DDL), "stats", compression="zstd")
-    sums = [F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(f"ref_{c}") for c, n in (("classes", CLASSES), ("common", len(_common_index()[0]) + 1))]
-    refs = materialise(stats.groupBy("lang").agg(*sums), "references").withColumnRenamed("lang", "ref_lang")
-    reals = lambda c: F.transform(c, lambda x: x.cast("double"))
+    refs = materialise(language_references(stats), "references")
     joined = stats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").select(
         *[c for c in stats.columns if c not in ("classes", "common")],
-        F.aggregate("classes", F.lit(0).cast("long"), lambda x, y: x + y).alias("chars"),
-        divergence(reals(F.col("classes")), reals(F.col("ref_classes"))).alias("class_distance"),
-        divergence(reals(F.col("common")), reals(F.col("ref_common"))).alias("common_distance"),
+        divergence(F.col("classes"), F.col("chars"), F.col("ref_classes")).alias("class_distance"),
+        divergence(F.col("common"), F.col("n_words"), F.col("ref_common")).alias("common_distance"),
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = ((F.col("chars") >= MIN_CLASS_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
