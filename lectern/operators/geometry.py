@@ -123,5 +123,5 @@ def equal_mass_cutoffs(values: DataFrame, value: str, parts: int) -> DataFrame:
 
 def equal_mass_labels(values: DataFrame, value: str, parts: int, label: str = "label") -> DataFrame:
     """values with the number of cut-offs below each value. The cut-offs are a scalar subquery, bounded by the number of parts."""
-    cut = equal_mass_cutoffs(values, value, parts).scalar()
-    return values.withColumn(label, F.size(F.filter(cut, lambda c: c < F.col(value))))
+    cut = values.withColumn("__cut", equal_mass_cutoffs(values, value, parts).scalar())
+    return cut.withColumn(label, F.size(F.filter("__cut", lambda c: c < F.col(value)))).drop("__cut")

@@ -374,8 +374,8 @@ _PAIR_SQL = ", ".join(f"('{n}', {i}, {', '.join(f'{float(v)}' for v in (*bg, *fg
 P(name, i, b1, b2, b3, f1, f2, f3) AS (VALUES {_PAIR_SQL}),
 D AS (
   SELECT vec_id, name, i,
-    abs(c[1] - b1) * 0.299 + abs(c[2] - b2) * 0.587 + abs(c[3] - b3) * 0.114 + abs(c[4] - f1) * 0.299 + abs(c[5] - f2) * 0.587 + abs(c[6] - f3) * 0.114 AS straight,
-    abs(c[1] - f1) * 0.299 + abs(c[2] - f2) * 0.587 + abs(c[3] - f3) * 0.114 + abs(c[4] - b1) * 0.299 + abs(c[5] - b2) * 0.587 + abs(c[6] - b3) * 0.114 AS turned
+    (abs(c[1] - b1) * 0.299 + abs(c[2] - b2) * 0.587 + abs(c[3] - b3) * 0.114) + (abs(c[4] - f1) * 0.299 + abs(c[5] - f2) * 0.587 + abs(c[6] - f3) * 0.114) AS straight,
+    (abs(c[1] - f1) * 0.299 + abs(c[2] - f2) * 0.587 + abs(c[3] - f3) * 0.114) + (abs(c[4] - b1) * 0.299 + abs(c[5] - b2) * 0.587 + abs(c[6] - b3) * 0.114) AS turned
   FROM E CROSS JOIN P
 )
 SELECT vec_id, name AS highlight, straight > turned AS swapped, round(least(straight, turned), 6) AS distance
@@ -574,12 +574,10 @@ SELECT k AS l_orderkey, label_id, segment_id, CAST(d AS DOUBLE) AS dist FROM (SE
 )
 def nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Horizontal segments, a line item each, next to the same ones moved by three pixels."""
-    y = F.col("l_linenumber") * 10.0
-    base = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), y.alias("y"), F.col("l_quantity").alias("x"))
-    side = lambda dy: [F.lit(0.0).alias("x1"), (F.col("y") + dy).alias("y1"), F.col("x").alias("x2"), (F.col("y") + dy).alias("y2")]
+    base = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), (F.col("l_linenumber") * 10.0).alias("y")).distinct()
+    side = lambda dy: [F.lit(0.0).alias("x1"), (F.col("y") + dy).alias("y1"), F.lit(1.0).alias("x2"), (F.col("y") + dy).alias("y2")]
     labelled, found = base.select("l_orderkey", F.col("i").alias("label_id"), *side(0)), base.select("l_orderkey", F.col("i").alias("segment_id"), *side(3))
-    same_ends = found.withColumn("x2", F.lit(1.0))
-    return gaze.nearest_segments(same_ends, labelled.withColumn("x2", F.lit(1.0)), ["l_orderkey"])
+    return gaze.nearest_segments(found, labelled, ["l_orderkey"])
 
 
 @query("SELECT user_id, CAST(window_start AS BIGINT) AS day, n FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS window_start, count(*) AS n FROM events GROUP BY 1, 2)")

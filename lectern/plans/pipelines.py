@@ -1,4 +1,4 @@
-"""The stages end to end, from stage tables to stage tables. Nothing is written here: a caller writes what a stage returns."""
+"""The stages end to end. What several steps read is cut off by a checkpoint; the caller writes what a stage returns."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import scale_bbox, tick
 from ..operators import geometry, highlights, ids, match, repair, scroll, temporal
+from ..sinks.scratch import cut
 
 FRAME = ["session_id", "t"]
 
@@ -24,7 +25,7 @@ class Cleaned:
 
 def find_intervals(frames: DataFrame, durations: DataFrame, label: str = "part") -> DataFrame:
     """(session_id, part, start_time, end_time, transitions) of classified frames (session_id, t, part, differs)."""
-    spans = temporal.part_intervals(frames, ["session_id"], "t", label, duration=durations)
+    spans = cut(temporal.part_intervals(frames, ["session_id"], "t", label, duration=durations))
     moved = frames.filter("differs").select("session_id", "t")
     starts = spans.select("session_id", F.col("start_time").alias("t"))
     return temporal.with_transitions(spans, moved.unionByName(starts).distinct(), ["session_id"], "t")
@@ -37,13 +38,13 @@ def clean_documents(lines: DataFrame, words: DataFrame, ref_lines: DataFrame, pe
     enlarged images that were read. Frames in which no line is anchored are left out, as documents that could not be repaired.
     """
     evidence = match.document_evidence(words, match.document_dictionary(ref_lines), FRAME)
-    best = match.best_document(evidence, FRAME)
+    best = cut(match.best_document(evidence, FRAME))
     if per == "session":
         chosen = match.session_document(best, "session_id", "t")
-        best = words.select(*FRAME).distinct().join(chosen, "session_id")
+        best = cut(words.select(*FRAME).distinct().join(chosen, "session_id"))
     else:
         chosen = best.select("session_id", "doc_name").distinct()
-    matched = match.match_lines(lines, words, best, ref_lines, FRAME)
+    matched = cut(match.match_lines(lines, words, best, ref_lines, FRAME))
     boxes = lines.select(*FRAME, "line_idx", scale_bbox("bbox", scale).alias("bbox"))
     out_lines = matched.join(boxes, [*FRAME, "line_idx"]).join(best.select(*FRAME, "doc_name"), FRAME)
     word_boxes = words.select(*FRAME, "line_idx", "word_idx", scale_bbox("bbox", scale).alias("bbox"))
@@ -51,13 +52,13 @@ def clean_documents(lines: DataFrame, words: DataFrame, ref_lines: DataFrame, pe
         out_words = words.select(*FRAME, "line_idx", "word_idx", F.col("text").alias("ocr_text"), "text", F.lit(None).cast("int").alias("pair_offset")).join(word_boxes, [*FRAME, "line_idx", "word_idx"])
     else:
         out_words = repair.repair_words(words, lines, matched, FRAME).join(word_boxes, [*FRAME, "line_idx", "word_idx"])
-    return Cleaned(chosen, out_lines, out_words)
+    return Cleaned(chosen, cut(out_lines), cut(out_words))
 
 
 def with_ids(cleaned: Cleaned, ref_lines: DataFrame, fail_policy: str = "skip") -> DataFrame:
     """(session_id, t, line_idx, word_idx, text, bbox, global_ids, status) of the words with a text, in reading order."""
     lines = cleaned.lines.select(*FRAME, "line_idx", "bbox")
-    ordered = geometry.reading_order(cleaned.words.filter("text <> ''"), lines, FRAME).join(cleaned.lines.select(*FRAME, "doc_name").distinct(), FRAME)
+    ordered = cut(geometry.reading_order(cleaned.words.filter("text <> ''"), lines, FRAME).join(cleaned.lines.select(*FRAME, "doc_name").distinct(), FRAME))
     found = ids.assign_ids(ordered, ids.word_positions(ref_lines), FRAME, fail_policy).drop("text")
     return ordered.join(found, [*FRAME, "reading_idx"])
 
@@ -89,6 +90,6 @@ def highlight_matrix(events: DataFrame, spans: DataFrame, bounds: DataFrame) ->
 def scrolling(cleaned: Cleaned, ref_lines: DataFrame, frame_height: float, normalise: bool = False) -> tuple[DataFrame, DataFrame]:
     """(page, scroll): each session's stitched page, and where each frame lies on it."""
     adjacent = scroll.adjacent_lines(cleaned.lines.drop("ref_idx"), ref_lines, ["session_id"], ["t"])
-    page = scroll.stitched_lines(adjacent, ref_lines, ["session_id"], normalise=normalise)
+    page = cut(scroll.stitched_lines(adjacent, ref_lines, ["session_id"], normalise=normalise))
     maps = scroll.frame_maps(cleaned.lines, page, FRAME, ["session_id"])
     return page, scroll.scroll_positions(maps, frame_height)

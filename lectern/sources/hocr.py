@@ -28,7 +28,7 @@ def _prepare(content: Column) -> Column:
 
 def read_hocr(spark: SparkSession, path: str, glob: str = "*.hocr") -> DataFrame:
     """(path, t, content) of every hOCR file below a folder; t from names like MM-S.s.hocr, else null."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), filename_to_time(F.col("_metadata.file_path")).alias("t"), F.col("value").alias("content"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ _INTERVAL = "array<struct<part:string,start_time:double,end_time:double,transiti
 def video_files(spark: SparkSession, path: str) -> DataFrame:
     """(video_path, session_id) of the recordings below a folder; dot files are skipped; contents are not read."""
     endings = "|".join(e[1:] for e in VIDEO_ENDINGS)
-    root = path.rstrip("/").removeprefix("file:") + "/"
+    root = re.sub("^file:/+", "/", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.url_decode(F.regexp_replace("path", "^file:/+", "/")).alias("video_path"))
     wanted = files.filter(F.col("video_path").rlike(rf"\.({endings}|{endings.upper()})$") & ~F.substring_index("video_path", "/", -1).startswith("."))
     return wanted.select("video_path", session_name(F.expr(f"substring(video_path, {len(root) + 1})")).alias("session_id"))
@@ -26,7 +28,7 @@ def session_names(frames: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, part, start_time, end_time, transitions) of <session>/metadata.json; cut-off files have no rows."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(path, wholetext=True)
     session = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     rows = files.filter(F.length("value") > 5).select(session.alias("session_id"), F.explode(F.from_json("value", _INTERVAL)).alias("i"))
     return rows.select("session_id", "i.*")
@@ -34,7 +36,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_name, line_idx, line) of every file of a folder, lines stripped."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.url_decode(F.substring_index(F.col("_metadata.file_path"), "/", -1))
     body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
     return files.select(name.alias("doc_name"), F.posexplode(F.split(body, "\n", -1)).alias("line_idx", "line")).withColumn("line", F.trim("line"))
@@ -78,7 +80,7 @@ def session_documents(transitions: DataFrame, files: DataFrame, edited: DataFram
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """(time, gid, text, id_group, color, former) of a highlight report in JSON."""
     entry = "map<string,array<struct<id:int,text:string,id_group:array<int>,color:string,`former colors`:array<string>>>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", entry)).alias("time", "events")).select(F.col("time").cast("double").alias("time"), F.explode("events").alias("e"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("time", "events")).select(F.col("time").cast("double").alias("time"), F.explode("events").alias("e"))
     return rows.select("time", F.col("e.id").alias("gid"), "e.text", "e.id_group", "e.color", F.col("e.former colors").alias("former"))
 
 
@@ -88,7 +90,7 @@ def read_scroll(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stitched(spark: SparkSession, path: str) -> DataFrame:
     """(line_idx, line, top, bottom) of a page in JSON: a list of [text, top, bottom]."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("line_idx", "r"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("line_idx", "r"))
     return rows.select("line_idx", F.get("r", 0).alias("line"), F.get("r", 1).cast("double").alias("top"), F.get("r", 2).cast("double").alias("bottom"))
 
 

@@ -12,6 +12,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get(
 def spark():
     from pyspark.sql import SparkSession
 
+    from lectern.plans.session import configure
+
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
@@ -23,5 +25,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield configure(session)
     session.stop()

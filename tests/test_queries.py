@@ -41,4 +41,4 @@ def test_other_queries_run(spark, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 186
+    assert __spark_entry__.entry(spark).count() == 187
