@@ -164,16 +164,16 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
             sequence += 1
         packer.bins.clear()
         if out["did"]:
-            yield from record_batches(_PIECE, out, 4096)
+            yield from record_batches(_PIECE, out, 1024)
 
-    for rows, data, off in slices(batches, "text"):
+    for rows, data, off in slices(batches, "text", 1 << 20):
         buf = data.tobytes()
         for did, a, b in zip(rows.column("did").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
             ids = np.append(encode(buf[a:b].decode("utf-8", "replace"), disallowed_special=()), END).astype("<u4")
             texts[number] = [did, ids, len(ids)]
             packer.add(number, len(ids), len(ids) - 1)
             number += 1
-            if len(packer.bins) >= 1024:
+            if len(packer.bins) >= 256:
                 yield from flush()
         yield from flush()
     packer.pack()
