@@ -2,6 +2,7 @@ import base64
 import hashlib
 import html as html_lib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -129,7 +130,7 @@ def test_damaged_archives_are_found(spark, pages, tmp_path):
     warc.write_archives(pages.filter("page_id = 5"), f"file://{path}")
     import glob
 
-    name = next(f for f in glob.glob(f"{path}/*.gz"))
+    name = max(glob.glob(f"{path}/*.gz"), key=os.path.getsize)  # partitions without rows leave empty files
     data = gzip.decompress(open(name, "rb").read()).replace(b"one", b"two")
     with pytest.raises(ValueError, match="digest"):
         warc.parse_archive("x", gzip.compress(data))
