@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_text, tokens
+from .match import spread
 
 #: Guesses that one document's search may make before it is given up as unsolved.
 MAX_GUESSES = 10_000
@@ -128,6 +129,6 @@ def assign_ids(words: DataFrame, positions: DataFrame, keys: Sequence[str], fail
             out.append(([x or [] for x in job.ids], status))
         return pd.DataFrame(out, columns=["ids", "status"])
 
-    solved = listed.join(index, list(keys), "left").withColumn("s", solve("all", "index"))
-    spread = solved.select(*keys, F.col("s.status").alias("status"), F.explode(F.arrays_zip(F.col("all").alias("w"), F.col("s.ids").alias("g"))).alias("x"))
-    return spread.select(*keys, F.col("x.w.reading_idx").alias("reading_idx"), F.col("x.w.text").alias("text"), F.col("x.g").alias("global_ids"), "status")
+    solved = spread(listed.join(index, list(keys), "left"), *keys).withColumn("s", solve("all", "index"))
+    words_of = solved.select(*keys, F.col("s.status").alias("status"), F.explode(F.arrays_zip(F.col("all").alias("w"), F.col("s.ids").alias("g"))).alias("x"))
+    return words_of.select(*keys, F.col("x.w.reading_idx").alias("reading_idx"), F.col("x.w.text").alias("text"), F.col("x.g").alias("global_ids"), "status")

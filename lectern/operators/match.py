@@ -18,6 +18,13 @@ from ..functions.scalar import ascii_text, tokens
 MIN_EVIDENCE_LENGTH, MAX_LINE_DISTANCE = 2, 0.6
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over as many tasks as the session has: what comes next costs much a row, and few bytes would be coalesced into few tasks."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *columns)
+
+
 def ref_tokens(ref_lines: DataFrame) -> DataFrame:
     """(doc_name, line_idx, word) for every token of the corpus."""
     return ref_lines.select("doc_name", "line_idx", F.explode(tokens("line")).alias("word"))
@@ -87,10 +94,10 @@ def gap_candidates(windows: DataFrame, lines: DataFrame, ref_lines: DataFrame, k
 
     The range join is an equi-join: a window is spread over its line numbers, which an anchor's distance bounds.
     """
-    spread = windows.filter("lo <= hi").select(*keys, "line_idx", "doc_name", F.explode(F.sequence("lo", "hi")).alias("ref_idx"))
+    wanted = windows.filter("lo <= hi").select(*keys, "line_idx", "doc_name", F.explode(F.sequence("lo", "hi")).alias("ref_idx"))
     refs = ref_lines.select("doc_name", F.col("line_idx").alias("ref_idx"), "line")
-    pairs = spread.join(refs, ["doc_name", "ref_idx"]).join(lines.select(*keys, "line_idx", "text"), [*keys, "line_idx"])
-    return pairs.select(*keys, "line_idx", "doc_name", "ref_idx", line_distance_udf("text", "line").alias("dist"))
+    pairs = wanted.join(refs, ["doc_name", "ref_idx"]).join(lines.select(*keys, "line_idx", "text"), [*keys, "line_idx"])
+    return spread(pairs, *keys, "line_idx").select(*keys, "line_idx", "doc_name", "ref_idx", line_distance_udf("text", "line").alias("dist"))
 
 
 def best_candidate(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,12 +113,13 @@ def one_line_each(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return matches.join(kept, [*keys, "line_idx"], "left_semi")
 
 
-def match_lines(lines: DataFrame, words: DataFrame, best: DataFrame, ref_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def match_lines(lines: DataFrame, words: DataFrame, best: DataFrame, ref_lines: DataFrame, keys: Sequence[str], anchored: DataFrame | None = None) -> DataFrame:
     """(keys, line_idx, updated_line, in_first_step, ref_idx, dist) for every line of a document with at least one anchored line.
 
-    updated_line is empty where nothing fits.
+    updated_line is empty where nothing fits. The anchored lines are read three times: a caller may hand in a stage table of them.
     """
-    anchored = anchored_lines(words, best, unique_words(ref_lines), keys)
+    if anchored is None:
+        anchored = anchored_lines(words, best, unique_words(ref_lines), keys)
     gaps = best_candidate(gap_candidates(gap_windows(lines, anchored, ref_lines, keys), lines, ref_lines, keys), keys)
     refs = ref_lines.select("doc_name", F.col("line_idx").alias("ref_idx"), "line")
     first = anchored.join(refs, ["doc_name", "ref_idx"]).join(lines.select(*keys, "line_idx", "text"), [*keys, "line_idx"])

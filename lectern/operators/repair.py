@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.align import word_distance
 from .geometry import near_median, space_width
-from .match import perfect_words
+from .match import perfect_words, spread
 
 SHIFTS, SWEEPS = (0, -6, -4, -2, 2, 4, 6), 20
 
@@ -210,6 +210,6 @@ def repair_words(words: DataFrame, lines: DataFrame, matched: DataFrame, keys: S
             out.append((job.repaired(pairing), offset))
         return pd.DataFrame(out, columns=["texts", "pair_offset"])
 
-    fixed = rows.withColumn("fix", repair("boxes", "updated_line", "line_left", "line_height", "usual", "med_height", "space_width", "widths"))
-    spread = fixed.select(*keys, "line_idx", "fix.pair_offset", F.explode(F.arrays_zip(F.col("boxes").alias("b"), F.col("fix.texts").alias("t"))).alias("x"))
-    return spread.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset")
+    fixed = spread(rows, *keys, "line_idx").withColumn("fix", repair("boxes", "updated_line", "line_left", "line_height", "usual", "med_height", "space_width", "widths"))
+    words_of = fixed.select(*keys, "line_idx", "fix.pair_offset", F.explode(F.arrays_zip(F.col("boxes").alias("b"), F.col("fix.texts").alias("t"))).alias("x"))
+    return words_of.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset")

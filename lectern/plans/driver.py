@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import edits, gaze, geometry, highlights, ids, match, repair, scroll, temporal
+from ..sinks.scratch import cut
 from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, corpus, doc_lines, doc_tokens, doc_words, frames, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,9 @@ def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_lines(doc_lines(spark, sf_dir), doc_tokens(spark, sf_dir), _best(spark, sf_dir), corpus(spark, sf_dir), KEYS)
+    """A stage table: what follows reads it several times."""
+    best, anchored = cut(_best(spark, sf_dir)), cut(_anchored(spark, sf_dir))
+    return cut(match.match_lines(doc_lines(spark, sf_dir), doc_tokens(spark, sf_dir), best, corpus(spark, sf_dir), KEYS, anchored))
 
 
 @query(f"WITH {SQL_BEST} SELECT doc_id, doc_name, score FROM BEST")
