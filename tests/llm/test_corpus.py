@@ -3,6 +3,7 @@ import hashlib
 import html as html_lib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -234,6 +235,19 @@ def test_quality_as_by_brute_force(docs, rows):
     assert any(not r[6] and not r[7] for r in want)
 
 
+def test_texts_without_their_languages_common_words_are_rejected(spark):
+    rng = random.Random(11)
+    common = {"en": "the of and to in is that for".split(), "fr": "de la le les et des en un".split()}
+    token = lambda: "".join(rng.choice("aeionrsthl") for _ in range(7))
+    prose = lambda lang, n: " ".join(rng.choice(common[lang]) if rng.random() < 0.22 else token() for _ in range(n))
+    rows = [(i, prose(("en", "fr")[i % 2], 150 + i), ("en", "fr")[i % 2]) for i in range(40)]
+    rows += [(100, " | ".join(token() for _ in range(150)), "en"), (101, " ".join(token() for _ in range(2000)), "fr"), (102, prose("fr", 300), "en"), (103, " ".join(token() for _ in range(60)), "en")]
+    rows += [(104, prose("en", 60) + " " + " | ".join(token() for _ in range(140)), "en")]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.op7(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, (base_failed, kept) in got.items() if base_failed] == []
+    assert sorted(i for i, (_, kept) in got.items() if not kept) == [100, 101, 102, 104]  # 103 is too short to tell
+
+
 def test_packing_places_every_id_once(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
