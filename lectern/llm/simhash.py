@@ -240,19 +240,27 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: did, tag (hash of the text), fp (the fingerprint's bits as a signed integer), component.
+    """One row per input row: did, tag (hash of the text), fp (the fingerprint's bits as a signed integer), component, component_tag.
 
-    Fingerprints link at THRESHOLD or fewer differing bits; component is the smallest id reachable over links.
+    Fingerprints link at THRESHOLD or fewer differing bits; component is the smallest id reachable over links, component_tag the
+    smallest tag of the rows with that id. Nodes are fingerprints, so unlike texts under one id, or under none, are not joined by it.
     A text without words (null, empty, blank) has fingerprint zero and links like any other; a null id ranks last;
     repeated rows share their component; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(internal_id(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), text.alias("text"))
     prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, tag long, fp long"), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("did").alias("node")), "nodes")
-    labels = components(materialise(links(nodes), "links"))
-    where = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(where, "fp").select("did", "tag", "fp", "component")
+    nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first")), "nodes")
+    return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))))
+
+
+def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (did, tag, fp) with the smallest (did, tag) of their component; nodes (fp, first) hold each fingerprint's smallest."""
+    labels = components(materialise(edges, "links")).withColumnRenamed("component", "reached")
+    rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("reached", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    where = rooted.join(least, "root").select("fp", F.col("least.did").alias("component"), F.col("least.tag").alias("component_tag"))
+    return rows.join(where, "fp").select("did", "tag", "fp", "component", "component_tag")
 
 
 def op6(docs: DataFrame) -> DataFrame:

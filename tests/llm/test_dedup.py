@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from lectern.llm import byte_dedup, exact_dedup, simhash, substring_dedup
 
 LAST = 1 << 62
@@ -146,6 +147,20 @@ def test_simhash_components_as_by_brute_force(docs, rows, monkeypatch):
     assert collected(simhash.op6(docs), "doc_id", "fingerprint", "component_id") == want
 
 
+def test_unlike_texts_under_one_id_or_none_stay_apart(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(4)]
+    variants = lambda t: (" ".join(["new"] * n + t.split()[n:]) for n in range(1, 20))
+    near = lambda t: next(v for v in variants(t) if 0 < (fingerprint(v) ^ fingerprint(t)).bit_count() <= 4)
+    copy, other = near(texts[0]), near(texts[2])
+    assert np.bitwise_count(np.uint64(fingerprint(texts[1]) ^ fingerprint(texts[0]))) > 4
+    rows = [(None, texts[0]), (None, texts[1]), (5, copy), (7, texts[2]), (7, texts[3]), (6, other)]
+    docs = spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.op6(docs).collect()}
+    assert got == {f"{fingerprint(t):016x}": c for t, c in zip([*texts, copy, other], (5, None, 6, 7, 5, 6), strict=True)}
+    kept = corpus_pipeline.drop_near(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(None, texts[1]), (5, copy), (7, texts[3]), rows[5]}
+
+
 def test_every_close_pair_meets_at_a_home():
     rng = np.random.default_rng(3)
     for _ in range(200):
