@@ -29,6 +29,9 @@ from .common import external_id, internal_id, record_batches, slices
 #: Limits of a sequence; the id that ends a document; examples that wait in a task for a place.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, END, POOL = 1024, 64, 1024, 0, 1024
 
+#: The added token of byte_bpe_50k.json, which the ranks do not hold.
+SPECIAL = {"<|endoftext|>": 50256}
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -43,7 +46,7 @@ def encoding(path: str) -> tiktoken.Encoding:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 @dataclass
@@ -169,7 +172,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
     for rows, data, off in slices(batches, "text", 1 << 20):
         buf = data.tobytes()
         for did, a, b in zip(rows.column("did").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-            ids = np.append(encode(buf[a:b].decode("utf-8", "replace"), disallowed_special=()), END).astype("<u4")
+            ids = np.append(encode(buf[a:b].decode("utf-8", "replace"), allowed_special="all", disallowed_special=()), END).astype("<u4")
             texts[number] = [did, ids, len(ids)]
             packer.add(number, len(ids), len(ids) - 1)
             number += 1

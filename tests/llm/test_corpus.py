@@ -280,6 +280,23 @@ def test_packing_places_every_id_once(docs, rows):
             assert ids in want
 
 
+def test_the_added_token_is_one_id(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"end {mark} of text", mark, f"{mark}{mark}", f"  {mark}  \n {mark}\n\nx", f"a{mark}'s {mark}é", "<|endoftext| > <|endoftext|", f"<{mark}>", f"tab\t{mark}\t \tb 12"]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = defaultdict(dict)
+    for p in packing.pack_documents(docs).collect():
+        got[p["did"]].update(enumerate(p["ids"], p["start"]))
+    for i, t in enumerate(texts):
+        ids = reference.encode(t, add_special_tokens=False).ids
+        assert [got[i][k] for k in sorted(got[i])] == [*ids, packing.END]
+        assert ids.count(50256) == t.count(mark)
+
+
 def test_limits_hold_without_cutting():
     packer = packing.Packer((100, 4, 50), cut=False)
     sizes = [(37, 20), (60, 50), (10, 1), (10, 10), (99, 3), (5, 5), (5, 0), (41, 30)] * 5
