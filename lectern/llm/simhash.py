@@ -9,6 +9,9 @@ close in the block, the second has a copy at the home of the first: comparing ho
 A link is tested on all 64 bits. An anchor's task joins links at once into a spanning forest, so a group of n near
 copies gives at most n - 1 edges per anchor and never all pairs. Anchors with many fingerprints are split into tiles.
 Components come from alternating star contractions over edge tables; nothing is collected to the driver.
+
+That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, so
+near_duplicates() takes its candidates from bands of minima over the shingle sets instead, and tests each on the full sets.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, external_id, internal_id, materialise, record_batches, slices
+from .textscan import Ranges, byte_table, mix, words
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 #: (lowest bit, number of bits) of the blocks; each is searched with threshold THRESHOLD // len(BLOCKS).
@@ -31,9 +35,18 @@ CODE = 15
 #: Homes and copies of one tile.
 TILE = 4096
 
+#: near_duplicates(): words of a shingle, least similarity, bands and minima of a band. At 0.8 a pair shares no band once in 16,000.
+NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 32, 6
+#: Texts of a band's group are compared pairwise up to WHOLE_GROUP, beyond that with NEIGHBOURS others in the band's own order.
+WHOLE_GROUP, NEIGHBOURS = 64, 8
+
 _PRINT = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 _COPY = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_SKETCH = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SET = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -239,7 +252,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return table.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: did, tag (hash of the text), fp (the fingerprint's bits as a signed integer), component, component_tag.
 
     Fingerprints link at THRESHOLD or fewer differing bits; component is the smallest id reachable over links, component_tag the
@@ -254,6 +267,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))))
 
 
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """Of each text of a slice: the sorted hashes of its distinct shingles, A-Z lower-cased; a shorter text is one shingle."""
+    start, end, text = words(data, off)
+    own = Ranges(_LOWER[data], byte_table(1)).of(start, end)
+    windows = Ranges(own).windows(shingle)
+    bounds = np.searchsorted(text, np.arange(len(off)))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield np.unique(windows[a : b - shingle + 1] if b - a >= shingle else Ranges(own[a:b]).windows(b - a)[:1] if b > a else own[:0])
+
+
+@lru_cache(maxsize=1)
+def _minima() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = lambda: rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
+    return draw() | np.uint64(1), draw()
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key per band, of the minima of BAND_ROWS orders of the set."""
+    times, plus = _minima()
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for a in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[a : a + 1024, None] * times + plus).min(axis=0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, data, off in slices(batches, "text"):
+        prints, sizes, keys = [], [], []
+        for x in shingle_sets(data, off, shingle):
+            prints.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+            sizes.append(len(x))
+            keys.append(band_keys(x) if len(x) else x)
+        fp = np.array(prints, np.uint64).view(np.int64)
+        yield from record_batches(_SKETCH, {"did": rows.column("did"), "tag": rows.column("tag"), "fp": fp, "size": sizes, "bands": _lists(keys)}, 4096)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for rows, data, off in slices(batches, "text"):
+        yield from record_batches(_SET, {"fp": rows.column("fp"), "shingles": _lists(list(shingle_sets(data, off, shingle)))}, 256)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows in order of band key: pairs within a key whose sizes allow the similarity."""
+
+    def work(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        reach = np.where(count <= WHOLE_GROUP, WHOLE_GROUP, NEIGHBOURS)[group]
+        for d in range(1, min(WHOLE_GROUP, len(key))):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (reach[d:] >= d))
+            if not len(i) and d >= count.max():
+                break
+            fits = np.minimum(size[i], size[i + d]) >= similarity * np.maximum(size[i], size[i + d])
+            i = i[fits]
+            if len(i):
+                yield from record_batches(_EDGE, {"u": np.minimum(fp[i], fp[i + d]), "v": np.maximum(fp[i], fp[i + d])})
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [np.asarray(batch.column(c)) for c in ("key", "fp", "size")]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if len(held[0]) < 1 << 17:
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
+            yield from work(*[x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield from work(*held)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: did, tag (hash of the text), fp (hash of the shingle set), component, component_tag.
+
+    Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`; candidates share a band, and
+    every link is tested on the full sets. component is the smallest id reachable over links, component_tag the smallest tag
+    of the rows with that id. Texts without words are alike; a null id ranks last; an empty table gives no rows.
+    """
+    text, tag = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(F.col(text_col).cast("string"))
+    base = docs.select(internal_id(id_col).alias("did"), tag.alias("tag"), text.alias("text"))
+    rows = materialise(base.mapInArrow(lambda it: _sketches(it, shingle), "did long, tag long, fp long, size long, bands array<long>"), "sketches")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    banded = nodes.select("fp", "size", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", F.xxhash64("fp", "key"))
+    pairs = materialise(banded.mapInArrow(lambda it: _pairs(it, similarity), "u long, v long").filter("u <> v").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.tag").alias("tag"))
+    texts = base.join(wanted, "tag").select("fp", "text")
+    found = texts.mapInArrow(lambda it: _sets(it, shingle), "fp long, shingles array<long>").dropDuplicates(["fp"])
+    sets = materialise(found, "sets")
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", F.size("u_set").alias("m"), F.size("v_set").alias("n"), F.size(F.array_intersect("u_set", "v_set")).alias("shared"))
+    return _grouped(rows.select("did", "tag", "fp"), nodes, both.filter(F.col("shared") >= similarity * (F.col("m") + F.col("n") - F.col("shared"))).select("u", "v"))
+
+
 def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (did, tag, fp) with the smallest (did, tag) of their component; nodes (fp, first) hold each fingerprint's smallest."""
     labels = components(materialise(edges, "links")).withColumnRenamed("component", "reached")
@@ -264,6 +378,6 @@ def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select(
+    return fingerprint_groups(docs).select(
         external_id("did").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), external_id("component").alias("component_id")
     )

@@ -161,6 +161,29 @@ def test_unlike_texts_under_one_id_or_none_stay_apart(spark):
     assert {(r["doc_id"], r["text"]) for r in kept} == {(None, texts[1]), (5, copy), (7, texts[3]), rows[5]}
 
 
+def test_near_copies_of_the_pipeline_as_by_brute_force(spark, rows):
+    rng = np.random.default_rng(8)
+    texts = [t for _, t, *_ in rows]
+    for k in range(40):  # copies with a few words changed, on either side of the limit
+        w = [f"w{k}x{i}" for i in range(100)]
+        texts.append(" ".join(w))
+        for i in rng.choice(100, 1 + k % 4, replace=False):
+            w[i] = "new"
+        texts.append(" ".join(w))
+    ids = [*(d for d, *_ in rows), *range(1000, 1080)]
+    split = [words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {""} for w in split]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    links = [[j for j, b in enumerate(sets) if near(a, b)] for a in sets]
+    label = [rank(d) for d in ids]
+    while (new := [min(label[j] for j in x) for x in links]) != label:
+        label = new
+    table = spark.createDataFrame([(d, t) for d, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+    got = sorted((min(r["did"], LAST), min(r["component"], LAST)) for r in simhash.near_duplicates(table).collect())
+    assert got == sorted((rank(d), c) for d, c in zip(ids, label, strict=True))
+    assert sum(label[i] != ids[i] for i in range(len(rows), len(ids))) > 15
+
+
 def test_every_close_pair_meets_at_a_home():
     rng = np.random.default_rng(3)
     for _ in range(200):
