@@ -215,19 +215,24 @@ def main_text(page: str) -> str:
             mass[a] = mass.get(a, 0) + len(b.text)
     total = sum(len(b.text) for b in chosen)
     inner = 0
+    own: set[int] = set()
     marked = [a for a in mass if names[a] in CONTENT and mass[a] * 2 >= total]
     if marked:
         inner = max(marked, key=lambda a: (mass[a], names[a] == "article", a))
-    else:  # the innermost element with nine tenths of the content
+    else:  # the innermost element with nine tenths of the content; one that is a block itself is no article
+        leaves = {b.ancestors[-1] for b in found if b.ancestors}
         for a in sorted(mass):
-            if mass[a] * 10 >= total * 9:
+            if mass[a] * 10 >= total * 9 and a not in leaves:
                 inner = a
+        # what else was chosen belongs to it, as do headings and paragraphs beside it
+        beside = {b.ancestors[b.ancestors.index(inner) - 1] for b in chosen if inner in b.ancestors[1:]}
+        own = {id(b) for b in chosen} | {id(b) for b in found if len(b.ancestors) > 1 and b.ancestors[-2] in beside and re.fullmatch("h[1-6]|p", names[b.ancestors[-1]])}
     links: dict[str, list[int]] = {}
     for b in found:
         x = links.setdefault(b.path, [0, 0])
         x[0] += min(b.linked, len(b.text))
         x[1] += len(b.text)
-    keep = [b.text for b in found if (not inner or inner in b.ancestors) and links[b.path][0] * 2 <= links[b.path][1]]
+    keep = [b.text for b in found if (not inner or inner in b.ancestors or id(b) in own) and links[b.path][0] * 2 <= links[b.path][1]]
     return "\n".join(keep)
 
 

@@ -155,6 +155,15 @@ def test_the_article_is_extracted():
     ]
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<html><body>{}</body></html>", "<html><body><div id='a'>{}</div></body></html>"])
+def test_articles_of_plain_elements_are_whole(wrap):
+    long, short = "A sentence of the article, which is long. " * 24, "The last paragraph of it, which is a short one, ends here."
+    want = ["T", long.strip(), short]
+    assert extraction.main_text(wrap.format(f"<div><h1>T</h1><p>{long}</p><p>{short}</p></div>")).split("\n") == want
+    assert extraction.main_text(wrap.format(f"<div><h1>T</h1><div><p>{long}</p><p>{short}</p></div></div>")).split("\n") == want
+    assert extraction.main_text(wrap.format(f"<div><h1>T</h1><p>{short}</p><div><p>{long}</p><p>{long}</p></div></div>")).split("\n") == ["T", short, long.strip(), long.strip()]
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<p>", "</div></p>", "<!-- open", "<script>never closed", "a < b and c > d", "<a <b <c", "<p class='x", "&#xD800; &bogus; &#99999999;", "<div>" * 3000 + "deep"])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(extraction.main_text(page), str)
