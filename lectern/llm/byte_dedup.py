@@ -7,7 +7,8 @@ place travel as one run with the bytes around them. Within a group, further most
 bytes split the windows until they differ or the depth is reached; groups that are left are exactly the repeats.
 
 Runs with equal bytes need no passes against each other: all but the first are removed whole. Each task does so
-among its own texts before the exchange, so a hot passage arrives a few times, not once a copy.
+slice by slice among its own texts before the exchange, so a hot passage arrives a few times, not once a copy. Hashes only deal
+windows out: what is removed has been compared byte by byte.
 """
 
 from __future__ import annotations
@@ -19,24 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
-from .textscan import Ranges, byte_table, cover, mix, runs, sliding_min
+from .common import POSITION, byte_pieces, discard, external_id, internal_id, materialise, quoted, raw_bytes, record_batches, slices, text_tag
+from .textscan import Ranges, byte_table, flat, merged, mix, sliding_min, unequal
 
 #: Threshold depth and gram length in bytes; bytes a radix pass looks at; low bits that hold a place in a slice.
 WINDOW, GRAM, DIGIT, PLACE = 100, 32, 8, (1 << 30) - 1
 #: Windows that are sorted in memory at once, and owned places of a gram beyond which its windows are dealt out one by one.
 GROUP_WINDOWS, HOT_GRAM = 500_000, 20_000
 
-POSITION = (1 << 40) - 1
-
 _ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())])
 _RUN = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("bytes", pa.binary())])
 _FLAG = pa.schema([("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int64())])
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(internal_id(id_col).alias("did"), text_tag(text).alias("tag"), text.alias("text"))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return docs.select(internal_id(quoted(id_col)).alias("did"), text_tag(text).alias("tag"), text.alias("text"))
 
 
 def _byte_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +67,7 @@ def _byte_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams that each text owns, and in how many places."""
-    for rows, data, off in slices(batches, "text"):
+    for rows, data, off, _ in byte_pieces(batches, "text", WINDOW - 1):
         start, _, owned = _byte_windows(data, off)
         if not len(start):
             continue
@@ -83,16 +82,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """data[start : start + size] of each run as a binary array."""
-    ends = np.cumsum(size)
-    index = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[index]))])
+    """The runs' bytes as a binary array."""
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat(data, start, size)))])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs with a shared gram; those that are settled have no bytes and a place of their own as key."""
-    for rows, data, off in slices(batches, "text"):
+    for rows, data, off, base in byte_pieces(batches, "text", WINDOW - 1):
         values = np.unique(np.asarray(rows.column("shared").flatten()).view(np.uint64))
         if not len(values):
             continue
@@ -110,7 +107,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.concatenate([n[~burst], np.ones(len(at), n.dtype)])
         of = np.searchsorted(off, start, side="right") - 1
         did, tag = np.asarray(rows.column("did"))[of], np.asarray(rows.column("tag"))[of]
-        pos = start - off[of]
+        pos = start - off[of] + base
         whole = Ranges(data, byte_table(3)).of(start, start + n + WINDOW - 1)
         order = np.lexsort((pos, did, n, whole, owned))
         new = np.ones(len(order), bool)
@@ -119,6 +116,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         settled = np.zeros(len(order), bool)
         settled[order] = (did[order] > did[head]) | (did[order] == did[head]) & (pos[order] > pos[head])
+        first = np.empty(len(order), np.int64)
+        first[order] = head
+        gone = np.flatnonzero(settled)
+        settled[gone[unequal(data, start[gone], start[first[gone]], n[gone] + WINDOW - 1)]] = False
         key = np.where(settled, mix(did.view(np.uint64) * np.uint64(31) + pos.view(np.uint64)), owned)
         size = np.where(settled, 0, n + WINDOW - 1)
         for lo in range(0, len(start), 4096):
@@ -225,16 +226,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in slices(batches, "text"):
         buf = data.tobytes()
         out: dict[str, list] = {f.name: [] for f in _CUT}
-        for i, (did, tag) in enumerate(zip(rows.column("did").to_pylist(), rows.column("tag").to_pylist(), strict=True)):
-            text = buf[off[i] : off[i + 1]]
-            mine = [(x["pos"] & POSITION, x["len"]) for x in rows.column("flags")[i].as_py() or () if x["pos"] & ~POSITION == tag]
+        for i, did in enumerate(rows.column("did").to_pylist()):
+            text = kept = buf[off[i] : off[i + 1]]
+            flags = rows.column("flags")[i].as_py()
             spans: list[dict] = []
-            kept = text
-            if mine:
-                p = np.array(mine, np.int64)
-                mask = cover(p[:, 0], p[:, 1] + WINDOW - 1, len(text))
-                spans = [{"start": int(x), "end": int(y)} for x, y in zip(*runs(mask), strict=True)]
-                kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
+            if flags:
+                at = np.array([x["pos"] & POSITION for x in flags], np.int64)
+                a, b = merged(at, at + np.array([x["len"] for x in flags], np.int64) + WINDOW - 1)
+                spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
             for name, value in zip(out, (did, len(text), len(text) - len(kept), spans, kept), strict=True):
                 out[name].append(value)
         yield from record_batches(_CUT, out, 2048)
@@ -259,11 +259,14 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Every byte covered by a 100-byte string that also starts earlier (in a document with a smaller id, or in the same
     document at a smaller offset) is removed. A null text is empty; a null id ranks last; rows with the same id and text
-    count as one document and get the same result; an empty table gives no rows. What is left may not be valid UTF-8.
+    count as one document and get the same result; other texts under one id, which 33 bits of their hash tell apart, come in the order
+    of places. A text of more than a slice's 4 MB is scanned in overlapping pieces. An empty table gives no rows; names of
+    other columns don't matter. What is left may not be valid UTF-8.
     """
     flags = materialise(repeated_bytes(docs, id_col, text_col), "repeats", compression="zstd")
-    per_doc = flags.groupBy("did").agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
-    rows = _base(docs, id_col, text_col).join(per_doc, "did", "left")
+    tag = F.col("pos").bitwiseAND(F.lit(~POSITION)).alias("tag")
+    per_doc = flags.groupBy("did", tag).agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
+    rows = _base(docs, id_col, text_col).join(per_doc, ["did", "tag"], "left")
     return rows.mapInArrow(_remove, "did long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textscan import SPACE, words
+
 #: A null id ranks after every other id; inside an operator it is held as this value.
 NULL_ID = (1 << 63) - 1
 #: Raw text bytes that one vectorised step works on (a longer text is a step of its own).
@@ -68,9 +70,26 @@ def external_id(column: str | Column) -> Column:
     return F.when(c != F.lit(NULL_ID), c)
 
 
+#: The bits of a place in a text, which a string's greatest length bounds; a text_tag has the other 33.
+POSITION = (1 << 31) - 1
+
+
 def text_tag(text: Column) -> Column:
-    """23 bits of the text's hash, shifted over a 40-bit position; tells apart rows that share an id."""
-    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)), 40)
+    """33 bits of the text's hash, shifted over a position; tells apart texts that share an id."""
+    return F.shiftleft(F.xxhash64(text), 31)
+
+
+def quoted(name: str) -> str:
+    """A column's name as col() takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(columns: Sequence[str], name: str) -> str:
+    """A column name that does not clash."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +122,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             lo = hi
 
 
+def byte_pieces(batches: Iterator[pa.RecordBatch], text: str, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """slices(), with the place of the first byte. A longer text comes in pieces; `overlap` bytes of one start the next."""
+    for rows, data, off in slices(batches, text, limit):
+        for a in range(0, max(1, len(data) - overlap), limit) if rows.num_rows == 1 else (0,):
+            piece = data[a : a + limit + overlap] if rows.num_rows == 1 else data
+            yield rows, piece, np.array([0, len(piece)]) if rows.num_rows == 1 else off, a
+
+
+def word_pieces(batches: Iterator[pa.RecordBatch], text: str, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """slices(), with the number of the first word. A longer text comes in pieces of whole words; `overlap` words of one start the next."""
+    for rows, data, off in slices(batches, text, limit):
+        at, base, size = 0, 0, limit
+        while rows.num_rows == 1 and at + size < len(data):
+            end = at + size
+            while end < len(data) and not SPACE[data[end]]:
+                gap = np.flatnonzero(SPACE[data[end : end + 4096]])
+                end += int(gap[0]) if len(gap) else len(data[end : end + 4096])
+            piece = data[at:end]
+            start = words(piece, np.array([0, len(piece)]))[0]
+            if len(start) <= overlap:  # words too long for a piece of this size
+                size *= 2
+                continue
+            yield rows, piece, np.array([0, len(piece)]), base
+            base += len(start) - overlap
+            at, size = at + int(start[len(start) - overlap]), limit
+        yield rows, data[at:], off if rows.num_rows > 1 else np.array([0, len(data) - at]), base
+
+
 def record_batches(schema: pa.Schema, columns: dict, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Column arrays as batches of bounded length."""
     table = pa.table([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)

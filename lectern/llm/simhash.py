@@ -10,8 +10,12 @@ A link is tested on all 64 bits. An anchor's task joins links at once into a spa
 copies gives at most n - 1 edges per anchor and never all pairs. Anchors with many fingerprints are split into tiles.
 Components come from alternating star contractions over edge tables; nothing is collected to the driver.
 
-That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, so
-near_duplicates() takes its candidates from bands of minima over the shingle sets instead, and tests each on the full sets.
+That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, which no
+covering of 64 bits can tell from unlike texts. near_duplicates() therefore finds groups that may hold near copies by bands of
+minima over the shingle sets, and compares the full sets within each group: a task holds a bounded part of a group, joins links at once
+into a spanning forest, and so never makes pairs. Groups of several parts share anchors, members that are sent to every
+part, so parts that belong together are joined by them; the members that are still outside their group's largest component, the
+only ones that can have a link left, then go to every part.
 """
 
 from __future__ import annotations
@@ -22,29 +26,28 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, external_id, internal_id, materialise, record_batches, slices
-from .textscan import Ranges, byte_table, mix, words
+from .textscan import Ranges, mix, range_hashes, words
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 #: (lowest bit, number of bits) of the blocks; each is searched with threshold THRESHOLD // len(BLOCKS).
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE = 15
-#: Homes and copies of one tile.
-TILE = 4096
+#: Homes and copies of one tile; edges that a task of a round over the graph may have.
+TILE, ROUND_ROWS = 4096, 250_000
 
 #: near_duplicates(): words of a shingle, least similarity, bands and minima of a band. At 0.8 a pair shares no band once in 16,000.
 NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 32, 6
-#: Texts of a band's group are compared pairwise up to WHOLE_GROUP, beyond that with NEIGHBOURS others in the band's own order.
-WHOLE_GROUP, NEIGHBOURS = 64, 8
+#: Texts and bytes of shingles that one task compares at once (one longer text is held whole); anchors of a group of several parts.
+PART_ROWS, PART_BYTES, ANCHORS = 1024, 8 << 20, 64
 
 _PRINT = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 _COPY = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _SKETCH = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SET = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -124,34 +127,29 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from record_batches(_COPY, {"anchor": anchor, "home": home, "fp": part[row], "node": node[a : a + 4096][row]})
 
 
-def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.ndarray) -> tuple[list[int], list[int]]:
+def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between homes and copies of one tile.
 
-    Each home in turn takes the copies that it links to; what it shows to be connected is joined, so the
-    comparisons are done in full and the edges stay fewer than the fingerprints.
+    Each home is compared with every row; of the rows that it links to, one of each component that it is not in yet gives an
+    edge, and the components are joined. The comparisons are done in full and the edges stay fewer than the fingerprints.
     """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
+    nodes, place = np.unique(np.concatenate([h_node, c_node]), return_inverse=True)
+    h_at, c_at = place[: len(h_node)], place[len(h_node) :]
+    label = np.arange(len(nodes))
+    of = label[c_at]
     u, v = [], []
-    step = max(1, (1 << 20) // max(1, len(c_fp)))
-    for a in range(0, len(h_fp), step):
-        near = np.bitwise_count(h_fp[a : a + step, None] ^ c_fp[None, :]) <= THRESHOLD
-        i, j = np.nonzero(near)
-        x, y = h_node[a + i], c_node[j]
-        differ = x != y
-        for p, q in set(zip(x[differ].tolist(), y[differ].tolist(), strict=True)):
-            rp, rq = root(p), root(q)
-            if rp != rq:
-                parent[max(rp, rq)] = min(rp, rq)
-                u.append(p)
-                v.append(q)
-    return u, v
+    for i in range(len(h_fp)):
+        mine = label[h_at[i]]
+        hit = np.flatnonzero((np.bitwise_count(c_fp ^ h_fp[i]) <= THRESHOLD) & (of != mine))
+        if not len(hit):
+            continue
+        others, first = np.unique(of[hit], return_index=True)
+        u.append(np.full(len(others), h_node[i]))
+        v.append(c_node[hit[first]])
+        label[np.isin(label, others)] = mine
+        of = label[c_at]
+    z = np.zeros(0, np.int64)
+    return np.concatenate([z, *u]), np.concatenate([z, *v])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +161,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(key)))
         homes = np.add.reduceat(home.astype(np.int64), at)
-        u: list[int] = []
-        v: list[int] = []
+        u: list[np.ndarray] = []
+        v: list[np.ndarray] = []
         small = (homes > 0) & (size > 1) & (homes * size <= 1024)
         if small.any():  # every home against its tile's rows, all tiles at once
             tile = np.cumsum(new) - 1
@@ -174,16 +172,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = np.repeat(part, n)
                 right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[tile[part]], n)
                 hit = (np.bitwise_count(fp[left] ^ fp[right]) <= THRESHOLD) & (node[left] != node[right])
-                u += node[left[hit]].tolist()
-                v += node[right[hit]].tolist()
+                u.append(node[left[hit]])
+                v.append(node[right[hit]])
         for k in np.flatnonzero((homes > 0) & (size > 1) & ~small).tolist():
             s = slice(at[k], at[k] + size[k])
             mine = home[s]
             a, b = _forest(fp[s][mine], node[s][mine], fp[s], node[s])
-            u += a
-            v += b
+            u.append(a)
+            v.append(b)
         if u:
-            yield from record_batches(_EDGE, {"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+            yield from record_batches(_EDGE, {"u": np.concatenate(u), "v": np.concatenate(v)})
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -239,11 +237,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     before = state(table)
     while before[0]:
+        few = 1 + before[0] // ROUND_ROWS  # a round over few edges needs few tasks, and files
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_min_of(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before_table, table = table, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        following = hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        before_table, table = table, materialise(following.coalesce(few), label)
         discard(before_table)
         after = state(table)
         if after == before:
@@ -270,7 +270,7 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
     """Of each text of a slice: the sorted hashes of its distinct shingles, A-Z lower-cased; a shorter text is one shingle."""
     start, end, text = words(data, off)
-    own = Ranges(_LOWER[data], byte_table(1)).of(start, end)
+    own = range_hashes(_LOWER[data], start, end)
     windows = Ranges(own).windows(shingle)
     bounds = np.searchsorted(text, np.arange(len(off)))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -312,65 +312,134 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
         yield from record_batches(_SKETCH, {"did": rows.column("did"), "tag": rows.column("tag"), "fp": fp, "size": sizes, "bands": _lists(keys)}, 4096)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in slices(batches, "text"):
-        yield from record_batches(_SET, {"fp": rows.column("fp"), "shingles": _lists(list(shingle_sets(data, off, shingle)))}, 256)
+def spanning_links(sets: list[np.ndarray], similarity: float, queries: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join the same components as all links between a query and any set do.
 
+    A set in turn is compared with all others. Those of small components come first: once all that have not had
+    their turn are in one component, every link between two components has been seen from its other end.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    _, flat = np.unique(flat, return_inverse=True)
+    begin = np.cumsum(size) - size
+    filled = size > 0
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    label, waiting, everyone = np.arange(n), queries & filled, bool(queries.all())
+    links: list[tuple[int, int]] = []
+    while waiting.any():
+        open_ = np.flatnonzero(waiting)
+        if (label[open_ if everyone else slice(None)] == label[open_[0]]).all():
+            break
+        i = open_[np.argmin(np.bincount(label, minlength=n)[label[open_]])]
+        waiting[i] = False
+        own = flat[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        shared = np.zeros(n, np.int64)
+        shared[filled] = np.add.reduceat(mark[flat], begin[filled], dtype=np.int64)
+        mark[own] = False
+        hit = np.flatnonzero(filled & (label != label[i]) & (shared + 1e-9 >= similarity * (size + size[i] - shared)))
+        if len(hit):
+            others, first = np.unique(label[hit], return_index=True)
+            links += [(i, j) for j in hit[first].tolist()]
+            label[np.isin(label, others)] = label[i]
+    return links
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Texts in order of group, part, chunk and fingerprint: the links within each."""
+    held: list[tuple[int, bool, np.ndarray]] = []
+    place: tuple | None = None
+    u: list[int] = []
+    v: list[int] = []
+
+    def settle() -> None:
+        if len(held) > 1:
+            fp = [x[0] for x in held]
+            for i, j in spanning_links([x[2] for x in held], similarity, np.array([x[1] for x in held])):
+                u.append(fp[i])
+                v.append(fp[j])
+        held.clear()
 
-def _pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows in order of band key: pairs within a key whose sizes allow the similarity."""
+    for rows, data, off in slices(batches, "text"):
+        columns = [rows.column(c).to_pylist() for c in ("grp", "part", "chunk", "fp", "query")]
+        for grp, part, chunk, fp, query, found in zip(*columns, shingle_sets(data, off, shingle), strict=True):
+            if (grp, part, chunk) != place:
+                settle()
+                place = (grp, part, chunk)
+            if held and held[-1][0] == fp:  # the same set again: a repeated row, or a query in its own part
+                held[-1] = (fp, held[-1][1] or query, held[-1][2])
+            else:
+                held.append((fp, query, found))
+        if u:
+            yield from record_batches(_EDGE, {"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+            u.clear()
+            v.clear()
+    settle()
+    if u:
+        yield from record_batches(_EDGE, {"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    def work(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        reach = np.where(count <= WHOLE_GROUP, WHOLE_GROUP, NEIGHBOURS)[group]
-        for d in range(1, min(WHOLE_GROUP, len(key))):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (reach[d:] >= d))
-            if not len(i) and d >= count.max():
-                break
-            fits = np.minimum(size[i], size[i + d]) >= similarity * np.maximum(size[i], size[i + d])
-            i = i[fits]
-            if len(i):
-                yield from record_batches(_EDGE, {"u": np.minimum(fp[i], fp[i + d]), "v": np.maximum(fp[i], fp[i + d])})
 
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [np.asarray(batch.column(c)) for c in ("key", "fp", "size")]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if len(held[0]) < 1 << 17:
-            continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if cut:
-            yield from work(*[x[:cut] for x in held])
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield from work(*held)
+def _parts(rows: str, shingles: str) -> Column:
+    """How many parts so many texts with so many shingles are dealt into."""
+    return F.greatest(F.ceil(F.col(rows) / PART_ROWS), F.ceil(8 * F.col(shingles) / PART_BYTES), F.lit(1)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: did, tag (hash of the text), fp (hash of the shingle set), component, component_tag.
 
-    Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`; candidates share a band, and
-    every link is tested on the full sets. component is the smallest id reachable over links, component_tag the smallest tag
-    of the rows with that id. Texts without words are alike; a null id ranks last; an empty table gives no rows.
+    Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`. Texts that share a band, directly or
+    through others, are one group, and the links within a group are found on the full sets whatever its size: work grows with
+    its square only where it falls into many components. component is the smallest id reachable over links, component_tag the
+    smallest tag of the rows with that id. Texts without words are alike; A-Z are lower-cased; a null id ranks last; texts that share an id
+    stay apart; repeated rows share their component; an empty table gives no rows.
     """
     text, tag = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(F.col(text_col).cast("string"))
     base = docs.select(internal_id(id_col).alias("did"), tag.alias("tag"), text.alias("text"))
     rows = materialise(base.mapInArrow(lambda it: _sketches(it, shingle), "did long, tag long, fp long, size long, bands array<long>"), "sketches")
     nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    banded = nodes.select("fp", "size", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", F.xxhash64("fp", "key"))
-    pairs = materialise(banded.mapInArrow(lambda it: _pairs(it, similarity), "u long, v long").filter("u <> v").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.tag").alias("tag"))
-    texts = base.join(wanted, "tag").select("fp", "text")
-    found = texts.mapInArrow(lambda it: _sets(it, shingle), "fp long, shingles array<long>").dropDuplicates(["fp"])
-    sets = materialise(found, "sets")
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", F.size("u_set").alias("m"), F.size("v_set").alias("n"), F.size(F.array_intersect("u_set", "v_set")).alias("shared"))
-    return _grouped(rows.select("did", "tag", "fp"), nodes, both.filter(F.col("shared") >= similarity * (F.col("m") + F.col("n") - F.col("shared"))).select("u", "v"))
+
+    # one text of each band's group stands for it: as many edges as members, and sharing a band is transitive
+    banded = nodes.select("fp", F.explode("bands").alias("key"))
+    hubs = materialise(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs")
+    meeting = banded.join(hubs, "key").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    reached = materialise(components(meeting, "meetings"), "groups")
+    members = reached.select(F.col("node").alias("fp"), F.col("component").alias("grp")).unionByName(reached.select(F.col("component").alias("fp"), F.col("component").alias("grp")).distinct())
+    # written, so that the join below stands between two exchanges and a group of very many texts can be split
+    sized = materialise(members.join(nodes, "fp").select("fp", "grp", "size", "first.did", "first.tag"), "members")
+    load = sized.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("parts", _parts("n", "shingles"))
+    every = F.greatest(F.floor(F.col("n") / ANCHORS), F.lit(1))
+    anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), every) == 0)
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    placed = materialise(sized.join(load, "grp").select("fp", "grp", "did", "tag", "size", "parts", own.alias("part"), anchor.alias("anchor")), "places")
+
+    def links_of(sent: DataFrame) -> DataFrame:
+        texts = base.join(sent, ["did", "tag"]).select("grp", "part", "chunk", "fp", "query", "text")
+        dealt = texts.repartition("grp", "part", "chunk").sortWithinPartitions("grp", "part", "chunk", "fp")
+        return materialise(dealt.mapInArrow(lambda it: _resolve(it, shingle, similarity), "u long, v long"), "links")
+
+    everywhere = F.explode(F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
+    found = links_of(placed.select("fp", "grp", "did", "tag", everywhere.alias("part"), F.lit(0).alias("chunk"), F.lit(True).alias("query")))
+    wide = placed.filter("parts > 1")
+    if not wide.isEmpty():
+        labels = components(found, "labels")
+        labelled = wide.join(labels, wide["fp"] == labels["node"], "left").select(*wide.columns, F.coalesce("component", "fp").alias("label"))
+        labelled = materialise(labelled, "labelled")
+        count = labelled.groupBy("grp", "label").agg(F.count("*").alias("n"))
+        largest = count.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("x")).select("grp", F.col("x.label").alias("largest"))
+        rest = labelled.join(largest, "grp").filter("label <> largest").drop("label", "largest")
+        chunks = rest.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("grp", _parts("n", "shingles").alias("chunks"))
+        chunks = materialise(chunks, "chunks")
+        of_part = wide.join(chunks, "grp").select("fp", "grp", "did", "tag", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("query"))
+        asked = rest.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64(F.col("fp"), F.lit(2)), F.col("chunks")).cast("int"))
+        asked = asked.select("fp", "grp", "did", "tag", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", F.lit(True).alias("query"))
+        found = found.unionByName(links_of(of_part.unionByName(asked)))
+    return _grouped(rows.select("did", "tag", "fp"), nodes, found)
 
 
 def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (did, tag, fp) with the smallest (did, tag) of their component; nodes (fp, first) hold each fingerprint's smallest."""
-    labels = components(materialise(edges, "links")).withColumnRenamed("component", "reached")
+    labels = components(edges).withColumnRenamed("component", "reached")
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("reached", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     where = rooted.join(least, "root").select("fp", F.col("least.did").alias("component"), F.col("least.tag").alias("component_tag"))

@@ -11,7 +11,9 @@ Suffixes are cut at the threshold depth (50 words), the only depth that decides.
 
 Before step 2 each task settles the repeats among its own documents and hands on first occurrences only, so a
 passage that a third of the documents hold reaches the partition of its prefix a few times, not once a copy.
-Prefixes and windows are compared by range hashes of 64 + 96 bits.
+Words are compared by two independent 64-bit hashes, prefixes and windows by range hashes over them: 64 bits of the first for the
+prefix of 12 words, 32 + 32 bits for the next two levels, and 64 bits of the second for the whole window. The words themselves
+are not compared.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, external_id, internal_id, materialise, raw_bytes, record_batches, slices, text_tag
-from .textscan import Ranges, byte_table, cover, mix, runs, sliding_min, words
+from .common import POSITION, discard, external_id, internal_id, materialise, quoted, record_batches, slices, text_tag, word_pieces
+from .textscan import Ranges, merged, mix, range_hashes, sliding_min, words
 
 #: Depth in words of the nodes that count, of the partitioning prefix, and of the further branching levels.
 WINDOW, LEVELS = 50, (12, 24, 37, 50)
@@ -32,32 +34,29 @@ GRAM = 16
 #: Suffixes of one subtree that are held in memory at once.
 SUBTREE_ROWS = 200_000
 
-POSITION = (1 << 40) - 1
-
 _ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64())])
 _SUFFIX = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("more", pa.list_(pa.int64())), ("settled", pa.bool_())])
 _FLAG = pa.schema([("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int64())])
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(internal_id(id_col).alias("did"), text_tag(text).alias("tag"), text.alias("text"))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return docs.select(internal_id(quoted(id_col)).alias("did"), text_tag(text).alias("tag"), text.alias("text"))
 
 
-def _word_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Ranges, np.ndarray, np.ndarray]:
-    """Of a slice: text index and first word of each text, ranges over word hashes, window starts, owned grams."""
+def _word_windows(data: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, Ranges, np.ndarray, np.ndarray]:
+    """Of a slice: the words' places, text index and first word of each text, ranges over word hashes, window starts, owned grams."""
     start, end, text = words(data, off)
-    symbols = Ranges(data, byte_table(1)).of(start, end)
     first = np.searchsorted(text, np.arange(len(off)))
-    seq = Ranges(symbols)
+    seq = Ranges(range_hashes(data, start, end))
     owned = sliding_min(seq.windows(GRAM), WINDOW - GRAM + 1)
     at = np.flatnonzero(text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1]) if len(text) >= WINDOW else np.zeros(0, np.int64)
-    return text, first, seq, at, owned[at]
+    return (start, end), text, first, seq, at, owned[at]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in slices(batches, "text"):
-        text, _, _, at, owned = _word_windows(data, off)
+    for rows, data, off, _ in word_pieces(batches, "text", WINDOW - 1):
+        _, text, _, _, at, owned = _word_windows(data, off)
         if not len(at):
             continue
         fresh = np.ones(len(at), bool)
@@ -67,21 +66,21 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, off in slices(batches, "text"):
+    for rows, data, off, base in word_pieces(batches, "text", WINDOW - 1):
         shared = rows.column("shared")
         values = np.unique(np.asarray(shared.flatten()).view(np.uint64))
         if not len(values):
             continue
-        text, first, seq, at, owned = _word_windows(data, off)
+        places, text, first, seq, at, owned = _word_windows(data, off)
         at = at[values[np.minimum(np.searchsorted(values, owned), len(values) - 1)] == owned]
         if not len(at):
             continue
-        level = [seq.of(at + a, at + b) for a, b in zip((0, *LEVELS[:-1]), LEVELS, strict=True)]
+        level = [seq.of(at + a, at + b) for a, b in zip((0, *LEVELS[:-2]), LEVELS[:-1], strict=True)]
         k0 = level[0]
         k1 = (level[1] << np.uint64(32)) | (level[2] >> np.uint64(32))
-        k2 = level[3]
+        k2 = Ranges(range_hashes(data, *places, seed=1)).of(at, at + WINDOW)
         did, tag = np.asarray(rows.column("did"))[text[at]], np.asarray(rows.column("tag"))[text[at]]
-        pos = at - first[text[at]] + tag
+        pos = at - first[text[at]] + base + tag
         order = np.lexsort((did, k2, k1, k0))
         k0, k1, k2, did, pos = (x[order] for x in (k0, k1, k2, did, pos))
         new = np.ones(len(k0), bool)
@@ -200,16 +199,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in slices(batches, "text"):
         buf = data.tobytes()
         out: dict[str, list] = {f.name: [] for f in _CUT}
-        for i, (did, tag) in enumerate(zip(rows.column("did").to_pylist(), rows.column("tag").to_pylist(), strict=True)):
+        for i, did in enumerate(rows.column("did").to_pylist()):
             parts = buf[off[i] : off[i + 1]].split()
             flags = rows.column("flags")[i].as_py()
             spans: list[dict] = []
             kept, removed = parts, 0
-            mine = [(x["pos"] & POSITION, x["len"]) for x in flags or () if x["pos"] & ~POSITION == tag]
-            if mine:
-                p = np.array(mine, np.int64)
-                a, b = runs(cover(p[:, 0], p[:, 1] + WINDOW - 1, len(parts)))
-                spans = [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)]
+            if flags:
+                at = np.array([x["pos"] & POSITION for x in flags], np.int64)
+                a, b = merged(at, at + np.array([x["len"] for x in flags], np.int64) + WINDOW - 1)
+                spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 kept, last = [], 0
                 for s in spans:
                     kept += parts[last : s["start"]]
@@ -239,12 +237,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: did, n_words, n_removed, removed (word spans), kept_text.
 
     Every word covered by a 50-word window whose sequence also starts in a document with a smaller id is removed.
-    A null text has no words; a null id ranks last; rows with the same id and text count as one document and get
-    the same result; an empty table gives no rows.
+    A null or empty text has no words; a null id ranks last, and a window in several texts without id stays in all of them, as does
+    one in several texts under one id; rows with the same id and text count as one document and get the same result. Texts
+    under one id are told apart by 33 bits of their hash. A text of more than a slice's 4 MB is scanned in pieces of whole words, but cut
+    as a whole: memory follows the longest text's words. An empty table gives no rows; names of other columns don't matter.
     """
     flags = materialise(repeated_windows(docs, id_col, text_col), "repeats", compression="zstd")
-    per_doc = flags.groupBy("did").agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
-    rows = _base(docs, id_col, text_col).join(per_doc, "did", "left")
+    tag = F.col("pos").bitwiseAND(F.lit(~POSITION)).alias("tag")
+    per_doc = flags.groupBy("did", tag).agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
+    rows = _base(docs, id_col, text_col).join(per_doc, ["did", "tag"], "left")
     return rows.mapInArrow(_remove, "did long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
@@ -273,5 +274,3 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
        sha256(coalesce(body, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
-
-__all__ = ["OP1_SQL", "Subtree", "op1", "raw_bytes", "remove_repeats", "repeated_windows"]

@@ -1,7 +1,9 @@
 """Vectorised scans over concatenated UTF-8 texts: words, range hashes in O(1), sliding minima.
 
-A range hash is a polynomial hash modulo 2**64 over randomly tabulated symbols, read off prefix sums and
-finished with a 64-bit mixer, so any word, n-gram or window costs one subtraction whatever its length.
+A word (or line) is hashed eight bytes at a time through a 64-bit mixer. A range hash over such words, or over randomly tabulated
+bytes, is a polynomial hash modulo 2**64, read off prefix sums and finished with the mixer, so any n-gram or window costs one
+subtraction whatever its length. It is used for ranges of up to some hundred symbols only: sequences that repeat a pattern and its
+complement a thousand times can share a polynomial hash modulo a power of two, whatever the base.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -51,6 +54,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: By number of bytes: which bits of a lane belong to a range.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Longer ranges are hashed one by one.
+_LONG = 256
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), without algebraic structure; different seeds give independent hashes."""
+    n = end - start
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(n.astype(U) + U((seed * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    live = np.flatnonzero((n > 0) & (n <= _LONG))
+    at, left = start[live], n[live]
+    while len(live):
+        lane = lanes[at] & _LANE[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ lane)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
+
 class Ranges:
     """Hashes of symbol ranges [start, end) of one sequence."""
 
@@ -119,15 +145,32 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def cover(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the positions 0..n-1 that lie in any [start, start + length)."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.minimum(starts, n), 1)
-    np.add.at(edge, np.minimum(starts + lengths, n), -1)
-    return np.cumsum(edge[:n]) > 0
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the maximal true runs."""
-    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs (start, end) that the ranges cover together."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return start[at], reach[np.append(at[1:], len(start)) - 1] if len(at) else at
+
+
+def flat(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] of each range, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)]
+
+
+def unequal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pairs of ranges data[a : a + size], data[b : b + size] that differ."""
+    out = [np.zeros(0, np.int64)]
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 19), side="right")))
+        s = slice(lo, hi)
+        differ = flat(data, a[s], size[s]) != flat(data, b[s], size[s])
+        if differ.any():
+            out.append(np.unique(np.searchsorted(np.cumsum(size[s]), np.flatnonzero(differ), side="right")) + lo)
+        lo = hi
+    return np.concatenate(out)

@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import byte_dedup, exact_dedup, simhash, substring_dedup
@@ -18,6 +21,10 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def norm(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
@@ -161,6 +168,18 @@ def test_unlike_texts_under_one_id_or_none_stay_apart(spark):
     assert {(r["doc_id"], r["text"]) for r in kept} == {(None, texts[1]), (5, copy), (7, texts[3]), rows[5]}
 
 
+def brute_near(ids, texts):
+    """The component of every row: texts link at a similarity of 0.8 of their sets of five-word shingles."""
+    split = [words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {""} for w in split]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    links = [[j for j, b in enumerate(sets) if near(a, b)] for a in sets]
+    label = [rank(d) for d in ids]
+    while (new := [min(label[j] for j in x) for x in links]) != label:
+        label = new
+    return label
+
+
 def test_near_copies_of_the_pipeline_as_by_brute_force(spark, rows):
     rng = np.random.default_rng(8)
     texts = [t for _, t, *_ in rows]
@@ -171,19 +190,94 @@ def test_near_copies_of_the_pipeline_as_by_brute_force(spark, rows):
             w[i] = "new"
         texts.append(" ".join(w))
     ids = [*(d for d, *_ in rows), *range(1000, 1080)]
-    split = [words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
-    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {""} for w in split]
-    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
-    links = [[j for j, b in enumerate(sets) if near(a, b)] for a in sets]
-    label = [rank(d) for d in ids]
-    while (new := [min(label[j] for j in x) for x in links]) != label:
-        label = new
+    label = brute_near(ids, texts)
     table = spark.createDataFrame([(d, t) for d, t in zip(ids, texts, strict=True)], "doc_id long, text string")
     got = sorted((min(r["did"], LAST), min(r["component"], LAST)) for r in simhash.near_duplicates(table).collect())
     assert got == sorted((rank(d), c) for d, c in zip(ids, label, strict=True))
     assert sum(label[i] != ids[i] for i in range(len(rows), len(ids))) > 15
 
 
+def test_groups_of_several_parts_as_by_brute_force(spark, monkeypatch):
+    """Chains of near copies, so that no text is like all of its group, in parts of a few texts with one anchor or none."""
+    rng = random.Random(3)
+    texts = []
+    for g in range(6):
+        w = [f"g{g}x{i}" for i in range(60)]
+        for k in range(25):
+            texts.append(" ".join(w))
+            w[(k * 17 + g) % 60] = f"n{g}x{k}" if k % 9 else f"far{k}"
+            if k % 8 == 7:  # a step that is too far: the group falls into components
+                for i in rng.sample(range(60), 12):
+                    w[i] = f"m{g}x{k}x{i}"
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [[j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    label = list(range(len(texts)))
+    while (new := [min(label[j] for j in x) for x in links]) != label:
+        label = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 12 < len(set(label)) < 60
+    for rows, size, anchors in ((1024, 8 << 20, 64), (4, 8 << 20, 1), (3, 900, 1), (2, 8 << 20, 10**9)):
+        monkeypatch.setattr(simhash, "PART_ROWS", rows)
+        monkeypatch.setattr(simhash, "PART_BYTES", size)
+        monkeypatch.setattr(simhash, "ANCHORS", anchors)
+        got = {r["did"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(40)]
+        queries = np.ones(40, bool) if trial % 2 else rng.random(40) < 0.3
+        near = lambda a, b: len(a) and len(b) and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
+        every = [(i, j) for i in range(40) for j in range(40) if i != j and (queries[i] or queries[j]) and near(sets[i], sets[j])]
+        found = simhash.spanning_links(sets, 0.5, queries)
+        assert set(found) <= set(every)
+        assert joined(40, found) == joined(40, every)
+        assert len(found) < 40
+
+
+def joined(n, edges):
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in edges:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        fp = rng.integers(0, 1 << 64, 12, dtype=np.uint64).repeat(10)
+        for b in range(5):
+            fp = fp ^ (rng.integers(0, 2, len(fp)).astype(np.uint64) << rng.integers(0, 64, len(fp)).astype(np.uint64))
+        home = rng.random(len(fp)) < 0.5
+        node = np.arange(len(fp))
+        u, v = simhash._forest(fp[home], node[home], fp, node)
+        every = [(i, j) for i in np.flatnonzero(home) for j in node if i != j and (int(fp[i]) ^ int(fp[j])).bit_count() <= 4]
+        assert joined(len(fp), list(zip(u.tolist(), v.tolist(), strict=True))) == joined(len(fp), every)
+        assert len(u) < len(fp)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_periodic_words_are_told_apart(spark, n):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    b = a.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*around[:30], x, *around[30:]])) for k, x in enumerate((a, b, a))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 61}
+
+
+def test_texts_under_one_id_or_none(spark):
+    """Windows in several texts under one id are no later document's; each text gets its own flags."""
+    shared, other = [f"s{i}" for i in range(70)], [f"o{i}" for i in range(60)]
+    rows = [(1, " ".join(shared)), (None, " ".join(["x", *shared])), (None, " ".join([*other, "y"])), (None, " ".join([*other, "z"])), (7, " ".join(["p", "q", *shared])), (7, "nothing"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("did", F.lit(9)).withColumn("a.b", F.lit(9))
+    want = sorted([(1, 70, 0), (None, 71, 70), (None, 61, 0), (None, 61, 0), (7, 72, 70), (7, 1, 0), (None, 0, 0), (None, 0, 0)], key=str)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.op1(docs).collect()), key=str) == want
+
+
 def test_every_close_pair_meets_at_a_home():
     rng = np.random.default_rng(3)
     for _ in range(200):
