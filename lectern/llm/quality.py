@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, record_batches, slices
-from .textscan import SPACE, Ranges, byte_table, mix, words
+from .common import SLICE_BYTES, external_id, internal_id, materialise, quoted, record_batches, slices
+from .textscan import SPACE, Ranges, mix, range_hashes, unequal, words
 
 #: The most frequent function words of the languages that the word histogram covers.
 COMMON_WORDS = (
@@ -38,6 +38,8 @@ MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.3
 #: Limits lie in gaps between the distances of all documents of sf0.1: without any common word the histogram's distance is 0.34 to 0.352,
 #: another language's 0.333 to 0.461, prose reaches 0.3 only in parts of another language; the share's distance has none in 0.12 to 0.18.
 MIN_COMMON_WORDS, MAX_COMMON_DISTANCE, MAX_SHARE_DISTANCE = 100, 0.3, 0.15
+#: Documents of a language below which there is no reference: they would mostly be compared with themselves.
+MIN_REFERENCE_DOCS = 20
 
 _STATS = pa.schema(
     [(c, pa.int64()) for c in ("row", "tag", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
@@ -68,59 +70,113 @@ def _common_index() -> tuple[np.ndarray, np.ndarray]:
     encoded = [w.encode() for w in dict.fromkeys(COMMON_WORDS)]
     ends = np.cumsum([len(w) for w in encoded])
     data = np.frombuffer(b"".join(encoded), np.uint8)
-    hashes = Ranges(data, byte_table(1)).of(np.concatenate([[0], ends[:-1]]), ends)
+    hashes = range_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
     order = np.argsort(hashes)
     return hashes[order], order
 
 
-def _first_flags(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is the first with its key in its text, is one of several)."""
+def _groups(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is the first with its key in its text, is one of several, which is the first)."""
     both = mix(key + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first, group, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
     is_first = np.zeros(len(key), bool)
     is_first[first] = True
-    return is_first, count[group] > 1
+    return is_first, count[group] > 1, first[group]
+
+
+def _word_scan(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, text index, hash, common word's number) of every word; the number of other words comes after the last."""
+    if len(off) == 2 and len(data) > SLICE_BYTES:  # one long text, a piece at a time, cut at white space
+        parts, a = [], 0
+        while a < len(data):
+            b = min(a + SLICE_BYTES, len(data))
+            while b < len(data) and not SPACE[data[b]]:
+                gap = np.flatnonzero(SPACE[data[b : b + 4096]])
+                b += int(gap[0]) if len(gap) else len(data[b : b + 4096])
+            start, end, *others = _words_of(data[a:b], np.array([0, b - a]))
+            parts.append((start + a, end + a, *others))
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _words_of(data, off)
+
+
+def _words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    start, end, text = words(data, off)
+    index, number = _common_index()
+    hashes = range_hashes(_LOWER[data], start, end)
+    slot = np.minimum(np.searchsorted(index, hashes), len(index) - 1)
+    return start, end, text.astype(np.int32), range_hashes(data, start, end), np.where(index[slot] == hashes, number[slot], len(index)).astype(np.int16)
 
 
-def text_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of each text of a slice."""
+def _classes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Characters of each text by class."""
     n = len(off) - 1
-    start, end, text = words(data, off)
-    lower = _LOWER[data]
-    hashes = Ranges(lower, byte_table(1)).of(start, end)
-    exact = Ranges(data, byte_table(1))
+    if n == 1:
+        return sum(np.bincount(_CLASS[data[a : a + SLICE_BYTES]], minlength=CLASSES + 1) for a in range(0, max(1, len(data)), SLICE_BYTES))[None, :CLASSES]
     of_byte = np.repeat(np.arange(n), np.diff(off))
-    classes = np.bincount(of_byte * (CLASSES + 1) + _CLASS[data], minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
-    index, number = _common_index()
-    slot = np.minimum(np.searchsorted(index, hashes), len(index) - 1)
-    hit = index[slot] == hashes
-    width = len(index) + 1
+    return np.bincount(of_byte * (CLASSES + 1) + _CLASS[data], minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
+
+
+def _recount(text: bytes) -> tuple[int, int]:
+    """(repeated lines, words in repeated windows) of one text, by comparing them as they are."""
+    lines = [x for x in text.split(b"\n") if x.split()]
+    parts = text.split()
+    seen: dict[tuple, list[int]] = {}
+    for i in range(len(parts) - REPEAT_WINDOW + 1):
+        seen.setdefault(tuple(parts[i : i + REPEAT_WINDOW]), []).append(i)
+    return len(lines) - len(set(lines)), len({i + k for at in seen.values() if len(at) > 1 for i in at for k in range(REPEAT_WINDOW)})
+
+
+def text_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts of each text of a slice.
+
+    Lines and windows are found by hashes; what is found is compared byte by byte, and a text in which hashes were wrong is
+    counted once more without them.
+    """
+    n = len(off) - 1
+    start, end, text, own, common_number = _word_scan(data, off)
+    classes = _classes(data, off)
+    width = len(_common_index()[0]) + 1
     n_words = np.bincount(text, minlength=n)
-    common = np.bincount(text[hit] * width + number[slot[hit]], minlength=n * width).reshape(n, width)
-    common[:, -1] = n_words - common.sum(axis=1)
+    common = np.bincount(text.astype(np.int64) * width + common_number, minlength=n * width).reshape(n, width)
+    wrong: set[int] = set()
 
     repeat = np.zeros(n, np.int64)
     w = REPEAT_WINDOW
     if len(text) >= w:
-        own = exact.of(start, end)
         at = np.flatnonzero(text[w - 1 :] == text[: len(text) - w + 1])
-        again = _first_flags(text[at], Ranges(own).windows(w)[at])[1]
-        edge = np.zeros(len(text) + 1, np.int64)
-        np.add.at(edge, at[again], 1)
-        np.add.at(edge, at[again] + w, -1)
-        repeat = np.bincount(text[np.cumsum(edge[:-1]) > 0], minlength=n)
+        _, again, head = _groups(text[at], Ranges(own).windows(w)[at])
+        found, head = at[again], at[head[again]]
+        for k in range(w):  # the words of a window and of the first one like it
+            wrong.update(text[found[own[found + k] != own[head + k]]].tolist())
+        edge = np.zeros(len(text) + 1, np.int32)
+        np.add.at(edge, found, 1)
+        np.add.at(edge, found + w, -1)
+        inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        repeat = np.bincount(text[inside], minlength=n)
+        _, first, group = np.unique(own[inside], return_index=True, return_inverse=True)
+        alike, size = inside[first[group]], (end - start)[inside]
+        wrong.update(text[inside[size != (end - start)[alike]]].tolist())
+        wrong.update(text[inside[unequal(data, start[inside], start[alike], np.minimum(size, (end - start)[alike]))]].tolist())
 
     cut = np.flatnonzero(data == 10)
     bounds = np.unique(np.concatenate([off, cut, cut + 1]))
     a, b = bounds[:-1], bounds[1:]
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    keep = solid[b] > solid[a] if len(a) else np.zeros(0, bool)
+    keep = np.searchsorted(start, b) > np.searchsorted(start, a)
     a, b = a[keep], b[keep]
-    line_text = np.searchsorted(off, a, side="right") - 1
-    dup = np.bincount(line_text[~_first_flags(line_text, exact.of(a, b))[0]], minlength=n) if len(a) else np.zeros(n, np.int64)
+    dup = np.zeros(n, np.int64)
+    if len(a):
+        line_text = np.searchsorted(off, a, side="right") - 1
+        is_first, _, head = _groups(line_text, range_hashes(data, a, b))
+        later = np.flatnonzero(~is_first)
+        head, size = head[later], (b - a)[later]
+        wrong.update(line_text[later[size != (b - a)[head]]].tolist())
+        wrong.update(line_text[later[unequal(data, a[later], a[head], np.minimum(size, (b - a)[head]))]].tolist())
+        dup = np.bincount(line_text[later], minlength=n)
+    for i in wrong:
+        dup[i], repeat[i] = _recount(data[off[i] : off[i + 1]].tobytes())
     word_chars = classes.sum(axis=1) - classes[:, 3]
-    symbols = classes[:, 6]
-    return {"chars": classes.sum(axis=1), "n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "classes": classes, "common": common}
+    return {"chars": classes.sum(axis=1), "n_words": n_words, "word_chars": word_chars, "n_symbols": classes[:, 6], "n_dup_lines": dup, "n_repeat_words": repeat, "classes": classes, "common": common}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +204,11 @@ _DDL = "row long, tag long, chars long, n_words long, word_chars long, n_symbols
 
 
 def language_references(stats: DataFrame) -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): each language's shares, over all its documents."""
+    """(ref_lang, ref_classes, ref_common): each language's shares, over all its documents, if it has MIN_REFERENCE_DOCS."""
     widths = {"classes": CLASSES, "common": len(_common_index()[0]) + 1}
-    sums = stats.groupBy("lang").agg(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in widths.items() for i in range(n)], F.sum("chars").alias("chars"), F.sum("n_words").alias("n_words"))
+    sums = stats.groupBy("lang").agg(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in widths.items() for i in range(n)], F.sum("chars").alias("chars"), F.sum("n_words").alias("n_words"), F.count("*").alias("docs"))
     share = lambda c, total: F.array(*[F.coalesce(F.try_divide(F.col(f"{c}{i}").cast("double"), F.col(total).cast("double")), F.lit(0.0)) for i in range(widths[c])]).alias(f"ref_{c}")
-    return sums.select(F.col("lang").alias("ref_lang"), share("classes", "chars"), share("common", "n_words"))
+    return sums.filter(F.col("docs") >= MIN_REFERENCE_DOCS).select(F.col("lang").alias("ref_lang"), share("classes", "chars"), share("common", "n_words"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -160,10 +216,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     share_distance is of common words against all others, zero where a text has no smaller share of them than its language.
 
-    A null text has no words and fails the base rule; a null id is held last; a null language is a language of its own; repeated
-    rows are counted each time; an empty table gives no rows.
+    A null text has no words and fails the base rule; a null id is held last; a null language is a language of its own; documents of
+    a language with less than MIN_REFERENCE_DOCS are judged by the base rule alone; repeated rows are counted each time; a
+    text of more than a slice's 4 MB is scanned in pieces, which hold about ten bytes a byte of it; an empty table gives no rows;
+    names of other columns don't matter.
     """
-    base = docs.select(internal_id(id_col).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    base = docs.select(internal_id(quoted(id_col)).alias("row"), F.xxhash64(text).alias("tag"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     stats = materialise(base.mapInArrow(_scan, _DDL), "stats", compression="zstd")
     refs = materialise(language_references(stats), "references")
     other, ref_other = F.element_at("common", -1), F.element_at("ref_common", -1)
@@ -172,9 +231,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[c for c in stats.columns if c not in ("classes", "common")],
         divergence(F.col("classes"), F.col("chars"), F.col("ref_classes")).alias("class_distance"),
         divergence(F.col("common"), F.col("n_words"), F.col("ref_common")).alias("common_distance"),
-        F.when(other > F.col("n_words") * ref_other, split).otherwise(0.0).alias("share_distance"),
+        F.when(F.col("n_words") * ref_other >= other, 0.0).otherwise(split).alias("share_distance"),
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # without a reference distances are null, and so is the test
     far = ((F.col("chars") >= MIN_CLASS_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_COMMON_WORDS) & ((F.col("common_distance") > MAX_COMMON_DISTANCE) | (F.col("share_distance") > MAX_SHARE_DISTANCE))
     )
