@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise
+from .common import external_id, internal_id, materialise, quoted
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 17
 #: Ranges that the keys of a source are dealt into.
@@ -60,16 +60,23 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return stepped.select("source", "source_size", F.when(F.col("source_size") > 0, F.least("cap", F.col("w") * water)).otherwise(0.0).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
-    """One row per input row: did, tag (hash of the text), source, size, source_size, target, epochs, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, whole_rows: bool = False) -> DataFrame:
+    """One row per input row: did, tag (hash of the text), source, size, source_size, target, epochs, taken; with whole_rows also the
+    input row itself as the struct `row`.
 
-    A null text has size zero; a null source is a source of its own, the last; a null id ranks last; rows that share id and
-    text share their key and stand next to each other. An empty table gives no rows.
+    A null or empty text has size zero and is never taken; a null source is a source of its own, the last; a null id ranks last. Ties of the
+    key are broken by id, then by the text's hash. Repeated rows share their key and stand next to each other; each is a row
+    of its own with words of its own. A very long text counts like any other; at a budget's edge its first words are taken. An
+    empty table gives no rows. Names of other columns don't matter. `quality` is over the columns did, tag, source and size.
     """
-    text = F.col(text_col).cast("string")
-    sized = docs.select(internal_id(id_col).alias("did"), F.xxhash64(text).alias("tag"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), text.alias("__text"))
+    text = F.col(quoted(text_col)).cast("string")
+    sized = docs.select(
+        internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.col(quoted(source_col)).cast("string").alias("source"), n_words(text).alias("size"), text.alias("__text"),
+        *([F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")] if whole_rows else []),
+    )
     weight = quality if quality is not None else default_quality(F.col("size"), F.col("__text"))
-    keyed = sized.select("did", "tag", "source", "size", exponential_key(F.col("did"), weight).alias("key"))
+    also = ["row"] if whole_rows else []
+    keyed = sized.select("did", "tag", "source", "size", exponential_key(F.col("did"), weight).alias("key"), *also)
     rows = materialise(keyed.withColumn("range", F.floor(RANGES * (1 - F.exp(-F.col("key")))).cast("int")), "keys")
     targets = source_targets(rows)
 
@@ -85,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     plan = materialise(plan, "plan")
     dealt = rows.join(plan, same("source", "t_source"))
-    out = ["did", "tag", "source", "size", "source_size", "target", "epochs"]
+    out = ["did", "tag", "source", "size", "source_size", "target", "epochs", *also]
     whole = dealt.filter(F.col("range") != F.col("stop")).select(*out, F.when(F.col("range") < F.col("stop"), F.col("size")).otherwise(0).alias("part"))
     order = Window.partitionBy("source").orderBy("key", "did", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.col("before") + F.sum("size").over(order) - F.col("size")
@@ -94,15 +101,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: a row per whole copy, and one with the first words where a document is taken in part."""
-    plan = mix(docs, id_col, text_col, source_col).filter("taken > 0").select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).distinct()
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumn("__id", internal_id(id_col)).withColumn("__text_tag", F.xxhash64(text)).join(plan, (F.col("__id") == F.col("__did")) & (F.col("__text_tag") == F.col("__tag")))
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    left = F.col("__taken") - F.col("__copy") * F.col("__size")
+    """docs as the mix takes them: a row per whole copy, and one with the first words where a document is taken in part.
+
+    The words that come out are those that mix() takes, row by row: rows travel with their place in the mix, so repeated
+    rows, null ids and ties need no join. A document without words is not taken. Columns stay as they were, whatever their
+    names; all but the text of a part are copied. An empty table gives no rows.
+    """
+    taken = mix(docs, id_col, text_col, source_col, whole_rows=True).filter("taken > 0").select("row", "size", "taken")
+    spread = taken.select("row", "size", "taken", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("copy"))
+    text = F.col("row").getField(text_col).cast("string")
+    left = F.col("taken") - F.col("copy") * F.col("size")
     first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    spread = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return spread.withColumn(text_col, F.when(left < F.col("__size"), first_words).otherwise(text)).select(*docs.columns)
+    return spread.select(*[(F.when(left < F.col("size"), first_words).otherwise(text) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
