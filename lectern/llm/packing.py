@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, record_batches, slices
+from .common import external_id, internal_id, quoted, record_batches, slices
 
 #: Limits of a sequence; the id that ends a document; examples that wait in a task for a place.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, END, POOL = 1024, 64, 1024, 0, 1024
@@ -51,12 +51,20 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 @dataclass
 class Item:
-    """Ids [start, start + length) of an example; `loss` of them bear loss."""
+    """Ids [start, start + length) of an example whose ids from loss_from on bear loss."""
 
     key: int
     start: int
     length: int
-    loss: int
+    loss_from: int
+
+    @property
+    def loss(self) -> int:
+        return max(0, self.start + self.length - max(self.start, self.loss_from))
+
+    def cut(self, size: int) -> tuple[Item, Item]:
+        """The first `size` ids, and the others."""
+        return Item(self.key, self.start, size, self.loss_from), Item(self.key, self.start + size, self.length - size, self.loss_from)
 
 
 @dataclass
@@ -67,15 +75,24 @@ class Packer:
     bins: list[list[Item]] = field(default_factory=list)
 
     def add(self, key: int, length: int, loss: int) -> None:
-        """A new example. Where cutting is allowed, `loss` is taken to be spread over the example from its start."""
-        most = self.limits[0]
-        if not self.cut and (length > most or loss > self.limits[2]):
+        """A new example; its last `loss` ids bear loss. Where cutting is allowed, what is longer than a limit is cut to it."""
+        rest = Item(key, 0, length, length - loss)
+        if not self.cut and (length > self.limits[0] or loss > self.limits[2]):
             raise ValueError(f"an example of {length} tokens does not fit and may not be cut")
-        start = 0
-        while self.cut and length - start > most and self.limits[2] >= most:
-            self.bins.append([Item(key, start, most, max(0, min(most, loss - start)))])
-            start += most
-        self.items.append(Item(key, start, length - start, max(0, loss - start) if start else loss))
+        while (most := self.fits(rest)) < rest.length:
+            head, rest = rest.cut(most)
+            if most == self.limits[0]:
+                self.bins.append([head])
+            else:
+                self._wait(head)
+        self._wait(rest)
+
+    def fits(self, x: Item) -> int:
+        """How many of the first ids of an example one bin can hold."""
+        return min(x.length, self.limits[0], max(0, x.loss_from - x.start) + self.limits[2])
+
+    def _wait(self, x: Item) -> None:
+        self.items.append(x)
         if len(self.items) >= POOL:
             self.pack(POOL // 2)
 
@@ -117,8 +134,8 @@ class Packer:
         x = self.items[at]
         if x.length <= room:
             return
-        head = Item(x.key, x.start, room, min(room, x.loss))
-        self.items[at] = tail = Item(x.key, x.start + room, x.length - room, x.loss - head.loss)
+        head, tail = x.cut(room)
+        self.items[at] = tail
         vectors[at] = np.array((tail.length, 1, tail.loss)) / limits
         chosen.append(head)
 
@@ -130,9 +147,8 @@ class Packer:
         while over > 0:
             x = chosen.pop()
             if x.length > over:
-                head = Item(x.key, x.start, x.length - over, min(x.length - over, x.loss))
+                head, x = x.cut(x.length - over)
                 chosen.append(head)
-                x = Item(x.key, x.start + head.length, over, x.loss - head.loss)
             back.append(x)
             over -= x.length
         return back
@@ -143,12 +159,15 @@ _PIECE = pa.schema(
 )
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool, limits: tuple[int, int, int], cut: bool) -> Iterator[pa.RecordBatch]:
     encode = encoding(path).encode_to_numpy
-    packer = Packer()
+    packer = Packer(limits, cut)
     texts: dict[int, list] = {}  # of documents with pieces that wait: id, ids, ids not yet placed
     number, sequence = 0, TaskContext.get().partitionId() << 32
 
+    def ids_of(text: bytes) -> np.ndarray:
+        return encode(text.decode("utf-8", "replace"), allowed_special="all", disallowed_special=())
+
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal sequence
         out: dict[str, list] = {f.name: [] for f in _PIECE}
@@ -171,10 +190,16 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
 
     for rows, data, off in slices(batches, "text", 1 << 20):
         buf = data.tobytes()
-        for did, a, b in zip(rows.column("did").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-            ids = np.append(encode(buf[a:b].decode("utf-8", "replace"), allowed_special="all", disallowed_special=()), END).astype("<u4")
+        prompts = rows.column("prompt").to_pylist()
+        for did, prompt, a, b in zip(rows.column("did").to_pylist(), prompts, off[:-1].tolist(), off[1:].tolist(), strict=True):
+            ids = np.append(ids_of(buf[a:b]), END).astype("<u4")
+            loss = len(ids) - (prompt is None)
+            if prompt is not None:
+                ids = np.concatenate([ids_of(prompt.encode()), ids])
+            packer.cut = cut or len(ids) > limits[0] or loss > limits[2]
             texts[number] = [did, ids, len(ids)]
-            packer.add(number, len(ids), len(ids) - 1)
+            packer.add(number, len(ids), loss)
+            packer.cut = cut
             number += 1
             if len(packer.bins) >= 256:
                 yield from flush()
@@ -183,17 +208,26 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
     yield from flush()
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True,
+    prompt_col: str | None = None, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS), cut: bool = True,
+) -> DataFrame:
     """One row per piece: did, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    A document is its ids and the id END; every id lies in exactly one piece. Sequences hold at most MAX_TOKENS ids in at most
-    MAX_SEGMENTS pieces and have a power of two as length, so none needs padding. A null text is empty: one id. A null id
-    is kept; repeated rows are packed each on their own; an empty table gives no rows.
+    A document is its ids and the id END; all but its first id bear loss. With prompt_col an example is the prompt's ids, the text's
+    and END, and only the latter two bear loss. Every id lies in exactly one piece, and pieces of a sequence keep all three of
+    `limits`: tokens, pieces, ids that bear loss. With `cut` sequences have a power of two as length, so none needs padding;
+    without, examples stay whole, but for those that are beyond a limit alone.
+
+    A null text is empty: one id; a null prompt is none. A null id is kept; repeated rows are packed each on their own; of examples
+    with the same dot product the one that waits longest goes first; a very long text is held whole with its ids; an empty table
+    gives no rows; names of other columns don't matter.
     """
     path = path or vocabulary_path()
-    base = docs.select(internal_id(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prompt = F.col(quoted(prompt_col)).cast("string") if prompt_col else F.lit(None).cast("string")
+    base = docs.select(internal_id(quoted(id_col)).alias("did"), prompt.alias("prompt"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     ddl = "did long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    return base.mapInArrow(lambda it: _pack(it, path, with_ids), ddl)
+    return base.mapInArrow(lambda it: _pack(it, path, with_ids, limits, cut), ddl)
 
 
 def op8(docs: DataFrame) -> DataFrame:
