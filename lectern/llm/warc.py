@@ -1,11 +1,14 @@
 """WARC archives and their capture index.
 
-Pages are written as WARC/1.1 records through Spark's own text writer (records end in two line breaks, so those are the line
-separator), which keeps task commits atomic and works on any store. Equal payloads are stored once, as the response with the
-smallest page id; the others are revisits that refer to it. Reading parses records by their stated length and checks every digest.
+Pages are written as WARC/1.1 records, a gzip member each, through Spark's own text writer, which keeps task commits atomic and works on
+any store: the last byte of a member is the top byte of its length, zero for less than 16 MB, so a line is a member without
+that byte, and the line separator is the zero. A task begins another archive once one has ARCHIVE_BYTES. Equal payloads are stored
+once, as the response with the smallest page id; the others are revisits that refer to it. Reading inflates one record after
+the other, parses it by its stated length and checks its digest; offset and length of a capture are those of its members in the file.
 
 The index is merged externally: each archive gives a run of captures sorted by URL key and timestamp, runs are dealt into key
-ranges, and in each range a loser tree merges the runs' parts. Ranges in order hold the capture histories in global order.
+ranges of about RANGE_ROWS captures, and in each range a loser tree merges the runs' parts. Ranges in order hold the capture
+histories in global order. Memory follows the longest archive and range, which the two bounds keep from growing with the table.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, record_batches, scratch_dir
+from .common import materialise, quoted, record_batches, scratch_dir
 
-#: Payloads of at least so many bytes are stored once; records of one archive file; seconds since 1970 of page 0's capture.
-MIN_REVISIT_BYTES, RECORDS_PER_FILE, EPOCH = 0, 20_000, 1_700_000_000
+#: Payloads of at least so many bytes are stored once; bytes after which an archive is closed; captures of a key range; seconds since
+#: 1970 of page 0's capture.
+MIN_REVISIT_BYTES, ARCHIVE_BYTES, RANGE_ROWS, EPOCH = 0, 16 << 20, 100_000, 1_700_000_000
 
 _END = "\r\n\r\n"
+#: The most bytes of one gzip member whose length has a zero as its top byte.
+_MEMBER = (1 << 24) - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:lectern:page:"
 
@@ -49,6 +55,7 @@ def base32(sha1_hex: Column) -> Column:
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, url, html, n, digest, refers_to): refers_to is null for responses."""
+    id_col, url_col, html_col = quoted(id_col), quoted(url_col), quoted(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("n"), F.sha1("html").alias("sha1"), F.unhex(F.sha2("html", 256)).alias("sha2"))
     same = rows.groupBy("sha1", "sha2", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
@@ -80,12 +87,46 @@ def record_text(page_id: Column, url: Column, html: Column, n: Column, digest: C
     return F.concat(head, F.lit(_END), http, F.when(revisit, "").otherwise(html))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> str:
-    """Write gzip-compressed archives to a folder: one record per row. A null payload is empty; a null URL has no target field."""
+def gzip_members(record: bytes) -> bytes:
+    """A record as a gzip member, or several if it is very long; the last byte is zero."""
+    out = []
+    for a in range(0, max(1, len(record)), _MEMBER):
+        engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [engine.compress(record[a : a + _MEMBER]), engine.flush()]
+    return b"".join(out)
+
+
+_LINE = pa.schema([("roll", pa.int32()), ("line", pa.binary())])
+
+
+def _lines(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Records as lines (members without their last byte), and the number of the archive that each goes to."""
+    roll = size = held = 0
+    rolls: list[int] = []
+    lines: list[bytes] = []
+    for batch in batches:
+        for record in batch.column(0):
+            line = gzip_members(record.as_py().encode() + _END.encode())[:-1]
+            if size and size + len(line) >= most:
+                roll, size = roll + 1, 0
+            size += len(line) + 1
+            held += len(line)
+            rolls.append(roll)
+            lines.append(line)
+            if held >= 1 << 22:
+                yield from record_batches(_LINE, {"roll": rolls, "line": lines}, 4096)
+                rolls, lines, held = [], [], 0
+    if lines:
+        yield from record_batches(_LINE, {"roll": rolls, "line": lines}, 4096)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Write archives to a folder: one record per row. A null payload is empty; a null URL has no target field."""
     rows = with_revisits(pages, id_col, url_col, html_col, min_bytes)
     record = record_text(*(F.col(c) for c in ("page_id", "url", "html", "n", "digest", "refers_to")))
-    out = rows.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    out.text(path)
+    lines = rows.select(record.alias("value")).mapInArrow(lambda it: _lines(it, archive_bytes), "roll int, line binary")
+    # bytes cast to a string are written as they are
+    lines.select("roll", F.col("line").cast("string").alias("value")).write.partitionBy("roll").option("lineSep", "\0").text(path)
     return path
 
 
@@ -107,27 +148,29 @@ class _Inflate:
     """Reads of a gzip archive in order, a bounded piece at a time."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.place = data, 0, bytearray(), 0
+        self.data, self.at, self.held = memoryview(data), 0, bytearray()
         self.engine = zlib.decompressobj(31)
+        self.member = 0  # where the member begins that is being read
 
     def _more(self) -> bool:
-        while self.at < len(self.data) or self.engine.unconsumed_tail or self.engine.unused_data:
+        """Hold more bytes, unless the archive ends."""
+        while True:
             if self.engine.eof:
-                rest = self.engine.unused_data
-                self.engine = zlib.decompressobj(31)
-                if not rest and self.at >= len(self.data):
-                    return False
-                piece = rest
-            else:
-                piece = self.engine.unconsumed_tail
-            if not piece:
-                piece = self.data[self.at : self.at + (1 << 18)]
-                self.at += len(piece)
+                self.engine, self.member = zlib.decompressobj(31), self.at
+            piece = self.data[self.at : self.at + (1 << 16)]
             out = self.engine.decompress(piece, 1 << 20)
+            self.at += len(piece) - len(self.engine.unused_data if self.engine.eof else self.engine.unconsumed_tail)
             if out:
                 self.held += out
                 return True
-        return False
+            if self.at == len(self.data):
+                return False
+
+    def place(self) -> int:
+        """Where a reader has to begin to get what comes next: the member that holds it."""
+        if not self.held and not self.engine.eof:  # a member's last bytes give nothing
+            self._more()
+        return self.member if self.held else self.at
 
     def until(self, mark: bytes) -> bytes | None:
         start = 0
@@ -143,7 +186,6 @@ class _Inflate:
                 raise ValueError("an archive ends within a record")
         out = bytes(self.held[:n])
         del self.held[:n]
-        self.place += n
         return out
 
 
@@ -156,7 +198,7 @@ def parse_archive(name: str, data: bytes) -> list[tuple]:
     """The captures of one archive, sorted by URL key, timestamp and page id. Raises on a digest that does not fit."""
     source, out = _Inflate(data), []
     while True:
-        offset = source.place
+        offset = source.place()
         head = source.until(_END.encode())
         if head is None:
             break
@@ -174,7 +216,7 @@ def parse_archive(name: str, data: bytes) -> list[tuple]:
         url = fields.get("WARC-Target-URI")
         refers = _number(fields["WARC-Refers-To"]) if kind == "revisit" else None
         stamp = re.sub(r"\D", "", fields["WARC-Date"])
-        out.append((_safe_key(url or ""), stamp, _number(fields["WARC-Record-ID"]), url, kind, refers, size, digest, name, offset, source.place - offset))
+        out.append((_safe_key(url or ""), stamp, _number(fields["WARC-Record-ID"]), url, kind, refers, size, digest, name, offset, (end if (end := source.place()) > offset else source.at) - offset))
     out.sort(key=_order)
     return out
 
@@ -186,7 +228,7 @@ def _order(row: Sequence) -> tuple:
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            name = batch.column("path")[i].as_py().rpartition("/")[2]
+            name = "/".join(batch.column("path")[i].as_py().split("/")[-2:])
             rows = parse_archive(name, batch.column("content")[i].as_py())
             for a in range(0, len(rows), 8192):
                 yield from record_batches(_CAPTURE, dict(zip(_CAPTURE.names, zip(*rows[a : a + 8192], strict=True), strict=True)))
@@ -236,7 +278,7 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range: the archives' parts, each in order, merged."""
+    """One key range, of RANGE_ROWS captures or so: the archives' parts, each in order, merged."""
     runs: dict[str, list[list[tuple]]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -254,14 +296,16 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of a folder of archives, range by range in order of URL key, timestamp and page id."""
     archives = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content")
     runs = materialise(archives.mapInArrow(_captures, CAPTURE_DDL), "captures", compression="zstd")
-    return runs.repartitionByRange("urlkey", "timestamp", "page_id").mapInArrow(_merge, CAPTURE_DDL)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").mapInArrow(_merge, CAPTURE_DDL)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
     """Write the pages, read the archives back, and return their capture index.
 
     One row per input row. A null payload is empty, a null URL stays null. Of rows with equal payloads, those with the smallest page
-    id are responses (several if the id repeats) and others are revisits; a null id ranks last. An empty table gives no rows.
+    id are responses (several if the id repeats) and others are revisits; a null id ranks last. A very long page is a record of
+    several members, and may be an archive by itself. An empty table gives no rows; names of other columns don't matter.
     """
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
