@@ -1,11 +1,13 @@
 """Main-text extraction by tag-path ratios.
 
-A page is cut into text blocks, each with its root-to-leaf path of block elements (with their class and id). Text length,
-punctuation and linked text are aggregated per path; the ratios of characters and of punctuation to tags are smoothed
-over the blocks in page order and fused into one score; paths above the page's threshold hold content. The element
-that holds most of the content is the article; short blocks in it (headings, list items, one-word
-paragraphs) belong to it unless their path is made of links. Elements whose name or class says that they are furniture
-(menus, forms, adverts, comments and the like) never count.
+A page is cut into text blocks, each with its root-to-leaf path of block elements (with their class and id). Text length without links
+and punctuation are aggregated per path; the ratios of both to the path's tags are smoothed over the blocks in page order and
+fused into one score per path. What elements say about themselves is part of the score: article and main raise it, class words of
+furniture (menus, adverts, comments and the like) lower it. Paths above a share of the page's mean score, weighted by length, are
+content. Short text elements (headings, list items, one-word paragraphs) are read with the element that holds them: they
+are content if the paths below that element are.
+
+Elements that are never part of an article by their name (nav, footer, form, script and the like) are not read at all.
 """
 
 from __future__ import annotations
@@ -19,32 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batches
+from .common import quoted, record_batches
 
 #: Elements by role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATHS = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+INLINE = MATHS | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("head nav footer aside form button select option dialog menu iframe object canvas audio video map".split())
 CONTENT = frozenset("article main".split())
-#: Words of a class, id or role that mark furniture.
+#: Text elements, and the structure between them and the element that holds them.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption pre blockquote address summary xmp".split())
+STRUCTURE = frozenset("ul ol dl table thead tbody tfoot tr td th li dd blockquote figure details hgroup header picture".split()) | TEXT
+#: Words of a class, id or role that mark furniture wherever it stands, and those that do so outside an article.
 FURNITURE_WORDS = frozenset(
-    "ad ads adbox advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar skip sidebar side aside rail widget widgets "
-    "header masthead footer foot copyright legal disclaimer share sharing social follow related recommended recommendations more trending popular "
+    "ad ads adbox advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar skip sidebar widget widgets "
+    "masthead footer share sharing social related recommended recommendations trending popular "
     "comment comments commentlist disqus respond reply replies discussion newsletter subscribe subscription signup login search form paywall hidden "
-    "complementary contentinfo tags taglist".split()
+    "complementary contentinfo taglist".split()
 )
-#: Beginnings of such words, for names without separators (sidebarLeft, commentBox); words that say the opposite; words of reader comments.
+OUTER_WORDS = frozenset("notice notices alert side aside rail header foot copyright legal disclaimer follow more tags".split())
+#: Beginnings of such words, for names without separators (sidebarLeft, commentBox); words that say the opposite.
 FURNITURE_STEMS = ("sidebar", "comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "navbar", "navigation", "footer", "disqus", "popup", "masthead", "sharing", "pagination")
 NEGATIONS = frozenset("has with no without not".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: What an article or main element, and a class word of furniture, multiply a path's score by; the share of the mean score that content has.
+ARTICLE, MARKED, SHARE = 10.0, 0.001, 0.3
 #: Elements that end an open element of the same kind.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl div section article main body blockquote td th li".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^<>\"'])*+(?:>|[^<>]*+>))",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|annotation|annotation-xml|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^<>\"'])*+(?:>|[^<>]*+>))((?<=<xmp>).*?(?=</xmp\s*>|\Z))?",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -53,49 +62,62 @@ _DIGITS, _SEPARATORS = re.compile(r"[0-9]+"), re.compile(r"[-_:]+")
 
 
 class Block:
-    __slots__ = ("path", "ancestors", "text", "linked", "tags", "marks", "suspect")
+    """A text with its path, the elements around it, the element that holds it, and what those say about it."""
 
-    def __init__(self, path: str, ancestors: tuple[int, ...], text: str, linked: int, tags: int, suspect: int):
-        self.path, self.ancestors, self.text, self.linked, self.tags, self.suspect = path, ancestors, text, linked, max(1, tags), suspect
+    __slots__ = ("path", "ancestors", "holder", "text", "linked", "tags", "marks", "prior", "inside")
+
+    def __init__(self, path: str, ancestors: tuple[int, ...], holder: int, text: str, linked: int, tags: int, prior: float, inside: bool):
+        self.path, self.ancestors, self.holder, self.text, self.linked, self.tags = path, ancestors, holder, text, min(linked, len(text)), max(1, tags)
+        self.prior, self.inside = prior, inside
         self.marks = len(_MARKS.findall(text))
 
 
-#: What an element is: furniture by its name, by its class, reader comments, or neither.
-_PLAIN, _BY_CLASS, _COMMENTS, _BY_NAME = 0, 1, 2, 3
+class Element:
+    """An open element: `unread` if its text is never part of an article, `prior` what it and those around it multiply scores by."""
+
+    __slots__ = ("name", "path", "number", "unread", "prior", "inside")
+
+    def __init__(self, name: str, path: str, number: int, unread: bool, prior: float, inside: bool):
+        self.name, self.path, self.number, self.unread, self.prior, self.inside = name, path, number, unread, prior, inside
 
 
-def _role(name: str, attributes: str, inside_content: bool) -> tuple[int, str]:
-    """What an element is, and its path component."""
-    label, kind = name, _PLAIN
+_PAGE = Element("", "", 0, False, 1.0, False)
+
+
+def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is never read, whether its classes mark furniture, and its path component."""
+    label, marked = name, False
     if attributes and name not in ("body", "html"):
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "hidden":
-                return _BY_NAME, label
+                return True, marked, label
             for token in value.split():
                 label += f".{_DIGITS.sub('0', token)}"
                 words = _SEPARATORS.split(token)
                 if name in CONTENT and not COMMENT_WORDS & set(words) or words[0] in NEGATIONS:
                     continue
-                hits = {w for w in (token, *words) if w in FURNITURE_WORDS or w.startswith(FURNITURE_STEMS)}
-                if inside_content:
-                    hits -= {"header", "more", "tags", "follow"}
-                if hits:
-                    kind = max(kind, _COMMENTS if any(w in COMMENT_WORDS or w.startswith("comment") for w in hits) else _BY_CLASS)
-    if name in FURNITURE or name == "header" and not inside_content:
-        return _BY_NAME, label
-    return kind, label
-
-
-def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Text blocks outside furniture in page order, and the names of the elements by number."""
+                known = FURNITURE_WORDS if inside else FURNITURE_WORDS | OUTER_WORDS
+                marked = marked or any(w in known or w.startswith(FURNITURE_STEMS) for w in (token, *words))
+    return name in FURNITURE or name == "header" and not inside, marked, label
+
+
+def _holder(stack: list[Element]) -> int:
+    """The element that a block is read with: the article around it, or for a text element the one outside lists and tables."""
+    for e in reversed(stack):
+        if e.name in CONTENT:
+            return e.number
+    if not stack or stack[-1].name not in TEXT:
+        return stack[-1].number if stack else 0
+    return next((e.number for e in reversed(stack) if e.name not in STRUCTURE), 0)
+
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order."""
     out: list[Block] = []
-    names: dict[int, str] = {}
-    roles: dict[int, int] = {}
-    stack: list[tuple[str, str, int, bool, int]] = []  # name, path up to here, number, furniture by name, suspect element
+    stack: list[Element] = []
     parts: list[str] = []
     linked = tags = link_depth = 0
-    content_depth = 0
 
     def end_block() -> None:
         nonlocal linked, tags
@@ -103,19 +125,18 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(stack[-1][1] if stack else "", tuple(x[2] for x in stack), text, linked, tags, stack[-1][4] if stack else 0))
+                top = stack[-1] if stack else _PAGE
+                out.append(Block(top.path, tuple(e.number for e in stack), _holder(stack), text, linked, tags, top.prior, top.inside))
             parts.clear()
         linked = tags = 0
 
     def pop_to(index: int) -> None:
-        nonlocal content_depth
         end_block()
-        content_depth -= sum(x[0] in CONTENT for x in stack[index:])
         del stack[index:]
 
     last, number = 0, 0
     for m in _TOKEN.finditer(page):
-        if m.start() > last and not (stack and stack[-1][3]):
+        if m.start() > last and not (stack and stack[-1].unread):
             piece = page[last : m.start()]
             parts.append(piece)
             if link_depth:
@@ -126,7 +147,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         name = name.lower()
         if name in INLINE or name == "br":
-            tags += 1
+            tags += name not in MATHS
             if name == "a":
                 link_depth = 0 if m[2] else 1
             elif name == "br":
@@ -134,7 +155,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     pop_to(i)
                     break
             else:
@@ -144,41 +165,40 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         end_block()
         link_depth = link_depth if name in ("div", "h1", "h2", "h3", "h4", "h5", "h6", "p") else 0
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSES.get(name, ()):
+            if stack[i].name in _CLOSES.get(name, ()):
                 pop_to(i)
                 break
-            if stack[i][0] in _SCOPE:
+            if stack[i].name in _SCOPE:
                 break
-        if name != "p" and stack and stack[-1][0] == "p":
+        if name != "p" and stack and stack[-1].name == "p":
             pop_to(len(stack) - 1)
         if name in VOID:
             continue
-        under = stack[-1] if stack else ("", "", 0, False, 0)
-        role, label = _role(name, m[4][:-1], content_depth > 0)
+        under = stack[-1] if stack else _PAGE
+        unread, marked, label = _role(name, m[4][:-1], under.inside)
         number += 1
-        names[number], roles[number] = name, role
-        stack.append((name, f"{under[1]}/{label}", number, under[3] or role == _BY_NAME, under[4] or (number if role else 0)))
-        content_depth += name in CONTENT
+        # an article counts once, and so does each marked element around or in it
+        prior = under.prior * (MARKED if marked else 1.0) * (ARTICLE if name in CONTENT and not under.inside else 1.0)
+        stack.append(Element(name, f"{under.path}/{label}", number, under.unread or unread, prior, under.inside or name in CONTENT))
         tags = 1
-    if last < len(page) and not (stack and stack[-1][3]):
+        if m[5] and not stack[-1].unread:  # what an xmp element shows is no markup
+            parts.append(html.escape(m[5]))
+    if last < len(page) and not (stack and stack[-1].unread):
         tail = page[last:]
         cut = tail.rfind("<")
         parts.append(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z]", tail[cut:]) else tail)
     end_block()
-    # a class that seems to mark furniture around nearly all of a page's text marks the page
-    plain = sum(len(b.text) for b in out if not b.suspect)
-    doubtful = sum(len(b.text) for b in out if b.suspect and roles[b.suspect] == _BY_CLASS)
-    trust = plain * 10 >= doubtful
-    return [b for b in out if not b.suspect or not trust and roles[b.suspect] == _BY_CLASS], names
+    return out
 
 
 def path_scores(found: list[Block], radius: int = 1) -> dict[str, float]:
-    """Per path: characters and punctuation per tag, smoothed over the blocks in page order and fused."""
+    """Per path: characters outside links and punctuation per tag, smoothed over the blocks in page order, fused, times the prior, and
+    times the root of the path's share of the page's text, as a path that an article repeats has more than one seen once."""
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     tags: dict[str, int] = {}
     for b in found:
-        length[b.path] = length.get(b.path, 0) + len(b.text) - min(b.linked, len(b.text))
+        length[b.path] = length.get(b.path, 0) + len(b.text) - b.linked
         marks[b.path] = marks.get(b.path, 0) + b.marks
         tags[b.path] = tags.get(b.path, 0) + b.tags
     text_ratio = [length[b.path] / tags[b.path] for b in found]
@@ -194,46 +214,36 @@ def path_scores(found: list[Block], radius: int = 1) -> dict[str, float]:
 
     fused: dict[str, list[float]] = {}
     for b, t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
-        fused.setdefault(b.path, []).append(math.log1p(t) * (1 + math.log1p(p)))
-    return {path: sum(v) / len(v) for path, v in fused.items()}
+        fused.setdefault(b.path, []).append(b.prior * t * (1 + p))
+    total = max(1, sum(length.values()))
+    return {path: sum(v) / len(v) * math.sqrt(length[path] / total) for path, v in fused.items()}
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by line breaks; empty if there are none."""
-    found, names = blocks(page)
+    found = blocks(page)
     if not found:
         return ""
     scores = path_scores(found)
-    values = [scores[b.path] for b in found]
-    mean = sum(values) / len(values)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    threshold = min(mean, max(values) - spread / 2)
-    chosen = [b for b in found if scores[b.path] >= threshold and b.linked * 2 <= len(b.text)] or found
-    mass: dict[int, int] = {}
-    for b in chosen:
-        for a in b.ancestors:
-            mass[a] = mass.get(a, 0) + len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    inner = 0
-    own: set[int] = set()
-    marked = [a for a in mass if names[a] in CONTENT and mass[a] * 2 >= total]
-    if marked:
-        inner = max(marked, key=lambda a: (mass[a], names[a] == "article", a))
-    else:  # the innermost element with nine tenths of the content; one that is a block itself is no article
-        leaves = {b.ancestors[-1] for b in found if b.ancestors}
-        for a in sorted(mass):
-            if mass[a] * 10 >= total * 9 and a not in leaves:
-                inner = a
-        # what else was chosen belongs to it, as do headings and paragraphs beside it
-        beside = {b.ancestors[b.ancestors.index(inner) - 1] for b in chosen if inner in b.ancestors[1:]}
-        own = {id(b) for b in chosen} | {id(b) for b in found if len(b.ancestors) > 1 and b.ancestors[-2] in beside and re.fullmatch("h[1-6]|p", names[b.ancestors[-1]])}
-    links: dict[str, list[int]] = {}
+    total = sum(len(b.text) for b in found)
+    threshold = SHARE * sum(scores[b.path] * len(b.text) for b in found) / total
+    # each element's mean score over all text in it, and the greatest prior there
+    mass: dict[int, list[float]] = {}
     for b in found:
-        x = links.setdefault(b.path, [0, 0])
-        x[0] += min(b.linked, len(b.text))
-        x[1] += len(b.text)
-    keep = [b.text for b in found if (not inner or inner in b.ancestors or id(b) in own) and links[b.path][0] * 2 <= links[b.path][1]]
-    return "\n".join(keep)
+        for number in (0, *b.ancestors):
+            x = mass.setdefault(number, [0.0, 0.0, 0.0])
+            x[0] += scores[b.path] * len(b.text)
+            x[1] += len(b.text)
+            x[2] = max(x[2], b.prior)
+
+    def is_content(b: Block) -> bool:
+        if scores[b.path] >= threshold:
+            return True
+        of_holder, size, prior = mass[b.holder]
+        # what its own classes mark, and plain links outside an article, are not carried by what holds them
+        return of_holder >= threshold * size and b.prior >= prior and (b.inside or b.linked * 2 <= len(b.text))
+
+    return "\n".join(b.text for b in found if is_content(b))
 
 
 _TEXT = pa.schema([("text", pa.string()), ("n_chars", pa.int64())])
@@ -253,9 +263,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per input row: page_id, url, text, n_chars.
 
     A null page is empty and has an empty text, as has one without text outside furniture. Ids and URLs are kept as they
-    are, nulls and repeats too. Pages are worked on one at a time: memory follows the longest page. An empty table gives no rows.
+    are, nulls and repeats too; equal scores are equal decisions. Pages are worked on one at a time: memory follows the longest page.
+    An empty table gives no rows; names of other columns don't matter.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), F.col(quoted(html_col)).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
