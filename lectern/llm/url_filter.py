@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, quoted
 
 #: Rules of op10, in the order given: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -43,6 +43,10 @@ def _positions(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * PROBES + i)), F.lit(bits)).cast("int") for i in range(PROBES)]
 
 
+class TooManyKeys(ValueError):
+    """A filter would be too large to be a literal of the plan."""
+
+
 @dataclass
 class Level:
     """One Bloom filter: words of 64 bits."""
@@ -67,7 +71,7 @@ def build_level(keys: DataFrame, number: int) -> Level | None:
         return None
     bits = 64 * max(1, math.ceil(n * (LATER_BITS if number else FIRST_BITS) / 64))
     if bits > MAX_BITS:
-        raise ValueError(f"level {number} needs {bits} bits; join with the list instead, or raise MAX_BITS")
+        raise TooManyKeys(f"level {number} needs {bits} bits, more than MAX_BITS")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits))).alias("p"))
     rows = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
     words = [0] * (bits // 64)
@@ -121,18 +125,37 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
 
     A rule fits its host and all subdomains if the path starts with the rule's path; of those that fit, the one with the longest host and
     path wins (of equal ones, the block). Without a rule the cascade finds no listed key and the URL is allowed. A null
-    URL or one without :// has an empty host and path and is allowed; null and repeated ids are kept as they are.
+    URL or one without :// has an empty host and path and is allowed; null and repeated ids are kept as they are; a very long URL is
+    judged whole; an empty table gives no rows; names of other columns don't matter. A list whose filters would be
+    longer than MAX_BITS is joined with the keys instead.
     """
     spark: SparkSession = pages.sparkSession
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("__url")).select(F.col(id_col), host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
-    keyed = rows.select("*", candidate_keys(F.col("host"), F.col("path"), rules).alias("__keys"))
-    universe = keyed.select(F.explode("__keys").alias("key"))
-    of = lambda verdict: spark.range(1).select(F.explode(F.array(*[F.lit(h + p) for v, h, p in rules if v == verdict]).cast("array<string>")).alias("key"))
-    block, allow = Cascade(of("block"), universe), Cascade(of("allow"), universe)
-    rule = F.get(F.filter("__keys", lambda k: block.holds(k) | allow.holds(k)), F.lit(0))
-    found = keyed.select(id_col, "host", "path", rule.alias("rule"))
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url")).select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    keyed = rows.select("*", candidate_keys(F.col("host"), F.col("path"), rules).alias("keys"))
+    universe = keyed.select(F.explode("keys").alias("key"))
+    listed = lambda verdict: [h + p for v, h, p in rules if v == verdict]
+    of = lambda verdict: spark.range(1).select(F.explode(F.array(*map(F.lit, listed(verdict))).cast("array<string>")).alias("key"))
+    if FIRST_BITS * max(len(listed("block")), len(listed("allow"))) > MAX_BITS:
+        return _judge_by_join(keyed, rules, id_col)
+    try:
+        block, allow = Cascade(of("block"), universe), Cascade(of("allow"), universe)
+    except TooManyKeys:  # a later level, of false positives
+        return _judge_by_join(keyed, rules, id_col)
+    rule = F.get(F.filter("keys", lambda k: block.holds(k) | allow.holds(k)), F.lit(0))
+    found = keyed.select("id", "host", "path", rule.alias("rule"))
     verdict = F.when(F.col("rule").isNotNull() & block.holds(F.col("rule")), "block").otherwise("allow")
-    return found.select(id_col, "host", "path", "rule", verdict.alias("verdict"))
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+
+
+def _judge_by_join(keyed: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str) -> DataFrame:
+    """The same by joins: each different host and path is judged once, by the longest of its keys that is listed."""
+    table = keyed.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "key string, v string")
+    table = table.groupBy("key").agg(F.max("v").alias("v"))  # a block before an allow
+    urls = keyed.select("host", "path", "keys").distinct()
+    hits = urls.select("host", "path", F.explode("keys").alias("key")).join(table, "key")
+    best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("best"))
+    found = keyed.join(best, (keyed["host"] == best["h"]) & (keyed["path"] == best["p"]), "left")
+    return found.select(F.col("id").alias(id_col), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.v", F.lit("allow")).alias("verdict"))
 
 
 def op10(pages: DataFrame) -> DataFrame:
