@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, record_batches, slices
+from .common import external_id, internal_id, materialise, quoted, record_batches, slices, unused
 
 #: Chunk lengths in bytes: boundaries are looked for after MIN, expected MASK + 1 bytes later, forced at MAX.
 MIN_CHUNK, MASK, MAX_CHUNK = 256, 1023, 8192
@@ -123,12 +123,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text equals that of a row with a smaller id; columns as they were."""
+    """docs without the rows whose text equals that of a row with a smaller id; columns as they were, whatever their names.
+
+    Nulls, ties and repeated rows as in exact_duplicates(): a null text is empty, of rows with the same text and smallest id all stay.
+    """
     drop = exact_duplicates(docs, id_col, text_col).filter("did <> keep").select("did", "text_sha256").distinct()
-    blanks = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    sha = F.sha2(blanks, 256)
-    keys = drop.withColumnRenamed("did", "__did").withColumnRenamed("text_sha256", "__sha")
-    return docs.join(keys, (internal_id(docs[id_col]) == keys["__did"]) & (sha == keys["__sha"]), "left_anti")
+    blanks = F.regexp_replace(F.coalesce(docs[quoted(text_col)].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    did, sha = unused(docs.columns, "did"), unused(docs.columns, "sha")
+    keys = drop.select(F.col("did").alias(did), F.col("text_sha256").alias(sha))
+    return docs.join(keys, (internal_id(docs[quoted(id_col)]) == keys[did]) & (F.sha2(blanks, 256) == keys[sha]), "left_anti")
 
 
 def op9(docs: DataFrame) -> DataFrame:
