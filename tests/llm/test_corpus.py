@@ -1,4 +1,6 @@
 import base64
+import glob
+import gzip
 import hashlib
 import html as html_lib
 import math
@@ -8,6 +10,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +73,29 @@ def test_heavier_documents_come_first_more_often(spark):
 
 
 def test_mixed_documents_hold_the_words_taken(docs):
-    plan = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["did"], r["source"]] += r["taken"]
+    docs = docs.withColumn("a.b`c", F.lit("clash")).withColumn("__did", F.lit(1)).withColumn("row", F.lit(2)).withColumn("__text", F.lit(3))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    got = mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
-    assert abs(got - plan) <= 0.02 * plan  # rows that share id and text come as one
+    got = Counter()
+    for r in mixed.collect():
+        got[(1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["source"]] += len(words(r["text"]))
+        assert r["a.b`c"] == "clash"
+    assert got == +plan
+
+
+def test_repeated_rows_are_mixed_one_by_one(spark):
+    rows = [(1, "w " * 101, "a")] * 7 + [(None, "v " * 40, "a")] * 9 + [(2, None, "a")] * 3 + [(3 + i, "u " * 90, "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == len(rows)
+    mixed = mixing.mixed_documents(docs).collect()
+    for source in "ab":
+        taken = sum(r["taken"] for r in plan if r["source"] == source)
+        assert taken == pytest.approx(next(r["target"] for r in plan if r["source"] == source), abs=1)
+        assert sum(len(words(r["text"])) for r in mixed if r["source"] == source) == taken
 
 
 def page_rows():
@@ -107,8 +128,9 @@ def test_archives_round_trip(pages):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_index_is_in_global_order(spark, pages, tmp_path):
+def test_index_is_in_global_order(spark, pages, tmp_path, monkeypatch):
     many = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/{i * 7919 % 100}", f"t{i % 90}") for i in range(9000)], "page_id long, url string, html string").repartition(2)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 700)
     index = warc.archive_pages(many, f"file://{tmp_path}/w").collect()
     keys = [(r["urlkey"], r["timestamp"], r["page_id"]) for r in index]
     assert len({r["archive"] for r in index}) > 1
@@ -125,16 +147,57 @@ def test_small_payloads_can_stay_responses(pages):
 
 
 def test_damaged_archives_are_found(spark, pages, tmp_path):
-    import gzip
-
     path = f"{tmp_path}/w"
     warc.write_archives(pages.filter("page_id = 5"), f"file://{path}")
-    import glob
-
-    name = max(glob.glob(f"{path}/*.gz"), key=os.path.getsize)  # partitions without rows leave empty files
+    (name,) = glob.glob(f"{path}/*/part-*")
     data = gzip.decompress(open(name, "rb").read()).replace(b"one", b"two")
     with pytest.raises(ValueError, match="digest"):
         warc.parse_archive("x", gzip.compress(data))
+    with pytest.raises(ValueError, match="ends within"):
+        warc.parse_archive("x", gzip.compress(data[:-30]))
+
+
+def test_archives_are_closed_by_size_and_can_be_sought_in(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, f"http://h{i % 5}.org/{i}", f"<p>{rng.random()} {i % 300}" if i % 3 else "same") for i in range(600)]
+    rows += [(1000, "http://long.org/", "".join(rng.choice("ab") for _ in range(50_000))), (1001, "http://huge.org/", "x" * 17_000_000 + "end")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = f"{tmp_path}/w"
+    warc.write_archives(df, f"file://{path}", archive_bytes=4000)
+    sizes = {"/".join(name.split("/")[-2:]): os.path.getsize(name) for name in glob.glob(f"{path}/*/part-*")}
+    assert len(sizes) > 30
+    assert sum(size > 4000 for size in sizes.values()) <= 2
+    source = {i: h for i, _, h in rows}
+    index = warc.capture_index(spark, f"file://{path}").collect()
+    assert {r["page_id"] for r in index} == set(source)
+    ends = defaultdict(int)
+    for r in index:
+        with open(f"{path}/{r['archive']}", "rb") as archive:
+            archive.seek(r["offset"])
+            record = gzip.decompress(archive.read(r["length"]))
+        assert record.startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode())
+        assert record.endswith((source[r["page_id"]].encode() if r["record_type"] == "response" else b"") + b"\r\n\r\n")
+        ends[r["archive"]] += r["length"]
+    assert ends == sizes
+
+
+def test_foreign_archives_of_one_member(pages):
+    """Several records in one member: each is found, and sought by the member."""
+    record = "WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:lectern:page:%d>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: http://a.org/%d\r\nWARC-Payload-Digest: sha1:X\r\nWARC-Refers-To: <urn:lectern:page:1>\r\nContent-Length: 38\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n\r\n\r\n"
+    record = record.replace("Content-Length: 38", "Content-Length: 38").encode()
+    data = gzip.compress(record % (2, 2) + record % (3, 3)) + gzip.compress(record % (4, 4))
+    rows = warc.parse_archive("x", data)
+    assert [r[2] for r in rows] == [2, 3, 4]
+    assert len({r[9] for r in rows}) == 2
+    assert [gzip.decompress(data[r[9] : r[9] + r[10]]).count(b"WARC/1.1") for r in rows] == [2, 2, 1]
+
+
+def test_loser_tree_merges_any_number_of_runs():
+    rng = random.Random(7)
+    for k in (0, 1, 2, 3, 7, 16, 33):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(20))) for _ in range(k)]
+        merged = list(warc.LoserTree([iter([(x, (x, i)) for x in r]) for i, r in enumerate(runs)]))
+        assert [x for x, _ in merged] == sorted(x for r in runs for x in r)
 
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page has-sidebar">
@@ -164,6 +227,49 @@ def test_articles_of_plain_elements_are_whole(wrap):
     assert extraction.main_text(wrap.format(f"<div><h1>T</h1><p>{short}</p><div><p>{long}</p><p>{long}</p></div></div>")).split("\n") == ["T", short, long.strip(), long.strip()]
 
 
+LONG = "A sentence of the article, which is long, and has commas. " * 6
+
+
+def test_nothing_of_an_article_is_lost():
+    parts = ["<p class='alert'>Mind the gap, please.</p>", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "<xmp><b>raw</b> &amp; text</xmp>", "<ul class='references'><li><a href=x>Ref one</a></li><li><a href=y>Ref two</a></li></ul>", "<div>caption</div>", "<table><tr><td>1</td><td>2</td></tr></table>", "<p>End.</p>"]
+    page = f"<body><nav><p>{LONG}</p></nav><article><p>{LONG}</p>{''.join(parts)}</article><div class='related'><p>{LONG}</p></div></body>"
+    assert extraction.main_text(page).split("\n") == [LONG.strip(), "Mind the gap, please.", "x=1", "<b>raw</b> &amp; text", "Ref one", "Ref two", "caption", "1", "2", "End."]
+
+
+def test_paths_are_told_apart_without_names():
+    page = f"<body><ul><li><a href=x>Menu one</a></li><li><a href=y>Menu two</a></li></ul><div>Buy this now.</div><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><ul><li><a href=z>Next</a></li></ul></body>"
+    assert extraction.main_text(page).split("\n") == ["Head", LONG.strip(), "Short.", LONG.strip()]
+
+
+def test_a_class_around_the_whole_page_says_nothing():
+    page = f"<body><div class='widget'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><div class='comments'><p>Nice, thanks.</p></div></div><p>12 May</p></body>"
+    assert extraction.main_text(page).split("\n")[:3] == ["Head", LONG.strip(), LONG.strip()]
+    assert "Nice" not in extraction.main_text(page)
+
+
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_the_scores_select(spark, monkeypatch, article):
+    """Any other scores give other texts, on pages with and without an article element."""
+    pages = [r["html"].replace("<article>", f"<{article}>").replace("</article>", f"</{article}>") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    texts = list(map(extraction.main_text, pages))
+    real = extraction.path_scores
+    for other in (lambda found: {b.path: 1.0 for b in found}, lambda found: {k: -v for k, v in real(found).items()}):
+        monkeypatch.setattr(extraction, "path_scores", other)
+        assert sum(extraction.main_text(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+        monkeypatch.setattr(extraction, "path_scores", real)
+
+
+def test_pages_as_a_table(spark):
+    rows = [(1, "http://a.org/", ARTICLE), (1, None, ARTICLE), (None, "u", None), (2, "u", ""), (2, "u", ""), (3, None, f"<p>{LONG}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("text", "n_chars", "a.b", "path", "title"):
+        df = df.withColumn(name, F.lit("clash"))
+    key = lambda r: tuple(map(str, r))
+    want = [(i, u, t, len(t)) for i, u, t in ((i, u, extraction.main_text(h or "")) for i, u, h in rows)]
+    assert sorted(map(tuple, extraction.op5(df).collect()), key=key) == sorted(want, key=key)
+    assert extraction.op5(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<p>", "</div></p>", "<!-- open", "<script>never closed", "a < b and c > d", "<a <b <c", "<p class='x", "&#xD800; &bogus; &#99999999;", "<div>" * 3000 + "deep"])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(extraction.main_text(page), str)
@@ -211,7 +317,8 @@ def class_of(ch):
     return 6 if ch in "#*$%&|<>" else 7 if ord(ch) > 127 else 5
 
 
-def test_quality_as_by_brute_force(docs, rows):
+def brute_quality(rows):
+    """(doc_id, counts, base_failed, kept) of every row."""
     common = list(dict.fromkeys(quality.COMMON_WORDS))
     stats, refs = [], defaultdict(lambda: ([0] * 8, [0] * (len(common) + 1)))
     for d, t, lang, _ in rows:
@@ -237,8 +344,18 @@ def test_quality_as_by_brute_force(docs, rows):
     for d, n, chars, symbols, dup, repeat, lang, classes, counts in stats:
         failed = n < 20 or 100 * repeat > 30 * n
         far = sum(classes) >= quality.MIN_CLASS_CHARS and js_distance(classes, refs[lang][0]) > quality.MAX_CLASS_DISTANCE
-        far = far or n >= quality.MIN_COMMON_WORDS and js_distance(counts, refs[lang][1]) > quality.MAX_COMMON_DISTANCE
+        if n >= quality.MIN_COMMON_WORDS and sum(refs[lang][1]):
+            far = far or js_distance(counts, refs[lang][1]) > quality.MAX_COMMON_DISTANCE
+            own, usual = n - counts[-1], sum(refs[lang][1][:-1])
+            less = counts[-1] / n > refs[lang][1][-1] / sum(refs[lang][1])
+            far = far or less and js_distance([own, counts[-1]], [usual, refs[lang][1][-1]]) > quality.MAX_SHARE_DISTANCE
+        far = far and sum(x[6] == lang for x in stats) >= quality.MIN_REFERENCE_DOCS
         want.append((d, n, chars, symbols, dup, repeat, failed, not failed and not far))
+    return want
+
+
+def test_quality_as_by_brute_force(docs, rows):
+    want = brute_quality(rows)
     got = [tuple(r) for r in quality.op7(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert any(not r[6] and not r[7] for r in want)
@@ -257,12 +374,40 @@ def test_texts_without_their_languages_common_words_are_rejected(spark):
     assert sorted(i for i, (_, kept) in got.items() if not kept) == [100, 101, 102, 104]  # 103 is too short to tell
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def swapped(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_periodic_lines_and_words_are_told_apart(spark, n):
+    a = thue_morse(n)
+    b = swapped(a)
+    texts = [f"{a}\n{b}\nx", f"{a}\n{a}\nx", " ".join([*"1234567", a, *"1234567", b]), " ".join([*"1234567", a, *"1234567", a]), f"{a} 1\n{a} 2\n{b} 1\n{b} 1"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality.op7(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0), 3: (0, 16), 4: (1, 0)}
+
+
+def test_wrong_hashes_are_found_out(monkeypatch):
+    text = "one two\nthree four\none two\nfive\n" + "a b c d e f g h " * 2 + "a b c d e f g i"
+    data = np.frombuffer(text.encode(), "uint8")
+    want = quality.text_stats(data, np.array([0, len(data)]))
+    monkeypatch.setattr(quality, "range_hashes", lambda d, s, e, seed=0: np.zeros(len(s), "uint64"))
+    got = quality.text_stats(data, np.array([0, len(data)]))
+    for name in ("n_dup_lines", "n_repeat_words"):
+        assert got[name].tolist() == want[name].tolist()
+    assert want["n_dup_lines"].tolist() == [1]
+
+
 def test_packing_places_every_id_once(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
 
     reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     want = Counter(tuple(reference.encode(t or "", add_special_tokens=False).ids + [0]) for _, t, *_ in rows)
     pieces = packing.pack_documents(docs).collect()
     sequences, texts = defaultdict(list), defaultdict(list)
@@ -306,6 +451,72 @@ def test_the_added_token_is_one_id(spark):
         assert ids.count(50256) == t.count(mark)
 
 
+def test_ids_equal_the_tokenizers_on_random_strings(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "a", "'s", "'Ll", "123", "é", "日本", "🙂", "\u00a0", "\u2003", "!?", "word", " Word", "\r\n", "\x00", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(dict)
+    for p in packing.pack_documents(docs).collect():
+        got[p["did"]].update(enumerate(p["ids"], p["start"]))
+    for i, ids in enumerate(reference.encode_batch(texts, add_special_tokens=False)):
+        assert [got[i][k] for k in sorted(got[i])] == [*ids.ids, packing.END], texts[i]
+    assert sum("<|endoftext|>" in t for t in texts) > 300
+
+
+@pytest.mark.parametrize(("limits", "which", "chars"), [((256, 64, 256), 0, (400, 300)), ((256, 3, 256), 1, (60, 60)), ((256, 64, 100), 2, (30, 30))])
+def test_every_limit_binds_on_instructions(spark, limits, which, chars):
+    """Questions and answers of the driver's conversations, whole: with each limit in turn, some bin is full by it."""
+    turns = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], {})[r["turn"]] = r["text"] or ""
+    rows = [(i, *x) for i, x in enumerate((t[k][: chars[0]], t[k + 1][: chars[1]]) for t in turns.values() for k in sorted(t)[:-1] if k + 1 in t)]
+    examples = spark.createDataFrame(rows, "doc_id long, prompt string, text string").coalesce(1)
+    pieces = packing.pack_documents(examples, prompt_col="prompt", limits=limits, cut=False).collect()
+    encode = packing.encoding(packing.vocabulary_path()).encode_ordinary
+    own = {i: (len(encode(p)), len(encode(t)) + 1) for i, p, t in rows}
+    bins, seen = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        bins[p["sequence_id"]].append(p)
+        seen[p["did"]].append(p)
+    for i, parts in seen.items():
+        prompt, answer = own[i]
+        assert sum(p["length"] for p in parts) == prompt + answer
+        assert len(parts) == 1 or prompt + answer > limits[0] or answer > limits[2]
+    loss = lambda p: max(0, p["start"] + p["length"] - max(p["start"], own[p["did"]][0]))
+    totals = [(sum(p["length"] for p in b), len(b), sum(map(loss, b))) for b in bins.values()]
+    assert all(x <= limit for t in totals for x, limit in zip(t, limits, strict=True))
+    assert sum(t[which] >= 0.9 * limits[which] for t in totals) > len(totals) / 3
+    assert len(seen) == len(rows)
+
+
+def test_cut_examples_keep_a_small_loss_limit():
+    packer = packing.Packer((64, 8, 20))
+    sizes = [(300, 250), (10, 10), (64, 0), (500, 1), (1, 1), (30, 25)] * 6
+    for i, (n, loss) in enumerate(sizes):
+        packer.add(i, n, loss)
+    packer.pack()
+    seen = defaultdict(list)
+    for b in packer.bins:
+        total = sum(x.length for x in b)
+        assert 0 < total <= 64
+        assert total & (total - 1) == 0
+        assert len(b) <= 8
+        assert sum(x.loss for x in b) <= 20
+        for x in b:
+            seen[x.key].append((x.start, x.length))
+    for i, (n, _) in enumerate(sizes):
+        at = 0
+        for start, length in sorted(seen[i]):
+            assert start == at
+            at += length
+        assert at == n
+
+
 def test_limits_hold_without_cutting():
     packer = packing.Packer((100, 4, 50), cut=False)
     sizes = [(37, 20), (60, 50), (10, 1), (10, 10), (99, 3), (5, 5), (5, 0), (41, 30)] * 5
@@ -356,6 +567,25 @@ def test_cascades_are_exact(spark, monkeypatch):
         url_filter.Cascade(listed, universe)
 
 
+@pytest.mark.parametrize("late", [False, True])  # the list itself is too long, or a level over the corpus's keys
+def test_lists_beyond_the_filters_are_joined(spark, monkeypatch, late):
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("a.com", "example.com", "x.example.net", "org", "net") for p in ("/en/", "/en/7", "/de/8", "/es/", ""))]
+    rows += [rows[0], (None, rows[1][1]), (None, None), (3, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("keys", F.lit("clash"))
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(map(tuple, url_filter.op10(df).collect()), key=key)
+    if late:
+
+        def build(keys, number):
+            raise url_filter.TooManyKeys
+
+        monkeypatch.setattr(url_filter, "build_level", build)
+    else:
+        monkeypatch.setattr(url_filter, "MAX_BITS", 0)
+    assert sorted(map(tuple, url_filter.op10(df).collect()), key=key) == want
+    assert "Join" in url_filter.op10(df)._jdf.queryExecution().toString()
+
+
 def test_empty_tables(empty, pages):
     for op in (mixing.op3, quality.op7, packing.op8):
         assert op(empty).count() == 0

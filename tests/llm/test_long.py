@@ -1,10 +1,19 @@
 """Texts far longer than a slice, without white space, or periodic."""
 
 import hashlib
+import os
+import random
+import subprocess
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.llm import byte_dedup, exact_dedup, mixing, packing, quality, simhash, substring_dedup
+from lectern.llm import byte_dedup, common, exact_dedup, mixing, packing, quality, simhash, substring_dedup
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +63,61 @@ def test_packing(long_docs):
             assert p["start"] == at
             at += p["length"]
         assert at == mine[0]["doc_tokens"]
+
+
+def test_pieces_hold_every_window_once():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcd") for _ in range(rng.choice([1, 3, 6, 40]))) for _ in range(3000)) + " " + "x" * 5000 + "  tail end"
+    data = text.encode()
+    batch = pa.RecordBatch.from_pydict({"text": [text, "short", "", text[:700]]})
+    found = []
+    for rows, piece, off, at in common.byte_pieces(iter([batch]), "text", 99, 1500):
+        if rows.column("text")[0].as_py() == text:
+            assert len(piece) <= 1599
+            assert len(off) == 2
+            found += [(at + i, piece[i : i + 100].tobytes()) for i in range(len(piece) - 99)]
+    assert found == [(i, data[i : i + 100]) for i in range(len(data) - 99)]
+    parts, found = data.split(), []
+    for rows, piece, _, at in common.word_pieces(iter([batch]), "text", 49, 1500):
+        if rows.column("text")[0].as_py() == text:
+            own = piece.tobytes().split()
+            found += [(at + i, own[i : i + 50]) for i in range(len(own) - 49)]
+    assert found == [(i, parts[i : i + 50]) for i in range(len(parts) - 49)]
+    assert sum(len(off) - 1 for _, _, off, _ in common.byte_pieces(iter([batch]), "text", 99, 10**6)) == 4
+
+
+def test_counts_of_a_text_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    text = "\n".join(" ".join(rng.choice(["the", "of", "É%", "Word", "7", "x" * 300]) for _ in range(rng.randrange(9))) for _ in range(700))
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = quality.text_stats(data, np.array([0, len(data)]))
+    monkeypatch.setattr(quality, "SLICE_BYTES", 700)
+    got = quality.text_stats(data, np.array([0, len(data)]))
+    assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in want.items()}
+    assert got["n_repeat_words"][0] > 100
+    assert got["n_dup_lines"][0] > 20
+
+
+def test_memory_of_a_text_of_100_mb():
+    """A scan of op1, op2 and op7 over one text of 100 MB: at most 20 bytes a byte of it, in a process of its own."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from lectern.llm import byte_dedup, quality, substring_dedup
+rng = np.random.default_rng(1)
+data = rng.integers(97, 123, 100_000_000, dtype=np.uint8)
+data[rng.integers(0, len(data), len(data) // 6)] = 32
+text = data.tobytes().decode()
+batch = pa.RecordBatch.from_pydict({"did": [1], "tag": [0], "text": [text]})
+del data, text
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "7":
+    list(quality._scan(iter([batch.append_column("row", pa.array([1])).append_column("lang", pa.array(["en"]))])))
+else:
+    for _ in (substring_dedup if sys.argv[1] == "1" else byte_dedup)._anchors(iter([batch])):
+        pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) / 1e5)
+"""
+    for op, most in (("1", 6), ("2", 6), ("7", 20)):
+        out = subprocess.run([sys.executable, "-c", code, op], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ROOT})
+        assert float(out.stdout) < most, (op, out.stdout)
