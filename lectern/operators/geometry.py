@@ -94,13 +94,15 @@ def reading_order(words: DataFrame, lines: DataFrame, keys: Sequence[str]) -> Da
 
 
 def heatmap(points: DataFrame, x: str, y: str, size: int = 100, dense: bool = True) -> DataFrame:
-    """(y_idx, x_idx, count): points per square cell, zero-filled up to the greatest cells with points."""
+    """(y_idx, x_idx, count): points per square cell, zero-filled up to the greatest cells with points, from zero or the least ones."""
     cells = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.floor(F.col(y) / size).cast("int").alias("y_idx"), F.floor(F.col(x) / size).cast("int").alias("x_idx"))
     counts = cells.groupBy("y_idx", "x_idx").agg(F.count("*").alias("count"))
     if not dense:
         return counts
-    top = counts.agg(F.max("y_idx").alias("y"), F.max("x_idx").alias("x")).filter("y IS NOT NULL")
-    grid = top.select(F.explode(F.sequence(F.lit(0), "y")).alias("y_idx"), "x").select("y_idx", F.explode(F.sequence(F.lit(0), "x")).alias("x_idx"))
+    ends = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("y_idx", "x_idx")]
+    span = counts.agg(*ends).filter("hi_y_idx IS NOT NULL")
+    every = lambda c: F.explode(F.sequence(F.least(F.lit(0), f"lo_{c}"), f"hi_{c}")).alias(c)
+    grid = span.select("*", every("y_idx")).repartition("y_idx").select("y_idx", every("x_idx"))
     return grid.join(counts, ["y_idx", "x_idx"], "left").select("y_idx", "x_idx", F.coalesce("count", F.lit(0)).alias("count"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,28 +30,40 @@ def grouped_change_log(words: DataFrame, keys: Sequence[str], order: Sequence[st
     """The change log for words of several ids: (keys, order, gid, text, id_group, color, former).
 
     A word fires if its colour differs from the state of every id of its group: one event an id, then all take the colour.
-    If some id has the colour already nothing changes, not even the others' state. State spans a session, so a session is one group.
+    If some id has the colour already nothing changes, not even the others' state. Sessions are streamed in order; of a session
+    only the state of its ids is held.
     """
     needed = [*keys, *order, ids, color, text]
     rows = words.filter(F.col(color).isNotNull() & F.col(ids).isNotNull()).select(*needed)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in (*keys, *order)] + ["gid int", f"text {types[text]}", "id_group array<int>", "color string", "former array<string>"])
 
-    def log(session: pd.DataFrame) -> pd.DataFrame:
+    def log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, str] = {}
-        out = []
-        for row in session.sort_values(list(order), kind="stable").itertuples(index=False):
-            r = dict(zip(needed, row, strict=True))
-            group = [int(g) for g in r[ids] if not (exclude_failed and g == -1)]
-            former = [state.get(g, default) for g in group]
-            if not group or r[color] in former:
-                continue
-            head = [r[c] for c in (*keys, *order)]
-            out += [[*head, g, r[text], group, r[color], former] for g in group]
-            state.update(dict.fromkeys(group, r[color]))
-        return pd.DataFrame(out, columns=[*keys, *order, "gid", "text", "id_group", "color", "former"])
-
-    return rows.groupBy(*keys).applyInPandas(log, schema)
+        session: tuple | None = None
+        for batch in batches:
+            rows_, gids, groups, before = [], [], [], []
+            sessions = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for i, (key, members, now) in enumerate(zip(sessions, batch.column(ids).to_pylist(), batch.column(color).to_pylist(), strict=True)):
+                if key != session:
+                    session = key
+                    state.clear()
+                group = [int(g) for g in members if not (exclude_failed and g == -1)]
+                former = [state.get(g, default) for g in group]
+                if not group or now in former:
+                    continue
+                for g in group:
+                    rows_.append(i)
+                    gids.append(g)
+                    groups.append(group)
+                    before.append(former)
+                state.update(dict.fromkeys(group, now))
+            at = pa.array(rows_, pa.int64())
+            head = [batch.column(c).take(at) for c in (*keys, *order)]
+            tail = [pa.array(gids, pa.int32()), batch.column(text).take(at), pa.array(groups, pa.list_(pa.int32())), batch.column(color).take(at), pa.array(before, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*head, *tail], names=[*keys, *order, "gid", "text", "id_group", "color", "former"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(log, schema)
 
 
 def nearest_pair(rows: DataFrame, background: Sequence[Column], foreground: Sequence[Column], pairs: dict = COLOUR_PAIRS, bold: bool = True, compat_swap: bool = False) -> DataFrame:
@@ -75,10 +87,13 @@ def report_json(events: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return per_time.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(time).cast("string"), "rows"))))).alias("report"))
 
 
-def without_failed(report: Column | str) -> Column:
-    """The entries of a report's array whose id was assigned."""
-    r = F.col(report) if isinstance(report, str) else report
-    return F.filter(r, lambda e: e["gid"] != -1)
+#: A report as report_json() writes it: entries by time.
+REPORT = "map<string,array<struct<id:int,text:string,id_group:array<int>,color:string,`former colors`:array<string>>>>"
+
+
+def without_failed(entries: Column | str) -> Column:
+    """Of an array of a report's entries, those whose id was assigned."""
+    return F.filter(F.col(entries) if isinstance(entries, str) else entries, lambda e: e["id"] != -1)
 
 
 def char_spans(words: DataFrame, keys: Sequence[str], order: str, text: str = "text") -> DataFrame:

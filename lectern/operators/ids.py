@@ -37,44 +37,54 @@ class Assignment:
 
     def bounds(self, ids: list) -> tuple[list[int], list[float]]:
         """Greatest id before and least id after every word: two linear passes."""
-        low, high = [-1] * len(ids), [float("inf")] * len(ids)
-        top: int = -1
+        low, top = [-1] * len(ids), -1
         for i, x in enumerate(ids):
             low[i] = top
             if x:
                 top = max(top, *x)
-        end = float("inf")
+        return low, self.after(ids)
+
+    def after(self, ids: list) -> list[float]:
+        """Least id after every word."""
+        high, end = [0.0] * len(ids), float("inf")
         for i in range(len(ids) - 1, -1, -1):
             high[i] = end
             if ids[i] and (self.cascade or -1 not in ids[i]):
                 end = min(end, *ids[i])
-        return low, high
+        return high
 
     def candidates(self, snippet: str, low: int, high: float) -> list[int]:
         at = self.index.get(snippet, [])
         return at[bisect_right(at, low) : bisect_left(at, high)]
 
     def propagate(self, ids: list, strict: bool) -> bool:
-        """Assign what has one candidate until nothing changes; False if `strict` and some word has none."""
+        """Assign what has one candidate until nothing changes; False if `strict` and some word has none.
+
+        A sweep goes from left to right: what it assigns bounds the words after it, so the greatest id so far is carried along and
+        the least ids after each word hold for the whole sweep.
+        """
         moved = True
         while moved:
             moved = False
+            low, high = -1, self.after(ids)
             for i, parts in enumerate(self.snippets):
-                if ids[i] is not None:
-                    continue
-                low, high = self.bounds(ids)
-                for k, snippet in enumerate(parts):
-                    found = self.candidates(snippet, low[i], high[i])
-                    if len(found) == 1:
-                        ids[i] = [found[0] - k + j for j in range(len(parts))]
-                        self.failed[i] = False
-                        moved = True
-                        break
-                    if not found:
-                        if strict:
-                            return False
-                        ids[i], self.failed[i] = [-1], True
-                        moved = True
+                if ids[i] is None:
+                    for k, snippet in enumerate(parts):
+                        at = self.index.get(snippet, ())
+                        first = bisect_right(at, low)
+                        n = bisect_left(at, high[i]) - first
+                        if n == 1:
+                            ids[i] = [at[first] - k + j for j in range(len(parts))]
+                            self.failed[i] = False
+                            moved = True
+                            break
+                        if n <= 0:
+                            if strict:
+                                return False
+                            ids[i], self.failed[i] = [-1], True
+                            moved = True
+                if ids[i]:
+                    low = max(low, *ids[i])
         return True
 
     def search(self) -> bool:

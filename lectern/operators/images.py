@@ -36,6 +36,18 @@ def crop(image: np.ndarray, part: str | None = None, x: tuple = (None, None), y:
     return image[slice(*y), slice(*x)]
 
 
+def cropped(frames: DataFrame, part: str | None = None, x: tuple = (None, None), y: tuple = (None, None)) -> DataFrame:
+    """frames (content, height, width) cut to a named part or to ranges of columns and rows; open bounds reach the edge."""
+
+    @F.pandas_udf("struct<content:binary,height:int,width:int>")
+    def cut(content: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
+        images = [crop(to_array(c, hh, ww), part, x, y) for c, hh, ww in zip(content, h, w, strict=True)]
+        return pd.DataFrame({"content": [np.ascontiguousarray(i).tobytes() for i in images], "height": [i.shape[0] for i in images], "width": [i.shape[1] for i in images]})
+
+    done = frames.withColumn("__cut", cut("content", "height", "width"))
+    return done.withColumns({c: F.col(f"__cut.{c}") for c in ("content", "height", "width")}).drop("__cut")
+
+
 def upscale(image: np.ndarray, factor: int = 2) -> np.ndarray:
     """Nearest neighbour."""
     return image.repeat(factor, axis=0).repeat(factor, axis=1)

@@ -6,6 +6,7 @@ and the document's scalars, so it runs per line. Both are grouped maps over Arro
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -38,7 +39,8 @@ def calibrate(words: Sequence[tuple[str, float]], default: float) -> dict[str, f
 def char_widths(perfect: DataFrame, spaces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, med_height, space_width, widths): calibrated per document, over its perfect words in document order."""
     one = F.struct("line_idx", "word_idx", "text", (F.col("bbox.right") - F.col("bbox.left")).alias("w"))
-    gathered = spaces.join(perfect.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all")), list(keys), "left")
+    measured = perfect.filter(F.col("bbox.right").isNotNull() & F.col("bbox.left").isNotNull())
+    gathered = spaces.join(measured.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all")), list(keys), "left")
 
     @F.pandas_udf("map<string,double>")
     def fold(rows: pd.Series, default: pd.Series) -> pd.Series:
@@ -52,6 +54,36 @@ def _cost(ocr: str, correct: str) -> int:
     return round(word_distance(ocr, correct) * 100)
 
 
+class Held:
+    """The words of every box, and the boxes that have any, in order: few, however many boxes a line has."""
+
+    def __init__(self, words: list[list[int]]):
+        self.words = words
+        self.filled = [i for i, w in enumerate(words) if w]
+
+    def put(self, box: int, words: list[int]) -> None:
+        at = bisect_left(self.filled, box)
+        there = at < len(self.filled) and self.filled[at] == box
+        if words and not there:
+            self.filled.insert(at, box)
+        elif there and not words:
+            del self.filled[at]
+        self.words[box] = words
+
+    def below(self, box: int) -> int | None:
+        at = bisect_left(self.filled, box)
+        return self.filled[at - 1] if at else None
+
+    def above(self, box: int) -> int | None:
+        at = bisect_right(self.filled, box)
+        return self.filled[at] if at < len(self.filled) else None
+
+    def ends(self) -> tuple[int | None, int | None]:
+        """The least and greatest word in any box."""
+        words = [w for box in self.filled for w in self.words[box]]
+        return min(words, default=None), max(words, default=None)
+
+
 class LineRepair:
     """One line: OCR boxes with their texts, and the correct words to spread over them."""
 
@@ -94,80 +126,77 @@ class LineRepair:
     def shifted(self, pairing: list[list[int]], by: int) -> list[list[int]]:
         return [list(pairing[i - by]) if 0 <= i - by < self.n else [] for i in range(self.n)]
 
-    def _pull(self, pairing: list[list[int]], box: int, from_lower: bool) -> tuple[int, int | None, int | None]:
+    def _pull(self, held: Held, box: int, from_lower: bool) -> tuple[int, int | None, int | None]:
         """(gain, word, donor) of pulling the nearest word into an empty box, from lower or higher boxes or from off screen."""
-        order = range(box - 1, -1, -1) if from_lower else range(box + 1, self.n)
-        donor = next((i for i in order if pairing[i]), None)
+        donor = held.below(box) if from_lower else held.above(box)
         if donor is None:
-            used = [w for p in pairing for w in p]
+            first, last = held.ends()
             if from_lower:
-                word = min(used) - 1 if used else len(self.correct) - 1
+                word = len(self.correct) - 1 if first is None else first - 1
             else:
-                word = max(used) + 1 if used else 0
+                word = 0 if last is None else last + 1
             if not 0 <= word < len(self.correct):
                 return 0, None, None
             return self.cost(box, ()) - self.cost(box, (word,)), word, None
-        given = pairing[donor]
+        given = held.words[donor]
         word = given[-1] if from_lower else given[0]
         # the donor is scored without its first word whichever side gives, as results depend on it
         gain = self.cost(box, ()) + self.cost(donor, given) - self.cost(box, (word,)) - self.cost(donor, given[1:])
         return gain, word, donor
 
-    def _best_split(self, pairing: list[list[int]], box: int) -> tuple[int, int]:
+    def _best_split(self, held: Held, box: int) -> tuple[int, int]:
         """The first cheapest way to leave words [:a] to the box before and [b:] to the one after."""
-        own = pairing[box]
-        before = pairing[box - 1] if box else None
-        after = pairing[box + 1] if box + 1 < self.n else None
-
-        def price(a: int, b: int) -> int:
-            out = self.cost(box, own[a:b])
-            out += self.cost(box - 1, before + own[:a]) if before is not None else 0
-            return out + (self.cost(box + 1, own[b:] + after) if after is not None else 0)
-
-        best, at = price(0, len(own)), (0, len(own))
-        for a in range(len(own) + 1):
-            for b in range(a, len(own) + 1):
-                if (p := price(a, b)) < best:
-                    best, at = p, (a, b)
-        return at
+        own = held.words[box]
+        size = len(own)
+        # what goes to either side is priced once a place, not once a pair of places
+        lower = [self.cost(box - 1, held.words[box - 1] + own[:a]) if box else 0 for a in range(size + 1)]
+        upper = [self.cost(box + 1, own[b:] + held.words[box + 1]) if box + 1 < self.n else 0 for b in range(size + 1)]
+        prices = {(0, size): lower[0] + self.cost(box, own) + upper[size]}
+        for a in range(size + 1):
+            for b in range(a, size + 1):
+                prices.setdefault((a, b), lower[a] + self.cost(box, own[a:b]) + upper[b])
+        return min(prices, key=prices.__getitem__)
 
     def climb(self, pairing: list[list[int]]) -> list[list[int]]:
         """Sweeps from right to left until nothing gets better, twenty at most. Words pushed past an end are off screen."""
         if not self.correct:
             return pairing
+        held = Held(pairing)
         for _ in range(SWEEPS):
             moved = False
             for box in range(self.n - 1, -1, -1):
-                own = pairing[box]
+                own = held.words[box]
                 if own:
-                    a, b = self._best_split(pairing, box)
+                    a, b = self._best_split(held, box)
                     if (a, b) == (0, len(own)):
                         continue
                     if box:
-                        pairing[box - 1] = pairing[box - 1] + own[:a]
+                        held.put(box - 1, held.words[box - 1] + own[:a])
                     if box + 1 < self.n:
-                        pairing[box + 1] = own[b:] + pairing[box + 1]
-                    pairing[box] = own[a:b]
+                        held.put(box + 1, own[b:] + held.words[box + 1])
+                    held.put(box, own[a:b])
                     moved = True
                     continue
-                up_gain, word, donor = self._pull(pairing, box, from_lower=False)
+                up_gain, word, donor = self._pull(held, box, from_lower=False)
                 if up_gain <= 0:
                     word = donor = None
-                low_gain, low_word, low_donor = self._pull(pairing, box, from_lower=True)
+                low_gain, low_word, low_donor = self._pull(held, box, from_lower=True)
                 if low_gain > 0 and low_gain > up_gain:
                     word, donor = low_word, low_donor
                 if word is None:
                     continue
-                pairing[box] = [word]
+                held.put(box, [word])
                 if donor is not None:
-                    pairing[donor] = pairing[donor][1:] if donor > box else pairing[donor][:-1]
+                    held.put(donor, held.words[donor][1:] if donor > box else held.words[donor][:-1])
                 moved = True
             if not moved:
                 break
-        return pairing
+        return held.words
 
     def solve(self, spans: Sequence[tuple[int, int]]) -> tuple[list[list[int]], int]:
         """The best pairing over all starts, and the start's shift; the first of equal ones."""
+        if not self.correct:  # every start costs the same
+            return [[] for _ in range(self.n)], 0
         start = self.first_pairing(spans)
         best, found, offset = None, start, 0
         for by in SHIFTS:
@@ -183,14 +212,11 @@ class LineRepair:
         return [" ".join(self.correct[i] for i in chosen) for chosen in pairing]
 
 
-_OUT = "line_idx int, word_idx int, ocr_text string, text string, pair_offset int"
-
-
 def repair_words(words: DataFrame, lines: DataFrame, matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, line_idx, word_idx, ocr_text, text, pair_offset): every word of the matched documents with its repaired text.
+    """(keys, line_idx, word_idx, ocr_text, text, pair_offset, error): every word of the matched documents with its repaired text.
 
     words (keys, line_idx, word_idx, text, bbox), lines (keys, line_idx, bbox), matched (keys, line_idx, updated_line). Words of a line
-    that matched nothing become empty.
+    that matched nothing become empty. Where a line's boxes can't be worked with, its words have no text and `error` says why.
     """
     spaces = space_width(lines, words, keys)
     usual = lines.join(spaces, list(keys)).withColumn("usual", near_median("bbox", "med_height"))
@@ -201,15 +227,23 @@ def repair_words(words: DataFrame, lines: DataFrame, matched: DataFrame, keys: S
     frame = usual.select(*keys, "line_idx", F.col("bbox.left").alias("line_left"), (F.col("bbox.bottom") - F.col("bbox.top")).alias("line_height"), "usual")
     rows = per_line.join(matched.select(*keys, "line_idx", "updated_line"), [*keys, "line_idx"]).join(frame, [*keys, "line_idx"]).join(widths, list(keys))
 
-    @F.pandas_udf("struct<texts:array<string>,pair_offset:int>")
+    @F.pandas_udf("struct<texts:array<string>,pair_offset:int,error:string>")
     def repair(boxes: pd.Series, line: pd.Series, left: pd.Series, height: pd.Series, usual: pd.Series, med: pd.Series, space: pd.Series, widths: pd.Series) -> pd.DataFrame:
         out = []
         for b, text, x, h, u, m, s, w in zip(boxes, line, left, height, usual, med, space, widths, strict=True):
-            job = LineRepair([r["text"] or "" for r in b], [r["l"] for r in b], [r["r"] for r in b], text or "")
-            pairing, offset = job.solve(job.estimated_spans(dict(w) if w is not None else {}, s, x, 1.0 if u or not m else h / m))
-            out.append((job.repaired(pairing), offset))
-        return pd.DataFrame(out, columns=["texts", "pair_offset"])
+            try:
+                job = LineRepair([r["text"] or "" for r in b], [r["l"] for r in b], [r["r"] for r in b], text or "")
+                pairing, offset = job.solve(job.estimated_spans(dict(w) if w is not None else {}, s, x, 1.0 if u or not m else h / m))
+                out.append((job.repaired(pairing), offset, None))
+            except (ArithmeticError, LookupError, TypeError, ValueError) as error:  # boxes without sides, or not numbers
+                out.append(([None] * len(b), None, repr(error)))
+        return pd.DataFrame({"texts": [o[0] for o in out], "pair_offset": pd.array([o[1] for o in out], "Int32"), "error": [o[2] for o in out]})
 
     fixed = spread(rows, *keys, "line_idx").withColumn("fix", repair("boxes", "updated_line", "line_left", "line_height", "usual", "med_height", "space_width", "widths"))
-    words_of = fixed.select(*keys, "line_idx", "fix.pair_offset", F.explode(F.arrays_zip(F.col("boxes").alias("b"), F.col("fix.texts").alias("t"))).alias("x"))
-    return words_of.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset")
+    words_of = fixed.select(*keys, "line_idx", "fix.pair_offset", "fix.error", F.explode(F.arrays_zip(F.col("boxes").alias("b"), F.col("fix.texts").alias("t"))).alias("x"))
+    return words_of.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset", "error")
+
+
+def document_status(repaired: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, status) of every document of repair_words(): repaired, or the first error of its lines."""
+    return repaired.groupBy(*keys).agg(F.coalesce(F.concat(F.lit("failed: "), F.min("error")), F.lit("repaired")).alias("status"))

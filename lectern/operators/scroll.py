@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,12 +76,16 @@ def frame_maps(lines: DataFrame, page: DataFrame, keys: Sequence[str], page_keys
     """
     last = page.groupBy(*page_keys, F.col("line").alias("updated_line")).agg(F.max(F.struct("line_idx", "top", "bottom")).alias("p"))
     kept = lines.filter(F.col("updated_line") != "") if include_edges else inner_lines(lines, keys)
-    placed = kept.join(last, [*page_keys, "updated_line"]).select(*keys, "line_idx", "bbox", F.col("p.top").alias("top"), F.col("p.bottom").alias("bottom"))
-    a, b = placed.alias("a"), placed.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    pairs = a.join(b, [*same, F.col("a.line_idx") < F.col("b.line_idx")])
-    m = F.try_divide(F.col("b.bottom") - F.col("a.top"), F.col("b.bbox.bottom") - F.col("a.bbox.top"))
-    rows = pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], m.alias("m"), (F.col("a.top") - F.col("a.bbox.top") * m).alias("a"))
+    placed = kept.join(last, [*page_keys, "updated_line"])
+    line = F.struct("line_idx", F.col("bbox.top").alias("ft"), F.col("bbox.bottom").alias("fb"), F.col("p.top").alias("top"), F.col("p.bottom").alias("bottom"))
+    per_frame = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def maps(x: Column, i: Column) -> Column:
+        lower = F.filter(F.slice("lines", i + 2, F.size("lines")), lambda y: y["line_idx"] > x["line_idx"])
+        return F.transform(lower, lambda y: F.struct(F.try_divide(y["bottom"] - x["top"], y["fb"] - x["ft"]).alias("m"), x["top"].alias("top"), x["ft"].alias("ft")))
+
+    pairs = per_frame.select(*keys, F.explode(F.flatten(F.transform("lines", maps))).alias("p"))
+    rows = pairs.select(*keys, F.col("p.m").alias("m"), (F.col("p.top") - F.col("p.ft") * F.col("p.m")).alias("a"))
     return rows.groupBy(*keys).agg(F.median("m").alias("multiplier"), F.median("a").alias("adder")).filter("multiplier IS NOT NULL")
 
 

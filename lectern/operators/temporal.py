@@ -38,11 +38,20 @@ def changes(frames: DataFrame, keys: Sequence[str], time: str, value: str, tie:
     return marked.filter((F.col("__n") == 1) | test).drop("__n")
 
 
-def with_transitions(intervals: DataFrame, transitions: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    """intervals with `transitions`: the sorted times of changes within each, ends included."""
-    inside = intervals.join(transitions.select(*keys, F.col(time).alias("__t")), list(keys), "left")
-    fits = F.when(F.col("__t").between(F.col("start_time"), F.col("end_time")), F.col("__t"))
-    return inside.groupBy(*intervals.columns).agg(F.array_sort(F.collect_list(fits)).alias("transitions"))
+def with_transitions(intervals: DataFrame, transitions: DataFrame, keys: Sequence[str], time: str, bucket: float = 60.0) -> DataFrame:
+    """intervals with `transitions`: the sorted times of changes within each, ends included.
+
+    The range join is an equi-join: an interval is spread over the buckets of time that it touches, and meets the times in them.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket)
+    spread = intervals.select(*intervals.columns, F.explode(F.sequence(at("start_time"), at("end_time"))).alias("__b"))
+    times = transitions.select(*keys, F.col(time).alias("__t"), at(time).alias("__b"))
+    inside = spread.join(times, [*keys, "__b"]).filter(F.col("__t").between(F.col("start_time"), F.col("end_time")))
+    found = inside.groupBy(*intervals.columns).agg(F.array_sort(F.collect_list("__t")).alias("transitions"))
+    a, b = intervals.alias("a"), found.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in intervals.columns]
+    none = F.array().cast(found.schema["transitions"].dataType)
+    return a.join(b, same, "left").select("a.*", F.coalesce("b.transitions", none).alias("transitions"))
 
 
 def in_span(frames: DataFrame, time: str, start: float, end: float) -> DataFrame:

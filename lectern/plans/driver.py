@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -37,14 +37,14 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.best_document(evidence, KEYS)
 
 
-def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.anchored_lines(doc_tokens(spark, sf_dir), _best(spark, sf_dir), match.unique_words(corpus(spark, sf_dir)), KEYS)
+def _anchored(spark: SparkSession, sf_dir: str, best: DataFrame | None = None) -> DataFrame:
+    return match.anchored_lines(doc_tokens(spark, sf_dir), _best(spark, sf_dir) if best is None else best, match.unique_words(corpus(spark, sf_dir)), KEYS)
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matched(spark: SparkSession, sf_dir: str, best: DataFrame | None = None) -> DataFrame:
     """A stage table: what follows reads it several times."""
-    best, anchored = cut(_best(spark, sf_dir)), cut(_anchored(spark, sf_dir))
-    return cut(match.match_lines(doc_lines(spark, sf_dir), doc_tokens(spark, sf_dir), best, corpus(spark, sf_dir), KEYS, anchored))
+    best = cut(_best(spark, sf_dir)) if best is None else best
+    return cut(match.match_lines(doc_lines(spark, sf_dir), doc_tokens(spark, sf_dir), best, corpus(spark, sf_dir), KEYS, cut(_anchored(spark, sf_dir, best))))
 
 
 @query(f"WITH {SQL_BEST} SELECT doc_id, doc_name, score FROM BEST")
@@ -80,7 +80,7 @@ SELECT doc_id, line_idx, Q.doc_name, CAST(greatest(lo, 0) AS INT) AS lo, CAST(le
 FROM Q JOIN (SELECT doc_name, max(line_idx) AS last_ref FROM R GROUP BY doc_name) s ON s.doc_name = Q.doc_name"""
 )
 def gap_fill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.gap_windows(doc_lines(spark, sf_dir), _anchored(spark, sf_dir), corpus(spark, sf_dir), KEYS)
+    return match.gap_windows(doc_lines(spark, sf_dir), cut(_anchored(spark, sf_dir)), corpus(spark, sf_dir), KEYS)
 
 
 @query()
@@ -90,7 +90,17 @@ def fuzzy_line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def repaired_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_words(doc_words(spark, sf_dir), doc_lines(spark, sf_dir), _matched(spark, sf_dir), KEYS)
+    return _repaired(spark, sf_dir)
+
+
+def _repaired(spark: SparkSession, sf_dir: str, best: DataFrame | None = None) -> DataFrame:
+    return repair.repair_words(doc_words(spark, sf_dir), doc_lines(spark, sf_dir), _matched(spark, sf_dir, best), KEYS)
+
+
+@query("SELECT doc_id, 'repaired' AS status FROM documents WHERE doc_id IN (SELECT doc_id FROM A)".join([f"WITH {SQL_BEST} ", ""]))
+def repair_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an anchored line; one whose repair fails would say so instead of ending the job."""
+    return repair.document_status(_repaired(spark, sf_dir), KEYS)
 
 
 @query(f"WITH {SQL_BEST} SELECT doc_id, CAST(avg(CASE WHEN d.line IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS rate FROM L LEFT JOIN (SELECT DISTINCT line FROM R) d ON d.line = L.text GROUP BY doc_id")
@@ -102,7 +112,15 @@ def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.reading_order(doc_words(spark, sf_dir), doc_lines(spark, sf_dir), KEYS)
 
 
-@query()
+@query(
+    f"""WITH {SQL_BOXES}, M AS (SELECT doc_id, median(b - t) AS m FROM LB GROUP BY doc_id),
+CS AS (SELECT LB.doc_id, (t + b) / 2 AS c, m, row_number() OVER (PARTITION BY LB.doc_id ORDER BY (t + b) / 2) AS k FROM LB JOIN M ON M.doc_id = LB.doc_id),
+KC AS (SELECT doc_id, c FROM (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM CS) WHERE before IS NULL OR c >= before + 0.5 * m),
+WL AS (SELECT DISTINCT doc_id, line_idx, (t + b) / 2 AS y FROM B),
+NEAR AS (SELECT doc_id, line_idx, c FROM (SELECT WL.*, c, row_number() OVER (PARTITION BY WL.doc_id, line_idx ORDER BY abs(c - y), c) AS k FROM WL JOIN KC ON KC.doc_id = WL.doc_id AND abs(c - y) <= 40) WHERE k = 1)
+SELECT B.doc_id, B.line_idx, word_idx, text, CAST(row_number() OVER (PARTITION BY B.doc_id ORDER BY c, (l + r) / 2, B.line_idx, word_idx) - 1 AS INT) AS reading_idx
+FROM B JOIN NEAR ON NEAR.doc_id = B.doc_id AND NEAR.line_idx = B.line_idx"""
+)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ordered(spark, sf_dir).select("doc_id", "line_idx", "word_idx", "text", "reading_idx")
 
@@ -118,10 +136,12 @@ def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the words of lines that a corpus line repeats word for word in the document's best text."""
-    matched = _matched(spark, sf_dir).filter("updated_line <> ''").select("doc_id", "line_idx")
-    words = _ordered(spark, sf_dir).join(matched, ["doc_id", "line_idx"], "left_semi").join(_best(spark, sf_dir).select("doc_id", "doc_name"), "doc_id")
-    return ids.assign_ids(words, ids.word_positions(corpus(spark, sf_dir)), KEYS)
+    """Ids of the repaired words of every document with an anchored line, in reading order, in the document's best text."""
+    best = cut(_best(spark, sf_dir))
+    fixed = cut(_repaired(spark, sf_dir, best)).select("doc_id", "line_idx", "word_idx", "text").filter("text <> ''")
+    placed = fixed.join(doc_words(spark, sf_dir).select("doc_id", "line_idx", "word_idx", "bbox"), ["doc_id", "line_idx", "word_idx"])
+    ordered = geometry.reading_order(placed, doc_lines(spark, sf_dir), KEYS)
+    return ids.assign_ids(ordered.join(best.select("doc_id", "doc_name"), "doc_id"), ids.word_positions(corpus(spark, sf_dir)), KEYS)
 
 
 # geometry
@@ -179,7 +199,17 @@ def heatmap_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.heatmap(points, "x", "y")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE C AS (SELECT CAST(floor(l_quantity * 10 / 100) AS INT) AS y_idx, CAST(floor({_POINTS} / 100) AS INT) AS x_idx, count(*) AS n FROM lineitem GROUP BY 1, 2),
+Y AS (SELECT CAST(unnest(range((SELECT max(y_idx) + 1 FROM C))) AS INT) AS y_idx), X AS (SELECT CAST(unnest(range((SELECT max(x_idx) + 1 FROM C))) AS INT) AS x_idx),
+H AS (SELECT Y.y_idx, X.x_idx, CAST(coalesce(n, 0) AS BIGINT) AS count FROM Y CROSS JOIN X LEFT JOIN C ON C.y_idx = Y.y_idx AND C.x_idx = X.x_idx),
+V AS (SELECT v, n, row_number() OVER (ORDER BY v) AS k, sum(n) OVER () AS total FROM (SELECT count AS v, count(*) AS n FROM H GROUP BY 1)),
+R AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS run, CAST(NULL AS BIGINT) AS cut
+  UNION ALL SELECT V.k, CASE WHEN R.run + n >= total / 4.0 THEN 0 ELSE R.run + n END, CASE WHEN R.run + n >= total / 4.0 THEN v END FROM R JOIN V ON V.k = R.k + 1
+)
+SELECT y_idx, x_idx, count, CAST((SELECT count(*) FROM R WHERE cut < H.count) AS INT) AS label FROM H"""
+)
 def equal_mass_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heat map's cells with one of four labels of about equal mass."""
     return geometry.equal_mass_labels(heatmap_bins(spark, sf_dir), "count", 4)
@@ -362,7 +392,18 @@ def highlight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "ts_us", "event_id", "gid", "event_type", "former")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SQL_USABLE}, N AS (SELECT *, (gid + 1) % 8 AS other, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS k FROM V),
+S AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ts_us, CAST(0 AS BIGINT) AS event_id, NULL::VARCHAR AS color, NULL::INT[] AS id_group, NULL::VARCHAR[] AS former, ['view', 'view', 'view', 'view', 'view', 'view', 'view', 'view'] AS state FROM N
+  UNION ALL
+  SELECT N.user_id, N.k, N.ts_us, N.event_id,
+    CASE WHEN state[gid + 1] <> event_type AND state[other + 1] <> event_type THEN event_type END, [gid, other], [state[gid + 1], state[other + 1]],
+    CASE WHEN state[gid + 1] <> event_type AND state[other + 1] <> event_type THEN [CASE WHEN i IN (gid, other) THEN event_type ELSE state[i + 1] END FOR i IN range(8)] ELSE state END
+  FROM S JOIN N ON N.user_id = S.user_id AND N.k = S.k + 1
+)
+SELECT user_id, ts_us, event_id, unnest(id_group) AS gid, color AS text, id_group, color, former FROM S WHERE color IS NOT NULL"""
+)
 def highlight_events_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of two ids: an event's id and the next."""
     rows = _usable(spark, sf_dir).select("user_id", "ts_us", "event_id", F.array("gid", ((F.col("gid") + 1) % 8)).cast("array<int>").alias("global_ids"), F.col("event_type").alias("highlight"), F.col("event_type").alias("text"))
@@ -445,7 +486,7 @@ def _session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored lines as a recording: a corpus item is a session, the documents that match it are its frames."""
     boxes = doc_lines(spark, sf_dir).select("doc_id", "line_idx", "bbox")
     refs = corpus(spark, sf_dir).select("doc_name", F.col("line_idx").alias("ref_idx"), F.col("line").alias("updated_line"))
-    return _anchored(spark, sf_dir).join(boxes, ["doc_id", "line_idx"]).join(refs, ["doc_name", "ref_idx"]).select("doc_name", "doc_id", "line_idx", "updated_line", "bbox")
+    return cut(_anchored(spark, sf_dir)).join(boxes, ["doc_id", "line_idx"]).join(refs, ["doc_name", "ref_idx"]).select("doc_name", "doc_id", "line_idx", "updated_line", "bbox")
 
 
 def _static_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,11 +521,32 @@ def scroll_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scroll.scroll_positions(_maps(spark, sf_dir), 720).select("doc_name", "doc_id", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_BEST}, ML AS (
+  SELECT A.doc_name, A.doc_id, A.line_idx, R.line, A.line_idx * 20.0 AS t, A.line_idx * 20.0 + 12 + length(L.text) % 9 AS b
+  FROM A JOIN R ON R.doc_name = A.doc_name AND R.line_idx = A.ref_idx JOIN L ON L.doc_id = A.doc_id AND L.line_idx = A.line_idx WHERE R.line <> ''
+), FI AS (SELECT doc_name, line, min(line_idx) AS ref_idx FROM R GROUP BY doc_name, line), LA AS (SELECT doc_name, max(line_idx) AS last_idx FROM R GROUP BY doc_name),
+CH AS (
+  SELECT ML.*, ref_idx, lag(t) OVER w AS pt, lag(b) OVER w AS pb, lag(ML.line) OVER w AS pl FROM ML JOIN FI ON FI.doc_name = ML.doc_name AND FI.line = ML.line
+  WINDOW w AS (PARTITION BY ML.doc_name, doc_id ORDER BY line_idx)
+), AD AS (
+  SELECT CH.* FROM CH JOIN LA ON LA.doc_name = CH.doc_name JOIN R ON R.doc_name = CH.doc_name AND R.line_idx = CASE WHEN ref_idx > 0 THEN ref_idx - 1 ELSE last_idx END
+  WHERE CASE WHEN pl IS NULL THEN ref_idx = 0 ELSE pl = R.line END
+), ME AS (
+  SELECT doc_name, ref_idx, avg(CASE WHEN pt IS NULL THEN t END) AS t0, avg(CASE WHEN pt IS NULL THEN b END) AS b0, avg((t - pt) * (pb - pt)) AS ma, avg((b - pt) * (pb - pt)) AS mb FROM AD GROUP BY doc_name, ref_idx
+), PG AS (
+  SELECT R.doc_name, R.line_idx, R.line, t0, b0, ma, mb FROM R LEFT JOIN ME ON ME.doc_name = R.doc_name AND ME.ref_idx = R.line_idx WHERE R.doc_name IN (SELECT doc_name FROM AD)
+), ST AS (
+  SELECT doc_name, line_idx, line, t0 AS top, b0 AS bottom FROM PG WHERE line_idx = 0
+  UNION ALL SELECT PG.doc_name, PG.line_idx, PG.line, ST.top + ma / (ST.bottom - ST.top), ST.top + mb / (ST.bottom - ST.top) FROM ST JOIN PG ON PG.doc_name = ST.doc_name AND PG.line_idx = ST.line_idx + 1
+)
+SELECT doc_name AS item, doc_name, line_idx, line, round(top, 6) AS top, round(bottom, 6) AS bottom FROM ST"""
+)
 def stitched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _session_lines(spark, sf_dir).withColumn("item", F.col("doc_name"))
     adjacent = scroll.adjacent_lines(lines, corpus(spark, sf_dir), ["item"], ["doc_id"])
-    return scroll.stitched_lines(adjacent, corpus(spark, sf_dir), ["item"])
+    page = scroll.stitched_lines(adjacent, corpus(spark, sf_dir), ["item"])
+    return page.withColumns({c: F.round(c, 6) for c in ("top", "bottom")})
 
 
 # more of geometry, text and colour
@@ -495,7 +557,12 @@ def words_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.out_of_image(doc_words(spark, sf_dir), 1280, 720).select("doc_id", "line_idx", "word_idx")
 
 
-@query()
+@query(
+    f"""WITH {SQL_BOXES}, E AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (r - l) * (b - t) DESC, line_idx, word_idx) - 1 AS INT) AS index,
+  text, 'white' AS highlight, CAST(floor(l) AS INT) AS "left", CAST(floor(t) AS INT) AS top, CAST(floor(r) AS INT) AS "right", CAST(floor(b) AS INT) AS bottom
+FROM B WHERE NOT (l >= 1280 OR r >= 1280 OR t >= 720 OR b >= 720) AND b - t > 5 AND b - t < 70)
+SELECT doc_id, '[' || string_agg(CAST(to_json({{'index': index, 'text': text, 'highlight': highlight, 'left': "left", 'top': top, 'right': "right", 'bottom': bottom}}) AS VARCHAR), ',' ORDER BY index) || ']' AS words FROM E GROUP BY doc_id"""
+)
 def editable_words_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.words_json(editable_words(spark, sf_dir), KEYS)
 
@@ -595,4 +662,49 @@ def filled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled_lines(corpus(spark, sf_dir)).select("doc_name", "line_idx", "line")
 
 
-__all__ = ["QUERIES", "SQL", "Window"]
+@query(
+    f"""WITH {_SQL_MAPS.replace("PR AS (", """IL AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_name, doc_id ORDER BY line_idx) AS up, row_number() OVER (PARTITION BY doc_name, doc_id ORDER BY line_idx DESC) AS down FROM SL) WHERE up > 1 AND down > 1
+), PR AS (""").replace("FROM SL a JOIN SL b", "FROM IL a JOIN IL b")} SELECT doc_name, doc_id, round(multiplier, 6) AS multiplier, round(adder, 6) AS adder FROM MAPS"""
+)
+def inner_affine_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps from the lines within each frame, without the first and last, which a screen's edge may cut."""
+    maps = scroll.frame_maps(_session_lines(spark, sf_dir), _static_page(spark, sf_dir), ["doc_name", "doc_id"], ["doc_name"])
+    return maps.select("doc_name", "doc_id", F.round("multiplier", 6).alias("multiplier"), F.round("adder", 6).alias("adder"))
+
+
+@query(
+    f"""WITH {_SQL_USABLE}, C AS (SELECT user_id, CASE WHEN gid = 0 THEN -1 ELSE gid END AS id, event_type, lag(event_type, 1, 'view') OVER (PARTITION BY user_id, gid ORDER BY ts_us, event_id) AS former FROM V)
+SELECT user_id, count(*) AS written, count(*) FILTER (WHERE id <> -1) AS kept FROM C WHERE event_type <> former GROUP BY user_id"""
+)
+def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as JSON, read again: their entries, and those that are left without the failed id."""
+    rows = _usable(spark, sf_dir).withColumn("gid", F.when(F.col("gid") == 0, -1).otherwise(F.col("gid")))
+    log = highlights.change_log(rows, USER, "gid", "event_type", ["ts_us", "event_id"], "view", exclude_failed=False)
+    events = log.select("user_id", "ts_us", "gid", F.col("event_type").alias("text"), F.array("gid").alias("id_group"), F.col("event_type").alias("color"), F.array("former").alias("former"))
+    report = F.from_json("report", highlights.REPORT)
+    entries = highlights.report_json(events, USER, "ts_us").select("user_id", F.flatten(F.map_values(report)).alias("entries"))
+    return entries.select("user_id", F.size("entries").cast("long").alias("written"), F.size(highlights.without_failed("entries")).cast("long").alias("kept"))
+
+
+@query(
+    """WITH E AS (SELECT event_id, (event_id % 1000) / 100.0 AS t FROM events)
+SELECT event_id, CAST(round(t * 10) AS INT) AS tick, CAST(floor(t / CAST(0.1 AS DOUBLE)) AS INT) AS of_bound, CAST(floor(t * 10) AS INT) AS of_event FROM (SELECT event_id, CAST(t AS DOUBLE) AS t FROM E)"""
+)
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    rows = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 1000) / 100.0).alias("t"))
+    return rows.select("event_id", S.tick(t).alias("tick"), S.tick_of_bound(t).alias("of_bound"), S.tick_of_event(t).alias("of_event"))
+
+
+@query(
+    f"""WITH {SQL_CORPUS}, SP AS (SELECT doc_name, line_idx AS word, CAST(sum(length(line)) OVER (PARTITION BY doc_name ORDER BY line_idx) - length(line) AS BIGINT) AS s, length(line) AS n FROM R),
+P AS (SELECT doc_name, CAST(unnest(range(0, total, 7)) AS BIGINT) AS position FROM (SELECT doc_name, CAST(sum(n) AS BIGINT) AS total FROM SP GROUP BY doc_name))
+SELECT P.doc_name, position, word FROM P JOIN SP ON SP.doc_name = P.doc_name AND position >= s AND position < s + n"""
+)
+def words_of_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh character of a text, with the line of its page that it lies in."""
+    spans = highlights.char_spans(corpus(spark, sf_dir).withColumnRenamed("line_idx", "word"), ["doc_name"], "word", "line").filter(F.col("end") > F.col("start"))
+    totals = spans.groupBy("doc_name").agg(F.max("end").alias("total"))
+    positions = totals.select("doc_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(7).cast("long"))).alias("position"))
+    return highlights.word_of_char(positions, spans, ["doc_name"], "position", "word")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bbox, epoch_micros, lines, tokens
@@ -31,18 +31,14 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_idx, word_idx, text, bbox, highlight): 8 pixels a character and a space, moved by up to 2 pixels.
 
-    A word's left edge is folded over its line's tokens, so the rows need no window.
+    A word's left edge is a running sum over its line, linear in the line; rows leave partitioned and sorted by line.
     """
-    rows = doc_lines(spark, sf_dir)
-    start = F.aggregate(
-        tokens("text"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<word:string,at:bigint>>").alias("all")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.array_append(acc["all"], F.struct(w.alias("word"), acc["at"].alias("at"))).alias("all")),
-    )
-    words = rows.select("doc_id", "line_idx", F.col("bbox").alias("line_box"), F.posexplode(start["all"]).alias("word_idx", "w"))
-    left = F.col("w.at") * 8 + F.col("word_idx") % 3
-    box = bbox(left, F.col("line_box.top"), left + F.length("w.word") * 8, F.col("line_box.bottom"))
-    return words.select("doc_id", "line_idx", "word_idx", F.col("w.word").alias("text"), box.alias("bbox"), F.lit(None).cast("string").alias("highlight"))
+    words = doc_lines(spark, sf_dir).select("doc_id", "line_idx", F.col("bbox").alias("line_box"), F.posexplode(tokens("text")).alias("word_idx", "word"))
+    upto = Window.partitionBy("doc_id", "line_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = (F.sum(F.length("word") + 1).over(upto) - F.length("word") - 1) * 8 + F.col("word_idx") % 3
+    placed = words.withColumn("l", left)
+    box = bbox(F.col("l"), F.col("line_box.top"), F.col("l") + F.length("word") * 8, F.col("line_box.bottom"))
+    return placed.select("doc_id", "line_idx", "word_idx", F.col("word").alias("text"), box.alias("bbox"), F.lit(None).cast("string").alias("highlight"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

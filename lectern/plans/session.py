@@ -6,9 +6,12 @@ from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Constraint propagation grows exponentially with chains of aliases: plans of a second then take minutes to optimise.
+    """A session of the same application with the caller's settings and these; the caller's own session stays as it is.
+
+    Constraint propagation grows exponentially with chains of aliases: plans of a second then take minutes to optimise.
 
     What it gives up, inferred null checks on join keys, the inner joins here do without.
     """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    return spark
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return own

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where none is, a temporary one if driver and executors are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lectern-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder (spark.checkpoint.dir; a temporary one where none is set) and read from there.
+    """df, written to the checkpoint folder and read from there.
 
     A stage that is used several times is planned and computed once, and a lost executor costs that stage.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -210,6 +210,44 @@ def test_heatmap_fills_zeros(spark):
     assert rows(geometry.heatmap(df, "x", "y"), "y_idx", "x_idx", "count") == [(0, 0, 1), (0, 1, 0), (0, 2, 1)]
 
 
+def test_heatmap_keeps_negative_cells(spark):
+    df = spark.createDataFrame([(5.0, -150.0), (-1.0, 5.0)], "x double, y double")
+    got = rows(geometry.heatmap(df, "x", "y"), "y_idx", "x_idx", "count")
+    assert got == [(-2, -1, 0), (-2, 0, 1), (-1, -1, 0), (-1, 0, 0), (0, -1, 1), (0, 0, 0)]
+
+
+def test_transitions_within_intervals(spark):
+    """Touching and overlapping intervals each get the times within their ends, whatever the buckets."""
+    rng = random.Random(9)
+    spans = [("s", f"p{i}", a, a + d) for i, (a, d) in enumerate((rng.uniform(0, 900), rng.choice([0.0, 5.0, 400.0])) for _ in range(25))] + [("s", "x", 100.0, 160.0), ("s", "y", 160.0, 160.0), ("t", "z", 0.0, 9.0)]
+    times = [("s", rng.uniform(0, 1000)) for _ in range(60)] + [("s", 100.0), ("s", 160.0)]
+    a = spark.createDataFrame(spans, "s string, part string, start_time double, end_time double")
+    b = spark.createDataFrame(times, "s string, t double")
+    want = {p: sorted(t for k, t in times if k == s and lo <= t <= hi) for s, p, lo, hi in spans}
+    for bucket in (60.0, 7.0, 5000.0):
+        assert {r["part"]: r["transitions"] for r in temporal.with_transitions(a, b, ["s"], "t", bucket).collect()} == want
+
+
+def test_a_line_that_cannot_be_repaired_is_a_row(spark):
+    lines = spark.createDataFrame([(1, 0), (2, 0)], "doc_id int, line_idx int").withColumn("bbox", S.bbox(F.lit(0), F.lit(0), F.lit(99), F.lit(16)))
+    box = S.bbox(F.when(F.col("doc_id") == 1, F.col("word_idx") * 50.0), F.lit(0.0), F.when(F.col("doc_id") == 1, F.col("word_idx") * 50.0 + 40), F.lit(16.0))
+    words = spark.createDataFrame([(d, 0, i, w) for d in (1, 2) for i, w in enumerate(["quick", "brown"])], "doc_id int, line_idx int, word_idx int, text string").withColumn("bbox", box)
+    matched = spark.createDataFrame([(1, 0, "quick brown"), (2, 0, "quick brown")], "doc_id int, line_idx int, updated_line string")
+    fixed = repair.repair_words(words, lines, matched, ["doc_id"])
+    got = {(r["doc_id"], r["word_idx"]): (r["text"], r["error"] is None) for r in fixed.collect()}
+    assert got == {(1, 0): ("quick", True), (1, 1): ("brown", True), (2, 0): (None, False), (2, 1): (None, False)}
+    status = {r["doc_id"]: r["status"] for r in repair.document_status(fixed, ["doc_id"]).collect()}
+    assert status[1] == "repaired"
+    assert status[2].startswith("failed: ")
+
+
+def test_reports_are_read_as_they_are_written(spark):
+    events = spark.createDataFrame([("s", 1.5, g, "w", [g], "yellow", ["white"]) for g in (-1, 3)] + [("s", 2.0, 4, None, [4], "blue", ["white"])], "s string, t double, gid int, text string, id_group array<int>, color string, former array<string>")
+    report = highlights.report_json(events, ["s"], "t").select(F.from_json("report", highlights.REPORT).alias("r"))
+    kept = report.select(F.transform_values("r", lambda _, v: highlights.without_failed(v)).alias("r")).first()["r"]
+    assert {k: [(e["id"], e["former colors"]) for e in v] for k, v in kept.items()} == {"1.5": [(3, ["white"])], "2.0": [(4, ["white"])]}
+
+
 def test_edits(spark):
     words = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", "white")], "d int, index int, text string, highlight string")
     changed = spark.createDataFrame([(1, 1, "B", "yellow")], "d int, index int, text string, highlight string")
@@ -265,5 +303,8 @@ def test_image_udfs(spark):
     image[10:20, 20:40] = 10
     df = spark.createDataFrame(pd.DataFrame({"content": [image.tobytes()], "previous": [None], "height": [40], "width": [80]}), "content binary, previous binary, height int, width int")
     assert images.differing_frames(df).first()["differs"]
+    part = images.cropped(df, x=(10, 30), y=(None, 20)).first()
+    assert (part["height"], part["width"]) == (20, 20)
+    assert (images.to_array(part["content"], 20, 20) == image[:20, 10:30]).all()
     boxed = df.withColumn("boxes", F.array(S.bbox(F.lit(15), F.lit(8), F.lit(50), F.lit(30))))
     assert images.highlight_words(boxed).first()["found"][0]["highlight"] == "white"
