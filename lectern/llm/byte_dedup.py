@@ -274,3 +274,28 @@ def op2(docs: DataFrame) -> DataFrame:
     return remove_repeated_bytes(docs).select(
         external_id("did").alias("doc_id"), "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), win AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM t WHERE n >= 100)
+), ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM win
+), gone AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM ranked WHERE k > 1
+), numbered AS (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM gone
+), spans AS (
+  SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans
+), kept AS (
+  SELECT p.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS front
+  FROM pieces p JOIN t ON t.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN kept.doc_id IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.scratch import shared_folder
 from .textscan import SPACE, words
 
 #: A null id ranks after every other id; inside an operator it is held as this value.
@@ -23,14 +25,41 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
+    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where it is unset in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-    return sc.getCheckpointDir().rstrip("/")
+    path = shared_folder(spark)
+    if sc.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(path)
+        path = sc.getCheckpointDir()
+    return path.rstrip("/")
+
+
+_LOCK = threading.Lock()
+_WRITING: dict[int, int] = {}
+_BEFORE: dict[int, str | None] = {}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, shuffle files of what is finished are released at once; the setting is restored after the last of
+    the writes that run at a time."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        if not _WRITING.get(key):
+            _BEFORE[key] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITING[key] = _WRITING.get(key, 0) + 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING[key] -= 1
+            if not _WRITING[key]:
+                before = _BEFORE.pop(key)
+                if before is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, before)
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -40,15 +69,8 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table

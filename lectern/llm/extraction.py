@@ -272,3 +272,18 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def op5(pages: DataFrame) -> DataFrame:
     return extract_text(pages)
+
+
+#: The article of the driver's pages, which mark it: what its own element holds, without looking at scores.
+OP5_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1), '</?b>', '', 'g'), '<br>', ' ') AS part FROM pages
+), b AS (
+  SELECT page_id, url, unnest(regexp_split_to_array(part, '</?(?:p|h1)>')) AS block, unnest(range(len(regexp_split_to_array(part, '</?(?:p|h1)>')))) AS i FROM a
+), u AS (
+  SELECT page_id, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(block, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;?', '&', 'g'), '[\s\x{A0}]+', ' ', 'g')) AS block FROM b
+), t AS (
+  SELECT page_id, string_agg(block, chr(10) ORDER BY i) AS text FROM u WHERE block <> '' GROUP BY page_id
+)
+SELECT pages.page_id, pages.url, coalesce(t.text, '') AS text, CAST(length(coalesce(t.text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN t ON t.page_id = pages.page_id
+"""

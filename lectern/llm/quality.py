@@ -243,3 +243,48 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op7(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).select(external_id("did").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_SHARES = "CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END"
+OP7_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), c AS (
+  SELECT *, len(ws) AS n, length(text) AS chars, [length(regexp_replace(text, p, '', 'g')) FOR p IN ['[^a-z]', '[^A-Z]', '[^0-9]', '[^\x20\x09-\x0D]', '[^.,;:!?''"()\x2D]', '[^#*$%&|<>]', '[\x00-\x7F]']] AS k FROM w
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), win AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + {REPEAT_WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {REPEAT_WINDOW - 2})) AS s FROM w WHERE len(ws) >= {REPEAT_WINDOW})
+), again AS (
+  SELECT doc_id, count(DISTINCT i) AS words FROM (SELECT doc_id, unnest(range(s, s + {REPEAT_WINDOW})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS m FROM win) WHERE m > 1) GROUP BY doc_id
+), cls AS (
+  SELECT doc_id, lang, chars, unnest(list_append(k, chars - list_sum(k))) AS v, unnest(range(8)) AS i FROM c
+), refcls AS (
+  SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS y FROM cls GROUP BY lang, i
+), cdist AS (
+  SELECT doc_id, sqrt(greatest(sum({_SHARES}) / 2, 0)) AS d FROM (SELECT doc_id, v / chars AS x, y FROM cls JOIN refcls r ON r.i = cls.i AND r.lang IS NOT DISTINCT FROM cls.lang WHERE chars > 0) GROUP BY doc_id
+), vocabulary AS (
+  SELECT unnest([{", ".join(f"'{v}'" for v in dict.fromkeys(COMMON_WORDS))}]) AS word
+), seen AS (
+  SELECT doc_id, lang, n, coalesce(v.word, '') AS word, count(*) AS m FROM (SELECT doc_id, lang, n, unnest(ws) AS word FROM c) x
+  LEFT JOIN vocabulary v ON v.word = translate(x.word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY ALL
+), refword AS (
+  SELECT lang, word, sum(m) / sum(sum(m)) OVER (PARTITION BY lang) AS y FROM seen GROUP BY lang, word
+), wdist AS (
+  SELECT doc_id, sqrt(greatest((sum({_SHARES}) + 1 - sum(y)) / 2, 0)) AS d FROM (SELECT doc_id, m / n AS x, y FROM seen JOIN refword r ON r.word = seen.word AND r.lang IS NOT DISTINCT FROM seen.lang) GROUP BY doc_id
+), other AS (
+  SELECT c.doc_id, coalesce(m, 0) / c.n AS o, coalesce(y, 0) AS ro FROM c LEFT JOIN seen ON seen.doc_id = c.doc_id AND seen.word = '' LEFT JOIN refword r ON r.word = '' AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.n > 0
+), split AS (
+  SELECT doc_id, unnest([o, 1 - o]) AS x, unnest([ro, 1 - ro]) AS y FROM other WHERE o > ro
+), sdist AS (
+  SELECT doc_id, sqrt(greatest(sum({_SHARES}) / 2, 0)) AS d FROM split GROUP BY doc_id
+), size AS (
+  SELECT lang, count(*) AS docs FROM w GROUP BY lang
+), f AS (
+  SELECT c.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(k[6] AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(words, 0) AS BIGINT) AS n_repeat_words, n < {MIN_WORDS} OR 100 * coalesce(words, 0) > {MAX_REPEAT_PERCENT} * n AS base_failed,
+    docs >= {MIN_REFERENCE_DOCS} AND (chars >= {MIN_CLASS_CHARS} AND coalesce(cdist.d, 0) > {MAX_CLASS_DISTANCE} OR n >= {MIN_COMMON_WORDS} AND (coalesce(wdist.d, 0) > {MAX_COMMON_DISTANCE} OR coalesce(sdist.d, 0) > {MAX_SHARE_DISTANCE})) AS far
+  FROM c LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id) LEFT JOIN sdist USING (doc_id) JOIN size ON size.lang IS NOT DISTINCT FROM c.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM f
+"""

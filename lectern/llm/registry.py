@@ -29,4 +29,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    """Keys drawn from 64-bit hashes (op3, op6) and a tokenizer's ids (op8) have no SQL form; tests compare those by brute force."""
+    return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op2_byte_dedup": byte_dedup.OP2_SQL,
+        "op4_warc": warc.OP4_SQL,
+        "op5_extraction": extraction.OP5_SQL,
+        "op7_quality": quality.OP7_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
+    }

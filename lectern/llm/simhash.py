@@ -238,13 +238,18 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     before = state(table)
     while before[0]:
         few = 1 + before[0] // ROUND_ROWS  # a round over few edges needs few tasks, and files
+        # minima are written, so that the joins stand between two exchanges and the edges of a node that has very many can be split
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_min_of(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = materialise(_min_of(both).coalesce(few), label)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large.coalesce(few), label)
+        own = materialise(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), label)
+        small = large.join(own, "u")
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        before_table, table = table, materialise(following.coalesce(few), label)
-        discard(before_table)
+        following = materialise(hung.unionByName(own.select("u", F.col("m").alias("v"))).distinct().coalesce(few), label)
+        for spent in (table, least, large, own):
+            discard(spent)
+        table = following
         after = state(table)
         if after == before:
             break

@@ -314,3 +314,16 @@ def archive_pages(pages: DataFrame, path: str | None = None, **columns: str) ->
 
 def op4(pages: DataFrame) -> DataFrame:
     return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h) AS n, [CAST('0x' || substr(sha1(h), 1 + 5 * i, 5) AS INT) FOR i IN range(8)] AS v, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]], '') FOR x IN v], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
