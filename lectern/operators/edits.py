@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import longest_interval
+
 
 def overlay(frames: DataFrame, edited: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """frames in which what an edited row has takes precedence; `edited_by_human` says where."""
@@ -41,6 +43,17 @@ def next_frame(pending_frames: DataFrame, keys: Sequence[str], time: str) -> Dat
     return pending_frames.groupBy(*keys).agg(F.min(time).alias(time))
 
 
+def report_frames(events: DataFrame, keys: Sequence[str], time: str, gid: str = "gid") -> DataFrame:
+    """(keys, time, changes) of the frames in a change log, with the number of changes whose id was assigned: those to look at."""
+    return events.groupBy(*keys, time).agg(F.count(F.when(F.col(gid) != -1, 1)).alias("changes"))
+
+
+def longest_interval_frames(intervals: DataFrame, part: str, keys: Sequence[str], time: str = "t") -> DataFrame:
+    """(keys, time): the transitions of the interval of a part whose transitions span most, the first on a tie."""
+    chosen = longest_interval(intervals.filter(F.col("part") == part), keys)
+    return chosen.select(*keys, F.explode("transitions").alias(time))
+
+
 def usable_documents(documents: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Documents that parsed without an error and have a line."""
     fine = documents.filter(~F.coalesce("raised_error", F.lit(False)))

@@ -708,3 +708,25 @@ def words_of_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = spans.groupBy("doc_name").agg(F.max("end").alias("total"))
     positions = totals.select("doc_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(7).cast("long"))).alias("position"))
     return highlights.word_of_char(positions, spans, ["doc_name"], "position", "word")
+
+
+@query(
+    f"""WITH {_SQL_USABLE}, C AS (SELECT user_id, ts_us, CASE WHEN gid = 0 THEN -1 ELSE gid END AS id, event_type, lag(event_type, 1, 'view') OVER (PARTITION BY user_id, gid ORDER BY ts_us, event_id) AS former FROM V)
+SELECT user_id, ts_us, count(*) FILTER (WHERE id <> -1) AS changes FROM C WHERE event_type <> former GROUP BY user_id, ts_us"""
+)
+def report_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames to edit because a highlight changed in them; id 0 stands for failed assignments."""
+    rows = _usable(spark, sf_dir).withColumn("gid", F.when(F.col("gid") == 0, -1).otherwise(F.col("gid")))
+    return edits.report_frames(highlights.change_log(rows, USER, "gid", "event_type", ["ts_us", "event_id"], "view", exclude_failed=False), USER, "ts_us")
+
+
+@query(
+    f"""WITH {SQL_FRAMES}, T AS (SELECT user_id, day, max(ts_us) - min(ts_us) AS span, min(ts_us) AS start FROM F WHERE event_type = 'view' GROUP BY user_id, day),
+B AS (SELECT user_id, day FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY span DESC, start) AS k FROM T) WHERE k = 1)
+SELECT F.user_id, ts_us AS t FROM F JOIN B ON B.user_id = F.user_id AND B.day = F.day WHERE event_type = 'view'"""
+)
+def longest_interval_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames to edit: those of the longest interval of viewing, a day being an interval."""
+    rows = frames(spark, sf_dir)
+    spans = rows.groupBy("user_id", F.col("event_type").alias("part"), "day").agg(F.min("ts_us").alias("start_time"), F.max("ts_us").alias("end_time"), F.array_sort(F.collect_list("ts_us")).alias("transitions"))
+    return edits.longest_interval_frames(spans, "view", USER)

@@ -34,6 +34,34 @@ def test_hocr(spark, folder):
     assert words[0]["title"]["x_wconf"] == "93"
 
 
+@pytest.mark.parametrize(("n_lines", "n_words"), [(45, 453), (52, 687)])
+def test_pages_of_usual_size(spark, tmp_path, n_lines, n_words):
+    """Two columns of paragraphs: every line and word is found, with its box and in its place."""
+    share = [n_words // n_lines + (i < n_words % n_lines) for i in range(n_lines)]
+    parts, want = [], []
+    for i, n in enumerate(share):
+        x, y = (0, i * 20) if i < n_lines // 2 else (900, (i - n_lines // 2) * 20)
+        spans = []
+        for j in range(n):
+            text = f"w{i}-{j}" if j % 5 else f"<em>n{i}&amp;{j}</em>"
+            spans.append(f"<span class='ocrx_word' id='word_1_{len(want) + 1}' title='bbox {x + j * 50} {y} {x + j * 50 + 40} {y + 14}; x_wconf {60 + j}'>{text}</span>")
+            want.append((i, j, f"w{i}-{j}" if j % 5 else f"n{i}&{j}", (float(x + j * 50), float(y), float(x + j * 50 + 40), float(y + 14))))
+        line = f"<span class='ocr_line' id='line_1_{i + 1}' title=\"bbox {x} {y} {x + 800} {y + 14}; baseline 0 -3\">{' '.join(spans)}\n</span>"
+        parts.append(f"<p class='ocr_par'>{line}" if i % 6 == 0 else line)
+        if i % 6 == 5 or i == n_lines - 1:
+            parts.append("</p>")
+        if i == n_lines // 2:
+            parts.append("</p></div><div class='ocr_carea'><p class='ocr_par'>" if i % 6 != 5 else "</div><div class='ocr_carea'>")
+    body = "\n".join(parts)
+    page = PAGE[: PAGE.index("<p class='ocr_par'>")] + body + "</div></div></body></html>"
+    (tmp_path / "01-02.5.hocr").write_text(page)
+    pages = hocr.read_hocr(spark, f"file://{tmp_path}")
+    words = hocr.hocr_words(pages).orderBy("line_idx", "word_idx").collect()
+    assert [(r["line_idx"], r["word_idx"], r["text"], tuple(r["bbox"])) for r in words] == want
+    assert len({r["line_idx"] for r in words}) == n_lines
+    assert {r["t"] for r in words} == {62.5}
+
+
 def test_hocr_round_trip(spark, folder, tmp_path):
     words = hocr.hocr_words(hocr.read_hocr(spark, f"file://{folder}"))
     out = writers.hocr_text(words, ["path"]).first()["value"]
