@@ -7,8 +7,8 @@ place travel as one run with the bytes around them. Within a group, further most
 bytes split the windows until they differ or the depth is reached; groups that are left are exactly the repeats.
 
 Runs with equal bytes need no passes against each other: all but the first are removed whole. Each task does so
-slice by slice among its own texts before the exchange, so a hot passage arrives a few times, not once a copy. Hashes only deal
-windows out: what is removed has been compared byte by byte.
+among its own texts before the exchange, within a slice and against REMEMBERED runs of its earlier slices, so a hot passage arrives
+once a task, not once a copy. Hashes only deal windows out: what is removed has been compared byte by byte.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .textscan import Ranges, byte_table, flat, merged, mix, sliding_min, unequa
 WINDOW, GRAM, DIGIT, PLACE = 100, 32, 8, (1 << 30) - 1
 #: Windows that are sorted in memory at once, and owned places of a gram beyond which its windows are dealt out one by one.
 GROUP_WINDOWS, HOT_GRAM = 500_000, 20_000
+#: Repeated runs that a task remembers from slice to slice; beyond them copies are only settled after the exchange.
+REMEMBERED = 1 << 16
 
 _ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())])
 _RUN = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("bytes", pa.binary())])
@@ -89,6 +91,8 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs with a shared gram; those that are settled have no bytes and a place of their own as key."""
+    firsts: dict[tuple[int, int], tuple[int, int, bytes]] = {}  # by gram and hash of the run: smallest id and place, bytes
+    known = np.zeros(0, np.uint64)
     for rows, data, off, base in byte_pieces(batches, "text", WINDOW - 1):
         values = np.unique(np.asarray(rows.column("shared").flatten()).view(np.uint64))
         if not len(values):
@@ -120,6 +124,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[order] = head
         gone = np.flatnonzero(settled)
         settled[gone[unequal(data, start[gone], start[first[gone]], n[gone] + WINDOW - 1)]] = False
+        heads = np.unique(head)
+        maybe = heads[np.isin(whole[heads], known)]
+        gone_heads = set()
+        for i in maybe.tolist():
+            before = firsts.get((int(owned[i]), int(whole[i])))
+            if before and before[:2] < (int(did[i]), int(pos[i])) and before[2] == data[start[i] : start[i] + n[i] + WINDOW - 1].tobytes():
+                gone_heads.add(i)
+        if gone_heads:  # their copies have been compared with them
+            settled |= np.isin(first, np.fromiter(gone_heads, np.int64)) & (settled | (first == np.arange(len(first))))
+        for i in np.setdiff1d(first[settled], np.fromiter(gone_heads, np.int64, len(gone_heads))).tolist():
+            place = (int(owned[i]), int(whole[i]))
+            before = firsts.get(place)
+            if len(firsts) < REMEMBERED if before is None else before[:2] > (int(did[i]), int(pos[i])):
+                firsts[place] = (int(did[i]), int(pos[i]), data[start[i] : start[i] + n[i] + WINDOW - 1].tobytes())
+        if len(firsts) > len(known):
+            known = np.unique(np.fromiter((k[1] for k in firsts), np.uint64, len(firsts)))
         key = np.where(settled, mix(did.view(np.uint64) * np.uint64(31) + pos.view(np.uint64)), owned)
         size = np.where(settled, 0, n + WINDOW - 1)
         for lo in range(0, len(start), 4096):

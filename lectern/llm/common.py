@@ -73,9 +73,25 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    for made in getattr(_SCOPES, "open", ()):
+        made.append(table)
     return table
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[DataFrame]]:
+    """The tables that this thread materialises meanwhile: the caller discards those that are spent."""
+    made: list[DataFrame] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", ()), made]
+    try:
+        yield made
+    finally:
+        _SCOPES.open.pop()
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that materialise() gave and that no later step reads."""
     jvm = table.sparkSession._jvm

@@ -90,7 +90,7 @@ def _chunk(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, text_sha256, recipe) with identifiers that are verified against the chunks' bytes."""
-    base = docs.select(internal_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(internal_id(quoted(id_col)).alias("did"), F.col(quoted(text_col)).cast("string").alias("text"))
     for seed in range(8):
         table = materialise(
             base.mapInArrow(lambda it, seed=seed: _chunk(it, seed), "did long, text_sha256 string, recipe binary, chunks array<struct<id:binary,chunk:binary>>"),

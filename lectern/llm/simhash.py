@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, external_id, internal_id, materialise, record_batches, slices
+from .common import discard, external_id, internal_id, materialise, quoted, record_batches, scratch_scope, slices
 from .textscan import Ranges, mix, range_hashes, words
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
@@ -263,10 +263,10 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Fingerprints link at THRESHOLD or fewer differing bits; component is the smallest id reachable over links, component_tag the
     smallest tag of the rows with that id. Nodes are fingerprints, so unlike texts under one id, or under none, are not joined by it.
     A text without words (null, empty, blank) has fingerprint zero and links like any other; a null id ranks last;
-    repeated rows share their component; an empty table gives no rows.
+    repeated rows share their component; a very long text is one slice; an empty table gives no rows; names of other columns don't matter.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(internal_id(id_col).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), text.alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, tag long, fp long"), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first")), "nodes")
     return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))))
@@ -399,8 +399,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest tag of the rows with that id. Texts without words are alike; A-Z are lower-cased; a null id ranks last; texts that share an id
     stay apart; repeated rows share their component; an empty table gives no rows.
     """
-    text, tag = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(F.col(text_col).cast("string"))
-    base = docs.select(internal_id(id_col).alias("did"), tag.alias("tag"), text.alias("text"))
+    text = F.col(quoted(text_col)).cast("string")
+    base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     rows = materialise(base.mapInArrow(lambda it: _sketches(it, shingle), "did long, tag long, fp long, size long, bands array<long>"), "sketches")
     nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
@@ -408,7 +408,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("fp", F.explode("bands").alias("key"))
     hubs = materialise(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs")
     meeting = banded.join(hubs, "key").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    reached = materialise(components(meeting, "meetings"), "groups")
+    with scratch_scope() as spent:
+        reached = materialise(components(meeting, "meetings"), "groups")
+    for table in (hubs, *(t for t in spent if t is not reached)):
+        discard(table)
     members = reached.select(F.col("node").alias("fp"), F.col("component").alias("grp")).unionByName(reached.select(F.col("component").alias("fp"), F.col("component").alias("grp")).distinct())
     # written, so that the join below stands between two exchanges and a group of very many texts can be split
     sized = materialise(members.join(nodes, "fp").select("fp", "grp", "size", "first.did", "first.tag"), "members")
@@ -417,6 +420,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), every) == 0)
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     placed = materialise(sized.join(load, "grp").select("fp", "grp", "did", "tag", "size", "parts", own.alias("part"), anchor.alias("anchor")), "places")
+    for table in (reached, sized):
+        discard(table)
 
     def links_of(sent: DataFrame) -> DataFrame:
         texts = base.join(sent, ["did", "tag"]).select("grp", "part", "chunk", "fp", "query", "text")
@@ -438,7 +443,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of_part = wide.join(chunks, "grp").select("fp", "grp", "did", "tag", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("query"))
         asked = rest.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64(F.col("fp"), F.lit(2)), F.col("chunks")).cast("int"))
         asked = asked.select("fp", "grp", "did", "tag", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", F.lit(True).alias("query"))
-        found = found.unionByName(links_of(of_part.unionByName(asked)))
+        more = links_of(of_part.unionByName(asked))
+        for table in (labelled, chunks):
+            discard(table)
+        found = found.unionByName(more)
+    discard(placed)
     return _grouped(rows.select("did", "tag", "fp"), nodes, found)
 
 

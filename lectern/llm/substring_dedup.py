@@ -9,8 +9,9 @@ Suffixes are cut at the threshold depth (50 words), the only depth that decides.
    one is split by its next words, down to the threshold depth, where only the running first document is held.
 3. A subtree's internal nodes at the threshold depth are the repeats; their leaves in later documents are removed.
 
-Before step 2 each task settles the repeats among its own documents and hands on first occurrences only, so a
-passage that a third of the documents hold reaches the partition of its prefix a few times, not once a copy.
+Before step 2 each task settles the repeats among the documents of a slice and hands on first occurrences only; windows that a slice
+has in several documents are remembered for the task's later slices (up to REMEMBERED of them). So a passage that a third of the
+documents hold reaches the partition of its prefix once a task, not once a copy.
 Words are compared by two independent 64-bit hashes, prefixes and windows by range hashes over them: 64 bits of the first for the
 prefix of 12 words, 32 + 32 bits for the next two levels, and 64 bits of the second for the whole window. The words themselves
 are not compared.
@@ -33,6 +34,8 @@ WINDOW, LEVELS = 50, (12, 24, 37, 50)
 GRAM = 16
 #: Suffixes of one subtree that are held in memory at once.
 SUBTREE_ROWS = 200_000
+#: Shared windows that a task remembers from slice to slice; beyond them copies are only settled later, in the subtrees.
+REMEMBERED = 1 << 18
 
 _ANCHOR = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("tag", pa.int64())])
 _SUFFIX = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("pos", pa.int64()), ("more", pa.list_(pa.int64())), ("settled", pa.bool_())])
@@ -65,7 +68,29 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from record_batches(_ANCHOR, {"h": owned[fresh].view(np.int64), "did": np.asarray(rows.column("did"))[of], "tag": np.asarray(rows.column("tag"))[of]})
 
 
+class Firsts:
+    """Windows that several documents of a task share, each with the smallest id so far, sorted by the last key."""
+
+    def __init__(self) -> None:
+        self.rows = np.zeros((0, 4), np.int64)  # k2, k0, k1, did
+
+    def settled(self, k0: np.ndarray, k1: np.ndarray, k2: np.ndarray, did: np.ndarray) -> np.ndarray:
+        """Which windows have been seen in a document with a smaller id."""
+        if not len(self.rows):
+            return np.zeros(len(did), bool)
+        at = np.minimum(np.searchsorted(self.rows[:, 0], k2), len(self.rows) - 1)
+        known = self.rows[at]
+        return (known[:, 0] == k2) & (known[:, 1] == k0) & (known[:, 2] == k1) & (known[:, 3] < did)
+
+    def add(self, k0: np.ndarray, k1: np.ndarray, k2: np.ndarray, did: np.ndarray) -> None:
+        if len(self.rows) < REMEMBERED and len(did):
+            rows = np.concatenate([self.rows, np.column_stack([k2, k0, k1, did])])
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 0]))]
+            self.rows = rows[np.append(True, rows[1:, 0] != rows[:-1, 0])]
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    firsts = Firsts()
     for rows, data, off, base in word_pieces(batches, "text", WINDOW - 1):
         shared = rows.column("shared")
         values = np.unique(np.asarray(shared.flatten()).view(np.uint64))
@@ -85,7 +110,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k0, k1, k2, did, pos = (x[order] for x in (k0, k1, k2, did, pos))
         new = np.ones(len(k0), bool)
         new[1:] = (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        settled = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
+        head = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        settled = did > did[head][group]
+        keys = [x[head].view(np.int64) for x in (k0, k1, k2)]
+        settled |= firsts.settled(*keys, did[head])[group]
+        shared = np.unique(group[settled])
+        firsts.add(*(x[shared] for x in keys), did[head][shared])
         # a window that its own document repeats travels once, with its other places
         own = new.copy()
         own[1:] |= (did[1:] != did[:-1]) | settled[1:]

@@ -322,3 +322,43 @@ def test_chunks_follow_content():
 def test_empty_tables(empty):
     for op in (substring_dedup.op1, byte_dedup.op2, simhash.op6, exact_dedup.op9):
         assert op(empty).count() == 0
+
+
+@pytest.mark.parametrize("op", [substring_dedup, byte_dedup])
+def test_a_task_hands_on_a_shared_passage_once(op):
+    """Slice by slice: what earlier slices of the task have settled is settled at once, unless a smaller document comes."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{i}" for i in range(300))
+    ids = [[5, 6], [7, 8, 9], [2, 10], [3, 11]]
+    texts = {d: f"{d} {passage} {d}" for x in ids for d in x}
+
+    def batches():
+        shared = set()
+        for x in ids:
+            for out in op._anchors(iter([pa.RecordBatch.from_pydict({"did": x, "tag": [0] * len(x), "text": [texts[d] for d in x]})])):
+                shared.update(out.column("h").to_pylist())
+        for x in ids:
+            columns = {"did": pa.array(x, pa.int64()), "tag": pa.array([0] * len(x), pa.int64()), "text": pa.array([texts[d] for d in x]), "shared": pa.array([sorted(shared)] * len(x), pa.list_(pa.int64())), "hot": pa.array([[]] * len(x), pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    scan, order = (op._suffixes, ["k0", "k1", "k2", "did"]) if op is substring_dedup else (op._runs, ["h", "bytes", "did", "pos"])
+    rows = pa.Table.from_batches(list(scan(batches())))
+    if op is substring_dedup:
+        handed = {d: n for d, n in zip(*np.unique(np.array(rows.filter(pa.compute.invert(rows["settled"]))["did"]), return_counts=True), strict=True)}
+        assert handed[5] > 10 <= handed[2]
+        assert all(handed.get(d, 0) <= 4 for d in (7, 8, 9, 10, 3, 11))  # windows with a number of their own
+    else:
+        size = pa.compute.binary_length(rows["bytes"])
+        handed = {d: sum(1 for x, s in zip(rows["did"].to_pylist(), size.to_pylist(), strict=True) if x == d and s) for d in texts}
+        assert max(handed[d] for d in (7, 8, 9, 10, 3, 11)) <= 6 < 20 < handed[5]
+    table = rows.sort_by([(c, "ascending") for c in order])
+    flagged = {d: set() for d in texts}
+    for out in (op._subtrees if op is substring_dedup else op._sorted_groups)(iter(table.combine_chunks().to_batches())):
+        for d, p, n in zip(*(out.column(c).to_pylist() for c in ("did", "pos", "len")), strict=True):
+            flagged[d].update(range(p, p + n))
+    width = 50 if op is substring_dedup else 100
+    units = {d: t.split() if op is substring_dedup else t for d, t in texts.items()}
+    for d, u in units.items():
+        earlier = {tuple(x[i : i + width]) for e, x in units.items() if e < d for i in range(len(x) - width + 1)}
+        assert flagged[d] == {i for i in range(len(u) - width + 1) if tuple(u[i : i + width]) in earlier}, d
