@@ -40,10 +40,9 @@ def document_evidence(words: DataFrame, dictionary: DataFrame, keys: Sequence[st
 
     Occurrences are counted before the join, so a frequent word meets its texts once a document.
     """
-    word = ascii_text("text")
-    long_enough = words.select(*keys, word.alias("word")).filter(F.length("word") >= MIN_EVIDENCE_LENGTH)
-    counted = long_enough.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    return counted.join(dictionary, "word").groupBy(*keys, "doc_name").agg(F.sum(F.length("word") * F.col("n")).cast("long").alias("score"))
+    counted = words.groupBy(*keys, "text").agg(F.count("*").alias("n")).select(*keys, ascii_text("text").alias("word"), "n")
+    long_enough = counted.filter(F.length("word") >= MIN_EVIDENCE_LENGTH)
+    return long_enough.join(dictionary, "word").groupBy(*keys, "doc_name").agg(F.sum(F.length("word") * F.col("n")).cast("long").alias("score"))
 
 
 def best_document(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
