@@ -265,9 +265,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = _base(docs, id_col, text_col)
     anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long, n long"), "grams", compression="zstd")
     # written, so that the join stands between two exchanges and a gram of very many texts can be split
-    shared = materialise(anchors.groupBy("h").agg(F.sum("n").alias("count")).filter("count > 1"), "counts")
+    shared = materialise(anchors.groupBy("h").agg(F.sum("n").alias("count")).filter("count > 1"), "counts", docs)
     own = [F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("count") > HOT_GRAM, F.col("h"))).alias("hot")]
-    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(*own), "shared")
+    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(*own), "shared", docs)
     discard(anchors)
     discard(shared)
     found = base.join(lists, ["did", "tag"]).mapInArrow(_runs, "h long, did long, pos long, len int, bytes binary")
@@ -283,7 +283,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of places. A text of more than a slice's 4 MB is scanned in overlapping pieces. An empty table gives no rows; names of
     other columns don't matter. What is left may not be valid UTF-8.
     """
-    flags = materialise(repeated_bytes(docs, id_col, text_col), "repeats", compression="zstd")
+    flags = materialise(repeated_bytes(docs, id_col, text_col), "repeats", docs, compression="zstd")
     tag = F.col("pos").bitwiseAND(F.lit(~POSITION)).alias("tag")
     per_doc = flags.groupBy("did", tag).agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
     rows = _base(docs, id_col, text_col).join(per_doc, ["did", "tag"], "left")

@@ -20,6 +20,8 @@ from .textscan import SPACE, words
 NULL_ID = (1 << 63) - 1
 #: Raw text bytes that one vectorised step works on (a longer text is a step of its own).
 SLICE_BYTES = 4 << 20
+#: Bytes that a file of a scratch table has at least, if the table is large enough.
+LEAST_FILE = 4 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -62,12 +64,21 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(_CLEANUP, before)
 
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+def gathered(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df in no more tasks than keep LEAST_FILE bytes each, or three for each core: else a table of many small files stays one, and every
+    step over it. The size is the planner's estimate for `source`, or df: what it can't tell counts as large."""
+    size = (df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, min(int(str(size)) // LEAST_FILE, (1 << 31) - 1)))
+
+
+def materialise(df: DataFrame, label: str, source: DataFrame | None = None, **options: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage is cut and executors may be lost.
 
-    Shuffle files of the finished write are released at once, so they do not add to the next step's.
+    Shuffle files of the finished write are released at once, so they do not add to the next step's. The table has files as
+    gathered() says.
     """
     spark = df.sparkSession
+    df = gathered(df, source)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with _cleaning(spark):
         df.write.options(**options).parquet(path)

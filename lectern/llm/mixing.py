@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = t.join(crossing.withColumnRenamed("t_source", "x_source"), same("t_source", "x_source"), "left").select(
         "t_source", "source_size", "target", "epochs", "rest", F.coalesce("x.range", F.lit(RANGES + 1)).alias("stop"), F.coalesce("x.before", F.lit(0)).alias("before")
     )
-    plan = materialise(plan, "plan")
+    plan = materialise(plan, "plan", rows)
     dealt = rows.join(plan, same("source", "t_source"))
     out = ["did", "tag", "source", "size", "source_size", "target", "epochs", *also]
     whole = dealt.filter(F.col("range") != F.col("stop")).select(*out, F.when(F.col("range") < F.col("stop"), F.col("size")).otherwise(0).alias("part"))

@@ -224,7 +224,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(quoted(text_col)).cast("string")
     base = docs.select(internal_id(quoted(id_col)).alias("row"), F.xxhash64(text).alias("tag"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     stats = materialise(base.mapInArrow(_scan, _DDL), "stats", compression="zstd")
-    refs = materialise(language_references(stats), "references")
+    refs = materialise(language_references(stats), "references", stats)
     other, ref_other = F.element_at("common", -1), F.element_at("ref_common", -1)
     split = divergence(F.array(F.col("n_words") - other, other), F.col("n_words"), F.array(1 - ref_other, ref_other))
     joined = stats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").select(

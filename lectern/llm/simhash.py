@@ -206,7 +206,7 @@ def links(nodes: DataFrame) -> DataFrame:
     crowded = load.filter(F.col("rows") > TILE).select(
         "anchor", F.ceil(F.col("rows") / TILE).cast("int").alias("columns"), F.greatest(F.ceil(F.col("homes") / TILE), F.lit(1)).cast("int").alias("lines")
     )
-    crowded = materialise(crowded, "crowded")
+    crowded = materialise(crowded, "crowded", nodes)
     calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "fp", "node")
     wide = copies.join(crowded, "anchor")
     # in a crowded anchor, a line holds some of the homes and a column some of the rows; each tile is a pair of them
@@ -224,13 +224,13 @@ def _min_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", source: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that reaches a smaller one.
 
     Large-star and small-star steps alternate until the edge table is a set of stars. Each step is a grouped minimum
     and a join on the node; each round is written to the shared folder, so a lost executor costs one round at most.
     """
-    table = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), label)
+    table = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), label, source)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -269,7 +269,7 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, tag long, fp long"), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first")), "nodes")
-    return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))))
+    return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))), docs)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -406,40 +406,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # one text of each band's group stands for it: as many edges as members, and sharing a band is transitive
     banded = nodes.select("fp", F.explode("bands").alias("key"))
-    hubs = materialise(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs")
+    hubs = materialise(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs", docs)
     meeting = banded.join(hubs, "key").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     with scratch_scope() as spent:
-        reached = materialise(components(meeting, "meetings"), "groups")
+        reached = materialise(components(meeting, "meetings", docs), "groups", docs)
     for table in (hubs, *(t for t in spent if t is not reached)):
         discard(table)
     members = reached.select(F.col("node").alias("fp"), F.col("component").alias("grp")).unionByName(reached.select(F.col("component").alias("fp"), F.col("component").alias("grp")).distinct())
     # written, so that the join below stands between two exchanges and a group of very many texts can be split
-    sized = materialise(members.join(nodes, "fp").select("fp", "grp", "size", "first.did", "first.tag"), "members")
+    sized = materialise(members.join(nodes, "fp").select("fp", "grp", "size", "first.did", "first.tag"), "members", docs)
     load = sized.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("parts", _parts("n", "shingles"))
     every = F.greatest(F.floor(F.col("n") / ANCHORS), F.lit(1))
     anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), every) == 0)
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    placed = materialise(sized.join(load, "grp").select("fp", "grp", "did", "tag", "size", "parts", own.alias("part"), anchor.alias("anchor")), "places")
+    placed = materialise(sized.join(load, "grp").select("fp", "grp", "did", "tag", "size", "parts", own.alias("part"), anchor.alias("anchor")), "places", docs)
     for table in (reached, sized):
         discard(table)
 
     def links_of(sent: DataFrame) -> DataFrame:
         texts = base.join(sent, ["did", "tag"]).select("grp", "part", "chunk", "fp", "query", "text")
         dealt = texts.repartition("grp", "part", "chunk").sortWithinPartitions("grp", "part", "chunk", "fp")
-        return materialise(dealt.mapInArrow(lambda it: _resolve(it, shingle, similarity), "u long, v long"), "links")
+        return materialise(dealt.mapInArrow(lambda it: _resolve(it, shingle, similarity), "u long, v long"), "links", docs)
 
     everywhere = F.explode(F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
     found = links_of(placed.select("fp", "grp", "did", "tag", everywhere.alias("part"), F.lit(0).alias("chunk"), F.lit(True).alias("query")))
     wide = placed.filter("parts > 1")
     if not wide.isEmpty():
-        labels = components(found, "labels")
+        labels = components(found, "labels", docs)
         labelled = wide.join(labels, wide["fp"] == labels["node"], "left").select(*wide.columns, F.coalesce("component", "fp").alias("label"))
-        labelled = materialise(labelled, "labelled")
+        labelled = materialise(labelled, "labelled", docs)
         count = labelled.groupBy("grp", "label").agg(F.count("*").alias("n"))
         largest = count.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("x")).select("grp", F.col("x.label").alias("largest"))
         rest = labelled.join(largest, "grp").filter("label <> largest").drop("label", "largest")
         chunks = rest.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("grp", _parts("n", "shingles").alias("chunks"))
-        chunks = materialise(chunks, "chunks")
+        chunks = materialise(chunks, "chunks", docs)
         of_part = wide.join(chunks, "grp").select("fp", "grp", "did", "tag", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("query"))
         asked = rest.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64(F.col("fp"), F.lit(2)), F.col("chunks")).cast("int"))
         asked = asked.select("fp", "grp", "did", "tag", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", F.lit(True).alias("query"))
@@ -448,12 +448,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             discard(table)
         found = found.unionByName(more)
     discard(placed)
-    return _grouped(rows.select("did", "tag", "fp"), nodes, found)
+    return _grouped(rows.select("did", "tag", "fp"), nodes, found, docs)
 
 
-def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame, source: DataFrame) -> DataFrame:
     """rows (did, tag, fp) with the smallest (did, tag) of their component; nodes (fp, first) hold each fingerprint's smallest."""
-    labels = components(edges).withColumnRenamed("component", "reached")
+    labels = components(edges, source=source).withColumnRenamed("component", "reached")
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("reached", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     where = rooted.join(least, "root").select("fp", F.col("least.did").alias("component"), F.col("least.tag").alias("component_tag"))

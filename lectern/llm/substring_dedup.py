@@ -255,8 +255,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = _base(docs, id_col, text_col)
     anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long"), "anchors", compression="zstd")
     # written, so that the join stands between two exchanges and a gram of very many documents can be split
-    shared = materialise(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("h"), "grams")
-    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(F.collect_set("h").alias("shared")), "shared")
+    shared = materialise(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("h"), "grams", docs)
+    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(F.collect_set("h").alias("shared")), "shared", docs)
     discard(anchors)
     discard(shared)
     suffixes = base.join(lists, ["did", "tag"]).mapInArrow(_suffixes, "k0 long, k1 long, k2 long, did long, pos long, more array<long>, settled boolean")
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     under one id are told apart by 33 bits of their hash. A text of more than a slice's 4 MB is scanned in pieces of whole words, but cut
     as a whole: memory follows the longest text's words. An empty table gives no rows; names of other columns don't matter.
     """
-    flags = materialise(repeated_windows(docs, id_col, text_col), "repeats", compression="zstd")
+    flags = materialise(repeated_windows(docs, id_col, text_col), "repeats", docs, compression="zstd")
     tag = F.col("pos").bitwiseAND(F.lit(~POSITION)).alias("tag")
     per_doc = flags.groupBy("did", tag).agg(F.collect_list(F.struct("pos", "len")).alias("flags"))
     rows = _base(docs, id_col, text_col).join(per_doc, ["did", "tag"], "left")

@@ -59,7 +59,7 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("n"), F.sha1("html").alias("sha1"), F.unhex(F.sha2("html", 256)).alias("sha2"))
     same = rows.groupBy("sha1", "sha2", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    shared = materialise(same.filter((F.col("copies") > 1) & (F.col("n") >= min_bytes)).drop("copies"), "payloads")
+    shared = materialise(same.filter((F.col("copies") > 1) & (F.col("n") >= min_bytes)).drop("copies"), "payloads", pages)
     joined = rows.join(shared, ["sha1", "sha2", "n"], "left")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "n", base32(F.col("sha1")).alias("digest"), F.when(later, F.col("first")).alias("refers_to"))
