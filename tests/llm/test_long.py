@@ -88,7 +88,7 @@ def test_pieces_hold_every_window_once():
 
 def test_counts_of_a_text_in_pieces(monkeypatch):
     rng = random.Random(3)
-    text = "\n".join(" ".join(rng.choice(["the", "of", "É%", "Word", "7", "x" * 300]) for _ in range(rng.randrange(9))) for _ in range(700))
+    text = "\n".join(" ".join(rng.choice(["the", "É%", "x" * 300] if rng.random() < 0.1 else ["the", "É%"]) for _ in range(rng.randrange(9))) for _ in range(700))
     data = np.frombuffer(text.encode(), np.uint8)
     want = quality.text_stats(data, np.array([0, len(data)]))
     monkeypatch.setattr(quality, "SLICE_BYTES", 700)
@@ -99,7 +99,7 @@ def test_counts_of_a_text_in_pieces(monkeypatch):
 
 
 def test_memory_of_a_text_of_100_mb():
-    """A scan of op1, op2 and op7 over one text of 100 MB: at most 20 bytes a byte of it, in a process of its own."""
+    """A scan of op1, op2 and op7 over one text of 100 MB: at most 13 bytes a byte of it, in a process of its own."""
     code = """
 import resource, sys
 import numpy as np, pyarrow as pa
@@ -110,7 +110,7 @@ data[rng.integers(0, len(data), len(data) // 6)] = 32
 text = data.tobytes().decode()
 batch = pa.RecordBatch.from_pydict({"did": [1], "tag": [0], "text": [text]})
 del data, text
-base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base = int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() / 1024  # what lives now, not the peak so far
 if sys.argv[1] == "7":
     list(quality._scan(iter([batch.append_column("row", pa.array([1])).append_column("lang", pa.array(["en"]))])))
 else:
@@ -118,6 +118,6 @@ else:
         pass
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) / 1e5)
 """
-    for op, most in (("1", 6), ("2", 6), ("7", 20)):
+    for op, most in (("1", 4), ("2", 4), ("7", 13)):
         out = subprocess.run([sys.executable, "-c", code, op], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ROOT})
         assert float(out.stdout) < most, (op, out.stdout)
