@@ -730,3 +730,10 @@ def longest_interval_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir)
     spans = rows.groupBy("user_id", F.col("event_type").alias("part"), "day").agg(F.min("ts_us").alias("start_time"), F.max("ts_us").alias("end_time"), F.array_sort(F.collect_list("ts_us")).alias("transitions"))
     return edits.longest_interval_frames(spans, "view", USER)
+
+
+@query(f"WITH {SQL_FRAMES} SELECT event_id, user_id, ts_us FROM F WHERE ts_us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-07 00:00:00')")
+def frames_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two days, both ends included, in order of time."""
+    start = 1_704_412_800_000_000  # 2024-01-05 in microseconds
+    return temporal.in_span(frames(spark, sf_dir).select("event_id", "user_id", "ts_us"), "ts_us", start, start + 2 * 86_400_000_000)

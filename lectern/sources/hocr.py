@@ -32,6 +32,17 @@ def read_hocr(spark: SparkSession, path: str, glob: str = "*.hocr") -> DataFrame
     return files.select(F.col("_metadata.file_path").alias("path"), filename_to_time(F.col("_metadata.file_path")).alias("t"), F.col("value").alias("content"))
 
 
+def hocr_elements(pages: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """(path, t, idx, name, kind, element_id, title) of the elements of a page depth first, parents before children: the order of their
+    opening tags. `predicate` is over these columns."""
+    tags = F.regexp_extract_all(_prepare(F.col("content")), F.lit(r"(?s)<[A-Za-z][^<>]*>"), F.lit(0))
+    rows = pages.select("path", "t", F.posexplode(tags).alias("idx", "tag"))
+    quotes = r"""(?:"([^"]*)"|'([^']*)')"""
+    value = lambda a: F.coalesce(F.regexp_substr("tag", F.lit(rf"(?s)(?<=\b{a}=['\"])[^'\"]*")), F.lit("")) if a != "title" else F.concat(*[F.regexp_extract("tag", rf"(?s)\btitle={quotes}", i) for i in (1, 2)])
+    found = rows.select("path", "t", "idx", F.lower(F.regexp_extract("tag", r"<([^\s/>]+)", 1)).alias("name"), value("class").alias("kind"), value("id").alias("element_id"), value("title").alias("title"))
+    return found if predicate is None else found.filter(predicate)
+
+
 def hocr_lines(pages: DataFrame) -> DataFrame:
     """(path, t, line_idx, line_id, title, bbox) of the text lines in document order."""
     xml = pages.withColumn("__x", _prepare(F.col("content")))

@@ -34,6 +34,15 @@ def test_hocr(spark, folder):
     assert words[0]["title"]["x_wconf"] == "93"
 
 
+def test_elements_depth_first(spark, folder):
+    pages = hocr.read_hocr(spark, f"file://{folder}")
+    every = hocr.hocr_elements(pages).orderBy("idx").collect()
+    assert [r["name"] for r in every] == ["html", "head", "title", "body", "div", "div", "p", "span", "span", "span", "strong", "span", "span"]
+    words = hocr.hocr_elements(pages, F.col("kind") == "ocrx_word").orderBy("idx").collect()
+    assert [(r["element_id"], r["title"]) for r in words] == [("word_1_1", "bbox 1 2 10 12; x_wconf 93"), ("word_1_2", "bbox 12 2 30 12; x_wconf 80"), ("word_1_3", "bbox 1 20 30 32; x_wconf 1")]
+    assert [r["title"] for r in every if r["kind"] == "ocr_page"] == ['image "x"; bbox 0 0 100 100']
+
+
 @pytest.mark.parametrize(("n_lines", "n_words"), [(45, 453), (52, 687)])
 def test_pages_of_usual_size(spark, tmp_path, n_lines, n_words):
     """Two columns of paragraphs: every line and word is found, with its box and in its place."""
