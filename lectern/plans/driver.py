@@ -402,12 +402,13 @@ S AS (
     CASE WHEN state[gid + 1] <> event_type AND state[other + 1] <> event_type THEN [CASE WHEN i IN (gid, other) THEN event_type ELSE state[i + 1] END FOR i IN range(8)] ELSE state END
   FROM S JOIN N ON N.user_id = S.user_id AND N.k = S.k + 1
 )
-SELECT user_id, ts_us, event_id, unnest(id_group) AS gid, color AS text, id_group, color, former FROM S WHERE color IS NOT NULL"""
+SELECT user_id, ts_us, event_id, unnest(id_group) AS gid, color AS text, array_to_string(id_group, ',') AS id_group, color, array_to_string(former, ',') AS former FROM S WHERE color IS NOT NULL"""
 )
 def highlight_events_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of two ids: an event's id and the next."""
     rows = _usable(spark, sf_dir).select("user_id", "ts_us", "event_id", F.array("gid", ((F.col("gid") + 1) % 8)).cast("array<int>").alias("global_ids"), F.col("event_type").alias("highlight"), F.col("event_type").alias("text"))
-    return highlights.grouped_change_log(rows, USER, ["ts_us", "event_id"], default="view")
+    log = highlights.grouped_change_log(rows, USER, ["ts_us", "event_id"], default="view")
+    return log.withColumns({"id_group": F.array_join(F.col("id_group").cast("array<string>"), ","), "former": F.array_join("former", ",")})
 
 
 _PAIR_SQL = ", ".join(f"('{n}', {i}, {', '.join(f'{float(v)}' for v in (*bg, *fg))})" for i, (n, (bg, fg)) in enumerate(highlights.COLOUR_PAIRS.items()))
