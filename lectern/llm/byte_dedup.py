@@ -197,19 +197,16 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     Of runs with equal bytes only the first is held, so a group holds at most HOT_GRAM different byte strings.
     """
-    last_h: int | None = None
-    last_bytes = b""
-    held: list[tuple[int, int, int, int, bytes]] = []
+    held: list[tuple[np.ndarray, ...]] = []  # gram, document, place, windows, size, bytes of the runs that wait
     windows = 0
+    last: tuple[int, bytes] | None = None  # gram and bytes of the run before
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        h = np.array([x[0] for x in held], np.int64)
-        did, pos, n = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
-        size = np.array([len(x[4]) for x in held], np.int64)
-        data = np.frombuffer(b"".join(x[4] for x in held) + bytes(7), np.uint8)
-        run, step = _later_windows(h, did, pos, n, np.cumsum(size) - size, data)
+        h, did, pos, n, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        run, step = _later_windows(h, did, pos, n, np.cumsum(size) - size, np.concatenate([data, np.zeros(7, np.uint8)]))
         if len(run):
             new = np.ones(len(run), bool)
             new[1:] = (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)
@@ -218,24 +215,41 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield from record_batches(_FLAG, {"did": did[run[at]], "pos": pos[run[at]] + step[at], "len": end - at})
 
     for batch in batches:
-        h, did, pos, n = (np.asarray(batch.column(c)).tolist() for c in ("h", "did", "pos", "len"))
+        h, did, pos, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("h", "did", "pos", "len"))
         data, off = raw_bytes(batch.column("bytes"))
-        buf, off = data.tobytes(), off.tolist()
-        gone: tuple[list, list, list] = ([], [], [])
-        for i in range(len(h)):
-            content = buf[off[i] : off[i + 1]]
-            if not content or h[i] == last_h and content == last_bytes:
-                for to, value in zip(gone, (did[i], pos[i], n[i]), strict=True):
-                    to.append(value)
-                continue
-            if h[i] != last_h and windows >= GROUP_WINDOWS:
+        size = np.diff(off)
+        full = np.flatnonzero(size > 0)
+        new = np.ones(len(full), bool)
+        fresh = np.ones(len(full), bool)  # of another gram than the run before
+        if len(full):
+            a, b = full[1:], full[:-1]
+            fresh[1:] = h[a] != h[b]
+            maybe = np.flatnonzero(~fresh[1:] & (size[a] == size[b]))
+            new[1 + maybe] = False
+            new[1 + maybe[unequal(data, off[a[maybe]], off[b[maybe]], size[a[maybe]])]] = True
+            if last is not None and h[full[0]] == last[0]:
+                fresh[0] = False
+                new[0] = data[off[full[0]] : off[full[0] + 1]].tobytes() != last[1]
+            last = (int(h[full[-1]]), data[off[full[-1]] : off[full[-1] + 1]].tobytes())
+        gone = np.ones(len(h), bool)
+        gone[full[new]] = False
+        if gone.any():
+            yield from record_batches(_FLAG, {"did": did[gone], "pos": pos[gone], "len": n[gone]})
+        # a group is complete where the gram changes; a run that is gone is of the gram of the one before it
+        kept, fresh = full[new], fresh[new]
+        at = 0
+        while at < len(kept):
+            upto = windows + np.cumsum(n[kept[at:]])
+            full_at = np.flatnonzero((upto - n[kept[at:]] >= GROUP_WINDOWS) & fresh[at:])
+            end = at + int(full_at[0]) if len(full_at) else len(kept)
+            part = kept[at:end]
+            if len(part):
+                held.append((h[part], did[part], pos[part], n[part], size[part], flat(data, off[part], size[part])))
+            windows = int(upto[end - at - 1]) if end > at else windows
+            if len(full_at):
                 yield from flush()
-                held, windows = [], 0
-            last_h, last_bytes = h[i], content
-            held.append((h[i], did[i], pos[i], n[i], content))
-            windows += n[i]
-        if gone[0]:
-            yield from record_batches(_FLAG, dict(zip(("did", "pos", "len"), gone, strict=True)))
+                windows = 0
+            at = end
     yield from flush()
 
 

@@ -216,7 +216,7 @@ def test_groups_of_several_parts_as_by_brute_force(spark, monkeypatch):
         label = new
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert 12 < len(set(label)) < 60
-    for rows, size, anchors in ((1024, 8 << 20, 64), (4, 8 << 20, 1), (3, 900, 1), (2, 8 << 20, 10**9)):
+    for rows, size, anchors in ((4, 8 << 20, 1), (3, 900, 1), (2, 8 << 20, 10**9)):
         monkeypatch.setattr(simhash, "PART_ROWS", rows)
         monkeypatch.setattr(simhash, "PART_BYTES", size)
         monkeypatch.setattr(simhash, "ANCHORS", anchors)
@@ -324,11 +324,13 @@ def test_empty_tables(empty):
         assert op(empty).count() == 0
 
 
+@pytest.mark.parametrize("budget", [10**6, 60])
 @pytest.mark.parametrize("op", [substring_dedup, byte_dedup])
-def test_a_task_hands_on_a_shared_passage_once(op):
+def test_a_task_hands_on_a_shared_passage_once(op, budget, monkeypatch):
     """Slice by slice: what earlier slices of the task have settled is settled at once, unless a smaller document comes."""
     import pyarrow as pa
 
+    monkeypatch.setattr(op, "SUBTREE_ROWS" if op is substring_dedup else "GROUP_WINDOWS", budget)
     passage = " ".join(f"p{i}" for i in range(300))
     ids = [[5, 6], [7, 8, 9], [2, 10], [3, 11]]
     texts = {d: f"{d} {passage} {d}" for x in ids for d in x}
@@ -354,7 +356,7 @@ def test_a_task_hands_on_a_shared_passage_once(op):
         assert max(handed[d] for d in (7, 8, 9, 10, 3, 11)) <= 6 < 20 < handed[5]
     table = rows.sort_by([(c, "ascending") for c in order])
     flagged = {d: set() for d in texts}
-    for out in (op._subtrees if op is substring_dedup else op._sorted_groups)(iter(table.combine_chunks().to_batches())):
+    for out in (op._subtrees if op is substring_dedup else op._sorted_groups)(iter(table.combine_chunks().to_batches(max_chunksize=7 if budget < 100 else None))):
         for d, p, n in zip(*(out.column(c).to_pylist() for c in ("did", "pos", "len")), strict=True):
             flagged[d].update(range(p, p + n))
     width = 50 if op is substring_dedup else 100
