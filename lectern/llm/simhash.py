@@ -207,6 +207,9 @@ def links(nodes: DataFrame) -> DataFrame:
         "anchor", F.ceil(F.col("rows") / TILE).cast("int").alias("columns"), F.greatest(F.ceil(F.col("homes") / TILE), F.lit(1)).cast("int").alias("lines")
     )
     crowded = materialise(crowded, "crowded", nodes)
+    if crowded.isEmpty():
+        rows = copies.select(F.col("anchor").alias("tile"), "home", "fp", "node")
+        return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare, "u long, v long")
     calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "fp", "node")
     wide = copies.join(crowded, "anchor")
     # in a crowded anchor, a line holds some of the homes and a column some of the rows; each tile is a pair of them
@@ -455,7 +458,9 @@ def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame, source: DataFr
     """rows (did, tag, fp) with the smallest (did, tag) of their component; nodes (fp, first) hold each fingerprint's smallest."""
     labels = components(edges, source=source).withColumnRenamed("component", "reached")
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("reached", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    # written, both, so that the join stands between two exchanges and a component with very many fingerprints can be split
+    rooted = materialise(rooted, "rooted", source)
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", source)
     where = rooted.join(least, "root").select("fp", F.col("least.did").alias("component"), F.col("least.tag").alias("component_tag"))
     return rows.join(where, "fp").select("did", "tag", "fp", "component", "component_tag")
 
