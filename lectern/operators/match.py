@@ -38,11 +38,13 @@ def document_dictionary(ref_lines: DataFrame) -> DataFrame:
 def document_evidence(words: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, doc_name, score): every occurrence of a word of two or more characters counts its length for each text that has it.
 
-    Occurrences are counted before the join, so a frequent word meets its texts once a document.
+    Words that no text has are dropped first, and what is left is counted before the join, so a frequent word meets its texts once a document.
     """
-    counted = words.groupBy(*keys, "text").agg(F.count("*").alias("n")).select(*keys, ascii_text("text").alias("word"), "n")
-    long_enough = counted.filter(F.length("word") >= MIN_EVIDENCE_LENGTH)
-    return long_enough.join(dictionary, "word").groupBy(*keys, "doc_name").agg(F.sum(F.length("word") * F.col("n")).cast("long").alias("score"))
+    word = ascii_text("text")
+    long_enough = words.select(*keys, word.alias("word")).filter(F.length("word") >= MIN_EVIDENCE_LENGTH)
+    known = long_enough.join(dictionary.select("word").distinct(), "word", "left_semi")
+    counted = known.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return counted.join(dictionary, "word").groupBy(*keys, "doc_name").agg(F.sum(F.length("word") * F.col("n")).cast("long").alias("score"))
 
 
 def best_document(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
