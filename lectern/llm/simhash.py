@@ -10,10 +10,10 @@ A link is tested on all 64 bits. An anchor's task joins links at once into a spa
 copies gives at most n - 1 edges per anchor and never all pairs. Anchors with many fingerprints are split into tiles.
 Components come from alternating star contractions over edge tables; nothing is collected to the driver.
 
-That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, which no
-covering of 64 bits can tell from unlike texts. near_duplicates() therefore finds groups that may hold near copies by bands of
-minima over the shingle sets, and compares the full sets within each group: a task holds a bounded part of a group, joins links at once
-into a spanning forest, and so never makes pairs. Groups of several parts share anchors, members that are sent to every
+That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 15 % of the bits, which 64 bits can't
+tell from unlike texts. near_duplicates() therefore takes fingerprints of 512 bits over the sets, covers 24 blocks of 18 bits by the same
+anchors, and links at 51 of the first 192 bits what shares an anchor. The groups so joined may hold near copies; the full sets are
+compared within each group: a task holds a bounded part of a group, joins links at once into a spanning forest, and so never makes pairs. Groups of several parts share anchors, members that are sent to every
 part, so parts that belong together are joined by them; the members that are still outside their group's largest component, the
 only ones that can have a link left, then go to every part.
 """
@@ -21,7 +21,8 @@ only ones that can have a link left, then go to every part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,35 @@ BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 #: (lowest bit, number of bits) of the blocks; each is searched with threshold THRESHOLD // len(BLOCKS).
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE = 15
-#: Homes and copies of one tile; edges that a task of a round over the graph may have.
-TILE, ROUND_ROWS = 4096, 250_000
+#: Homes and copies of one tile; comparisons of a tile that are made at once; edges that a task of a round over the graph may have.
+TILE, PAIRS, ROUND_ROWS = 4096, 1 << 14, 250_000
 
-#: near_duplicates(): words of a shingle, least similarity, bands and minima of a band. At 0.8 a pair shares no band once in 16,000.
-NEAR_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 32, 6
+
+class Covering(NamedTuple):
+    """What two fingerprints must share to meet and to link."""
+
+    #: (lowest bit, number of bits) of the blocks; none reaches over the end of a 64-bit word.
+    blocks: tuple[tuple[int, int], ...]
+    #: Differing bits of a block at which two fingerprints are sure to meet.
+    reach: int
+    #: 64-bit words from the first on that a link is tested on, and the differing bits that a link may have there.
+    words: int
+    threshold: int
+
+
+SIMHASH = Covering(BLOCKS, THRESHOLD // len(BLOCKS), 1, THRESHOLD)
+#: near_duplicates(): words of a shingle, least similarity, 64-bit words of a fingerprint. At 0.8 a pair of larger sets has no common anchor
+#: in 24 blocks once in 18,000 and differs in more than 51 of 192 bits once in 67,000.
+NEAR_SHINGLE, SIMILARITY, NEAR_WORDS = 5, 0.8, 8
+NEAR = Covering(tuple((64 * w + 18 * i, 18) for w in range(NEAR_WORDS) for i in range(3)), 1, 3, 51)
+#: Blocks that are searched at a time: their copies are on disk together.
+ROUND_BLOCKS = 8
 #: Texts and bytes of shingles that one task compares at once (one longer text is held whole); anchors of a group of several parts.
 PART_ROWS, PART_BYTES, ANCHORS = 1024, 8 << 20, 64
 
 _PRINT = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
-_COPY = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_SKETCH = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([(name, pa.int64()) for name in ("did", "tag", "fp", "size", *(f"w{i}" for i in range(NEAR_WORDS)))])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -105,11 +123,15 @@ def home_anchor(block: np.ndarray) -> np.ndarray:
     return np.where(s > 0, block ^ (1 << np.maximum(s - 1, 0)), block)
 
 
-def replicas(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, anchor key, is home) of every anchor within covering radius + threshold, block by block."""
-    radius = 1 + THRESHOLD // len(BLOCKS)
-    for number, (low, bits) in enumerate(BLOCKS):
-        block = (fp >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def replicas(fp: np.ndarray, cover: Covering = SIMHASH, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, anchor key, is home) of every anchor within covering radius + reach, block by block, for ROUND_BLOCKS from the first on.
+
+    A wide fingerprint is a row of words.
+    """
+    fp = fp.reshape(len(fp), -1)
+    radius = 1 + cover.reach
+    for number, (low, bits) in enumerate(cover.blocks[first : first + ROUND_BLOCKS], first):
+        block = (fp[:, low // 64] >> np.uint64(low % 64) & np.uint64((1 << bits) - 1)).astype(np.int64)
         s, home = _syndrome(block), home_anchor(block)
         for value, pattern in enumerate(_patterns(bits, radius)):
             rows = np.flatnonzero(s == value)
@@ -118,29 +140,43 @@ def replicas(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
                 yield np.repeat(rows, len(pattern)), (anchor | number << 32).ravel(), (anchor == home[rows, None]).ravel()
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_names(n: int) -> list[str]:
+    return [f"w{i}" for i in range(n)]
+
+
+def _replicate(batches: Iterator[pa.RecordBatch], cover: Covering, first: int) -> Iterator[pa.RecordBatch]:
+    tested = _word_names(cover.words)
+    schema = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), *((w, pa.int64()) for w in tested)])
     for batch in batches:
-        fp, node = np.asarray(batch.column("fp")), np.asarray(batch.column("node"))
+        node = np.asarray(batch.column("node"))
+        fp = np.stack([np.asarray(batch.column(w)) for w in batch.schema.names if w != "node"], axis=1)
         for a in range(0, len(fp), 4096):
             part = fp[a : a + 4096]
-            for row, anchor, home in replicas(part.view(np.uint64)):
-                yield from record_batches(_COPY, {"anchor": anchor, "home": home, "fp": part[row], "node": node[a : a + 4096][row]})
+            for row, anchor, home in replicas(part.view(np.uint64), cover, first):
+                copies = {"anchor": anchor, "home": home, "node": node[a : a + 4096][row]}
+                yield from record_batches(schema, copies | {w: part[row, i] for i, w in enumerate(tested)})
+
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ, with a row of a and b for each word."""
+    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.uint16)
 
-def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between homes and copies of one tile.
 
     Each home is compared with every row; of the rows that it links to, one of each component that it is not in yet gives an
     edge, and the components are joined. The comparisons are done in full and the edges stay fewer than the fingerprints.
     """
+    h_fp, c_fp = np.atleast_2d(h_fp), np.atleast_2d(c_fp)  # a row for each word
     nodes, place = np.unique(np.concatenate([h_node, c_node]), return_inverse=True)
     h_at, c_at = place[: len(h_node)], place[len(h_node) :]
     label = np.arange(len(nodes))
     of = label[c_at]
     u, v = [], []
-    for i in range(len(h_fp)):
+    for i in range(len(h_node)):
         mine = label[h_at[i]]
-        hit = np.flatnonzero((np.bitwise_count(c_fp ^ h_fp[i]) <= THRESHOLD) & (of != mine))
+        hit = np.flatnonzero((_differing(c_fp, h_fp[:, i : i + 1]) <= threshold) & (of != mine))
         if not len(hit):
             continue
         others, first = np.unique(of[hit], return_index=True)
@@ -152,10 +188,11 @@ def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.n
     return np.concatenate([z, *u]), np.concatenate([z, *v])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[pa.RecordBatch]:
     """Rows in order of tile: the links within each tile. Tiles are bounded; small ones are compared together."""
 
-    def work(key: np.ndarray, home: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(key: np.ndarray, home: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fp = np.stack(words).view(np.uint64)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
@@ -163,21 +200,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes = np.add.reduceat(home.astype(np.int64), at)
         u: list[np.ndarray] = []
         v: list[np.ndarray] = []
-        small = (homes > 0) & (size > 1) & (homes * size <= 1024)
+        small = (homes > 0) & (size > 1) & (homes * size <= PAIRS)
+        large = (homes > 0) & (size > 1) & ~small
         if small.any():  # every home against its tile's rows, all tiles at once
             tile = np.cumsum(new) - 1
             h = np.flatnonzero(home & small[tile])
-            for part in np.array_split(h, max(1, int(size[tile[h]].sum()) >> 19)):
+            for part in np.array_split(h, max(1, int(size[tile[h]].sum()) >> 18)):
                 n = size[tile[part]]
                 left = np.repeat(part, n)
                 right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[tile[part]], n)
-                hit = (np.bitwise_count(fp[left] ^ fp[right]) <= THRESHOLD) & (node[left] != node[right])
-                u.append(node[left[hit]])
-                v.append(node[right[hit]])
-        for k in np.flatnonzero((homes > 0) & (size > 1) & ~small).tolist():
+                hit = (_differing(fp[:, left], fp[:, right]) <= cover.threshold) & (node[left] != node[right])
+                left, right = left[hit], right[hit]
+                many = np.bincount(tile[left], minlength=len(at)) > 2 * size  # mostly near copies: a forest has fewer edges
+                large |= many
+                few = ~many[tile[left]]
+                u.append(node[left[few]])
+                v.append(node[right[few]])
+        for k in np.flatnonzero(large).tolist():
             s = slice(at[k], at[k] + size[k])
             mine = home[s]
-            a, b = _forest(fp[s][mine], node[s][mine], fp[s], node[s])
+            a, b = _forest(fp[:, s][:, mine], node[s][mine], fp[:, s], node[s], cover.threshold)
             u.append(a)
             v.append(b)
         if u:
@@ -187,7 +229,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(batch.column("tile")), np.asarray(batch.column("home").to_numpy(zero_copy_only=False), bool), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("node"))]
+        cols = [np.asarray(batch.column("tile")), np.asarray(batch.column("home").to_numpy(zero_copy_only=False), bool), np.asarray(batch.column("node"))]
+        cols += [np.asarray(batch.column(w)) for w in _word_names(cover.words)]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if len(held[0]) < 1 << 17:
             continue
@@ -199,28 +242,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(*held)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the same (fp, node) rows as all links within THRESHOLD bits do."""
-    copies = nodes.mapInArrow(_replicate, "anchor long, home boolean, fp long, node long")
+def links(nodes: DataFrame, cover: Covering = SIMHASH) -> DataFrame:
+    """Edges (u, v) that connect the same nodes as all links between fingerprints that meet do; nodes are node, w0, w1 and so on."""
+    if len(cover.blocks) <= ROUND_BLOCKS:
+        return _links(nodes, cover, 0)
+    # written round by round, so that one round's copies are on disk at a time
+    rounds = [materialise(_links(nodes, cover, a), "round", nodes) for a in range(0, len(cover.blocks), ROUND_BLOCKS)]
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _links(nodes: DataFrame, cover: Covering, first: int) -> DataFrame:
+    tested = _word_names(cover.words)
+    schema = ", ".join(["anchor long", "home boolean", "node long", *(f"{w} long" for w in tested)])
+    copies = nodes.mapInArrow(lambda it: _replicate(it, cover, first), schema)
     load = copies.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("int")).alias("homes"))
     crowded = load.filter(F.col("rows") > TILE).select(
         "anchor", F.ceil(F.col("rows") / TILE).cast("int").alias("columns"), F.greatest(F.ceil(F.col("homes") / TILE), F.lit(1)).cast("int").alias("lines")
     )
     crowded = materialise(crowded, "crowded", nodes)
+    compared = lambda rows: rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _compare(it, cover), "u long, v long")
     if crowded.isEmpty():
-        rows = copies.select(F.col("anchor").alias("tile"), "home", "fp", "node")
-        return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare, "u long, v long")
-    calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "fp", "node")
+        return compared(copies.select(F.col("anchor").alias("tile"), "home", "node", *tested))
+    calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "node", *tested)
     wide = copies.join(crowded, "anchor")
     # in a crowded anchor, a line holds some of the homes and a column some of the rows; each tile is a pair of them
-    line = F.pmod(F.xxhash64("fp"), F.col("lines"))
-    column = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("columns"))
+    line = F.pmod(F.xxhash64("node"), F.col("lines"))
+    column = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("columns"))
     as_home = wide.filter("home").select("*", line.alias("l"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
     as_copy = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), column.alias("c"))
     tile = F.xxhash64("anchor", "l", "c").alias("tile")
-    tiled = as_home.select(tile, "home", "fp", "node").unionByName(as_copy.select(tile, F.lit(False).alias("home"), "fp", "node"))
-    rows = calm.unionByName(tiled)
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare, "u long, v long")
+    tiled = as_home.select(tile, "home", "node", *tested).unionByName(as_copy.select(tile, F.lit(False).alias("home"), "node", *tested))
+    return compared(calm.unionByName(tiled))
 
 
 def _min_of(edges: DataFrame) -> DataFrame:
@@ -272,7 +324,7 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     prints = materialise(base.mapInArrow(lambda it: _prints(it, shingle), "did long, tag long, fp long"), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first")), "nodes")
-    return _grouped(prints, nodes, links(nodes.select("fp", F.col("fp").alias("node"))), docs)
+    return _grouped(prints, nodes, links(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0"))), docs)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -285,39 +337,38 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np
         yield np.unique(windows[a : b - shingle + 1] if b - a >= shingle else Ranges(own[a:b]).windows(b - a)[:1] if b > a else own[:0])
 
 
-@lru_cache(maxsize=1)
-def _minima() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    draw = lambda: rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
-    return draw() | np.uint64(1), draw()
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band, of the minima of BAND_ROWS orders of the set."""
-    times, plus = _minima()
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for a in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[a : a + 1024, None] * times + plus).min(axis=0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
-
-
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set of hashes, a row of NEAR_WORDS words: a bit is 1 if set in over half the members' hashes of that word."""
+    size = np.array([len(x) for x in sets], np.int64)
+    ones = np.zeros((len(sets), NEAR_WORDS, 8, 8), np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    filled = np.flatnonzero(size)
+    pieces = -(-size[filled] // 255)  # of one set each, so that a byte holds the count of a piece
+    of = np.repeat(filled, pieces)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = (np.cumsum(size) - size)[of] + 255 * number
+    end = np.minimum(start + 255, np.cumsum(size)[of])
+    low = np.uint64(0x0101010101010101)
+    for a in range(0, len(of), 256):
+        lo, hi = start[a], end[min(a + 256, len(of)) - 1]
+        at = start[a : a + 256] - lo
+        new = np.flatnonzero(np.diff(of[a : a + 256], prepend=-1))
+        for w in range(NEAR_WORDS):
+            own = mix(flat[lo:hi] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            for k in range(8):
+                counts = np.add.reduceat(own >> np.uint64(k) & low, at).view(np.uint8).reshape(-1, 8)
+                ones[of[a : a + 256][new], w, :, k] += np.add.reduceat(counts, new, axis=0, dtype=np.int64)
+    bits = ones.reshape(len(sets), -1) * 2 > size[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for rows, data, off in slices(batches, "text"):
-        prints, sizes, keys = [], [], []
-        for x in shingle_sets(data, off, shingle):
-            prints.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
-            sizes.append(len(x))
-            keys.append(band_keys(x) if len(x) else x)
-        fp = np.array(prints, np.uint64).view(np.int64)
-        yield from record_batches(_SKETCH, {"did": rows.column("did"), "tag": rows.column("tag"), "fp": fp, "size": sizes, "bands": _lists(keys)}, 4096)
+        sets = list(shingle_sets(data, off, shingle))
+        fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        prints = set_fingerprints(sets).view(np.int64)
+        columns = {"did": rows.column("did"), "tag": rows.column("tag"), "fp": fp, "size": [len(x) for x in sets]}
+        yield from record_batches(_SKETCH, columns | {w: np.ascontiguousarray(prints[:, i]) for i, w in enumerate(_word_names(NEAR_WORDS))}, 4096)
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float, queries: np.ndarray) -> list[tuple[int, int]]:
@@ -396,25 +447,27 @@ def _parts(rows: str, shingles: str) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: did, tag (hash of the text), fp (hash of the shingle set), component, component_tag.
 
-    Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`. Texts that share a band, directly or
-    through others, are one group, and the links within a group are found on the full sets whatever its size: work grows with
-    its square only where it falls into many components. component is the smallest id reachable over links, component_tag the
-    smallest tag of the rows with that id. Texts without words are alike; A-Z are lower-cased; a null id ranks last; texts that share an id
-    stay apart; repeated rows share their component; an empty table gives no rows.
+    Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`. Texts whose fingerprints meet at an anchor
+    and are close, directly or through others, are one group, and the links within a group are found on the full sets whatever its
+    size: work grows with its square only where it falls into many components. NEAR is set for a similarity of 0.8 and more.
+    component is the smallest id reachable over links, component_tag the smallest tag of the rows with that id. Texts without words are
+    alike; A-Z are lower-cased; a null id ranks last; texts that share an id stay apart; repeated rows share their component; an
+    empty table gives no rows.
     """
     text = F.col(quoted(text_col)).cast("string")
     base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = materialise(base.mapInArrow(lambda it: _sketches(it, shingle), "did long, tag long, fp long, size long, bands array<long>"), "sketches")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    sketch = ", ".join(f"{name} long" for name in _SKETCH.names)
+    rows = materialise(base.mapInArrow(lambda it: _sketches(it, shingle), sketch), "sketches")
+    own_words = _word_names(NEAR_WORDS)
+    nodes = rows.groupBy("fp").agg(F.min(F.struct("did", "tag")).alias("first"), F.min("size").alias("size"), *(F.min(w).alias(w) for w in own_words))
+    nodes = materialise(nodes, "nodes")
 
-    # one text of each band's group stands for it: as many edges as members, and sharing a band is transitive
-    banded = nodes.select("fp", F.explode("bands").alias("key"))
-    hubs = materialise(banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs", docs)
-    meeting = banded.join(hubs, "key").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    prints = nodes.filter("size > 0").select(F.col("fp").alias("node"), *own_words)
     with scratch_scope() as spent:
-        reached = materialise(components(meeting, "meetings", docs), "groups", docs)
-    for table in (hubs, *(t for t in spent if t is not reached)):
-        discard(table)
+        reached = materialise(components(links(prints, NEAR), "meetings", docs), "groups", docs)
+    for table in spent:
+        if table is not reached:
+            discard(table)
     members = reached.select(F.col("node").alias("fp"), F.col("component").alias("grp")).unionByName(reached.select(F.col("component").alias("fp"), F.col("component").alias("grp")).distinct())
     # written, so that the join below stands between two exchanges and a group of very many texts can be split
     sized = materialise(members.join(nodes, "fp").select("fp", "grp", "size", "first.did", "first.tag"), "members", docs)

@@ -364,3 +364,45 @@ def test_a_task_hands_on_a_shared_passage_once(op, budget, monkeypatch):
     for d, u in units.items():
         earlier = {tuple(x[i : i + width]) for e, x in units.items() if e < d for i in range(len(x) - width + 1)}
         assert flagged[d] == {i for i in range(len(u) - width + 1) if tuple(u[i : i + width]) in earlier}, d
+
+
+def near_pair(rng, both, a, b):
+    """Two sets of hashes that share `both` members."""
+    x = rng.integers(0, 1 << 64, both + a + b, dtype=np.uint64)
+    return x[: both + a], np.concatenate([x[:both], x[both + a :]])
+
+
+def test_wide_fingerprints_as_by_brute_force():
+    rng = np.random.default_rng(12)
+    sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (0, 1, 2, 255, 256, 700, 0, 9)]
+    for x, own in zip(sets, simhash.set_fingerprints(sets), strict=True):
+        for w in range(simhash.NEAR_WORDS):
+            hashes = simhash.mix(x + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).tolist()
+            assert int(own[w]) == sum((2 * sum(h >> b & 1 for h in hashes) > len(x)) << b for b in range(64))
+
+
+def test_sets_at_the_least_similarity_meet_at_a_home_and_link():
+    rng = np.random.default_rng(11)
+    pairs = [near_pair(rng, 80, *((10, 10) if k % 2 else (20, 0))) for k in range(200)]
+    left, right = (simhash.set_fingerprints(list(x)) for x in zip(*pairs, strict=True))
+    met = [set(), set()]
+    for which, (x, y) in enumerate(((left, right), (right, left))):
+        for first in range(0, len(simhash.NEAR.blocks), simhash.ROUND_BLOCKS):
+            home, copy = (list(simhash.replicas(z, simhash.NEAR, first)) for z in (x, y))
+            homes = {(r, a) for rows, anchors, own in home for r, a, h in zip(rows.tolist(), anchors.tolist(), own.tolist(), strict=True) if h}
+            met[which] |= {r for rows, anchors, _ in copy for r, a in zip(rows.tolist(), anchors.tolist(), strict=True) if (r, a) in homes}
+    assert met[0] | met[1] == set(range(200))
+    far = np.bitwise_count(left[:, :3] ^ right[:, :3]).sum(axis=1)
+    assert (far <= simhash.NEAR.threshold).all()
+    assert (np.bitwise_count(left[:-1, :3] ^ right[1:, :3]).sum(axis=1) > simhash.NEAR.threshold).all()
+
+
+def test_near_copies_of_the_pipeline_come_through_fingerprints_and_anchors(spark, monkeypatch):
+    """Without a link between fingerprints there is no near copy; crowded anchors change nothing."""
+    texts = [f"{k} " + " ".join(f"w{k // 30}x{i}" for i in range(200)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect())
+    monkeypatch.setattr(simhash, "TILE", 16)
+    assert kept() == [0, 30]
+    monkeypatch.setattr(simhash, "NEAR", simhash.NEAR._replace(threshold=-1))
+    assert kept() == list(range(60))
