@@ -6,9 +6,10 @@ Hamming code of length 15 on the first bits, every word on the rest. Its coverin
 home anchor within the radius, and is replicated to every anchor within radius + threshold. If two fingerprints are
 close in the block, the second has a copy at the home of the first: comparing homes with copies per anchor finds every link.
 
-A link is tested on all 64 bits. An anchor's task joins links at once into a spanning forest, so a group of n near
-copies gives at most n - 1 edges per anchor and never all pairs. Anchors with many fingerprints are split into tiles.
-Components come from alternating star contractions over edge tables; nothing is collected to the driver.
+A link is tested on all 64 bits. A tile's links are joined at once into a spanning forest, and a task joins the forests of all its
+tiles: it hands on an edge from each fingerprint to the smallest that it reaches there. Near copies meet at very many anchors, but
+most tasks name the same smallest one, so a group of n gives not many more than n different edges. Anchors with many fingerprints are
+split into tiles. Components come from alternating star contractions over edge tables; nothing is collected to the driver.
 
 That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 15 % of the bits, which 64 bits can't
 tell from unlike texts. near_duplicates() therefore takes fingerprints of 512 bits over the sets, covers 24 blocks of 18 bits by the same
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, external_id, internal_id, materialise, quoted, record_batches, scratch_scope, slices
+from .common import discard, external_id, gathered, internal_id, materialise, quoted, record_batches, scratch_scope, slices
 from .textscan import Ranges, mix, range_hashes, words
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
@@ -39,6 +40,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE = 15
 #: Homes and copies of one tile; comparisons of a tile that are made at once; edges that a task of a round over the graph may have.
 TILE, PAIRS, ROUND_ROWS = 4096, 1 << 14, 250_000
+#: Edges that a task holds before it joins them, and joined ones before it hands them on and starts anew.
+FRESH, HELD = 1 << 17, 1 << 20
 
 
 class Covering(NamedTuple):
@@ -188,10 +191,48 @@ def _forest(h_fp: np.ndarray, h_node: np.ndarray, c_fp: np.ndarray, c_node: np.n
     return np.concatenate([z, *u]), np.concatenate([z, *v])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[pa.RecordBatch]:
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as (u, v) do: from each node to the smallest that it reaches, if that is another."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def _edges(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch.column("u")), np.asarray(batch.column("v"))
+
+
+def _joined(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars; what it holds meanwhile is bounded."""
+    z = np.zeros(0, np.int64)
+    held, fresh, n = (z, z), [], 0
+    for edges in found:
+        fresh.append(edges)
+        n += len(edges[0])
+        if n < max(FRESH, len(held[0])):
+            continue
+        held, fresh, n = _stars(*map(np.concatenate, zip(held, *fresh, strict=True))), [], 0
+        if len(held[0]) >= HELD:
+            yield from record_batches(_EDGE, dict(zip("uv", held, strict=True)))
+            held = (z, z)
+    held = _stars(*map(np.concatenate, zip(held, *fresh, strict=True)))
+    if len(held[0]):
+        yield from record_batches(_EDGE, dict(zip("uv", held, strict=True)))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows in order of tile: the links within each tile. Tiles are bounded; small ones are compared together."""
 
-    def work(key: np.ndarray, home: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(key: np.ndarray, home: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fp = np.stack(words).view(np.uint64)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
@@ -223,7 +264,7 @@ def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[pa.
             u.append(a)
             v.append(b)
         if u:
-            yield from record_batches(_EDGE, {"u": np.concatenate(u), "v": np.concatenate(v)})
+            yield np.concatenate(u), np.concatenate(v)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -248,7 +289,7 @@ def links(nodes: DataFrame, cover: Covering = SIMHASH) -> DataFrame:
         return _links(nodes, cover, 0)
     # written round by round, so that one round's copies are on disk at a time
     rounds = [materialise(_links(nodes, cover, a), "round", nodes) for a in range(0, len(cover.blocks), ROUND_BLOCKS)]
-    return reduce(DataFrame.unionByName, rounds)
+    return gathered(reduce(DataFrame.unionByName, rounds)).mapInArrow(lambda it: _joined(map(_edges, it)), "u long, v long")
 
 
 def _links(nodes: DataFrame, cover: Covering, first: int) -> DataFrame:
@@ -260,7 +301,7 @@ def _links(nodes: DataFrame, cover: Covering, first: int) -> DataFrame:
         "anchor", F.ceil(F.col("rows") / TILE).cast("int").alias("columns"), F.greatest(F.ceil(F.col("homes") / TILE), F.lit(1)).cast("int").alias("lines")
     )
     crowded = materialise(crowded, "crowded", nodes)
-    compared = lambda rows: rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _compare(it, cover), "u long, v long")
+    compared = lambda rows: rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _joined(_compare(it, cover)), "u long, v long")
     if crowded.isEmpty():
         return compared(copies.select(F.col("anchor").alias("tile"), "home", "node", *tested))
     calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "node", *tested)

@@ -406,3 +406,33 @@ def test_near_copies_of_the_pipeline_come_through_fingerprints_and_anchors(spark
     assert kept() == [0, 30]
     monkeypatch.setattr(simhash, "NEAR", simhash.NEAR._replace(threshold=-1))
     assert kept() == list(range(60))
+
+
+def test_edges_grow_with_the_nodes_of_a_group(spark):
+    """Near copies meet at very many anchors; what is handed on is an edge or two for each of them."""
+    rng = np.random.default_rng(13)
+    names = [f"w{i}" for i in range(simhash.NEAR_WORDS)]
+    for n in (150, 300):
+        prints = np.concatenate([rng.integers(0, 1 << 63, (1, simhash.NEAR_WORDS), np.int64).repeat(n, axis=0), rng.integers(0, 1 << 63, (50, simhash.NEAR_WORDS), np.int64)])
+        for _ in range(20):
+            prints[np.arange(len(prints)), rng.integers(0, simhash.NEAR_WORDS, len(prints))] ^= 1 << rng.integers(0, 63, len(prints))
+        near = np.bitwise_count(prints[:, None, :3] ^ prints[None, :, :3]).sum(axis=2) <= simhash.NEAR.threshold
+        want = joined(len(prints), np.argwhere(near).tolist())
+        assert want == [0] * n + list(range(n, n + 50))
+        nodes = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], f"node long, {', '.join(f'{w} long' for w in names)}").repartition(4)
+        edges = [(r["u"], r["v"]) for r in simhash.links(nodes, simhash.NEAR).distinct().collect()]
+        assert joined(len(prints), edges) == want
+        assert n - 1 <= len(edges) < 2 * n
+
+
+def test_a_task_joins_what_its_tiles_link(monkeypatch):
+    rng = np.random.default_rng(14)
+    for fresh, held in ((1 << 17, 1 << 20), (7, 1 << 20), (7, 9), (1, 1)):
+        monkeypatch.setattr(simhash, "FRESH", fresh)
+        monkeypatch.setattr(simhash, "HELD", held)
+        for tiles in (0, 1, 40):
+            every = [rng.integers(0, 80, (2, rng.integers(0, 6))) for _ in range(tiles)]
+            found = [r for x in simhash._joined((u, v) for u, v in every) for r in zip(x["u"].to_pylist(), x["v"].to_pylist(), strict=True)]
+            assert joined(80, found) == joined(80, [e for x in every for e in x.T.tolist()])
+            assert all(u > v for u, v in found)
+            assert held < 80 or len(found) == sum(k != x for k, x in enumerate(joined(80, found)))
