@@ -13,7 +13,7 @@ split into tiles. Components come from alternating star contractions over edge t
 
 That is op6. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 15 % of the bits, which 64 bits can't
 tell from unlike texts. near_duplicates() therefore takes fingerprints of 512 bits over the sets, covers 24 blocks of 18 bits by the same
-anchors, and links at 51 of the first 192 bits what shares an anchor. The groups so joined may hold near copies; the full sets are
+anchors in three rounds, and links at 51 of the first 192 bits what shares an anchor. The groups so joined may hold near copies; the full sets are
 compared within each group: a task holds a bounded part of a group, joins links at once into a spanning forest, and so never makes pairs. Groups of several parts share anchors, members that are sent to every
 part, so parts that belong together are joined by them; the members that are still outside their group's largest component, the
 only ones that can have a link left, then go to every part.
@@ -149,14 +149,15 @@ def _word_names(n: int) -> list[str]:
 
 def _replicate(batches: Iterator[pa.RecordBatch], cover: Covering, first: int) -> Iterator[pa.RecordBatch]:
     tested = _word_names(cover.words)
-    schema = pa.schema([("anchor", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), *((w, pa.int64()) for w in tested)])
+    schema = pa.schema([("anchor", pa.int64()), ("home", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in tested)])
     for batch in batches:
         node = np.asarray(batch.column("node"))
-        fp = np.stack([np.asarray(batch.column(w)) for w in batch.schema.names if w != "node"], axis=1)
+        spread = (mix(np.asarray(batch.column("own")).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
+        fp = np.stack([np.asarray(batch.column(w)) for w in batch.schema.names if w not in ("node", "own")], axis=1)
         for a in range(0, len(fp), 4096):
             part = fp[a : a + 4096]
             for row, anchor, home in replicas(part.view(np.uint64), cover, first):
-                copies = {"anchor": anchor, "home": home, "node": node[a : a + 4096][row]}
+                copies = {"anchor": anchor, "home": spread[a : a + 4096][row] << 1 | home, "node": node[a : a + 4096][row]}
                 yield from record_batches(schema, copies | {w: part[row, i] for i, w in enumerate(tested)})
 
 
@@ -270,7 +271,7 @@ def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[tup
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(batch.column("tile")), np.asarray(batch.column("home").to_numpy(zero_copy_only=False), bool), np.asarray(batch.column("node"))]
+        cols = [np.asarray(batch.column("tile")), np.asarray(batch.column("home")) & 1 > 0, np.asarray(batch.column("node"))]
         cols += [np.asarray(batch.column(w)) for w in _word_names(cover.words)]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if len(held[0]) < 1 << 17:
@@ -284,19 +285,27 @@ def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[tup
 
 
 def links(nodes: DataFrame, cover: Covering = SIMHASH) -> DataFrame:
-    """Edges (u, v) that connect the same nodes as all links between fingerprints that meet do; nodes are node, w0, w1 and so on."""
+    """Edges (u, v) that connect the same nodes as all links between fingerprints that meet do; nodes are node, w0, w1 and so on.
+
+    After the first round a node goes by the name of the smallest that it has an edge to: what is joined already gives no edges again.
+    """
+    nodes = nodes.withColumn("own", F.col("node"))
     if len(cover.blocks) <= ROUND_BLOCKS:
         return _links(nodes, cover, 0)
     # written round by round, so that one round's copies are on disk at a time
-    rounds = [materialise(_links(nodes, cover, a), "round", nodes) for a in range(0, len(cover.blocks), ROUND_BLOCKS)]
+    rounds = [materialise(_links(nodes, cover, 0), "round", nodes)]
+    named = rounds[0].groupBy(F.col("u").alias("own")).agg(F.min("v").alias("name"))
+    nodes = materialise(nodes.join(named, "own", "left").withColumn("node", F.coalesce("name", "node")).drop("name"), "named", nodes)
+    rounds += [materialise(_links(nodes, cover, a), "round", nodes) for a in range(ROUND_BLOCKS, len(cover.blocks), ROUND_BLOCKS)]
     return gathered(reduce(DataFrame.unionByName, rounds)).mapInArrow(lambda it: _joined(map(_edges, it)), "u long, v long")
 
 
 def _links(nodes: DataFrame, cover: Covering, first: int) -> DataFrame:
+    """links() over a round of blocks. The lowest bit of `home` says if a copy is at home, the others deal it to a tile."""
     tested = _word_names(cover.words)
-    schema = ", ".join(["anchor long", "home boolean", "node long", *(f"{w} long" for w in tested)])
+    schema = ", ".join(["anchor long", "home long", "node long", *(f"{w} long" for w in tested)])
     copies = nodes.mapInArrow(lambda it: _replicate(it, cover, first), schema)
-    load = copies.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum(F.col("home").cast("int")).alias("homes"))
+    load = copies.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum(F.col("home").bitwiseAND(1)).alias("homes"))
     crowded = load.filter(F.col("rows") > TILE).select(
         "anchor", F.ceil(F.col("rows") / TILE).cast("int").alias("columns"), F.greatest(F.ceil(F.col("homes") / TILE), F.lit(1)).cast("int").alias("lines")
     )
@@ -307,12 +316,13 @@ def _links(nodes: DataFrame, cover: Covering, first: int) -> DataFrame:
     calm = copies.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("tile"), "home", "node", *tested)
     wide = copies.join(crowded, "anchor")
     # in a crowded anchor, a line holds some of the homes and a column some of the rows; each tile is a pair of them
-    line = F.pmod(F.xxhash64("node"), F.col("lines"))
-    column = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("columns"))
-    as_home = wide.filter("home").select("*", line.alias("l"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
+    spread = F.shiftright("home", 1)
+    line = F.pmod(F.xxhash64(spread), F.col("lines"))
+    column = F.pmod(F.xxhash64(spread, F.lit(1)), F.col("columns"))
+    as_home = wide.filter("home & 1 = 1").select("*", line.alias("l"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
     as_copy = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), column.alias("c"))
     tile = F.xxhash64("anchor", "l", "c").alias("tile")
-    tiled = as_home.select(tile, "home", "node", *tested).unionByName(as_copy.select(tile, F.lit(False).alias("home"), "node", *tested))
+    tiled = as_home.select(tile, "home", "node", *tested).unionByName(as_copy.select(tile, F.lit(0).cast("long").alias("home"), "node", *tested))
     return compared(calm.unionByName(tiled))
 
 

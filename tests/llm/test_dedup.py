@@ -436,3 +436,23 @@ def test_a_task_joins_what_its_tiles_link(monkeypatch):
             assert joined(80, found) == joined(80, [e for x in every for e in x.T.tolist()])
             assert all(u > v for u, v in found)
             assert held < 80 or len(found) == sum(k != x for k, x in enumerate(joined(80, found)))
+
+
+def test_what_a_round_has_joined_gives_no_edges_in_the_next(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    prints = rng.integers(0, 1 << 63, (1, simhash.NEAR_WORDS), np.int64).repeat(150, axis=0)
+    for _ in range(20):
+        prints[np.arange(150), rng.integers(0, simhash.NEAR_WORDS, 150)] ^= 1 << rng.integers(0, 63, 150)
+    made, links = [], simhash._links
+
+    def counted(nodes, cover, first):
+        made.append(links(nodes, cover, first).count())
+        return links(nodes, cover, first)
+
+    monkeypatch.setattr(simhash, "_links", counted)
+    names = [f"w{i}" for i in range(simhash.NEAR_WORDS)]
+    nodes = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], f"node long, {', '.join(f'{w} long' for w in names)}")
+    edges = [(r["u"], r["v"]) for r in simhash.links(nodes, simhash.NEAR).collect()]
+    assert joined(150, edges) == [0] * 150
+    assert made[0] >= 149
+    assert sum(made[1:]) < 15
