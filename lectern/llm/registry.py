@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, exact_dedup, extraction, mixing, packing, quality, simhash, substring_dedup, url_filter, warc
+from . import byte_dedup, exact_dedup, extraction, mixing, packing, quality, simhash, substring_dedup, url_filter, vector_codes, warc, whitening
 
 
 def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,11 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": _on("documents", packing.op8),
         "op9_exact_dedup": _on("documents", exact_dedup.op9),
         "op10_url_filter": _on("pages", url_filter.op10),
+        "op11_whitening": _on("embeddings", whitening.op11),
+        "op12_vector_codes": _on("embeddings", vector_codes.op12),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Keys drawn from 64-bit hashes (op3, op6) and a tokenizer's ids (op8) have no SQL form; tests compare those by brute force."""
+    """Keys drawn from 64-bit hashes (op3, op6), a tokenizer's ids (op8) and eigenvectors (op11) have no SQL form; tests compare those by brute force."""
     return {
         "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op2_byte_dedup": byte_dedup.OP2_SQL,
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality": quality.OP7_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
     }

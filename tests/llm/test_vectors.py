@@ -1,0 +1,193 @@
+"""Whitening and vector codes against plain computations on every row."""
+
+import hashlib
+import math
+import random
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import vector_codes, vectors, whitening
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.fixture(scope="module")
+def embedded(spark):
+    """(vec_id, embedding, label): copies, a hot vector, nulls, other lengths, repeated and null ids, clashing names."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(5, 1 + d / 3) for d in range(24)], rng.choice([0, 1, 2, None])) for i in range(300)]
+    rows += [(300 + i, rows[7][1], 1) for i in range(150)]
+    rows += [(450 + i, rows[i][1], None) for i in range(40)]
+    rows += [(500, None, 1), (501, [], 1), (502, [1.0, None] + [0.0] * 22, 1), (503, [NAN] * 24, 1), (504, [INF] + [0.0] * 23, 2), (505, [1.0] * 23, 2), (506, [2.0] * 25, 2)]
+    rows += [rows[0], rows[0], (None, rows[1][1], None), (None, [0.25] * 24, 3), (3, [1.0] * 24, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    for name in ("did", "v", "x", "n", "part", "ids"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df, rows
+
+
+def counted(rows, length):
+    return [(i, v, g) for i, v, g in rows if v is not None and len(v) == length and all(x is not None and math.isfinite(x) for x in v)]
+
+
+def exact_fit(kept, scale=64, offset=1_000_000):
+    """n, S and the exact covariance, by fractions."""
+    x = sorted({tuple(math.floor(scale * c) + offset for c in v) for _, v, _ in kept})
+    n, d = len(x), len(x[0])
+    s = [sum(r[i] for r in x) for i in range(d)]
+    y = [[n * r[i] - s[i] for i in range(d)] for r in x]
+    v = np.array([[float(Fraction(sum(r[i] * r[j] for r in y), n**3)) for j in range(d)] for i in range(d)])
+    return n, s, v, x
+
+
+def same_up_to_sign(got, want):
+    return min(np.abs(got - want).max(), np.abs(got + want).max())
+
+
+@pytest.mark.parametrize("tile", [5, 32])
+def test_whitening_equals_brute_force(spark, embedded, tile):
+    df, rows = embedded
+    kept = counted(rows, 24)
+    n, s, v, x = exact_fit(kept)
+    values, unit = np.linalg.eigh(v)
+    values, unit = values[::-1], unit[:, ::-1]
+    got = whitening.whiten(df, tile=tile).collect()
+    assert len(got) == 16 * len(kept)
+    want = Counter()
+    for i, c, _ in kept:
+        want[i, sum((n * (math.floor(64 * e) + 1_000_000) - t) ** 2 for e, t in zip(c, s, strict=True))] += 16
+    assert Counter((r["did"] if r["did"] != (1 << 63) - 1 else None, r["deviation"]) for r in got) == want
+    assert {r["n"] for r in got} == {n}
+    by_vector = {(i, tuple(c)) for i, c, _ in kept if i is not None and 10 < i < 300}
+    for k in range(1, 17):
+        mine = {r["did"]: r["whitened"] for r in got if r["component"] == k}
+        pairs = [(mine[i], sum((math.floor(64 * e) + 1_000_000 - t / n) * u for e, t, u in zip(c, s, unit[:, k - 1], strict=True)) / math.sqrt(values[k - 1])) for i, c in by_vector]
+        a, b = np.array(pairs).T
+        assert same_up_to_sign(a, b) < 1e-7
+        assert [*{r["explained"] for r in got if r["component"] == k}] == [pytest.approx(values[k - 1] / np.trace(v), rel=1e-10)]
+    errors = {r["identity_error"] for r in got}
+    assert len(errors) == 1 and 0 <= errors.pop() < 1e-9
+
+
+def test_identity_error_is_measured(spark, embedded):
+    """A wrong eigenvalue shows in the error, which is taken from the whitened rows."""
+    df, _ = embedded
+    rows = vectors.vector_rows(df, "embedding")
+    model = whitening.fit_whitening(rows, 24)
+    fit = rows.mapInArrow(whitening._pack(24, 64), "x binary").distinct()
+    wrong = whitening.Whitening(model.n, model.sums, model.components, model.values * 2, model.explained)
+    assert whitening.identity_error(fit, wrong) == pytest.approx(0.5)
+
+
+def test_a_great_offset_costs_no_digits(spark):
+    rng = random.Random(4)
+    small = [[rng.randint(-9, 9) / 64 for _ in range(6)] for _ in range(200)]
+    far = [[c + (1 << 34) for c in v] for v in small]
+    result = []
+    for part in (small, far):
+        df = spark.createDataFrame(list(enumerate(part)), "vec_id long, embedding array<double>")
+        result.append({(r["vec_id"], r["component"]): r for r in whitening.op11(df).collect()})
+    for key, r in result[0].items():
+        assert r["deviation"] == result[1][key]["deviation"] and abs(abs(r["whitened"]) - abs(result[1][key]["whitened"])) < 1e-9
+
+
+def test_few_or_equal_or_huge_vectors(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert whitening.op11(make([(1, [1.0])]).limit(0)).collect() == []
+    assert whitening.op11(make([(1, None), (2, []), (3, [NAN])])).collect() == []
+    one = whitening.op11(make([(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()
+    assert len(one) == 4 and all(r["whitened"] is None and r["deviation"] == 0 and r["n"] == 1 and r["identity_error"] is None and r["explained"] is None for r in one)
+    flat = whitening.op11(make([(i, [float(i), 2.0 * i, 0.0]) for i in range(5)])).collect()
+    assert {r["component"] for r in flat if r["whitened"] is not None} == {1} and len(flat) == 15
+    far = whitening.whiten(make([(1, [1e30, 0.0]), (2, [-1e30, 1.0])])).collect()
+    assert {r["deviation"] for r in far} == {None} and {r["deviation_text"] for r in far} == {str((1 << 47) ** 2 + 64**2)}
+
+
+def test_packed_rows_return():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(-b, b, (9, 7)) for b in (2, 128, 129, 1 << 15, 1 << 31, 1 << 40, 1 << 46)])
+    import pyarrow as pa
+
+    assert (vectors.unpacked(pa.array(vectors.packed(x), pa.binary()), 7) == x).all()
+    assert vectors.packed(x[:1]) == vectors.packed(x[:1].copy())
+
+
+def lloyd(kept, scale=4096, parts=8, entries=16, rounds=6):
+    """Codes, errors and codebooks by comparing every part with every entry."""
+    x = [[math.floor(scale * c) for c in v] for _, v, _ in kept]
+    for r in x:
+        r += [0] * (-len(r) % parts)
+    w = len(x[0]) // parts
+    order = sorted(range(len(kept)), key=lambda i: (kept[i][0] is None, kept[i][0], kept[i][1]))[:entries]
+    split = [[r[p * w : (p + 1) * w] for r in x] for p in range(parts)]
+    books = [[split[p][i] for i in order] for p in range(parts)]
+    for step in range(rounds + 1):
+        distance = [[[sum((a - b) ** 2 for a, b in zip(v, e, strict=True)) for e in books[p]] for v in split[p]] for p in range(parts)]
+        code = [[d.index(min(d)) for d in of] for of in distance]
+        if step < rounds:
+            for p in range(parts):
+                for e in range(len(books[p])):
+                    mine = [v for v, c in zip(split[p], code[p], strict=True) if c == e]
+                    if mine:
+                        books[p][e] = [sum(col) // len(mine) for col in zip(*mine, strict=True)]
+    rows = [(kept[i][0], "".join(f"{code[p][i]:02x}" for p in range(parts)), sum(min(distance[p][i]) for p in range(parts))) for i in range(len(kept))]
+    return rows, books
+
+
+def check_codes(df, rows, length, **options):
+    kept = counted(rows, length)
+    want, books = lloyd(kept, **options)
+    coded, got_books = vector_codes.compress(df, **options)
+    got = [(r["did"] if r["did"] != (1 << 63) - 1 else None, r["code"], int(r["error"])) for r in coded.collect()]
+    assert Counter(got) == Counter(want)
+    assert got_books.tolist() == books
+
+
+def test_codes_equal_brute_force(spark, embedded):
+    check_codes(*embedded, 24)
+    check_codes(*embedded, 24, scale=1, entries=5, rounds=2)  # coarse integers: ties everywhere
+    check_codes(*embedded, 24, parts=5, entries=40)  # parts that do not divide the length
+
+
+def test_op12_columns(spark, embedded):
+    df, rows = embedded
+    kept = counted(rows, 24)
+    want, books = lloyd(kept)
+    per_label = Counter()
+    for (_, _, label), (_, _, error) in zip(kept, want, strict=True):
+        per_label[label] += error
+    got = Counter((r["vec_id"], r["code"], r["error"], r["label_error"], r["codebooks_sha256"]) for r in vector_codes.op12(df).collect())
+    digest = hashlib.sha256(",".join(str(v) for p in books for e in p for v in e).encode()).hexdigest()
+    assert got == Counter((i, c, e, per_label[label], digest) for (i, c, e), (_, _, label) in zip(want, kept, strict=True))
+
+
+def test_codes_of_few_empty_and_huge_vectors(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert vector_codes.op12(make([(1, [1.0], "a")]).limit(0)).collect() == []
+    assert vector_codes.op12(make([(1, None, "a"), (2, [INF], "a")])).collect() == []
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1e9, 0.0, 3.5, 1e9]) for _ in range(8)], None) for i in range(90)]
+    check_codes(make(rows), rows, 8, entries=7, rounds=3)
+    check_codes(make(rows[:3]), rows[:3], 8)
+    far = [(i, [1e9] * 7 + [float(i)], "a") for i in range(9)] + [(20, [-1e9] * 8, "b")]
+    errors = {r["vec_id"]: r["error"] for r in vector_codes.op12(make(far)).collect()}
+    assert set(errors.values()) == {0}
+
+
+def test_whole_subtrees_are_assigned():
+    """On clustered points few are compared one by one, and results are those of comparing all."""
+    rng = np.random.default_rng(5)
+    centre = rng.integers(-9000, 9000, (16, 8))
+    x = (centre[rng.integers(0, 16, 4000)] + rng.integers(-9, 9, (4000, 8))).astype(np.int64)
+    trees = vector_codes.build(x, 4)
+    books = np.ascontiguousarray(centre.reshape(16, 4, 2).transpose(1, 0, 2)).astype(np.int64)
+    counts, sums, found, compared = vector_codes.assign(trees, books, labels=True)
+    assert compared < 0.25 * found.size
+    for p in range(4):
+        nearest = ((trees.points[p][:, None] - books[p]) ** 2).sum(axis=2).argmin(axis=1)
+        assert (nearest == found[p]).all() and np.bincount(nearest, minlength=16).tolist() == counts[p]
+        assert [trees.points[p][nearest == e].sum(axis=0).tolist() for e in range(16)] == sums[p]
