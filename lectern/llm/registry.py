@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, exact_dedup, extraction, mixing, packing, quality, simhash, substring_dedup, url_filter, vector_codes, warc, whitening
+from . import byte_dedup, exact_dedup, extraction, licenses, mixing, packing, quality, simhash, substring_dedup, url_filter, vector_codes, warc, whitening
 
 
 def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": _on("pages", url_filter.op10),
         "op11_whitening": _on("embeddings", whitening.op11),
         "op12_vector_codes": _on("embeddings", vector_codes.op12),
+        "op13_licenses": _on("documents", licenses.op13),
     }
 
 
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
         "op12_vector_codes": vector_codes.OP12_SQL,
+        "op13_licenses": licenses.OP13_SQL,
     }
