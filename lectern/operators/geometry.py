@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import height, outside_image, width
+from ..sinks.scratch import cut
+from .chains import last_kept
 
 SPACE_WIDTH, NEAR_MEDIAN = 5.0, 0.1
 MIN_EDIT_HEIGHT, MAX_EDIT_HEIGHT = 5, 70
@@ -71,26 +73,29 @@ def document_text(words: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def line_centres(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, centres): vertical line centres from the top, without those closer than half the median height to the last one kept."""
+    """(keys, centre): vertical line centres, without those closer than half the median height to the last one kept, from the top."""
     centre = (F.col("bbox.top") + F.col("bbox.bottom")) / 2
-    per_doc = lines.groupBy(*keys).agg(F.median(height("bbox")).alias("m"), F.array_sort(F.collect_list(centre)).alias("all"))
-    kept = F.aggregate(
-        "all",
-        F.array().cast("array<double>"),
-        lambda acc, c: F.when((F.size(acc) == 0) | (c >= F.coalesce(F.get(acc, F.size(acc) - 1), c) + 0.5 * F.col("m")), F.array_append(acc, c)).otherwise(acc),
-    )
-    return per_doc.select(*keys, kept.alias("centres"))
+    gaps = lines.groupBy(*keys).agg((F.median(height("bbox")) * 0.5).alias("gap"))
+    return last_kept(lines.select(*keys, centre.alias("centre")).join(gaps, list(keys)), keys, "centre", "gap")
 
 
 def reading_order(words: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """words with `reading_idx`: by the nearest kept line centre (the upper on a tie), then by horizontal centre."""
-    with_centres = words.join(line_centres(lines, keys), list(keys))
-    y = (F.col("bbox.top") + F.col("bbox.bottom")) / 2
-    nearest = F.array_min(F.transform("centres", lambda c: F.struct(F.abs(c - y).alias("d"), c.alias("c"))))["c"]
-    x = (F.col("bbox.left") + F.col("bbox.right")) / 2
-    order = Window.partitionBy(*keys).orderBy("__line", x, "line_idx", "word_idx")
-    placed = with_centres.withColumn("__line", nearest)
-    return placed.withColumn("reading_idx", F.row_number().over(order) - 1).drop("centres", "__line")
+    """words with `reading_idx`: by the nearest kept line centre (the upper on a tie), then by horizontal centre.
+
+    Words and centres stand in one ordered stream a document, and a word is between the last centre before it and the first after it.
+    """
+    y, x = (F.col("bbox.top") + F.col("bbox.bottom")) / 2, (F.col("bbox.left") + F.col("bbox.right")) / 2
+    rows = words.select(*keys, y.alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in words.columns]).alias("__row"))
+    both = rows.unionByName(line_centres(lines, keys).select(*keys, F.col("centre").alias("__at"), F.lit(0).alias("__side"), F.col("centre").alias("__c")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("__at", "__side")
+    above = F.last("__c", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # the other way round, so that both are running values
+    below = F.last("__c", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("__up", above).withColumn("__down", below).filter("__side = 1 AND (__up IS NOT NULL OR __down IS NOT NULL)")
+    upper = F.col("__down").isNull() | (F.col("__at") - F.col("__up") <= F.col("__down") - F.col("__at"))
+    placed = near.select("__row.*", F.when(upper, F.col("__up")).otherwise(F.col("__down")).alias("__line"))
+    in_order = Window.partitionBy(*keys).orderBy("__line", x, "line_idx", "word_idx")
+    return placed.withColumn("reading_idx", F.row_number().over(in_order) - 1).drop("__line")
 
 
 def heatmap(points: DataFrame, x: str, y: str, size: int = 100, dense: bool = True) -> DataFrame:
@@ -109,18 +114,22 @@ def heatmap(points: DataFrame, x: str, y: str, size: int = 100, dense: bool = Tr
 def equal_mass_cutoffs(values: DataFrame, value: str, parts: int) -> DataFrame:
     """One row, `cutoffs`: distinct values ascending; where the count since the last cut-off reaches total / parts, the value is one.
 
-    Values are counted before they are gathered: the one row holds distinct counts of cells, not cells.
+    Values are counted, and counts are summed up in ranges of the values and over the ranges, so no task holds all of them. Each cut-off
+    uses up its share of the total: there are `parts` at most, and each is found from the one before it.
     """
+    spark = values.sparkSession
     counts = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    gathered = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("all"), F.sum("n").alias("total"))
-    start = F.struct(F.array().cast("array<double>").alias("cuts"), F.lit(0).cast("long").alias("run"))
-
-    def step(acc: Column, x: Column) -> Column:
-        run = acc["run"] + x["n"]
-        full = run >= F.col("total") / parts
-        return F.struct(F.when(full, F.array_append(acc["cuts"], x["v"].cast("double"))).otherwise(acc["cuts"]).alias("cuts"), F.when(full, F.lit(0).cast("long")).otherwise(run).alias("run"))
-
-    return gathered.select(F.aggregate("all", start, step)["cuts"].alias("cutoffs"))
+    dealt = cut(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy("range").agg(F.sum("n").alias("mass"))
+    before = ranges.select("range", (F.sum("mass").over(Window.orderBy("range")) - F.col("mass")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    summed = cut(dealt.withColumn("inside", inside).join(before, "range").select(F.col("v").cast("double").alias("v"), (F.col("before") + F.col("inside")).alias("upto")))
+    total = summed.agg(F.max("upto").alias("total")).first()["total"]
+    cutoffs, at = [], 0
+    while total and (found := summed.filter((F.col("upto") - at >= F.lit(total) / parts) & (F.col("upto") > at)).agg(F.min(F.struct("upto", "v")).alias("c")).first()["c"]):
+        cutoffs.append(found["v"])
+        at = found["upto"]
+    return spark.createDataFrame([(cutoffs,)], "cutoffs array<double>")
 
 
 def equal_mass_labels(values: DataFrame, value: str, parts: int, label: str = "label") -> DataFrame:

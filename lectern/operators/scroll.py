@@ -32,8 +32,10 @@ def stitched_lines(adjacent: DataFrame, ref_lines: DataFrame, session: Sequence[
     """(session, doc, line_idx, line, top, bottom): one page of a session's frames.
 
     Line 0 has its mean top and bottom. Every other line keeps its mean distance to the predecessor's top, scaled by the height
-    of that line in the frame over its height on the page (the inverse with `normalise`): the means are plain aggregates, and one
-    fold over the lines in order resolves the recurrence. From a line that no frame shows next to its predecessor on, positions are null.
+    of that line in the frame over its height on the page (the inverse with `normalise`): the means are plain aggregates. A
+    line's height is then a product (or alternating quotient) of what its predecessors give, and its top a sum, so the
+    recurrence is two running sums over the lines, of logarithms and of distances. From a line that no frame shows next to
+    its predecessor on, positions are null; so are those after a line of no height, unless `normalise`, where what follows has none either.
     """
     p_height = F.col("prev.bottom") - F.col("prev.top")
     p_height = 1 / p_height if normalise else p_height
@@ -45,20 +47,25 @@ def stitched_lines(adjacent: DataFrame, ref_lines: DataFrame, session: Sequence[
     )
     pages = adjacent.select(*session, doc).distinct()
     rows = pages.join(ref_lines, doc).join(means.withColumnRenamed("ref_idx", "line_idx"), [*session, doc, "line_idx"], "left")
-    one = F.struct("line_idx", "line", "t0", "b0", "a", "b")
-    per_page = rows.groupBy(*session, doc).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    out_type = "array<struct<line_idx:int,line:string,top:double,bottom:double>>"
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        h = last["bottom"] - last["top"]
-        factor = h if normalise else 1 / h
-        top = F.when(F.size(acc) == 0, x["t0"]).otherwise(last["top"] + x["a"] * factor)
-        bottom = F.when(F.size(acc) == 0, x["b0"]).otherwise(last["top"] + x["b"] * factor)
-        return F.array_append(acc, F.struct(x["line_idx"].cast("int").alias("line_idx"), x["line"].alias("line"), top.alias("top"), bottom.alias("bottom")))
-
-    folded = per_page.select(*session, doc, F.explode(F.aggregate("all", F.array().cast(out_type), step)).alias("r"))
-    return folded.select(*session, doc, "r.line_idx", "r.line", "r.top", "r.bottom")
+    page = [*session, doc]
+    order = Window.partitionBy(*page).orderBy("line_idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(order) == 1
+    own = rows.select(*page, "line_idx", "line", "t0", first.alias("first"), F.when(first, F.col("b0") - F.col("t0")).otherwise(F.col("b") - F.col("a")).alias("d"), F.when(~first, F.col("a")).alias("a"), F.row_number().over(order).alias("k"))
+    sign = F.lit(1) if normalise else F.when(F.col("k") % 2 == 1, 1).otherwise(-1)
+    logs = own.select(
+        *page, "line_idx", "line", "t0", "first", "d", "a", "k", sign.alias("sign"),
+        F.sum(sign * F.ln(F.abs("d"))).over(upto).alias("log"), F.sum((F.col("d") < 0).cast("int")).over(upto).alias("flips"),
+        F.sum(F.col("d").isNull().cast("int")).over(upto).alias("lost"), F.sum((F.col("d") == 0).cast("int")).over(upto).alias("zeros"),
+    )
+    size = F.exp(F.col("sign") * F.col("log")) * F.when(F.col("flips") % 2 == 1, -1).otherwise(1)
+    flat = F.lit(0.0) if normalise else F.when((F.col("d") == 0) & (F.col("zeros") == 1), 0.0)
+    heights = logs.withColumn("h", F.when(F.col("lost") > 0, None).when(F.col("zeros") > 0, flat).otherwise(size))
+    before = F.lag("h").over(order)
+    moved = heights.withColumn("move", F.when(F.col("first"), F.col("t0")).otherwise(F.col("a") * (before if normalise else F.try_divide(F.lit(1.0), before))))
+    gone = F.sum(F.col("move").isNull().cast("int")).over(upto) > 0
+    placed = moved.withColumn("top", F.when(~gone, F.sum("move").over(upto)))
+    return placed.select(*page, "line_idx", "line", "top", (F.col("top") + F.col("h")).alias("bottom"))
 
 
 def inner_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks.scratch import cut
+
 
 def _w(keys: Sequence[str], *order: str | Column) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -154,6 +156,30 @@ def clip(rows: DataFrame, keys: Sequence[str], time: str, start: float, end: flo
     return rows.filter((t > start) & (t < end)).unionByName(at(first, start)).unionByName(at(last, end))
 
 
+def frontier_changes(spans: DataFrame, keys: Sequence[str], probe: Callable[[DataFrame], DataFrame], start: str = "lo", end: str = "hi", tick: str = "tick") -> DataFrame:
+    """(keys, tick) in (start, end] where the value changes, by halving spans whose ends differ, of all sessions at once.
+
+    spans: one row a session, ends in ticks (integers; a span without an end or of no length has no changes). `probe` takes (keys, tick) and
+    adds `value`, for values that cost much to look at: every tick is asked once. A round asks the middles of the spans that are still open, so there are as
+    many rounds as the longest span has halvings, whatever the number of sessions. Like bisect_changes it does not see a change and
+    its reversal between two looks. Null is a value.
+    """
+    lo, hi, differ = F.col("lo"), F.col("hi"), ~F.col("a").eqNullSafe(F.col("b"))
+    whole = spans.select(*keys, F.col(start).cast("long").alias("lo"), F.col(end).cast("long").alias("hi")).filter(lo < hi)
+    ends = cut(probe(whole.select(*keys, F.explode(F.array("lo", "hi")).alias(tick))).select(*keys, tick, "value"))
+    at = lambda side, name: ends.select(*keys, F.col(tick).alias(side), F.col("value").alias(name))
+    opened = cut(whole.join(at("lo", "a"), [*keys, "lo"]).join(at("hi", "b"), [*keys, "hi"]).filter(differ).select(*keys, "lo", "hi", "a", "b"))
+    found = opened.filter(hi - lo <= 1).select(*keys, hi.alias(tick))
+    while not opened.filter(hi - lo > 1).isEmpty():
+        wide = opened.filter(hi - lo > 1).withColumn(tick, F.floor((lo + hi) / 2).cast("long"))
+        seen = probe(wide.select(*keys, tick)).select(*keys, tick, F.col("value").alias("m"))
+        half = lambda x, y, v, w: F.struct(F.col(x).alias("lo"), F.col(y).alias("hi"), F.col(v).alias("a"), F.col(w).alias("b"))
+        halves = wide.join(seen, [*keys, tick]).select(*keys, F.explode(F.array(half("lo", tick, "a", "m"), half(tick, "hi", "m", "b"))).alias("__span"))
+        opened = cut(halves.select(*keys, "__span.*").filter(differ))
+        found = found.unionByName(opened.filter(hi - lo <= 1).select(*keys, hi.alias(tick)))
+    return found
+
+
 def bisect_changes(value_at, start: float, end: float, resolution: float = 0.1) -> list[float]:
     """Times in (start, end] where value_at changes, found by halving spans whose ends differ.
 

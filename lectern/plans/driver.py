@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import edits, gaze, geometry, highlights, ids, match, repair, scroll, temporal
+from ..operators import edits, gaze, geometry, highlights, ids, match, repair, scroll, temporal, tracks
 from ..sinks.scratch import cut
-from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, corpus, doc_lines, doc_tokens, doc_words, frames, table
+from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, SQL_SCREENS, corpus, doc_lines, doc_tokens, doc_words, frames, screen_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,6 +144,41 @@ def global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.assign_ids(ordered.join(best.select("doc_id", "doc_name"), "doc_id"), ids.word_positions(corpus(spark, sf_dir)), KEYS)
 
 
+def _sql_links(hop: int) -> str:
+    """Links of frames that are `hop` apart, of what has no link yet."""
+    before = [f"K{h}" for h in range(1, hop)]
+    open_ahead = "".join(f" AND NOT EXISTS (SELECT 1 FROM {k} WHERE {k}.doc_id = T.doc_id AND {k}.f = T.frame AND {k}.i = T.line_idx)" for k in before)
+    open_behind = "".join(f" AND NOT EXISTS (SELECT 1 FROM {k} WHERE {k}.doc_id = T.doc_id AND {k}.g = T.frame AND {k}.j = T.line_idx)" for k in before)
+    h = str(hop)
+    words = "SELECT doc_id, frame, min(line_idx) AS line_idx, w FROM (SELECT doc_id, frame, line_idx, unnest(string_split(text, ' ')) AS w FROM {}) WHERE w <> '' GROUP BY doc_id, frame, w HAVING count(*) = 1"
+    return f"""A{h} AS MATERIALIZED (SELECT T.*, to_frame FROM T JOIN (SELECT doc_id, frame, lead(frame, {hop}) OVER (PARTITION BY doc_id ORDER BY frame) AS to_frame FROM (SELECT DISTINCT doc_id, frame FROM S)) N USING (doc_id, frame) WHERE to_frame IS NOT NULL{open_ahead}),
+B{h} AS MATERIALIZED (SELECT T.* FROM T WHERE true{open_behind}),
+E{h} AS MATERIALIZED (
+  SELECT a.doc_id, a.frame AS f, a.line_idx AS i, b.frame AS g, b.line_idx AS j FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, frame, text ORDER BY line_idx) AS k FROM A{h}) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, frame, text ORDER BY line_idx) AS k FROM B{h}) b ON b.doc_id = a.doc_id AND b.frame = a.to_frame AND b.text = a.text AND b.k = a.k
+), AA{h} AS MATERIALIZED (SELECT a.* FROM A{h} a WHERE NOT EXISTS (SELECT 1 FROM E{h} e WHERE e.doc_id = a.doc_id AND e.f = a.frame AND e.i = a.line_idx)),
+BB{h} AS MATERIALIZED (SELECT b.* FROM B{h} b WHERE NOT EXISTS (SELECT 1 FROM E{h} e WHERE e.doc_id = b.doc_id AND e.g = b.frame AND e.j = b.line_idx)),
+P{h} AS (SELECT DISTINCT x.doc_id, x.frame AS f, x.line_idx AS i, y.frame AS g, y.line_idx AS j FROM ({words.format("AA" + h)}) x JOIN (SELECT DISTINCT doc_id, frame, to_frame FROM AA{h}) n USING (doc_id, frame) JOIN ({words.format("BB" + h)}) y ON y.doc_id = x.doc_id AND y.frame = n.to_frame AND y.w = x.w),
+D{h} AS MATERIALIZED (SELECT P{h}.*, levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS d FROM P{h} JOIN AA{h} a ON a.doc_id = P{h}.doc_id AND a.frame = f AND a.line_idx = i JOIN BB{h} b ON b.doc_id = P{h}.doc_id AND b.frame = g AND b.line_idx = j),
+K{h} AS MATERIALIZED (
+  SELECT doc_id, f, i, g, j FROM E{h} UNION ALL SELECT doc_id, f, i, g, j FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, f, i ORDER BY d, j) AS p, row_number() OVER (PARTITION BY doc_id, g, j ORDER BY d, i) AS q FROM D{h} WHERE d <= {tracks.MAX_TRACK_DISTANCE}) WHERE p = 1 AND q = 1
+)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_SCREENS}, T AS MATERIALIZED (SELECT * FROM (SELECT doc_id, frame, line_idx, trim(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS text FROM S) WHERE text <> ''),
+{_sql_links(1)}, {_sql_links(2)}, K AS MATERIALIZED (SELECT * FROM K1 UNION ALL SELECT * FROM K2), C AS (
+  SELECT doc_id, frame, line_idx, frame AS track_time, line_idx AS track_line FROM S WHERE NOT EXISTS (SELECT 1 FROM K WHERE K.doc_id = S.doc_id AND g = frame AND j = line_idx)
+  UNION ALL SELECT C.doc_id, g, j, track_time, track_line FROM C JOIN K ON K.doc_id = C.doc_id AND f = frame AND i = line_idx
+)
+SELECT doc_id, frame, line_idx, track_time, track_line FROM C"""
+)
+def line_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of a recording without a known text are one line: documents as scrolled screens, read with errors."""
+    return tracks.line_tracks(screen_lines(spark, sf_dir), KEYS, "frame")
+
+
 # geometry
 
 
@@ -299,6 +334,26 @@ def locf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.carried_grid(rows, USER, "day", "event_type", bounds, "view", ["ts_us", "event_id"])
 
 
+@query(
+    f"""WITH RECURSIVE {SQL_FRAMES}, H AS (SELECT user_id, ts_us // 3600000000 AS hour, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts_us // 3600000000 ORDER BY ts_us DESC, event_id DESC) AS k FROM F) WHERE k = 1),
+EN AS (SELECT user_id, min(hour) AS lo, max(hour) AS hi FROM H GROUP BY user_id), T AS (SELECT user_id, unnest(range(lo, hi + 1)) AS hour FROM EN),
+G AS MATERIALIZED (SELECT user_id, hour, last_value(H.event_type IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM T LEFT JOIN H USING (user_id, hour)),
+SP AS (
+  SELECT EN.user_id, lo, hi, x.v AS va, y.v AS vb FROM EN JOIN G x ON x.user_id = EN.user_id AND x.hour = lo JOIN G y ON y.user_id = EN.user_id AND y.hour = hi
+  UNION ALL
+  SELECT SP.user_id, CASE WHEN s = 0 THEN lo ELSE m.hour END, CASE WHEN s = 0 THEN m.hour ELSE hi END, CASE WHEN s = 0 THEN va ELSE m.v END, CASE WHEN s = 0 THEN m.v ELSE vb END
+  FROM SP JOIN G m ON m.user_id = SP.user_id AND m.hour = (lo + hi) // 2, (SELECT unnest([0, 1]) AS s) WHERE hi - lo > 1 AND va <> vb
+)
+SELECT user_id, hi AS hour FROM SP WHERE hi - lo = 1 AND va <> vb"""
+)
+def change_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in which a user's last event is found to be of another kind, by halving the spans of all users at once."""
+    rows = frames(spark, sf_dir).select("user_id", F.floor(F.col("ts_us") / 3_600_000_000).cast("long").alias("at"), "ts_us", "event_id", "event_type")
+    latest = cut(rows.groupBy("user_id", "at").agg(F.max(F.struct("ts_us", "event_id", "event_type")).alias("e")).select("user_id", "at", F.col("e.event_type").alias("value")))
+    spans = latest.groupBy("user_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    return temporal.frontier_changes(spans, USER, lambda asked: temporal.asof(asked, latest, USER, "hour", "at", "value"), tick="hour")
+
+
 _SQL_DELTAS = (
     SQL_FRAMES
     + """, K AS (SELECT user_id, day, event_type, count(*) AS n FROM F GROUP BY 1, 2, 3), D AS (SELECT DISTINCT user_id, day FROM F),

@@ -41,6 +41,27 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "line_idx", "word_idx", F.col("word").alias("text"), box.alias("bbox"), F.lit(None).cast("string").alias("highlight"))
 
 
+#: Words of a screen's line, lines of a screen, and lines by which a frame has been scrolled on from the one before.
+SCREEN_WORDS, SCREEN_LINES, SCREEN_STEP = 10, 9, 3
+
+
+def screen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, frame, line_idx, text): a document as a recording of someone who scrolls through it, read with errors.
+
+    Of some sightings letters are mistaken, of others the line is unreadable; a line is on screen in up to three frames.
+    """
+    text = F.translate(F.coalesce("text", F.lit("")), "\n", " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(text, " ").alias("ws"))
+    n = F.ceil(F.size("ws") / SCREEN_WORDS).cast("int")
+    lines_of = docs.select("doc_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(j.alias("j"), F.array_join(F.slice("ws", j * SCREEN_WORDS + 1, SCREEN_WORDS), " ").alias("text")))).alias("l"))
+    last = F.ceil(F.greatest(F.col("n") - SCREEN_LINES, F.lit(0)) / SCREEN_STEP)
+    j = F.col("l.j")
+    first = F.greatest(F.ceil((j - SCREEN_LINES + 1) / SCREEN_STEP), F.lit(0))
+    seen = lines_of.select("doc_id", j.alias("j"), F.col("l.text").alias("text"), F.explode(F.sequence(first.cast("int"), F.least(F.floor(j / SCREEN_STEP), last).cast("int"))).alias("frame"))
+    noise = F.when((F.col("frame") * 5 + F.col("j")) % 7 == 0, F.reverse("text")).when((F.col("frame") * 3 + F.col("j") * 2) % 5 == 0, F.translate("text", "aeo", "ceq")).otherwise(F.col("text"))
+    return seen.select("doc_id", "frame", (F.col("j") - F.col("frame") * SCREEN_STEP).alias("line_idx"), noise.alias("text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_name, line_idx, line): benchmark items, a line per sentence."""
     items = table(spark, sf_dir, "benchmark")
@@ -76,6 +97,14 @@ SQL_BOXES = (
   FROM W JOIN LB ON W.doc_id = LB.doc_id AND W.line_idx = LB.line_idx
 ), B AS (SELECT *, l + 8 * length(text) AS r FROM WB)"""
 )
+SQL_SCREENS = f"""WS AS (SELECT doc_id, string_split(translate(coalesce(text, ''), chr(10), ' '), ' ') AS ws FROM documents),
+SJ AS (SELECT doc_id, ws, CAST(ceil(len(ws) / {SCREEN_WORDS}.0) AS INT) AS n FROM WS),
+SL AS (SELECT doc_id, n, j, array_to_string(ws[j * {SCREEN_WORDS} + 1:j * {SCREEN_WORDS} + {SCREEN_WORDS}], ' ') AS text FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS j FROM SJ)),
+SS AS (
+  SELECT doc_id, j, text, CAST(unnest(range(CAST(greatest(ceil((j - {SCREEN_LINES - 1}) / {SCREEN_STEP}.0), 0) AS INT), least(j // {SCREEN_STEP}, CAST(ceil(greatest(n - {SCREEN_LINES}, 0) / {SCREEN_STEP}.0) AS INT)) + 1)) AS INT) AS frame FROM SL
+), S AS (
+  SELECT doc_id, frame, j - frame * {SCREEN_STEP} AS line_idx, CASE WHEN (frame * 5 + j) % 7 = 0 THEN reverse(text) WHEN (frame * 3 + j * 2) % 5 = 0 THEN translate(text, 'aeo', 'ceq') ELSE text END AS text FROM SS
+)"""
 SQL_CORPUS = """R AS (
   SELECT doc_name, CAST(unnest(range(len(ls))) AS INT) AS line_idx, unnest(ls) AS line
   FROM (SELECT item_id AS doc_name, string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)) AS ls FROM benchmark)

@@ -87,7 +87,7 @@ def test_space_width_defaults(spark):
 def test_line_centres_skip_close_ones(spark):
     tops = [0.0, 3.0, 7.0, 11.0, 40.0]
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(tops)], "doc_id int, line_idx int, top double").select("doc_id", "line_idx", S.bbox(F.lit(0), "top", F.lit(9), F.col("top") + 16).alias("bbox"))
-    assert geometry.line_centres(lines, ["doc_id"]).first()["centres"] == [8.0, 19.0, 48.0]
+    assert rows(geometry.line_centres(lines, ["doc_id"]), "centre") == [(8.0,), (19.0,), (48.0,)]
 
 
 def test_frames_with_many_coloured_words_are_rejected(spark):
