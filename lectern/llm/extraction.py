@@ -1,11 +1,13 @@
 """Main-text extraction by tag-path ratios.
 
 A page is cut into text blocks, each with its root-to-leaf path of block elements (with their class and id). Text length without links
-and punctuation are aggregated per path; the ratios of both to the path's tags are smoothed over the blocks in page order and
-fused into one score per path. What elements say about themselves is part of the score: article and main raise it, class words of
-furniture (menus, adverts, comments and the like) lower it. Paths above a share of the page's mean score, weighted by length, are
-content. Short text elements (headings, list items, one-word paragraphs) are read with the element that holds them: they
-are content if the paths below that element are.
+and punctuation are aggregated per path; the logarithms of both, per block of the path, are smoothed over the blocks in page
+order and fused with the shares of the page's text and blocks that the element has which holds the path: one score per path. Paths
+with a share of the best path's score are content. Short text elements (headings, list items, one-word paragraphs) are
+read with the element that holds them: they are content if the paths below that element are.
+
+What elements say about themselves only weights a score: article and main by three, class words of furniture (menus, adverts, comments and
+the like) by a third. As the threshold is lower than a third, a class word by itself rejects nothing.
 
 Elements that are never part of an article by their name (nav, footer, form, script and the like) are not read at all.
 """
@@ -45,8 +47,10 @@ OUTER_WORDS = frozenset("notice notices alert side aside rail header foot copyri
 FURNITURE_STEMS = ("sidebar", "comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "navbar", "navigation", "footer", "disqus", "popup", "masthead", "sharing", "pagination")
 NEGATIONS = frozenset("has with no without not".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
-#: What an article or main element, and a class word of furniture, multiply a path's score by; the share of the mean score that content has.
-ARTICLE, MARKED, SHARE = 10.0, 0.001, 0.3
+#: What an article or main element, and a class word of furniture, multiply a path's score by, whatever their number; the share of the best path's score that content has.
+ARTICLE, MARKED, SHARE = 3.0, 1 / 3, 0.3
+#: Powers of the shares of the page's text and blocks that a path's holder has, in the path's ratio.
+TEXT_POWER, BLOCK_POWER = 0.5, 3
 #: Elements that end an open element of the same kind.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl div section article main body blockquote td th li".split())
@@ -64,24 +68,29 @@ _DIGITS, _SEPARATORS = re.compile(r"[0-9]+"), re.compile(r"[-_:]+")
 class Block:
     """A text with its path, the elements around it, the element that holds it, and what those say about it."""
 
-    __slots__ = ("path", "ancestors", "holder", "text", "linked", "tags", "marks", "prior", "inside")
+    __slots__ = ("path", "ancestors", "holder", "text", "linked", "marks", "prior", "inside")
 
-    def __init__(self, path: str, ancestors: tuple[int, ...], holder: int, text: str, linked: int, tags: int, prior: float, inside: bool):
-        self.path, self.ancestors, self.holder, self.text, self.linked, self.tags = path, ancestors, holder, text, min(linked, len(text)), max(1, tags)
+    def __init__(self, path: str, ancestors: tuple[int, ...], holder: int, text: str, linked: int, prior: float, inside: bool):
+        self.path, self.ancestors, self.holder, self.text, self.linked = path, ancestors, holder, text, min(linked, len(text))
         self.prior, self.inside = prior, inside
         self.marks = len(_MARKS.findall(text))
 
 
 class Element:
-    """An open element: `unread` if its text is never part of an article, `prior` what it and those around it multiply scores by."""
+    """An open element: `unread` if its text is never part of an article, `marked` if its classes or those around it say furniture, `inside` an article."""
+
+    __slots__ = ("name", "path", "number", "unread", "marked", "inside")
 
-    __slots__ = ("name", "path", "number", "unread", "prior", "inside")
+    def __init__(self, name: str, path: str, number: int, unread: bool, marked: bool, inside: bool):
+        self.name, self.path, self.number, self.unread, self.marked, self.inside = name, path, number, unread, marked, inside
 
-    def __init__(self, name: str, path: str, number: int, unread: bool, prior: float, inside: bool):
-        self.name, self.path, self.number, self.unread, self.prior, self.inside = name, path, number, unread, prior, inside
+    @property
+    def prior(self) -> float:
+        """What scores are multiplied by, however many such elements there are."""
+        return (ARTICLE if self.inside else 1.0) * (MARKED if self.marked else 1.0)
 
 
-_PAGE = Element("", "", 0, False, 1.0, False)
+_PAGE = Element("", "", 0, False, False, False)
 
 
 def _role(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
@@ -117,18 +126,18 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[Element] = []
     parts: list[str] = []
-    linked = tags = link_depth = 0
+    linked = link_depth = 0
 
     def end_block() -> None:
-        nonlocal linked, tags
+        nonlocal linked
         if parts:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = stack[-1] if stack else _PAGE
-                out.append(Block(top.path, tuple(e.number for e in stack), _holder(stack), text, linked, tags, top.prior, top.inside))
+                out.append(Block(top.path, tuple(e.number for e in stack), _holder(stack), text, linked, top.prior, top.inside))
             parts.clear()
-        linked = tags = 0
+        linked = 0
 
     def pop_to(index: int) -> None:
         end_block()
@@ -147,7 +156,6 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in INLINE or name == "br":
-            tags += name not in MATHS
             if name == "a":
                 link_depth = 0 if m[2] else 1
             elif name == "br":
@@ -177,10 +185,7 @@ def blocks(page: str) -> list[Block]:
         under = stack[-1] if stack else _PAGE
         unread, marked, label = _role(name, m[4][:-1], under.inside)
         number += 1
-        # an article counts once, and so does each marked element around or in it
-        prior = under.prior * (MARKED if marked else 1.0) * (ARTICLE if name in CONTENT and not under.inside else 1.0)
-        stack.append(Element(name, f"{under.path}/{label}", number, under.unread or unread, prior, under.inside or name in CONTENT))
-        tags = 1
+        stack.append(Element(name, f"{under.path}/{label}", number, under.unread or unread, under.marked or marked, under.inside or name in CONTENT))
         if m[5] and not stack[-1].unread:  # what an xmp element shows is no markup
             parts.append(html.escape(m[5]))
     if last < len(page) and not (stack and stack[-1].unread):
@@ -191,18 +196,21 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def path_scores(found: list[Block], radius: int = 1) -> dict[str, float]:
-    """Per path: characters outside links and punctuation per tag, smoothed over the blocks in page order, fused, times the prior, and
-    times the root of the path's share of the page's text, as a path that an article repeats has more than one seen once."""
+def path_ratios(found: list[Block], radius: int = 1) -> dict[str, float]:
+    """Per path: characters outside links and punctuation per block, in logarithms, smoothed over the blocks in page order, and fused with what
+    the element that holds the path has of the page's text and blocks, as an article is more than one text seen once."""
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
-    tags: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    held: dict[int, list[int]] = {}
     for b in found:
-        length[b.path] = length.get(b.path, 0) + len(b.text) - b.linked
+        free = len(b.text) - b.linked
+        length[b.path] = length.get(b.path, 0) + free
         marks[b.path] = marks.get(b.path, 0) + b.marks
-        tags[b.path] = tags.get(b.path, 0) + b.tags
-    text_ratio = [length[b.path] / tags[b.path] for b in found]
-    mark_ratio = [marks[b.path] / tags[b.path] for b in found]
+        seen[b.path] = seen.get(b.path, 0) + 1
+        x = held.setdefault(b.holder, [0, 0])
+        x[0] += free
+        x[1] += free > 0
     kernel = [math.exp(-(k * k) / 0.5) for k in range(-radius, radius + 1)]
 
     def smooth(values: list[float]) -> list[float]:
@@ -212,11 +220,20 @@ def path_scores(found: list[Block], radius: int = 1) -> dict[str, float]:
             out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
         return out
 
+    text_ratio = smooth([math.log1p(length[b.path] / seen[b.path]) for b in found])
+    mark_ratio = smooth([math.log1p(marks[b.path] / seen[b.path]) for b in found])
+    chars, count = (max(1, sum(x[i] for x in held.values())) for i in (0, 1))
     fused: dict[str, list[float]] = {}
-    for b, t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
-        fused.setdefault(b.path, []).append(b.prior * t * (1 + p))
-    total = max(1, sum(length.values()))
-    return {path: sum(v) / len(v) * math.sqrt(length[path] / total) for path, v in fused.items()}
+    for b, t, p in zip(found, text_ratio, mark_ratio, strict=True):
+        of_chars, of_count = held[b.holder][0] / chars, held[b.holder][1] / count
+        fused.setdefault(b.path, []).append(t * (1 + p) * of_chars**TEXT_POWER * of_count**BLOCK_POWER)
+    return {path: sum(v) / len(v) for path, v in fused.items()}
+
+
+def path_scores(found: list[Block]) -> dict[str, float]:
+    """Each path's ratio, weighted by what its elements say about themselves."""
+    prior = {b.path: b.prior for b in found}
+    return {path: ratio * prior[path] for path, ratio in path_ratios(found).items()}
 
 
 def main_text(page: str) -> str:
@@ -225,8 +242,7 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     scores = path_scores(found)
-    total = sum(len(b.text) for b in found)
-    threshold = SHARE * sum(scores[b.path] * len(b.text) for b in found) / total
+    threshold = SHARE * max(scores.values())
     # each element's mean score over all text in it, and the greatest prior there
     mass: dict[int, list[float]] = {}
     for b in found:

@@ -247,16 +247,34 @@ def test_a_class_around_the_whole_page_says_nothing():
     assert "Nice" not in extraction.main_text(page)
 
 
-@pytest.mark.parametrize("article", ["article", "div"])
-def test_the_scores_select(spark, monkeypatch, article):
-    """Any other scores give other texts, on pages with and without an article element."""
-    pages = [r["html"].replace("<article>", f"<{article}>").replace("</article>", f"</{article}>") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+def renamed(page):
+    return page.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_the_ratios_select(spark, monkeypatch):
+    """With nothing but the ratios replaced, by a constant or their inverse, most pages without an article element give another text."""
+    pages = [renamed(r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     texts = list(map(extraction.main_text, pages))
-    real = extraction.path_scores
-    for other in (lambda found: {b.path: 1.0 for b in found}, lambda found: {k: -v for k, v in real(found).items()}):
-        monkeypatch.setattr(extraction, "path_scores", other)
+    real = extraction.path_ratios
+    for other in (lambda found: dict.fromkeys(real(found), 1.0), lambda found: {k: 1 / max(v, 1e-9) for k, v in real(found).items()}):
+        monkeypatch.setattr(extraction, "path_ratios", other)
         assert sum(extraction.main_text(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
-        monkeypatch.setattr(extraction, "path_scores", real)
+        monkeypatch.setattr(extraction, "path_ratios", real)
+
+
+def test_pages_that_say_nothing_about_themselves(spark, monkeypatch):
+    """Without article elements, and without class words too, by ratios alone, nearly all texts are those of the pages as they are."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").limit(600).collect()]
+    texts = list(map(extraction.main_text, pages))
+    assert sum(extraction.main_text(renamed(p)) == t for p, t in zip(pages, texts, strict=True)) > 0.99 * len(pages)
+    monkeypatch.setattr(extraction, "MARKED", 1.0)
+    assert sum(extraction.main_text(renamed(p)) == t for p, t in zip(pages, texts, strict=True)) > 0.97 * len(pages)
+
+
+def test_priors_are_bounded():
+    nest = "<div class='ad banner'><section class='sidebar'>" * 4
+    found = extraction.blocks(f"<body>{nest}<p>x</p></section></div><article class='comments'><div class='ad'><main><p>y</p></main></div></article></body>")
+    assert [b.prior for b in found] == [pytest.approx(1 / 3), pytest.approx(1)]
 
 
 def test_pages_as_a_table(spark):
