@@ -3,11 +3,12 @@
 Sources in code point order, null last, get weights 5, 2, 1, repeating. They share 150 % of all words by weight; a target stops
 at twice the source's words and what is over is shared by the others, which is the water level where the capped shares add up.
 A source is taken in complete epochs first. The rest of its target is filled in the order of keys -ln(u) / quality (the
-order of Efraimidis and Spirakis), with u drawn from the document's id: documents count whole until the prefix sum of
+order of Efraimidis and Spirakis), with u drawn from the document's id (its text's hash where there is none): documents count whole until the prefix sum of
 their words reaches the budget, and the one that crosses it counts in part.
 
 Prefix sums do not sort a source in one task. Keys are dealt into ranges, the ranges' sums give the offset of each
-range, and only the one range of a source that the budget ends in is sorted.
+range, and only the one range of a source that the budget ends in is sorted. Ranges are parts of an octave: whatever the
+qualities are, logarithms of such keys spread, so that a range has less than a thousandth of a source.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import external_id, internal_id, materialise, quoted
+from .common import NULL_ID, external_id, internal_id, materialise, quoted
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 17
-#: Ranges that the keys of a source are dealt into.
-RANGES = 4096
+#: Ranges of each octave of the keys.
+RANGES = 512
+#: A weight is held between these; null, not a number, zero and less count as the least.
+LEAST_QUALITY, GREATEST_QUALITY = 1e-9, 1e9
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,8 +38,11 @@ def default_quality(size: Column, text: Column) -> Column:
 
 
 def exponential_key(row_id: Column, quality: Column, seed: int = SEED) -> Column:
+    """-ln(u) / quality, which is above zero and finite for any quality."""
     u = (F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    return -F.log(u) / quality
+    given = quality.cast("double")
+    weight = F.when(given.isNull() | F.isnan(given), LEAST_QUALITY).otherwise(F.least(F.greatest(given, F.lit(LEAST_QUALITY)), F.lit(GREATEST_QUALITY)))
+    return F.greatest(-F.log(u), F.lit(2.0**-60)) / weight
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -67,7 +73,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null or empty text has size zero and is never taken; a null source is a source of its own, the last; a null id ranks last. Ties of the
     key are broken by id, then by the text's hash. Repeated rows share their key and stand next to each other; each is a row
     of its own with words of its own. A very long text counts like any other; at a budget's edge its first words are taken. An
-    empty table gives no rows. Names of other columns don't matter. `quality` is over the columns did, tag, source and size.
+    empty table gives no rows. Names of other columns don't matter. `quality` is over the columns did, tag, source and size; a
+    null, zero or negative one, or one that is no number, is the least weight, an infinite one the greatest. The default is a rule
+    of thumb from lengths: a real score should be handed in where there is one.
     """
     text = F.col(quoted(text_col)).cast("string")
     sized = docs.select(
@@ -76,8 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     weight = quality if quality is not None else default_quality(F.col("size"), F.col("__text"))
     also = ["row"] if whole_rows else []
-    keyed = sized.select("did", "tag", "source", "size", exponential_key(F.col("did"), weight).alias("key"), *also)
-    rows = materialise(keyed.withColumn("range", F.floor(RANGES * (1 - F.exp(-F.col("key")))).cast("int")), "keys")
+    keyed = sized.select("did", "tag", "source", "size", exponential_key(F.when(F.col("did") == F.lit(NULL_ID), F.col("tag")).otherwise(F.col("did")), weight).alias("key"), *also)
+    rows = materialise(keyed.withColumn("range", F.floor(RANGES * F.log2("key")).cast("int")), "keys")
     targets = source_targets(rows)
 
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -88,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ends = sums.withColumn("end", F.sum("words").over(upto)).join(t, same("source", "t_source"))
     crossing = ends.filter(F.col("end") > F.col("rest")).groupBy("t_source").agg(F.min(F.struct("range", (F.col("end") - F.col("words")).alias("before"))).alias("x"))
     plan = t.join(crossing.withColumnRenamed("t_source", "x_source"), same("t_source", "x_source"), "left").select(
-        "t_source", "source_size", "target", "epochs", "rest", F.coalesce("x.range", F.lit(RANGES + 1)).alias("stop"), F.coalesce("x.before", F.lit(0)).alias("before")
+        "t_source", "source_size", "target", "epochs", "rest", F.coalesce("x.range", F.lit((1 << 31) - 1)).alias("stop"), F.coalesce("x.before", F.lit(0)).alias("before")
     )
     plan = materialise(plan, "plan", rows)
     dealt = rows.join(plan, same("source", "t_source"))
