@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence.
 
 One scan counts, per document, characters by class and occurrences of common words. The language references are the
-same counts summed over all documents of the language, so they follow the corpus. A document whose character classes or
+same counts summed over the language's documents that look like prose by fixed bounds (words enough, few repeats, mostly letters, some common words), so
+they follow the corpus but not its junk, even where most of a language is junk. A document whose character classes or
 common words diverge from its language's by more than a Jensen-Shannon distance is rejected. Common words are tested
 twice: their share of all words (a text of word-like tokens lacks them) and their histogram (a text of another language
 has the wrong ones). Each test needs a minimum length, below which too few symbols were drawn for the distance to mean
@@ -35,11 +36,13 @@ SYMBOLS = b"#*$%&|<>"
 #: Base rule, and limits of the divergence tests: least words or characters, and greatest distance (base 2, 0 to 1).
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.3
-#: Limits lie in gaps between the distances of all documents of sf0.1: without any common word the histogram's distance is 0.34 to 0.352,
-#: another language's 0.333 to 0.461, prose reaches 0.3 only in parts of another language; the share's distance has none in 0.12 to 0.18.
+#: Limits lie in gaps between the distances of all documents of sf0.1: those of classes have none in 0.291 to 0.311, those of the share none in
+#: 0.138 to 0.191. The histogram's are dense from 0.27 on, where texts of another language begin; all above 0.3 but two fail by their share too.
 MIN_COMMON_WORDS, MAX_COMMON_DISTANCE, MAX_SHARE_DISTANCE = 100, 0.3, 0.15
-#: Documents of a language below which there is no reference: they would mostly be compared with themselves.
-MIN_REFERENCE_DOCS = 20
+#: What a document of a reference has at least: this share of letters in what is not white space, and of common words in its words.
+MIN_LETTERS, MIN_COMMON_SHARE = 0.6, 0.1
+#: Such documents of a language below which there is no reference: they would mostly be compared with themselves.
+MIN_REFERENCE_DOCS = 5
 
 _STATS = pa.schema(
     [(c, pa.int64()) for c in ("row", "tag", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]
@@ -208,12 +211,46 @@ def divergence(counts: Column, total: Column, reference: Column) -> Column:
 _DDL = "row long, tag long, chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang string, classes array<long>, common array<long>"
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def language_references(stats: DataFrame) -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): each language's shares, over all its documents, if it has MIN_REFERENCE_DOCS."""
+    """(ref_lang, docs, plausible, worded, ref_classes, ref_common), one row per language.
+
+    References are shares over all documents of the language that are plausible (they pass the base rule and are mostly letters) and
+    worded (they have common words). A language that the common words don't cover has too few of those: its classes are those of the plausible
+    documents, and ref_common is null; so is ref_classes with less than MIN_REFERENCE_DOCS plausible ones.
+    """
     widths = {"classes": CLASSES, "common": len(_common_index()[0]) + 1}
-    sums = stats.groupBy("lang").agg(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in widths.items() for i in range(n)], F.sum("chars").alias("chars"), F.sum("n_words").alias("n_words"), F.count("*").alias("docs"))
-    share = lambda c, total: F.array(*[F.coalesce(F.try_divide(F.col(f"{c}{i}").cast("double"), F.col(total).cast("double")), F.lit(0.0)) for i in range(widths[c])]).alias(f"ref_{c}")
-    return sums.filter(F.col("docs") >= MIN_REFERENCE_DOCS).select(F.col("lang").alias("ref_lang"), share("classes", "chars"), share("common", "n_words"))
+    letters = F.col("classes")[0] + F.col("classes")[1] + F.col("classes")[7]
+    plausible = ~base_failed() & (letters >= MIN_LETTERS * (F.col("chars") - F.col("classes")[3]))
+    worded = plausible & (F.col("n_words") - F.element_at("common", -1) >= MIN_COMMON_SHARE * F.col("n_words"))
+    marked = stats.withColumns({"p": plausible.cast("long"), "w": worded.cast("long")})
+    total = lambda value, of: F.sum(F.col(of) * value)
+    sums = marked.groupBy("lang").agg(
+        *[total(F.col("classes")[i], of).alias(f"{of}{i}") for of in "pw" for i in range(CLASSES)], *[total(F.col("common")[i], "w").alias(f"c{i}") for i in range(widths["common"])],
+        F.sum("p").alias("plausible"), F.sum("w").alias("worded"), F.count("*").alias("docs"), total(F.col("chars"), "p").alias("p"), total(F.col("chars"), "w").alias("w"), total(F.col("n_words"), "w").alias("c"),
+    )
+    shares = lambda of, n: F.array(*[F.try_divide(F.col(f"{of}{i}").cast("double"), F.col(of).cast("double")) for i in range(n)])
+    enough = lambda c: F.col(c) >= MIN_REFERENCE_DOCS
+    return sums.select(
+        F.col("lang").alias("ref_lang"), "docs", "plausible", "worded",
+        F.when(enough("worded"), shares("w", CLASSES)).when(enough("plausible"), shares("p", CLASSES)).alias("ref_classes"), F.when(enough("worded"), shares("c", widths["common"])).alias("ref_common"),
+    )
+
+
+def reference_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, docs, plausible, worded, has_classes, has_words): what each language's documents can be compared with. Where has_words is
+    false the common-word tests let everything pass, and where has_classes is, the base rule alone judges."""
+    refs = language_references(_stats(docs, id_col, text_col, lang_col))
+    return refs.select(F.col("ref_lang").alias("lang"), "docs", "plausible", "worded", F.col("ref_classes").isNotNull().alias("has_classes"), F.col("ref_common").isNotNull().alias("has_words"))
+
+
+def _stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    text = F.col(quoted(text_col)).cast("string")
+    base = docs.select(internal_id(quoted(id_col)).alias("row"), F.xxhash64(text).alias("tag"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
+    return base.mapInArrow(_scan, _DDL)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -222,28 +259,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share_distance is of common words against all others, zero where a text has no smaller share of them than its language.
 
     A null text has no words and fails the base rule; a null id is held last; a null language is a language of its own; documents of
-    a language with less than MIN_REFERENCE_DOCS are judged by the base rule alone; repeated rows are counted each time; a
+    a language without a reference (language_references, reported by reference_report) pass the tests that need it; repeated rows are counted each time; a
     text of more than a slice's 4 MB is scanned in pieces, which hold about twelve bytes a byte of it; an empty table gives no rows;
     names of other columns don't matter.
     """
-    text = F.col(quoted(text_col)).cast("string")
-    base = docs.select(internal_id(quoted(id_col)).alias("row"), F.xxhash64(text).alias("tag"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    stats = materialise(base.mapInArrow(_scan, _DDL), "stats", compression="zstd")
-    refs = materialise(language_references(stats), "references", stats)
+    stats = materialise(_stats(docs, id_col, text_col, lang_col), "stats", compression="zstd")
+    refs = materialise(language_references(stats).select("ref_lang", "ref_classes", "ref_common"), "references", stats)
     other, ref_other = F.element_at("common", -1), F.element_at("ref_common", -1)
     split = divergence(F.array(F.col("n_words") - other, other), F.col("n_words"), F.array(1 - ref_other, ref_other))
     joined = stats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").select(
         *[c for c in stats.columns if c not in ("classes", "common")],
         divergence(F.col("classes"), F.col("chars"), F.col("ref_classes")).alias("class_distance"),
         divergence(F.col("common"), F.col("n_words"), F.col("ref_common")).alias("common_distance"),
-        F.when(F.col("n_words") * ref_other >= other, 0.0).otherwise(split).alias("share_distance"),
+        F.when(ref_other.isNull(), None).when(F.col("n_words") * ref_other >= other, 0.0).otherwise(split).alias("share_distance"),
     )
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # without a reference distances are null, and so is the test
     far = ((F.col("chars") >= MIN_CLASS_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_COMMON_WORDS) & ((F.col("common_distance") > MAX_COMMON_DISTANCE) | (F.col("share_distance") > MAX_SHARE_DISTANCE))
     )
-    return joined.withColumnRenamed("row", "did").withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~F.coalesce(far, F.lit(False)))
+    return joined.withColumnRenamed("row", "did").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -264,32 +298,37 @@ WITH w AS (
   SELECT doc_id, count(DISTINCT i) AS words FROM (SELECT doc_id, unnest(range(s, s + {REPEAT_WINDOW})) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS m FROM win) WHERE m > 1) GROUP BY doc_id
 ), cls AS (
   SELECT doc_id, lang, chars, unnest(list_append(k, chars - list_sum(k))) AS v, unnest(range(8)) AS i FROM c
-), refcls AS (
-  SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS y FROM cls GROUP BY lang, i
-), cdist AS (
-  SELECT doc_id, sqrt(greatest(sum({_SHARES}) / 2, 0)) AS d FROM (SELECT doc_id, v / chars AS x, y FROM cls JOIN refcls r ON r.i = cls.i AND r.lang IS NOT DISTINCT FROM cls.lang WHERE chars > 0) GROUP BY doc_id
 ), vocabulary AS (
   SELECT unnest([{", ".join(f"'{v}'" for v in dict.fromkeys(COMMON_WORDS))}]) AS word
 ), seen AS (
   SELECT doc_id, lang, n, coalesce(v.word, '') AS word, count(*) AS m FROM (SELECT doc_id, lang, n, unnest(ws) AS word FROM c) x
   LEFT JOIN vocabulary v ON v.word = translate(x.word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY ALL
+), plausible AS (
+  SELECT c.doc_id, lang, n - coalesce(o.m, 0) >= {MIN_COMMON_SHARE} * n AS worded FROM c LEFT JOIN again USING (doc_id) LEFT JOIN (SELECT doc_id, m FROM seen WHERE word = '') o USING (doc_id)
+  WHERE n >= {MIN_WORDS} AND 100 * coalesce(words, 0) <= {MAX_REPEAT_PERCENT} * n AND k[1] + k[2] + k[7] >= {MIN_LETTERS} * (chars - k[4])
+), enough AS (
+  SELECT lang, count(*) FILTER (worded) >= {MIN_REFERENCE_DOCS} AS by_words, count(*) >= {MIN_REFERENCE_DOCS} AS by_classes FROM plausible GROUP BY lang
+), refcls AS (
+  SELECT cls.lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY cls.lang) AS y FROM cls JOIN plausible p ON p.doc_id = cls.doc_id JOIN enough e ON e.lang IS NOT DISTINCT FROM cls.lang
+  WHERE by_classes AND (worded OR NOT by_words) GROUP BY cls.lang, i
+), cdist AS (
+  SELECT doc_id, sqrt(greatest(sum({_SHARES}) / 2, 0)) AS d FROM (SELECT doc_id, v / chars AS x, y FROM cls JOIN refcls r ON r.i = cls.i AND r.lang IS NOT DISTINCT FROM cls.lang WHERE chars > 0) GROUP BY doc_id
 ), refword AS (
-  SELECT lang, word, sum(m) / sum(sum(m)) OVER (PARTITION BY lang) AS y FROM seen GROUP BY lang, word
+  SELECT seen.lang, word, sum(m) / sum(sum(m)) OVER (PARTITION BY seen.lang) AS y FROM seen JOIN plausible p ON p.doc_id = seen.doc_id JOIN enough e ON e.lang IS NOT DISTINCT FROM seen.lang WHERE by_words AND worded GROUP BY seen.lang, word
 ), wdist AS (
-  SELECT doc_id, sqrt(greatest((sum({_SHARES}) + 1 - sum(y)) / 2, 0)) AS d FROM (SELECT doc_id, m / n AS x, y FROM seen JOIN refword r ON r.word = seen.word AND r.lang IS NOT DISTINCT FROM seen.lang) GROUP BY doc_id
+  SELECT doc_id, sqrt(greatest((sum({_SHARES}) + 1 - sum(y)) / 2, 0)) AS d FROM (
+    SELECT doc_id, m / n AS x, coalesce(y, 0) AS y FROM seen JOIN enough e ON e.lang IS NOT DISTINCT FROM seen.lang AND by_words LEFT JOIN refword r ON r.word = seen.word AND r.lang IS NOT DISTINCT FROM seen.lang) GROUP BY doc_id
 ), other AS (
-  SELECT c.doc_id, coalesce(m, 0) / c.n AS o, coalesce(y, 0) AS ro FROM c LEFT JOIN seen ON seen.doc_id = c.doc_id AND seen.word = '' LEFT JOIN refword r ON r.word = '' AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.n > 0
+  SELECT c.doc_id, coalesce(m, 0) / c.n AS o, coalesce(y, 0) AS ro FROM c JOIN enough e ON e.lang IS NOT DISTINCT FROM c.lang AND by_words LEFT JOIN seen ON seen.doc_id = c.doc_id AND seen.word = '' LEFT JOIN refword r ON r.word = '' AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.n > 0
 ), split AS (
   SELECT doc_id, unnest([o, 1 - o]) AS x, unnest([ro, 1 - ro]) AS y FROM other WHERE o > ro
 ), sdist AS (
   SELECT doc_id, sqrt(greatest(sum({_SHARES}) / 2, 0)) AS d FROM split GROUP BY doc_id
-), size AS (
-  SELECT lang, count(*) AS docs FROM w GROUP BY lang
 ), f AS (
   SELECT c.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(k[6] AS BIGINT) AS n_symbols,
     CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(words, 0) AS BIGINT) AS n_repeat_words, n < {MIN_WORDS} OR 100 * coalesce(words, 0) > {MAX_REPEAT_PERCENT} * n AS base_failed,
-    docs >= {MIN_REFERENCE_DOCS} AND (chars >= {MIN_CLASS_CHARS} AND coalesce(cdist.d, 0) > {MAX_CLASS_DISTANCE} OR n >= {MIN_COMMON_WORDS} AND (coalesce(wdist.d, 0) > {MAX_COMMON_DISTANCE} OR coalesce(sdist.d, 0) > {MAX_SHARE_DISTANCE})) AS far
-  FROM c LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id) LEFT JOIN sdist USING (doc_id) JOIN size ON size.lang IS NOT DISTINCT FROM c.lang
+    (chars >= {MIN_CLASS_CHARS} AND coalesce(cdist.d, 0) > {MAX_CLASS_DISTANCE} OR n >= {MIN_COMMON_WORDS} AND (coalesce(wdist.d, 0) > {MAX_COMMON_DISTANCE} OR coalesce(sdist.d, 0) > {MAX_SHARE_DISTANCE})) AS far
+  FROM c LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id) LEFT JOIN sdist USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM f
 """

@@ -72,6 +72,39 @@ def test_heavier_documents_come_first_more_often(spark):
     assert n[0] > 1.25 * n[1]
 
 
+def test_odd_qualities_keep_every_row(spark):
+    """Null, zero, negative, infinite and undefined weights: rows out are rows in, targets are met, the least weights come last."""
+    nan, inf = float("nan"), float("inf")
+    values = [None, 0.0, -3.0, nan, inf, -inf, 1e-300, 1e300, 1.0, 1e4]
+    rows = [(i, "word " * (i % 7), "abc"[i % 3], values[i % len(values)]) for i in range(1200)]
+    quality = {i: q for i, _, _, q in rows}
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    given = F.element_at(F.array(*[F.lit(v) for v in values]).cast("array<double>"), (F.col("did") % len(values) + 1).cast("int"))
+    got = mixing.mix(df, quality=given).collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        mine = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], abs=1)
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+        if source != "a":  # which is taken twice, whole
+            least = [r for r in mine if r["size"] and (quality[r["did"]] is None or not quality[r["did"]] > 1e-9)]
+            most = [r for r in mine if r["size"] and quality[r["did"]] is not None and quality[r["did"]] > 1e8]
+            assert sum(r["taken"] / r["size"] for r in least) / len(least) < sum(r["taken"] / r["size"] for r in most) / len(most)
+    again = mixing.mix(df.repartition(7), quality=given).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+@pytest.mark.parametrize("quality", [1e4, 1.0, 1e-6])
+def test_no_range_of_keys_is_hot(spark, quality):
+    """One range of a source is sorted in one task: it has less than a hundredth of the source, whatever the weights."""
+    df = spark.range(60_000).select(F.floor(mixing.RANGES * F.log2(mixing.exponential_key(F.col("id"), F.lit(quality)))).alias("range"))
+    assert df.groupBy("range").count().agg(F.max("count")).first()[0] < 600
+    rows = spark.createDataFrame([(None, f"text number {i}", "a") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(rows, quality=F.lit(quality))
+    assert got.count() == 3000 and got.filter("taken > 0").count() == 3000  # one source: one epoch and half of the next
+    assert got.agg(F.sum("taken")).first()[0] == 13_500
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     plan = Counter()
     for r in mixing.mix(docs).collect():
@@ -338,7 +371,7 @@ def class_of(ch):
 def brute_quality(rows):
     """(doc_id, counts, base_failed, kept) of every row."""
     common = list(dict.fromkeys(quality.COMMON_WORDS))
-    stats, refs = [], defaultdict(lambda: ([0] * 8, [0] * (len(common) + 1)))
+    stats = []
     for d, t, lang, _ in rows:
         t = t or ""
         w = words(t)
@@ -355,19 +388,22 @@ def brute_quality(rows):
         counts = [lower[c] for c in common]
         counts.append(len(w) - sum(counts))
         stats.append((d, len(w), sum(map(len, w)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(repeat), lang, classes, counts))
-        for k, x in zip((0, 1), (classes, counts), strict=True):
-            for i, v in enumerate(x):
-                refs[lang][k][i] += v
+    refs = {}
+    for lang in {x[6] for x in stats}:
+        plausible = [x for x in stats if x[6] == lang and x[1] >= 20 and 100 * x[5] <= 30 * x[1] and x[7][0] + x[7][1] + x[7][7] >= 0.6 * (sum(x[7]) - x[7][3])]
+        worded = [x for x in plausible if x[1] - x[8][-1] >= 0.1 * x[1]]
+        fitted = worded if len(worded) >= 5 else plausible if len(plausible) >= 5 else []
+        sums = lambda part, k: [sum(col) for col in zip(*(x[k] for x in part), strict=True)]
+        refs[lang] = (sums(fitted, 7), sums(worded, 8) if len(worded) >= 5 else [])
     want = []
     for d, n, chars, symbols, dup, repeat, lang, classes, counts in stats:
         failed = n < 20 or 100 * repeat > 30 * n
-        far = sum(classes) >= quality.MIN_CLASS_CHARS and js_distance(classes, refs[lang][0]) > quality.MAX_CLASS_DISTANCE
+        far = sum(classes) >= quality.MIN_CLASS_CHARS and bool(refs[lang][0]) and js_distance(classes, refs[lang][0]) > quality.MAX_CLASS_DISTANCE
         if n >= quality.MIN_COMMON_WORDS and sum(refs[lang][1]):
             far = far or js_distance(counts, refs[lang][1]) > quality.MAX_COMMON_DISTANCE
             own, usual = n - counts[-1], sum(refs[lang][1][:-1])
             less = counts[-1] / n > refs[lang][1][-1] / sum(refs[lang][1])
             far = far or less and js_distance([own, counts[-1]], [usual, refs[lang][1][-1]]) > quality.MAX_SHARE_DISTANCE
-        far = far and sum(x[6] == lang for x in stats) >= quality.MIN_REFERENCE_DOCS
         want.append((d, n, chars, symbols, dup, repeat, failed, not failed and not far))
     return want
 
@@ -392,6 +428,23 @@ def test_texts_without_their_languages_common_words_are_rejected(spark):
     assert sorted(i for i, (_, kept) in got.items() if not kept) == [100, 101, 102, 104]  # 103 is too short to tell
 
 
+@pytest.mark.parametrize("junk", ["%% $$x ## &&a ** <|> ", "token {} ", "ЖЖ№ {} ", "12 {} 34 "])
+def test_a_language_of_mostly_junk_keeps_its_prose(spark, junk):
+    """Ten clean texts among forty of junk stay, and the junk goes."""
+    rng = random.Random(12)
+    common = "the of and to in is that for".split()
+    token = lambda: "".join(rng.choice("aeionrsthl") for _ in range(7))
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.25 else token() for _ in range(160)), "en") for i in range(10)]
+    rows += [(100 + i, " ".join(junk.replace("{}", token()) + str(rng.random()) for _ in range(120)), "en") for i in range(40)]
+    rows += [(200, rows[0][1], "zz"), (201, rows[100 - 90][1], "zz"), (202, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality.op7(df).collect()}
+    assert [i for i in range(10) if not got[i]] == [] and not any(got[100 + i] for i in range(40))
+    report = {r["lang"]: tuple(r)[1:] for r in quality.reference_report(df).collect()}
+    assert report["en"][0] == 50 and report["en"][2:] == (10, True, True)
+    assert report["zz"][3:] == (False, False) and report[None][:3] == (1, 0, 0)
+
+
 def thue_morse(n):
     return "".join("ab"[i.bit_count() % 2] for i in range(n))
 
