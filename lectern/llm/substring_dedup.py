@@ -4,9 +4,10 @@ Suffixes are cut at the threshold depth (50 words), the only depth that decides.
 
 1. Anchors: every window of 50 words owns the smallest 16-word gram hash in it. Equal windows own equal grams,
    so windows whose gram occurs in one document only are no repeats and never leave their task.
-2. The suffixes at the remaining windows are dealt out by their 12-word prefix and sorted. Within a partition,
-   variable-length prefixes split them: a prefix whose suffixes fit in the memory budget is one subtree, a larger
-   one is split by its next words, down to the threshold depth, where only the running first document is held.
+2. The suffixes at the remaining windows are dealt out by a prefix and sorted. Its length varies: 12 words, but all 50 where
+   the window's gram has been counted in very many documents (a header that differs in what follows), so that no task
+   gets a suffix of each of them. Within a partition prefixes vary further: one whose suffixes fit in the memory budget is one
+   subtree, a larger one is split by its next words, down to the threshold depth, where only the running first document is held.
 3. A subtree's internal nodes at the threshold depth are the repeats; their leaves in later documents are removed.
 
 Before step 2 each task settles the repeats among the documents of a slice and hands on first occurrences only; windows that a slice
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import POSITION, discard, external_id, internal_id, materialise, quoted, record_batches, slices, text_tag, word_pieces
-from .textscan import Ranges, merged, mix, range_hashes, sliding_min, words
+from .textscan import Ranges, flat, merged, mix, range_hashes, sliding_min, words
 
 #: Depth in words of the nodes that count, of the partitioning prefix, and of the further branching levels.
 WINDOW, LEVELS = 50, (12, 24, 37, 50)
 GRAM = 16
+#: Documents that hold a gram from which on windows that own it are dealt by all of their words.
+HOT_GRAM = 256
 #: Suffixes of one subtree that are held in memory at once.
 SUBTREE_ROWS = 200_000
 #: Shared windows that a task remembers from slice to slice; beyond them copies are only settled later, in the subtrees.
@@ -68,6 +71,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from record_batches(_ANCHOR, {"h": owned[fresh].view(np.int64), "did": np.asarray(rows.column("did"))[of], "tag": np.asarray(rows.column("tag"))[of]})
 
 
+def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x if len(values) else np.zeros(len(x), bool)
+
+
 class Firsts:
     """Windows that several documents of a task share, each with the smallest id so far, sorted by the last key."""
 
@@ -97,13 +105,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(values):
             continue
         places, text, first, seq, at, owned = _word_windows(data, off)
-        at = at[values[np.minimum(np.searchsorted(values, owned), len(values) - 1)] == owned]
+        at = at[_among(values, owned)]
         if not len(at):
             continue
+        hot = _among(np.unique(np.asarray(rows.column("hot").flatten()).view(np.uint64)), owned[_among(values, owned)])
         level = [seq.of(at + a, at + b) for a, b in zip((0, *LEVELS[:-2]), LEVELS[:-1], strict=True)]
         k0 = level[0]
         k1 = (level[1] << np.uint64(32)) | (level[2] >> np.uint64(32))
         k2 = Ranges(range_hashes(data, *places, seed=1)).of(at, at + WINDOW)
+        k0 = np.where(hot, mix(k0 ^ mix(k1 ^ mix(k2))), k0)  # a prefix of all words; equal windows own the same gram
         did, tag = np.asarray(rows.column("did"))[text[at]], np.asarray(rows.column("tag"))[text[at]]
         pos = at - first[text[at]] + base + tag
         order = np.lexsort((did, k2, k1, k0))
@@ -170,8 +180,8 @@ class Subtree:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes sorted by prefix, words and document: subtree by subtree, each within the memory budget."""
-    held = np.zeros((0, 6), np.int64)
-    others: list[np.ndarray] = []  # a row's further places, by the number in its last column
+    held = np.zeros((0, 7), np.int64)  # keys, document, place, and where its further places are: start and number
+    places = np.zeros(0, np.int64)
     carry: tuple | None = None  # window and first document of a node that went on past the budget
 
     def emit(part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,29 +190,28 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             later |= (part[:, :3] == carry[0]).all(axis=1) & (part[:, 3] > carry[1])
         if later.any():
-            did, pos, number = part[later, 3], part[later, 4], part[later, 5]
-            for i in np.flatnonzero(number >= 0):
-                places = others[number[i]]
-                did, pos = np.append(did, np.full(len(places), did[i])), np.append(pos, places)
-            yield from record_batches(_FLAG, _to_runs(did, pos))
+            did, pos, start, size = part[later, 3], part[later, 4], part[later, 5], part[later, 6]
+            yield from record_batches(_FLAG, _to_runs(np.concatenate([did, np.repeat(did, size)]), np.concatenate([pos, flat(places, start, size)])))
+
+    def without_spent() -> np.ndarray:
+        """The further places of the rows that are held; those of rows that are gone are let go."""
+        kept = flat(places, held[:, 5], held[:, 6])
+        held[:, 5] = np.cumsum(held[:, 6]) - held[:, 6]
+        return kept
 
     for batch in batches:
         if not batch.num_rows:
             continue
         settled = np.asarray(batch.column("settled").to_numpy(zero_copy_only=False), bool)
-        rows = np.column_stack([np.asarray(batch.column(c)) for c in ("k0", "k1", "k2", "did", "pos")] + [np.full(batch.num_rows, -1, np.int64)])
         more = batch.column("more")
-        for i in np.flatnonzero(np.asarray(more.value_lengths()) > 0):
-            rows[i, 5] = len(others)
-            others.append(np.asarray(more[i].values))
+        size = np.asarray(more.value_lengths()).astype(np.int64)
+        rows = np.column_stack([np.asarray(batch.column(c)) for c in ("k0", "k1", "k2", "did", "pos")] + [len(places) + np.cumsum(size) - size, size])
+        places = np.concatenate([places, np.asarray(more.flatten())])
         if settled.any():
-            yield from record_batches(_FLAG, _to_runs(rows[settled, 3], rows[settled, 4]))
+            did, extra = rows[settled, 3], rows[settled, 6]
+            yield from record_batches(_FLAG, _to_runs(np.concatenate([did, np.repeat(did, extra)]), np.concatenate([rows[settled, 4], flat(places, rows[settled, 5], extra)])))
             rows = rows[~settled]
         held = np.concatenate([held, rows])
-        if len(others) > SUBTREE_ROWS:  # places of rows that are gone are let go
-            used = np.flatnonzero(held[:, 5] >= 0)
-            others = [others[k] for k in held[used, 5]]
-            held[used, 5] = np.arange(len(used))
         while len(held) > SUBTREE_ROWS:
             cut = 0
             for depth in (1, 2, 3):  # the shortest prefix whose last subtree leaves something complete behind
@@ -219,6 +228,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from emit(held)
                 first = carry[1] if carry is not None and (held[0, :3] == carry[0]).all() else held[0, 3]
                 carry, held = (held[-1, :3].copy(), first), held[:0]
+        if len(places) > 2 * int(held[:, 6].sum()) + SUBTREE_ROWS:
+            places = without_spent()
     if len(held):
         yield from emit(held)
 
@@ -250,17 +261,22 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from record_batches(_CUT, out, 2048)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, pos, len): runs of window starts, in words, whose windows also start in a document with a smaller id."""
+def shared_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k0, k1, k2, did, pos, more, settled): the suffixes at windows whose gram several documents have, k0 being the prefix that they are dealt by."""
     base = _base(docs, id_col, text_col)
     anchors = materialise(base.mapInArrow(_anchors, "h long, did long, tag long"), "anchors", compression="zstd")
     # written, so that the join stands between two exchanges and a gram of very many documents can be split
-    shared = materialise(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("h"), "grams", docs)
-    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(F.collect_set("h").alias("shared")), "shared", docs)
+    shared = materialise(anchors.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count("*").alias("n")).filter("a < b").select("h", (F.col("n") >= HOT_GRAM).alias("hot")), "grams", docs)
+    of_doc = (F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    lists = materialise(anchors.join(shared, "h").groupBy("did", "tag").agg(*of_doc), "shared", docs)
     discard(anchors)
     discard(shared)
-    suffixes = base.join(lists, ["did", "tag"]).mapInArrow(_suffixes, "k0 long, k1 long, k2 long, did long, pos long, more array<long>, settled boolean")
-    dealt = suffixes.repartition("k0").sortWithinPartitions("k0", "k1", "k2", "did")
+    return base.join(lists, ["did", "tag"]).mapInArrow(_suffixes, "k0 long, k1 long, k2 long, did long, pos long, more array<long>, settled boolean")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(did, pos, len): runs of window starts, in words, whose windows also start in a document with a smaller id."""
+    dealt = shared_suffixes(docs, id_col, text_col).repartition("k0").sortWithinPartitions("k0", "k1", "k2", "did")
     return dealt.mapInArrow(_subtrees, "did long, pos long, len long")
 
 

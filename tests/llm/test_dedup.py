@@ -82,6 +82,33 @@ def test_subtrees_within_a_small_budget(docs, monkeypatch):
     assert results[1] == want
 
 
+def test_a_common_header_makes_no_hot_prefix(spark):
+    """Thousands of documents begin alike and go on differently: their suffixes are dealt by more than the header's words."""
+    header = " ".join(f"h{i}" for i in range(40))
+    df = spark.createDataFrame([(i, header + " " + " ".join(f"t{i}x{k}" for k in range(30))) for i in range(2000)] + [(5000 + i, header + " same " * 15) for i in range(40)], "doc_id long, text string")
+    suffixes = substring_dedup.shared_suffixes(df).filter("NOT settled").groupBy("k0").count().agg({"count": "max", "*": "count"}).first()
+    assert suffixes["max(count)"] <= 20 and suffixes["count(1)"] > 2000
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.op1(df).collect()}
+    assert {i for i, n in got.items() if n} == {5000 + i for i in range(1, 40)} and got[5001] == 55
+
+
+def test_many_repeats_within_documents_take_linear_time():
+    """160,000 suffixes, all with further places of their own document, all repeated: no array grows row by row."""
+    import time
+
+    import pyarrow as pa
+
+    n = 80_000
+    keys = np.repeat(np.arange(n), 2)
+    did = np.tile([1, 2], n)
+    more = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 2), pa.int32()), pa.array(np.arange(4 * n) + 10**6))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(keys) for _ in range(3)), pa.array(did), pa.array(np.arange(2 * n)), more, pa.array(np.zeros(2 * n, bool))], names=["k0", "k1", "k2", "did", "pos", "more", "settled"])
+    began = time.process_time()
+    out = list(substring_dedup._subtrees(iter([batch.slice(i, 10_000) for i in range(0, 2 * n, 10_000)])))
+    assert time.process_time() - began < 2
+    assert sum(sum(b.column("len").to_pylist()) for b in out) == 3 * n and {d for b in out for d in b.column("did").to_pylist()} == {2}
+
+
 def _groups(keys):
     groups = {}
     for i, k in enumerate(map(tuple, keys)):
