@@ -284,19 +284,22 @@ def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[tup
         yield from work(*held)
 
 
-def links(nodes: DataFrame, cover: Covering = SIMHASH) -> DataFrame:
+def links(nodes: DataFrame, cover: Covering = SIMHASH, source: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) that connect the same nodes as all links between fingerprints that meet do; nodes are node, w0, w1 and so on.
 
+    A round compares many copies of each node: its tasks are as many as `source`, what the nodes were made of, needs.
+
     After the first round a node goes by the name of the smallest that it has an edge to: what is joined already gives no edges again.
     """
     nodes = nodes.withColumn("own", F.col("node"))
     if len(cover.blocks) <= ROUND_BLOCKS:
         return _links(nodes, cover, 0)
     # written round by round, so that one round's copies are on disk at a time
-    rounds = [materialise(_links(nodes, cover, 0), "round", nodes)]
+    source = nodes if source is None else source
+    rounds = [materialise(_links(nodes, cover, 0), "round", source)]
     named = rounds[0].groupBy(F.col("u").alias("own")).agg(F.min("v").alias("name"))
     nodes = materialise(nodes.join(named, "own", "left").withColumn("node", F.coalesce("name", "node")).drop("name"), "named", nodes)
-    rounds += [materialise(_links(nodes, cover, a), "round", nodes) for a in range(ROUND_BLOCKS, len(cover.blocks), ROUND_BLOCKS)]
+    rounds += [materialise(_links(nodes, cover, a), "round", source) for a in range(ROUND_BLOCKS, len(cover.blocks), ROUND_BLOCKS)]
     return gathered(reduce(DataFrame.unionByName, rounds)).mapInArrow(lambda it: _joined(map(_edges, it)), "u long, v long")
 
 
@@ -500,11 +503,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts link where their sets of shingles have a Jaccard similarity of at least `similarity`. Texts whose fingerprints meet at an anchor
     and are close, directly or through others, are one group, and the links within a group are found on the full sets whatever its
-    size: work grows with its square only where it falls into many components. NEAR is set for a similarity of 0.8 and more.
+    size: work grows with its square only where it falls into many components. NEAR is set for a similarity of 0.8 and more; a lower one is refused.
     component is the smallest id reachable over links, component_tag the smallest tag of the rows with that id. Texts without words are
     alike; A-Z are lower-cased; a null id ranks last; texts that share an id stay apart; repeated rows share their component; an
     empty table gives no rows.
     """
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"fingerprints meet reliably from a similarity of {SIMILARITY} on: {similarity}")
     text = F.col(quoted(text_col)).cast("string")
     base = docs.select(internal_id(quoted(id_col)).alias("did"), F.xxhash64(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     sketch = ", ".join(f"{name} long" for name in _SKETCH.names)
@@ -515,7 +520,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prints = nodes.filter("size > 0").select(F.col("fp").alias("node"), *own_words)
     with scratch_scope() as spent:
-        reached = materialise(components(links(prints, NEAR), "meetings", docs), "groups", docs)
+        reached = materialise(components(links(prints, NEAR, docs), "meetings", docs), "groups", docs)
     for table in spent:
         if table is not reached:
             discard(table)

@@ -483,3 +483,9 @@ def test_what_a_round_has_joined_gives_no_edges_in_the_next(spark, monkeypatch):
     assert joined(150, edges) == [0] * 150
     assert made[0] >= 149
     assert sum(made[1:]) < 15
+
+
+def test_a_similarity_that_is_not_covered_is_refused(docs):
+    for similarity in (0.79, 0.0, 1.2):
+        with pytest.raises(ValueError, match="similarity"):
+            simhash.near_duplicates(docs, similarity=similarity)
