@@ -57,11 +57,11 @@ def _cost(ocr: str, correct: str) -> int:
 class Held:
     """The words of every box, and the boxes that have any, in order: few, however many boxes a line has."""
 
-    def __init__(self, words: list[list[int]]):
+    def __init__(self, words: list[tuple[int, ...]]):
         self.words = words
         self.filled = [i for i, w in enumerate(words) if w]
 
-    def put(self, box: int, words: list[int]) -> None:
+    def put(self, box: int, words: tuple[int, ...]) -> None:
         at = bisect_left(self.filled, box)
         there = at < len(self.filled) and self.filled[at] == box
         if words and not there:
@@ -92,15 +92,19 @@ class LineRepair:
         self.correct = correct.split(" ") if correct else []
         self.n = len(self.texts)
         self._costs: dict[tuple[int, tuple[int, ...]], int] = {}
+        # steps are functions of the few boxes that they look at: most are met again, in later sweeps and from other starts
+        self._splits: dict[tuple, tuple[int, int]] = {}
+        self._gains: dict[tuple, int] = {}
 
-    def cost(self, box: int, chosen: Sequence[int]) -> int:
+    def cost(self, box: int, chosen: tuple[int, ...]) -> int:
         """Hundredths of the distance between a box's text and the words with these numbers."""
-        key = (box, tuple(chosen))
-        if key not in self._costs:
-            self._costs[key] = _cost(self.texts[box], " ".join(self.correct[i] for i in chosen))
-        return self._costs[key]
+        key = (box, chosen)
+        found = self._costs.get(key)
+        if found is None:
+            found = self._costs[key] = _cost(self.texts[box], " ".join([self.correct[i] for i in chosen]))
+        return found
 
-    def total(self, pairing: list[list[int]]) -> int:
+    def total(self, pairing: list[tuple[int, ...]]) -> int:
         return sum(self.cost(i, pairing[i]) for i in range(self.n))
 
     def estimated_spans(self, widths: dict[str, float], space: float, left: float, scale: float) -> list[tuple[int, int]]:
@@ -109,7 +113,7 @@ class LineRepair:
         starts = np.concatenate([[0.0], np.cumsum(sizes + space)[:-1]]) if len(sizes) else sizes
         return [(int(s * scale + left), int((s + z) * scale + left)) for s, z in zip(starts, sizes, strict=True)]
 
-    def first_pairing(self, spans: Sequence[tuple[int, int]]) -> list[list[int]]:
+    def first_pairing(self, spans: Sequence[tuple[int, int]]) -> list[tuple[int, ...]]:
         """Words to boxes from left to right; a word that overruns its box goes to the next if it overlaps that more."""
         pairing: list[list[int]] = [[] for _ in range(self.n)]
         box = 0
@@ -121,10 +125,10 @@ class LineRepair:
             if box + 1 < self.n and b > self.rights[box] and b - self.lefts[box + 1] > self.rights[box] - a:
                 box += 1
             pairing[box].append(word)
-        return pairing
+        return [tuple(words) for words in pairing]
 
-    def shifted(self, pairing: list[list[int]], by: int) -> list[list[int]]:
-        return [list(pairing[i - by]) if 0 <= i - by < self.n else [] for i in range(self.n)]
+    def shifted(self, pairing: list[tuple[int, ...]], by: int) -> list[tuple[int, ...]]:
+        return [pairing[i - by] if 0 <= i - by < self.n else () for i in range(self.n)]
 
     def _pull(self, held: Held, box: int, from_lower: bool) -> tuple[int, int | None, int | None]:
         """(gain, word, donor) of pulling the nearest word into an empty box, from lower or higher boxes or from off screen."""
@@ -140,24 +144,34 @@ class LineRepair:
             return self.cost(box, ()) - self.cost(box, (word,)), word, None
         given = held.words[donor]
         word = given[-1] if from_lower else given[0]
-        # the donor is scored without its first word whichever side gives, as results depend on it
-        gain = self.cost(box, ()) + self.cost(donor, given) - self.cost(box, (word,)) - self.cost(donor, given[1:])
+        key = (box, word, donor, given)
+        gain = self._gains.get(key)
+        if gain is None:
+            # the donor is scored without its first word whichever side gives, as results depend on it
+            gain = self._gains[key] = self.cost(box, ()) + self.cost(donor, given) - self.cost(box, (word,)) - self.cost(donor, given[1:])
         return gain, word, donor
 
     def _best_split(self, held: Held, box: int) -> tuple[int, int]:
         """The first cheapest way to leave words [:a] to the box before and [b:] to the one after."""
         own = held.words[box]
+        before, after = held.words[box - 1] if box else None, held.words[box + 1] if box + 1 < self.n else None
+        key = (box, before, own, after)
+        if key in self._splits:
+            return self._splits[key]
         size = len(own)
         # what goes to either side is priced once a place, not once a pair of places
-        lower = [self.cost(box - 1, held.words[box - 1] + own[:a]) if box else 0 for a in range(size + 1)]
-        upper = [self.cost(box + 1, own[b:] + held.words[box + 1]) if box + 1 < self.n else 0 for b in range(size + 1)]
-        prices = {(0, size): lower[0] + self.cost(box, own) + upper[size]}
+        lower = [0 if before is None else self.cost(box - 1, before + own[:a]) for a in range(size + 1)]
+        upper = [0 if after is None else self.cost(box + 1, own[b:] + after) for b in range(size + 1)]
+        best, price = (0, size), lower[0] + self.cost(box, own) + upper[size]
         for a in range(size + 1):
             for b in range(a, size + 1):
-                prices.setdefault((a, b), lower[a] + self.cost(box, own[a:b]) + upper[b])
-        return min(prices, key=prices.__getitem__)
+                other = lower[a] + upper[b]
+                if other < price and (other := other + self.cost(box, own[a:b])) < price:
+                    best, price = (a, b), other
+        self._splits[key] = best
+        return best
 
-    def climb(self, pairing: list[list[int]]) -> list[list[int]]:
+    def climb(self, pairing: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
         """Sweeps from right to left until nothing gets better, twenty at most. Words pushed past an end are off screen."""
         if not self.correct:
             return pairing
@@ -185,7 +199,7 @@ class LineRepair:
                     word, donor = low_word, low_donor
                 if word is None:
                     continue
-                held.put(box, [word])
+                held.put(box, (word,))
                 if donor is not None:
                     held.put(donor, held.words[donor][1:] if donor > box else held.words[donor][:-1])
                 moved = True
@@ -193,10 +207,10 @@ class LineRepair:
                 break
         return held.words
 
-    def solve(self, spans: Sequence[tuple[int, int]]) -> tuple[list[list[int]], int]:
+    def solve(self, spans: Sequence[tuple[int, int]]) -> tuple[list[tuple[int, ...]], int]:
         """The best pairing over all starts, and the start's shift; the first of equal ones."""
         if not self.correct:  # every start costs the same
-            return [[] for _ in range(self.n)], 0
+            return [() for _ in range(self.n)], 0
         start = self.first_pairing(spans)
         best, found, offset = None, start, 0
         for by in SHIFTS:
@@ -208,7 +222,7 @@ class LineRepair:
                 break
         return found, offset
 
-    def repaired(self, pairing: list[list[int]]) -> list[str]:
+    def repaired(self, pairing: list[tuple[int, ...]]) -> list[str]:
         return [" ".join(self.correct[i] for i in chosen) for chosen in pairing]
 
 

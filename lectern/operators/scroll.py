@@ -34,7 +34,7 @@ def stitched_lines(adjacent: DataFrame, ref_lines: DataFrame, session: Sequence[
     Line 0 has its mean top and bottom. Every other line keeps its mean distance to the predecessor's top, scaled by the height
     of that line in the frame over its height on the page (the inverse with `normalise`): the means are plain aggregates. A
     line's height is then a product (or alternating quotient) of what its predecessors give, and its top a sum, so the
-    recurrence is two running sums over the lines, of logarithms and of distances. From a line that no frame shows next to
+    recurrence is a running product and a running sum over the lines. From a line that no frame shows next to
     its predecessor on, positions are null; so are those after a line of no height, unless `normalise`, where what follows has none either.
     """
     p_height = F.col("prev.bottom") - F.col("prev.top")
@@ -52,15 +52,15 @@ def stitched_lines(adjacent: DataFrame, ref_lines: DataFrame, session: Sequence[
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(order) == 1
     own = rows.select(*page, "line_idx", "line", "t0", first.alias("first"), F.when(first, F.col("b0") - F.col("t0")).otherwise(F.col("b") - F.col("a")).alias("d"), F.when(~first, F.col("a")).alias("a"), F.row_number().over(order).alias("k"))
-    sign = F.lit(1) if normalise else F.when(F.col("k") % 2 == 1, 1).otherwise(-1)
-    logs = own.select(
-        *page, "line_idx", "line", "t0", "first", "d", "a", "k", sign.alias("sign"),
-        F.sum(sign * F.ln(F.abs("d"))).over(upto).alias("log"), F.sum((F.col("d") < 0).cast("int")).over(upto).alias("flips"),
+    odd = F.col("k") % 2 == 1
+    factor = F.col("d") if normalise else F.when(odd, F.col("d")).otherwise(F.try_divide(F.lit(1.0), F.col("d")))
+    products = own.select(
+        *page, "line_idx", "line", "t0", "first", "d", "a", "k", F.product(factor).over(upto).alias("p"),
         F.sum(F.col("d").isNull().cast("int")).over(upto).alias("lost"), F.sum((F.col("d") == 0).cast("int")).over(upto).alias("zeros"),
     )
-    size = F.exp(F.col("sign") * F.col("log")) * F.when(F.col("flips") % 2 == 1, -1).otherwise(1)
+    size = F.col("p") if normalise else F.when(odd, F.col("p")).otherwise(F.try_divide(F.lit(1.0), F.col("p")))
     flat = F.lit(0.0) if normalise else F.when((F.col("d") == 0) & (F.col("zeros") == 1), 0.0)
-    heights = logs.withColumn("h", F.when(F.col("lost") > 0, None).when(F.col("zeros") > 0, flat).otherwise(size))
+    heights = products.withColumn("h", F.when(F.col("lost") > 0, None).when(F.col("zeros") > 0, flat).otherwise(size))
     before = F.lag("h").over(order)
     moved = heights.withColumn("move", F.when(F.col("first"), F.col("t0")).otherwise(F.col("a") * (before if normalise else F.try_divide(F.lit(1.0), before))))
     gone = F.sum(F.col("move").isNull().cast("int")).over(upto) > 0
