@@ -1,5 +1,10 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from lectern.operators.highlights import grouped_change_log
-from lectern.streaming.changes import stream_change_log, stream_counts
+from lectern.streaming.changes import ordered_change_log, stream_change_log, stream_counts
 
 
 def test_change_log_over_a_stream_equals_the_batch(spark, tmp_path):
@@ -26,3 +31,38 @@ def test_windowed_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["count"] for r in spark.sql("SELECT * FROM counts ORDER BY start").collect()] == [1, 1]
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_shuffled_frames_give_the_batch_log(rocks, tmp_path):
+    """Frames come in any order within the watermark, in many batches; the state is an entry an id, and nothing waits at the end."""
+    spark, rng = rocks, random.Random(3)
+    data = [(s, t, [g, g + 1] if rng.random() < 0.4 else [g], rng.choice(["white", "yellow", "blue"]), k) for s in "ab" for t in range(1000, 1040) for k, g in enumerate(rng.sample(range(6), 3))]
+    schema = "session string, sec int, ids array<int>, color string, tie int"
+    df = spark.createDataFrame(data, schema)
+    batches = [sorted((r for r in data if a <= r[1] < a + 10), key=lambda r: rng.random()) for a in range(1000, 1040, 10)]
+    for a, b in zip(batches, batches[1:], strict=False):  # some frames change places with later ones
+        a[:4], b[:4] = b[:4], a[:4]
+    batches.append([(s, 9000, [0], "end", 0) for s in "ab"])
+    for i, part in enumerate(batches):
+        for j, half in enumerate((part[::2], part[1::2])):
+            spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{i}{j}")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in").withColumn("t", F.timestamp_seconds("sec"))
+    log = ordered_change_log(source, "session", "t", "ids", "color", "tie", "1 minute")
+    query = log.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c").option("path", f"file://{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["session"], int(r["t"].timestamp()), r["gid"], r["color"], r["former"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect() if r["color"] != "end")
+    batch = grouped_change_log(df.withColumnsRenamed({"ids": "global_ids", "color": "highlight"}).selectExpr("*", "'w' AS text"), ["session"], ["sec", "tie"])
+    want = sorted((r["session"], r["sec"], r["gid"], r["color"], r["former"][r["id_group"].index(r["gid"])]) for r in batch.collect())
+    assert got == want and len(want) > 80
+    state = query.lastProgress["stateOperators"][0]
+    ids = len({(s, g) for s, _, group, _, _ in data for g in group})
+    assert ids <= state["numRowsTotal"] <= ids + 2 * 8  # and of each session the frame that waits, the latest time, and timers with their index
