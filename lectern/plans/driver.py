@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import edits, gaze, geometry, highlights, ids, match, repair, scroll, temporal, tracks
+from ..operators import edits, gaze, geometry, highlights, hough, ids, match, repair, scroll, temporal, tracks
 from ..sinks.scratch import cut
 from .inputs import HIGHLIGHTS, KEYS, SQL_BEST, SQL_BOXES, SQL_CORPUS, SQL_FRAMES, SQL_LINES, SQL_SCREENS, corpus, doc_lines, doc_tokens, doc_words, frames, screen_lines, table
 
@@ -706,6 +706,30 @@ def nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaze.nearest_segments(found, labelled, ["l_orderkey"])
 
 
+_ANGLES = 6
+_SQL_ANGLES = ", ".join(f"({i}, CAST('{c!r}' AS DOUBLE), CAST('{s!r}' AS DOUBLE))" for i, c, s in hough.angles(_ANGLES))
+_SQL_BESIDE = ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0))
+
+
+@query(
+    f"""WITH {SQL_LINES}, E AS (SELECT doc_id, CAST(unnest(range(length(text) // 8 + 1)) AS DOUBLE) AS x, line_idx * 4.0 AS y FROM L),
+V AS MATERIALIZED (SELECT doc_id, x, y, theta, CAST(floor(x * c + y * s + 0.5) AS INT) AS rho, y * c - x * s AS along FROM E CROSS JOIN (VALUES {_SQL_ANGLES}) t(theta, c, s)),
+N AS MATERIALIZED (SELECT doc_id, theta, rho, count(*) AS votes FROM V GROUP BY ALL HAVING count(*) >= 10),
+T AS (SELECT doc_id, votes, -theta AS nt, -rho AS nr, theta + dt AS u, rho + dr AS w FROM N CROSS JOIN (VALUES {_SQL_BESIDE}) b(dt, dr)),
+S AS (SELECT doc_id, CASE WHEN u < 0 THEN u + {_ANGLES} WHEN u >= {_ANGLES} THEN u - {_ANGLES} ELSE u END AS theta, CASE WHEN u < 0 OR u >= {_ANGLES} THEN -w ELSE w END AS rho, max((votes, nt, nr)) AS rival FROM T GROUP BY ALL),
+P AS MATERIALIZED (SELECT N.doc_id, N.theta, N.rho FROM N LEFT JOIN S ON S.doc_id = N.doc_id AND S.theta = N.theta AND S.rho = N.rho WHERE rival IS NULL OR (votes, -N.theta, -N.rho) > rival),
+O AS (SELECT V.*, along - lag(along) OVER w AS step FROM V JOIN P USING (doc_id, theta, rho) WINDOW w AS (PARTITION BY doc_id, theta, rho ORDER BY along, x, y)),
+Q AS (SELECT *, sum(CASE WHEN step > 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, theta, rho ORDER BY along, x, y) AS piece FROM O),
+G AS (SELECT doc_id, theta, rho, piece, min((along, x, y)) AS a, max((along, x, y)) AS b, count(*) AS cells FROM Q GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY theta, rho, piece) - 1 AS INT) AS segment_id, CAST(theta AS INT) AS theta, rho, a[2] AS x1, a[3] AS y1, b[2] AS x2, b[3] AS y2, cells FROM G WHERE b[1] - a[1] >= 8"""
+)
+def hough_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments on a raster of each document's lines, a cell for eight characters."""
+    lines = doc_lines(spark, sf_dir)
+    cells = lines.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 8).cast("int"))).alias("x"), (F.col("line_idx") * 4).alias("y"))
+    return hough.segments(cells, KEYS, _ANGLES, 10, 8.0, 1.5)
+
+
 @query("SELECT user_id, CAST(window_start AS BIGINT) AS day, n FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS window_start, count(*) AS n FROM events GROUP BY 1, 2)")
 def daily_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("user_id", F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"))
