@@ -11,10 +11,14 @@ from .temporal import longest_interval
 
 
 def overlay(frames: DataFrame, edited: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """frames in which what an edited row has takes precedence; `edited_by_human` says where."""
-    marked = edited.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
-    joined = frames.join(marked, list(keys), "left")
-    new = {c: F.coalesce(f"__{c}", c) for c in columns} | {"edited_by_human": F.coalesce("__hit", F.lit(False))}
+    """frames in which what an edited row has takes precedence, nulls too, which clear a value; `edited_by_human` says where.
+
+    Of several edited rows with one key the greatest counts, column by column in turn, so that frames stay as many as they are; latest_edits()
+    chooses by time. A null key is not edited.
+    """
+    chosen = edited.groupBy(*keys).agg(F.max(F.struct(*[F.col(c).alias(f"__{c}") for c in columns])).alias("__e")).select(*keys, "__e.*", F.lit(True).alias("__hit"))
+    joined = frames.join(chosen, list(keys), "left")
+    new = {c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns} | {"edited_by_human": F.coalesce("__hit", F.lit(False))}
     return joined.withColumns(new).drop("__hit", *[f"__{c}" for c in columns])
 
 
