@@ -27,7 +27,7 @@ from .vectors import finite, packed, parts_of, scaled, unpacked, usual_length, v
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 #: Rows of a tree, and points of a leaf.
-CHUNK, LEAF = 4096, 32
+CHUNK, LEAF = 4096, 4
 #: A file of trees has groups of about this many bytes, which bounds what is read at a time: its rows are large.
 GROUP = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 

@@ -186,7 +186,7 @@ def test_whole_subtrees_are_assigned():
     trees = vector_codes.build(x, 4)
     books = np.ascontiguousarray(centre.reshape(16, 4, 2).transpose(1, 0, 2)).astype(np.int64)
     counts, sums, found, compared = vector_codes.assign(trees, books, labels=True)
-    assert compared < 0.25 * found.size
+    assert compared < 0.1 * found.size
     for p in range(4):
         nearest = ((trees.points[p][:, None] - books[p]) ** 2).sum(axis=2).argmin(axis=1)
         assert (nearest == found[p]).all() and np.bincount(nearest, minlength=16).tolist() == counts[p]
