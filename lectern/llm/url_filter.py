@@ -109,48 +109,58 @@ class Cascade:
         return out
 
 
-def candidate_keys(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """The keys that a URL can match, the longest first: (host suffix, path prefix) with lengths that rules have."""
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """(key, verdict, labels, size) of rules (verdict, host, path), given in a list or as a table of any length; hosts are lower-cased, nulls empty."""
+    if isinstance(rules, DataFrame):
+        rows = rules.select("verdict", "host", "path")
+    else:
+        one = lambda r: F.struct(*[F.lit(x).alias(n) for n, x in zip(("verdict", "host", "path"), r, strict=True)])
+        rows = spark.range(1).select(F.inline(F.array(*map(one, rules)) if rules else F.array(one(("", "", ""))))).filter(F.lit(bool(rules)))
+    name, prefix = F.translate(F.coalesce(F.col("host"), F.lit("")), _UPPER, _LOWER), F.coalesce(F.col("path"), F.lit(""))
+    return rows.filter("verdict IN ('block', 'allow')").select(F.concat(name, prefix).alias("key"), "verdict", F.size(F.split(name, r"\.", -1)).alias("labels"), F.length(prefix).alias("size"))
+
+
+def candidate_keys(host_: Column, path_: Column, shapes: Sequence[tuple[int, int]]) -> Column:
+    """The keys that a URL can match, the longest first: (host suffix, path prefix) with the numbers of labels and characters that rules have."""
     labels = F.split(host_, r"\.", -1)
-    out = []
-    for depth, size in sorted({(h.count(".") + 1, len(p)) for _, h, p in rules}, reverse=True):
-        suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - depth + 1, F.lit(1)), depth), ".")
-        out.append(F.when((F.size(labels) >= depth) & (F.length(path_) >= size), F.concat(suffix, F.substring(path_, 1, size))))
-    keys = F.filter(F.array(*out), lambda k: k.isNotNull())
+    if not shapes:
+        return F.array().cast("array<string>")
+    every = F.array(*[F.struct(F.lit(depth).alias("labels"), F.lit(size).alias("size")) for depth, size in sorted(shapes, reverse=True)])
+    fitting = F.filter(every, lambda s: (F.size(labels) >= s["labels"]) & (F.length(path_) >= s["size"]))
+    suffix = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    keys = F.transform(fitting, lambda s: F.concat(suffix(s["labels"]), F.substring(path_, F.lit(1), s["size"])))
     return F.array_sort(keys, lambda a, b: F.length(b) - F.length(a))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict.
 
-    A rule fits its host and all subdomains if the path starts with the rule's path; of those that fit, the one with the longest host and
-    path wins (of equal ones, the block). Without a rule the cascade finds no listed key and the URL is allowed. A null
-    URL or one without :// has an empty host and path and is allowed; null and repeated ids are kept as they are; a very long URL is
-    judged whole; an empty table gives no rows; names of other columns don't matter. A list whose filters would be
+    rules are (verdict, host, path), in a list or a table; of a table only the different numbers of host labels and path characters reach the
+    driver, which the lengths of rules bound. A rule fits its host and all subdomains if the path starts with the rule's path; of those
+    that fit, the one with the longest host and path wins (of equal ones, the block). Without a rule the cascade finds no listed key and the
+    URL is allowed. A null URL or one without :// has an empty host and path and is allowed; null and repeated ids are kept as they are; a
+    very long URL is judged whole; an empty table gives no rows; names of other columns don't matter. A list whose filters would be
     longer than MAX_BITS is joined with the keys instead.
     """
-    spark: SparkSession = pages.sparkSession
     rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url")).select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    keyed = rows.select("*", candidate_keys(F.col("host"), F.col("path"), rules).alias("keys"))
+    table = rule_table(pages.sparkSession, rules)
+    shapes = [(r["labels"], r["size"]) for r in table.select("labels", "size").distinct().collect()]
+    keyed = rows.select("*", candidate_keys(F.col("host"), F.col("path"), shapes).alias("keys"))
     universe = keyed.select(F.explode("keys").alias("key"))
-    listed = lambda verdict: [h + p for v, h, p in rules if v == verdict]
-    of = lambda verdict: spark.range(1).select(F.explode(F.array(*map(F.lit, listed(verdict))).cast("array<string>")).alias("key"))
-    if FIRST_BITS * max(len(listed("block")), len(listed("allow"))) > MAX_BITS:
-        return _judge_by_join(keyed, rules, id_col)
+    of = lambda verdict: table.filter(F.col("verdict") == verdict).select("key")
     try:
         block, allow = Cascade(of("block"), universe), Cascade(of("allow"), universe)
-    except TooManyKeys:  # a later level, of false positives
-        return _judge_by_join(keyed, rules, id_col)
+    except TooManyKeys:
+        return _judge_by_join(keyed, table, id_col)
     rule = F.get(F.filter("keys", lambda k: block.holds(k) | allow.holds(k)), F.lit(0))
     found = keyed.select("id", "host", "path", rule.alias("rule"))
     verdict = F.when(F.col("rule").isNotNull() & block.holds(F.col("rule")), "block").otherwise("allow")
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
 
 
-def _judge_by_join(keyed: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str) -> DataFrame:
+def _judge_by_join(keyed: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """The same by joins: each different host and path is judged once, by the longest of its keys that is listed."""
-    table = keyed.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "key string, v string")
-    table = table.groupBy("key").agg(F.max("v").alias("v"))  # a block before an allow
+    table = rules.groupBy("key").agg(F.max("verdict").alias("v"))  # a block before an allow
     urls = keyed.select("host", "path", "keys").distinct()
     hits = urls.select("host", "path", F.explode("keys").alias("key")).join(table, "key")
     best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("best"))

@@ -624,6 +624,28 @@ def test_urls_as_by_brute_force(spark):
         assert got[i] == brute_verdict(u), u
 
 
+def test_rules_from_a_table(spark):
+    """A list of any length as a table: hosts in capitals, rules for one key, nulls, an empty table."""
+    rng = random.Random(5)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "org", "EN.org"]
+    rules = [(rng.choice(["block", "allow"]), rng.choice(hosts), rng.choice(["", "/", "/en/", "/en/7", "/de", "/de/8/x"])) for _ in range(60)] + [("block", None, "/q"), ("other", "com", "/"), ("block", "z.org", None)]
+    urls = [f"http://{h}{p}" for h in ("com", "w.a.com", "b.a.com", "q.b.a.com", "net", "y.x.net", "en.org", "z.org", "", "edu") for p in ("", "/", "/en/", "/en/71", "/de/8/xy", "/q")] + [None, "no scheme"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    lowered = [(v, (h or "").lower(), p or "") for v, h, p in rules if v in ("block", "allow")]
+
+    def want(url, listed):
+        name, rest = brute_verdict(url)[:2]
+        # a rule without a host fits what has an empty last label, an empty host too
+        best = max(((len(h + p), h + p, v) for v, h, p in listed if (name == h or name.endswith("." + h)) and rest.startswith(p)), default=(0, None, "allow"))
+        return name, rest, best[1], best[2]
+
+    table = spark.createDataFrame(rules, "verdict string, host string, path string").withColumn("key", F.lit("clash"))
+    for given, listed in ((table, lowered), (table.limit(0), []), (rules, lowered), ([], [])):
+        got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(df, given).collect()}
+        for i, u in enumerate(urls):
+            assert got[i] == want(u, listed), u
+
+
 def test_cascades_are_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "FIRST_BITS", 2)
     monkeypatch.setattr(url_filter, "LATER_BITS", 2)
