@@ -226,36 +226,50 @@ class LineRepair:
         return [" ".join(self.correct[i] for i in chosen) for chosen in pairing]
 
 
+def _places(values: Sequence) -> list[float]:
+    """Numbers of an array column, where a null has become one that is none."""
+    out = [float(v) for v in values]
+    if any(v != v for v in out):
+        raise ValueError("a box lacks a side")
+    return out
+
+
 def repair_words(words: DataFrame, lines: DataFrame, matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, line_idx, word_idx, ocr_text, text, pair_offset, error): every word of the matched documents with its repaired text.
+    """(keys, line_idx, word_idx, ocr_text, text, pair_offset, error, bbox): every word of the matched documents with its repaired text.
 
     words (keys, line_idx, word_idx, text, bbox), lines (keys, line_idx, bbox), matched (keys, line_idx, updated_line). Words of a line
-    that matched nothing become empty. Where a line's boxes can't be worked with, its words have no text and `error` says why.
+    that matched nothing become empty, and stay in the JVM. Where a line's boxes can't be worked with, its words have no text and `error` says why.
     """
     spaces = space_width(lines, words, keys)
     usual = lines.join(spaces, list(keys)).withColumn("usual", near_median("bbox", "med_height"))
     perfect = perfect_words(words.join(usual.filter("usual").select(*keys, "line_idx"), [*keys, "line_idx"], "left_semi"), matched, keys)
     widths = char_widths(perfect, spaces, keys)
-    boxes = F.array_sort(F.collect_list(F.struct("word_idx", "text", F.col("bbox.left").alias("l"), F.col("bbox.right").alias("r"))))
-    per_line = words.join(matched.select(*keys, "line_idx"), [*keys, "line_idx"], "left_semi").groupBy(*keys, "line_idx").agg(boxes.alias("boxes"))
+    found = matched.filter(F.col("updated_line") != "")
+    boxes = F.array_sort(F.collect_list(F.struct("word_idx", "text", "bbox")))
+    per_line = words.join(found.select(*keys, "line_idx"), [*keys, "line_idx"], "left_semi").groupBy(*keys, "line_idx").agg(boxes.alias("boxes"))
     frame = usual.select(*keys, "line_idx", F.col("bbox.left").alias("line_left"), (F.col("bbox.bottom") - F.col("bbox.top")).alias("line_height"), "usual")
-    rows = per_line.join(matched.select(*keys, "line_idx", "updated_line"), [*keys, "line_idx"]).join(frame, [*keys, "line_idx"]).join(widths, list(keys))
+    rows = per_line.join(found.select(*keys, "line_idx", "updated_line"), [*keys, "line_idx"]).join(frame, [*keys, "line_idx"]).join(widths, list(keys))
 
     @F.pandas_udf("struct<texts:array<string>,pair_offset:int,error:string>")
-    def repair(boxes: pd.Series, line: pd.Series, left: pd.Series, height: pd.Series, usual: pd.Series, med: pd.Series, space: pd.Series, widths: pd.Series) -> pd.DataFrame:
+    def repair(texts: pd.Series, lefts: pd.Series, rights: pd.Series, line: pd.Series, left: pd.Series, height: pd.Series, usual: pd.Series, med: pd.Series, space: pd.Series, widths: pd.Series) -> pd.DataFrame:
         out = []
-        for b, text, x, h, u, m, s, w in zip(boxes, line, left, height, usual, med, space, widths, strict=True):
+        for t, a, b, text, x, h, u, m, s, w in zip(texts, lefts, rights, line, left, height, usual, med, space, widths, strict=True):
             try:
-                job = LineRepair([r["text"] or "" for r in b], [r["l"] for r in b], [r["r"] for r in b], text or "")
+                job = LineRepair([r or "" for r in t], _places(a), _places(b), text)
                 pairing, offset = job.solve(job.estimated_spans(dict(w) if w is not None else {}, s, x, 1.0 if u or not m else h / m))
                 out.append((job.repaired(pairing), offset, None))
             except (ArithmeticError, LookupError, TypeError, ValueError) as error:  # boxes without sides, or not numbers
-                out.append(([None] * len(b), None, repr(error)))
+                out.append(([None] * len(t), None, repr(error)))
         return pd.DataFrame({"texts": [o[0] for o in out], "pair_offset": pd.array([o[1] for o in out], "Int32"), "error": [o[2] for o in out]})
 
-    fixed = spread(rows, *keys, "line_idx").withColumn("fix", repair("boxes", "updated_line", "line_left", "line_height", "usual", "med_height", "space_width", "widths"))
+    of = lambda field: F.transform("boxes", field)
+    sides = (of(lambda r: r["text"]), of(lambda r: r["bbox"]["left"]), of(lambda r: r["bbox"]["right"]))
+    fixed = spread(rows, *keys, "line_idx").withColumn("fix", repair(*sides, "updated_line", "line_left", "line_height", "usual", "med_height", "space_width", "widths"))
     words_of = fixed.select(*keys, "line_idx", "fix.pair_offset", "fix.error", F.explode(F.arrays_zip(F.col("boxes").alias("b"), F.col("fix.texts").alias("t"))).alias("x"))
-    return words_of.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset", "error")
+    repaired = words_of.select(*keys, "line_idx", F.col("x.b.word_idx").alias("word_idx"), F.col("x.b.text").alias("ocr_text"), F.col("x.t").alias("text"), "pair_offset", "error", F.col("x.b.bbox").alias("bbox"))
+    lost = matched.filter(F.coalesce("updated_line", F.lit("")) == "").select(*keys, "line_idx")
+    blank = words.join(lost, [*keys, "line_idx"]).select(*keys, "line_idx", "word_idx", F.col("text").alias("ocr_text"), F.lit("").alias("text"), F.lit(0).alias("pair_offset"), F.lit(None).cast("string").alias("error"), "bbox")
+    return repaired.unionByName(blank)
 
 
 def document_status(repaired: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def fuzzy_line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def repaired_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir)
+    return _repaired(spark, sf_dir).drop("bbox")
 
 
 def _repaired(spark: SparkSession, sf_dir: str, best: DataFrame | None = None) -> DataFrame:
@@ -138,9 +138,8 @@ def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def global_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the repaired words of every document with an anchored line, in reading order, in the document's best text."""
     best = cut(_best(spark, sf_dir))
-    fixed = cut(_repaired(spark, sf_dir, best)).select("doc_id", "line_idx", "word_idx", "text").filter("text <> ''")
-    placed = fixed.join(doc_words(spark, sf_dir).select("doc_id", "line_idx", "word_idx", "bbox"), ["doc_id", "line_idx", "word_idx"])
-    ordered = geometry.reading_order(placed, doc_lines(spark, sf_dir), KEYS)
+    fixed = cut(_repaired(spark, sf_dir, best).select("doc_id", "line_idx", "word_idx", "text", "bbox").filter("text <> ''"))
+    ordered = geometry.reading_order(fixed, doc_lines(spark, sf_dir), KEYS)
     return ids.assign_ids(ordered.join(best.select("doc_id", "doc_name"), "doc_id"), ids.word_positions(corpus(spark, sf_dir)), KEYS)
 
 

@@ -47,11 +47,11 @@ def clean_documents(lines: DataFrame, words: DataFrame, ref_lines: DataFrame, pe
     matched = cut(match.match_lines(lines, words, best, ref_lines, FRAME))
     boxes = lines.select(*FRAME, "line_idx", scale_bbox("bbox", scale).alias("bbox"))
     out_lines = matched.join(boxes, [*FRAME, "line_idx"]).join(best.select(*FRAME, "doc_name"), FRAME)
-    word_boxes = words.select(*FRAME, "line_idx", "word_idx", scale_bbox("bbox", scale).alias("bbox"))
     if stop_at_lines:
+        word_boxes = words.select(*FRAME, "line_idx", "word_idx", scale_bbox("bbox", scale).alias("bbox"))
         out_words = words.select(*FRAME, "line_idx", "word_idx", F.col("text").alias("ocr_text"), "text", F.lit(None).cast("int").alias("pair_offset")).join(word_boxes, [*FRAME, "line_idx", "word_idx"])
     else:
-        out_words = repair.repair_words(words, lines, matched, FRAME).join(word_boxes, [*FRAME, "line_idx", "word_idx"])
+        out_words = repair.repair_words(words, lines, matched, FRAME).withColumn("bbox", scale_bbox("bbox", scale))
     return Cleaned(chosen, cut(out_lines), cut(out_words))
 
 
