@@ -284,10 +284,11 @@ def _compare(batches: Iterator[pa.RecordBatch], cover: Covering) -> Iterator[tup
         yield from work(*held)
 
 
-def links(nodes: DataFrame, cover: Covering = SIMHASH, source: DataFrame | None = None) -> DataFrame:
+def links(nodes: DataFrame, cover: Covering = SIMHASH) -> DataFrame:
     """Edges (u, v) that connect the same nodes as all links between fingerprints that meet do; nodes are node, w0, w1 and so on.
 
-    A round compares many copies of each node: its tasks are as many as `source`, what the nodes were made of, needs.
+    A round compares many copies of each node in as many tasks as its exchange has; the few edges that come out pass another one, so that
+    only the files of its table are as few as the nodes'.
 
     After the first round a node goes by the name of the smallest that it has an edge to: what is joined already gives no edges again.
     """
@@ -295,11 +296,11 @@ def links(nodes: DataFrame, cover: Covering = SIMHASH, source: DataFrame | None
     if len(cover.blocks) <= ROUND_BLOCKS:
         return _links(nodes, cover, 0)
     # written round by round, so that one round's copies are on disk at a time
-    source = nodes if source is None else source
-    rounds = [materialise(_links(nodes, cover, 0), "round", source)]
+    written = lambda edges: materialise(edges.repartition("u", "v"), "round", nodes)
+    rounds = [written(_links(nodes, cover, 0))]
     named = rounds[0].groupBy(F.col("u").alias("own")).agg(F.min("v").alias("name"))
     nodes = materialise(nodes.join(named, "own", "left").withColumn("node", F.coalesce("name", "node")).drop("name"), "named", nodes)
-    rounds += [materialise(_links(nodes, cover, a), "round", source) for a in range(ROUND_BLOCKS, len(cover.blocks), ROUND_BLOCKS)]
+    rounds += [written(_links(nodes, cover, a)) for a in range(ROUND_BLOCKS, len(cover.blocks), ROUND_BLOCKS)]
     return gathered(reduce(DataFrame.unionByName, rounds)).mapInArrow(lambda it: _joined(map(_edges, it)), "u long, v long")
 
 
@@ -520,7 +521,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prints = nodes.filter("size > 0").select(F.col("fp").alias("node"), *own_words)
     with scratch_scope() as spent:
-        reached = materialise(components(links(prints, NEAR, docs), "meetings", docs), "groups", docs)
+        reached = materialise(components(links(prints, NEAR), "meetings", docs), "groups", docs)
     for table in spent:
         if table is not reached:
             discard(table)
