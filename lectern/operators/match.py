@@ -16,8 +16,6 @@ from ..functions.scalar import ascii_text, tokens
 
 #: Longest word length that carries no evidence; most distance a gap-filled line may have.
 MIN_EVIDENCE_LENGTH, MAX_LINE_DISTANCE = 2, 0.6
-#: Characters that the lower bound of a distance counts one by one; all others count as one.
-COUNTED = " abcdefghijklmnopqrstuvwxyz.,"
 
 
 def spread(rows: DataFrame, *columns: str) -> DataFrame:
@@ -97,32 +95,24 @@ def gap_windows(lines: DataFrame, anchored: DataFrame, ref_lines: DataFrame, key
 
 
 def least_distance(text: Column, line: Column) -> Column:
-    """No line_distance of these is less: characters of the line that the text has fewer of have no counterpart, and cost one each; what
-    the text has more than the line's length is left out at its edges' price at least. The characters are counted in the JVM."""
-    own = ascii_text(text)
-    n = F.length(own)
-    # of every character the text has, as many of the line's as it has; others are without a counterpart
-    matched = [F.least(n - F.length(F.translate(own, c, "")), F.length(line) - F.length(F.translate(line, c, ""))) for c in COUNTED]
-    rest, other = F.length(F.translate(own, COUNTED, "")), F.length(F.translate(line, COUNTED, ""))
-    alike = sum(matched, F.least(rest, other))
-    edges = F.greatest(F.length(line) - n, F.lit(0)) / UNIT
-    return F.when(F.trim(own) == "", 1.0).otherwise((n - alike + edges) / n)
+    """No line_distance of these is less: what the text is longer by has no counterpart and costs one a character; what it is shorter by is left
+    out at the line's edges at least. From lengths alone: counting characters too costs more in the JVM than the alignments it saves."""
+    n = F.length(ascii_text(text))
+    gap = F.length(line) - n
+    return F.when(F.trim(ascii_text(text)) == "", 1.0).when(gap < 0, -gap / n).otherwise(gap / UNIT / n)
 
 
 def gap_pairs(windows: DataFrame, lines: DataFrame, ref_lines: DataFrame, keys: Sequence[str], limit: float | None = None) -> DataFrame:
     """(keys, line_idx, doc_name, ref_idx, text, line): the lines of each window; with a limit only those whose distance may be less.
 
-    The range join is an equi-join: a window is spread over its line numbers, which an anchor's distance bounds. Lengths are compared before
-    texts meet, and characters are counted for what that leaves.
+    The range join is an equi-join: a window is spread over its line numbers, which an anchor's distance bounds.
     """
     wanted = windows.filter("lo <= hi").select(*keys, "line_idx", "doc_name", F.explode(F.sequence("lo", "hi")).alias("ref_idx"))
     refs = ref_lines.select("doc_name", F.col("line_idx").alias("ref_idx"), "line")
     pairs = wanted.join(refs, ["doc_name", "ref_idx"]).join(lines.select(*keys, "line_idx", "text"), [*keys, "line_idx"])
     if limit is not None:
-        n = F.length(ascii_text("text"))
-        short = pairs.filter((n > 0) & (n - F.length("line") < limit * n))
-        # a hair above the limit, as the bound is a sum of floating-point numbers
-        pairs = short.filter(least_distance(F.col("text"), F.col("line")) < limit + 1e-9)
+        # a hair above the limit, as the bound is a quotient of floating-point numbers
+        pairs = pairs.filter(least_distance(F.col("text"), F.col("line")) < limit + 1e-9)
     return pairs.select(*keys, "line_idx", "doc_name", "ref_idx", "text", "line")
 
 
