@@ -1,9 +1,9 @@
 """Line segments by Hough voting, on tables of edge cells.
 
-Every cell votes, for each angle, for the line through it: (theta, rho) with x * cos + y * sin = rho, rounded. Votes are counted per
-line; a line with votes enough that has no neighbour with more is a peak. The cells on a peak, in order along it, fall
-into segments where the gaps between them are too wide. Votes are counted before they are shuffled, cells meet peaks by their key, and
-nothing is paired with anything but its neighbours.
+Every cell votes, for each angle, for the line through it: (theta, rho) with x * cos + y * sin = rho, rounded. A line with votes enough
+that has no neighbour with more is a peak. The cells on a peak, in order along it, fall into segments where the gaps between them are too
+wide. Only cells are shuffled, as runs of a raster's row, to the task that has their frame: votes, a row a cell and angle, are counted
+there an angle at a time, so they are neither exchanged nor written, and a frame takes memory for its cells.
 """
 
 from __future__ import annotations
@@ -11,24 +11,22 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .match import spread
+
+FIELDS = ["theta", "rho", "x1", "y1", "x2", "y2", "cells"]
+SEGMENTS = "array<struct<theta:int,rho:int,x1:double,y1:double,x2:double,y2:double,cells:bigint>>"
+
 
 def angles(steps: int) -> list[tuple[int, float, float]]:
     """(number, cosine, sine) of `steps` directions in half a turn."""
     return [(i, math.cos(math.pi * i / steps), math.sin(math.pi * i / steps)) for i in range(steps)]
 
 
-def _votes(cells: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
-    """(keys, x, y, theta, rho, along): a row a cell and angle; `along` is the cell's place on the line."""
-    table = F.array(*[F.struct(F.lit(i).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s")) for i, c, s in angles(steps)])
-    rows = cells.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    x, y, c, s = (F.col(n) for n in ("x", "y", "a.c", "a.s"))
-    each = rows.select(*keys, "x", "y", F.explode(table).alias("a"))
-    return each.select(*keys, "x", "y", F.col("a.theta").alias("theta"), F.floor(x * c + y * s + 0.5).cast("int").alias("rho"), (y * c - x * s).alias("along"))
-
-
 def edge_cells(pixels: DataFrame, keys: Sequence[str], value: str, least: float) -> DataFrame:
     """(keys, x, y) of the cells whose value differs by `least` or more from that of the cell to the left or above."""
     left = F.lag(value).over(Window.partitionBy(*keys, "y").orderBy("x"))
@@ -37,23 +35,84 @@ def edge_cells(pixels: DataFrame, keys: Sequence[str], value: str, least: float)
     return pixels.withColumns({"__l": left, "__a": above}).filter(near(F.col("__l")) | near(F.col("__a"))).select(*keys, "x", "y")
 
 
-def peaks(cells: DataFrame, keys: Sequence[str], steps: int, threshold: int) -> DataFrame:
-    """(keys, theta, rho, votes): lines with `threshold` votes or more that none of their eight neighbours beats; of equal neighbours the first by
+def _peaks(x: np.ndarray, y: np.ndarray, steps: int, threshold: int) -> dict[int, list[int]]:
+    """Distances by angle of the lines with `threshold` votes or more that none of their eight neighbours beats; of equal neighbours the first by
     angle and distance. The angle goes round: after the last one comes the first, with the distance's sign turned."""
-    counted = _votes(cells.select(*keys, "x", "y").distinct(), keys, steps).groupBy(*keys, "theta", "rho").agg(F.count("*").alias("votes")).filter(F.col("votes") >= threshold)
-    turn = lambda t: (F.when(t < 0, t + steps).when(t >= steps, t - steps).otherwise(t), (t < 0) | (t >= steps))
-
-    def beside(dt: int, dr: int) -> Column:
-        theta, turned = turn(F.col("theta") + dt)
-        rho = F.when(turned, -(F.col("rho") + dr)).otherwise(F.col("rho") + dr)
-        return F.struct(theta.cast("int").alias("theta"), rho.cast("int").alias("rho"))
-
-    around = F.array(*[beside(dt, dr) for dt in (-1, 0, 1) for dr in (-1, 0, 1) if (dt, dr) != (0, 0)])
-    # each line tells its neighbours how many votes it has
-    rank = lambda v, t, r: F.struct(F.col(v).alias("v"), (-F.col(t)).alias("t"), (-F.col(r)).alias("r"))
-    told = counted.select(*keys, F.explode(around).alias("n"), rank("votes", "theta", "rho").alias("rival")).select(*keys, F.col("n.theta").alias("theta"), F.col("n.rho").alias("rho"), "rival")
-    strongest = told.groupBy(*keys, "theta", "rho").agg(F.max("rival").alias("rival"))
-    return counted.join(strongest, [*keys, "theta", "rho"], "left").filter(F.col("rival").isNull() | (rank("votes", "theta", "rho") > F.col("rival"))).select(*keys, "theta", "rho", "votes")
+    votes: dict[tuple[int, int], int] = {}
+    for theta, c, s in angles(steps):
+        rho, n = np.unique(_rho(x, y, c, s), return_counts=True)
+        many = n >= threshold
+        votes.update(((theta, r), v) for r, v in zip(rho[many].tolist(), n[many].tolist(), strict=True))
+    found: dict[int, list[int]] = {}
+    for (theta, rho), v in votes.items():
+        own = (v, -theta, -rho)
+        for dt in (-1, 0, 1):
+            turned = not 0 <= theta + dt < steps
+            t = (theta + dt) % steps
+            for r in (rho - 1, rho, rho + 1):
+                n = (t, -r if turned else r)
+                if (dt or r != rho) and n in votes and (votes[n], -n[0], -n[1]) >= own:
+                    break
+            else:
+                continue
+            break
+        else:
+            found.setdefault(theta, []).append(rho)
+    return found
+
+
+def _rho(x: np.ndarray, y: np.ndarray, c: float, s: float) -> np.ndarray:
+    return np.floor(x * c + y * s + 0.5).astype(np.int64)
+
+
+def _frame_segments(x: np.ndarray, y: np.ndarray, steps: int, threshold: int, least_length: float, most_gap: float) -> list[np.ndarray]:
+    """theta, rho, x1, y1, x2, y2, cells of one frame's segments, by angle, distance and place."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    if len(x):
+        fresh = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        x, y = x[fresh], y[fresh]
+    found = _peaks(x, y, steps, threshold) if len(x) >= threshold else {}
+    parts = []
+    for theta, c, s in angles(steps):
+        if theta not in found:
+            continue
+        rho = _rho(x, y, c, s)
+        on = np.flatnonzero(np.isin(rho, found[theta]))
+        along = y[on] * c - x[on] * s
+        order = np.lexsort((y[on], x[on], along, rho[on]))
+        on, along = on[order], along[order]
+        first = np.flatnonzero(np.r_[True, (rho[on][1:] != rho[on][:-1]) | (along[1:] - along[:-1] > most_gap)])
+        last = np.r_[first[1:], len(on)] - 1
+        long = along[last] - along[first] >= least_length
+        a, b = on[first[long]], on[last[long]]
+        parts.append([np.full(len(a), theta), rho[a], x[a], y[a], x[b], y[b], (last - first + 1)[long]])
+    return [np.concatenate(column) for column in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 7
+
+
+def run_segments(runs: DataFrame, keys: Sequence[str], steps: int = 180, threshold: int = 20, least_length: float = 10.0, most_gap: float = 2.0) -> DataFrame:
+    """segments() of cells in runs (keys, x, y, more): the cell (x, y) and `more` cells to its right, one apart."""
+    rows = runs.select(*keys, F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("more").cast("long").alias("more")).alias("run"))
+    rows = rows.filter("run.x IS NOT NULL AND run.y IS NOT NULL").dropna(subset=list(keys))
+    frames = spread(rows, *keys).groupBy(*keys).agg(F.collect_list("run").alias("runs"))
+
+    @F.arrow_udf(SEGMENTS)
+    def find(batch: pa.Array) -> pa.Array:
+        ends, run = batch.offsets.to_numpy(), batch.values
+        x, y, more = (run.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        found, sizes = [], [0]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            n = more[a:b] + 1
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            segment = _frame_segments(np.repeat(x[a:b], n) + step, np.repeat(y[a:b], n), steps, threshold, least_length, most_gap)
+            found.append(segment)
+            sizes.append(sizes[-1] + len(segment[0]))
+        kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.int64()]
+        columns = [pa.array(np.concatenate(c).astype(kind.to_pandas_dtype()), kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, FIELDS))
+
+    each = frames.select(*keys, F.posexplode(find("runs")).alias("segment_id", "s"))
+    return each.select(*keys, "segment_id", *[F.col(f"s.{f}").alias(f) for f in FIELDS])
 
 
 def segments(cells: DataFrame, keys: Sequence[str], steps: int = 180, threshold: int = 20, least_length: float = 10.0, most_gap: float = 2.0) -> DataFrame:
@@ -61,12 +120,4 @@ def segments(cells: DataFrame, keys: Sequence[str], steps: int = 180, threshold:
 
     segment_id numbers a frame's segments by angle, distance and place. Repeated cells count once; cells without a place don't.
     """
-    lines = peaks(cells, keys, steps, threshold)
-    on = _votes(cells.select(*keys, "x", "y").distinct(), keys, steps).join(lines, [*keys, "theta", "rho"])
-    order = Window.partitionBy(*keys, "theta", "rho").orderBy("along", "x", "y")
-    fresh = F.coalesce(F.col("along") - F.lag("along").over(order) > most_gap, F.lit(True))
-    numbered = on.withColumn("__new", fresh.cast("int")).withColumn("piece", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    end = F.struct("along", "x", "y")
-    found = numbered.groupBy(*keys, "theta", "rho", "piece").agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count("*").alias("cells")).filter(F.col("b.along") - F.col("a.along") >= least_length)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("theta", "rho", "piece")) - 1
-    return found.select(*keys, number.alias("segment_id"), "theta", "rho", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "cells")
+    return run_segments(cells.select(*keys, "x", "y", F.lit(0).alias("more")), keys, steps, threshold, least_length, most_gap)

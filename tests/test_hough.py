@@ -67,3 +67,17 @@ def test_edges_of_a_picture_feed_the_matching_of_segments(spark):
     turned = found.select("f", "segment_id", ends("x1", "x2").alias("x1"), ends("y1", "y2").alias("y1"), ends("x2", "x1").alias("x2"), ends("y2", "y1").alias("y2"))
     near = {r["label_id"]: r["dist"] for r in gaze.nearest_segments(turned, labelled, ["f"]).collect()}
     assert set(near) == {"top", "bottom", "left", "right"} and all(d is not None and d <= 2.5 for d in near.values()), near
+
+
+def test_votes_stay_in_the_task_of_their_frame(spark):
+    """Cells alone are exchanged, once; runs of cells are the cells that they stand for."""
+    runs = spark.createDataFrame([(f, 3.0, float(4 * k), (7 * k + f) % 40) for f in range(4) for k in range(30)] + [(None, 0.0, 0.0, 20)], "f int, x double, y double, more int")
+    cells = runs.select("f", F.explode(F.sequence(F.lit(0), "more")).alias("k"), "x", "y").select("f", (F.col("x") + F.col("k")).alias("x"), "y")
+    options = {"steps": 12, "threshold": 8, "least_length": 6.0, "most_gap": 2.0}
+    found = hough.segments(cells, ["f"], **options)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "theta" not in plan[plan.index("Exchange hashpartitioning") :]
+    got = found.orderBy("f", "segment_id").collect()
+    assert got and got == hough.run_segments(runs, ["f"], **options).orderBy("f", "segment_id").collect()
+    own = [(r["x"], r["y"]) for r in cells.filter("f = 1").collect()]
+    assert [tuple(r)[2:] for r in got if r["f"] == 1] == plain(own, 12, 8, 6.0, 2.0)
