@@ -247,3 +247,15 @@ def test_tracks_equal_brute_force(spark):
             frames[s, k * 3] = [x if rng.random() < 0.9 else None for x in noisy]
     for reach, limit in ((2, 0.4), (3, 0.2)):
         assert tracks_of(frames_of(spark, frames), reach=reach, limit=limit) == tracks_by_hand(frames, reach, limit)
+
+
+def test_sightings_are_exchanged_once(spark):
+    """A recording's sightings come to one task in one exchange, without stage tables; rows without keys or repeated ones are places, no more."""
+    rows = [("a", 1, 0, "one line here"), ("a", 2, 0, "one line here"), ("a", 2, 0, "one line here"), ("a", 3, 1, "one lime here"), ("a", None, 0, "one line here"), (None, 1, 0, "x"), (None, 2, 0, "x")]
+    df = spark.createDataFrame(rows, "s string, t int, line_idx int, text string").repartition(2)
+    found = tracks.line_tracks(df, ["s"], "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan.replace("Scan ExistingRDD[s", "")
+    got = sorted((r["s"] or "", r["t"] or 0, r["line_idx"], r["track_time"] or 0, r["track_line"]) for r in found.collect())
+    assert got == [("", 1, 0, 1, 0), ("", 2, 0, 2, 0), ("a", 0, 0, 0, 0), ("a", 1, 0, 1, 0), ("a", 2, 0, 1, 0), ("a", 3, 1, 1, 0)]
+    assert [tuple(r) for r in tracks.line_links(df, ["s"], "t").orderBy("time").collect()] == [("a", 1, 0, 2, 0), ("a", 2, 0, 3, 1)]
