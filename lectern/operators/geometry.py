@@ -93,7 +93,8 @@ def reading_order(words: DataFrame, lines: DataFrame, keys: Sequence[str]) -> Da
     below = F.last("__c", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0))
     near = both.withColumn("__up", above).withColumn("__down", below).filter("__side = 1 AND (__up IS NOT NULL OR __down IS NOT NULL)")
     upper = F.col("__down").isNull() | (F.col("__at") - F.col("__up") <= F.col("__down") - F.col("__at"))
-    placed = near.select("__row.*", F.when(upper, F.col("__up")).otherwise(F.col("__down")).alias("__line"))
+    # the keys themselves, by which the rows are dealt already
+    placed = near.select(*[F.col(c if c in keys else f"__row.{c}").alias(c) for c in words.columns], F.when(upper, F.col("__up")).otherwise(F.col("__down")).alias("__line"))
     in_order = Window.partitionBy(*keys).orderBy("__line", x, "line_idx", "word_idx")
     return placed.withColumn("reading_idx", F.row_number().over(in_order) - 1).drop("__line")
 
