@@ -7,7 +7,7 @@ and the document's scalars, so it runs per line. Both are grouped maps over Arro
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import word_distance
+from ..functions.align import UNIT, _ascii, word_distance
 from .geometry import near_median, space_width
 from .match import perfect_words, spread
 
 SHIFTS, SWEEPS = (0, -6, -4, -2, 2, 4, 6), 20
+#: What is priced ahead for many lines at once: up to so many words, with so many characters, on a box's text of so many; pairs of a box and a first word
+#: in one go. All else is priced when it is asked for.
+RUN, RUN_LENGTH, BOX_LENGTH, LANES = 3, 32, 24, 1 << 15
 
 
 def calibrate(words: Sequence[tuple[str, float]], default: float) -> dict[str, float]:
@@ -49,11 +52,89 @@ def char_widths(perfect: DataFrame, spaces: DataFrame, keys: Sequence[str]) -> D
     return gathered.select(*keys, "med_height", "space_width", fold("all", "space_width").alias("widths"))
 
 
+_EDGE = 80  # word_distance's, in hundredths
+
+
 @lru_cache(maxsize=1 << 16)
 def _cost(ocr: str, correct: str) -> int:
     return round(word_distance(ocr, correct) * 100)
 
 
+def run_costs(lines: Sequence[tuple[Sequence[str], Sequence[str]]]) -> list[list[list[int | None]]]:
+    """For each line (texts of its boxes, correct words) and k up to RUN: the costs of k words from the a-th on box b, at a * boxes + b; None where
+    nothing is priced ahead. All lines are aligned together, a character a step, and a run of words goes on from where the one before it ended."""
+    boxes, starts, box_of, start_of, shapes = [], [], [], [], []
+    for texts, words in lines:
+        box_of.append(np.tile(np.arange(len(texts)) + len(boxes), len(words)))
+        start_of.append(np.repeat(np.arange(len(words)) + len(starts), len(texts)))
+        boxes += [_ascii(t).lower() for t in texts]
+        lower = [w.lower() for w in words]
+        starts += [lower[a : a + RUN] for a in range(len(words))]
+        shapes.append(len(words) * len(texts))
+    box_of, start_of = np.concatenate(box_of), np.concatenate(start_of)
+    sizes = np.array([len(b) for b in boxes])
+    width = min(int(sizes.max(initial=0)), BOX_LENGTH)
+    target = np.zeros((width, len(boxes)), np.uint8)  # ASCII
+    for i, b in enumerate(boxes):
+        if b and len(b) <= BOX_LENGTH:
+            target[: len(b), i] = np.frombuffer(b.encode("ascii"), np.uint8)
+    # ends[k][i]: characters of the first k + 1 words from a start on, with the spaces between; 0 if they are blank, too long or not there
+    ends = np.zeros((RUN, len(starts)), np.int64)
+    consumed = np.zeros((RUN_LENGTH, len(starts)), np.uint8)
+    for i, run in enumerate(starts):
+        text = " ".join(run)[:RUN_LENGTH]
+        if text:
+            # what is beyond ASCII equals nothing in a box
+            consumed[: len(text), i] = np.frombuffer(text.encode("ascii") if text.isascii() else bytes(min(ord(ch), 255) for ch in text), np.uint8)
+        at = -1
+        for k, word in enumerate(run):
+            at += 1 + len(word)
+            if at > RUN_LENGTH:
+                break
+            if text[:at].strip():
+                ends[k, i] = at
+    out = np.full((RUN, len(box_of)), -1, np.int64)
+    t, n = target[:, box_of], sizes[box_of]
+    short = n <= BOX_LENGTH
+    # rows are held less the costs of skipping and deleting, as in align.alignment_costs
+    ramp = np.arange(width + 1, dtype=np.int64)[:, None]
+    row = np.repeat((ramp * (_EDGE - UNIT)).astype(np.int16), len(box_of), axis=1)
+    outside = np.where(ramp <= n, ramp * (UNIT - _EDGE), 1 << 14).astype(np.int16)
+    same, less = np.empty(t.shape, bool), np.empty(t.shape, np.int16)
+    for step in range(int(ends.max(initial=0))):
+        np.equal(t, consumed[step][start_of], out=same)
+        np.multiply(same, np.int16(UNIT), out=less)
+        less += np.int16(UNIT)
+        np.subtract(row[:-1], less, out=less)
+        np.minimum(row[1:], less, out=row[1:])
+        for j in range(width):  # a running minimum over long rows
+            np.minimum(row[j + 1], row[j], out=row[j + 1])
+        for k in range(RUN):
+            done = ends[k] == step + 1
+            if done.any():
+                lanes = np.flatnonzero(done[start_of] & short)
+                out[k, lanes] = (row[:, lanes] + outside[:, lanes]).min(axis=0) + (step + 1) * UNIT + n[lanes] * _EDGE
+    places = np.cumsum([0, *shapes]).tolist()
+    known = [[x if x >= 0 else None for x in costs] for costs in out.tolist()]
+    return [[costs[a:b] for costs in known] for a, b in zip(places, places[1:], strict=False)]
+
+
+def priced(lines: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Iterator[list[list[int | None]] | None]:
+    """run_costs of every line, for as many lines at once as LANES; None for a line that has more itself."""
+    held, lanes = [], 0
+    for line in [*lines, None]:
+        size = len(line[0]) * len(line[1]) if line else 0
+        if line is None or lanes + size > LANES:
+            if held:
+                found = iter(run_costs([h for h in held if h is not None]) if any(held) else ())
+                yield from (None if h is None else next(found) for h in held)
+            held, lanes = [], 0
+        if line is not None:
+            fits = 0 < size <= LANES
+            held.append(line if fits else None)
+            lanes += size if fits else 0
+
+
 class Held:
     """The words of every box, and the boxes that have any, in order: few, however many boxes a line has."""
 
@@ -87,7 +168,8 @@ class Held:
 class LineRepair:
     """One line: OCR boxes with their texts, and the correct words to spread over them."""
 
-    def __init__(self, texts: Sequence[str], lefts: Sequence[float], rights: Sequence[float], correct: str):
+    def __init__(self, texts: Sequence[str], lefts: Sequence[float], rights: Sequence[float], correct: str, known: list[list[int | None]] | None = None):
+        self.known = known  # run_costs of this line
         self.texts, self.lefts, self.rights = list(texts), list(lefts), list(rights)
         self.correct = correct.split(" ") if correct else []
         self.n = len(self.texts)
@@ -101,7 +183,13 @@ class LineRepair:
         key = (box, chosen)
         found = self._costs.get(key)
         if found is None:
-            found = self._costs[key] = _cost(self.texts[box], " ".join([self.correct[i] for i in chosen]))
+            size = len(chosen)
+            # words that follow each other may be priced already
+            if self.known and 0 < size <= RUN and chosen[-1] - chosen[0] == size - 1:
+                found = self.known[size - 1][chosen[0] * self.n + box]
+            if found is None:
+                found = _cost(self.texts[box], " ".join([self.correct[i] for i in chosen]))
+            self._costs[key] = found
         return found
 
     def total(self, pairing: list[tuple[int, ...]]) -> int:
@@ -253,9 +341,10 @@ def repair_words(words: DataFrame, lines: DataFrame, matched: DataFrame, keys: S
     @F.pandas_udf("struct<texts:array<string>,pair_offset:int,error:string>")
     def repair(texts: pd.Series, lefts: pd.Series, rights: pd.Series, line: pd.Series, left: pd.Series, height: pd.Series, usual: pd.Series, med: pd.Series, space: pd.Series, widths: pd.Series) -> pd.DataFrame:
         out = []
-        for t, a, b, text, x, h, u, m, s, w in zip(texts, lefts, rights, line, left, height, usual, med, space, widths, strict=True):
+        known = priced([([r or "" for r in t], text.split(" ") if text else []) for t, text in zip(texts, line, strict=True)])
+        for t, a, b, text, x, h, u, m, s, w, costs in zip(texts, lefts, rights, line, left, height, usual, med, space, widths, known, strict=True):
             try:
-                job = LineRepair([r or "" for r in t], _places(a), _places(b), text)
+                job = LineRepair([r or "" for r in t], _places(a), _places(b), text, costs)
                 pairing, offset = job.solve(job.estimated_spans(dict(w) if w is not None else {}, s, x, 1.0 if u or not m else h / m))
                 out.append((job.repaired(pairing), offset, None))
             except (ArithmeticError, LookupError, TypeError, ValueError) as error:  # boxes without sides, or not numbers

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
 from lectern.functions.align import alignment_cost, alignment_costs, line_distance, line_distance_udf, word_distance
+from lectern.operators import repair
 
 
 @pytest.mark.parametrize(("a", "b", "edge", "want"), [("aba", "aba", 10, 0), ("aba", "abba", 10, 100), ("aba", "abab", 10, 10), ("aba", "c abba c", 0, 100), ("aba", "c abba c", 10, 140)])
@@ -101,3 +102,34 @@ def test_geometry_and_colour(spark):
     seg = lambda *v: [F.lit(float(x)) for x in v]
     assert one(spark, S.segment_distance(seg(0, 0, 10, 0), seg(0, 1, 10, 1))) == pytest.approx(2.0)
     assert one(spark, S.segment_distance(seg(0, 0, 10, 0), seg(0, 0, 0, 10))) == 1e7
+
+
+def test_costs_of_runs_of_words_are_those_of_each_alone():
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abAB?\xff é\u212a".replace(" ", "")) for _ in range(n))
+    lines = []
+    for boxes, words in ((0, 3), (3, 0), (1, 1), (5, 4), (40, 9), (2, 6)):
+        lines.append(([some(rng.choice((0, 1, 3, 8, 24, 25, 60))) for _ in range(boxes)], [some(rng.choice((0, 1, 2, 5, 31, 32, 33))) for _ in range(words)]))
+    known = list(repair.priced([*lines, (["ab"] * 200, ["a"] * 200), *lines]))
+    assert known[: len(lines)] == known[len(lines) + 1 :] and known[len(lines)] is None
+    seen = 0
+    for (texts, words), costs in zip(lines, known, strict=False):
+        for k in range(repair.RUN if costs else 0):
+            for a in range(len(words)):
+                for b, text in enumerate(texts):
+                    cost = costs[k][a * len(texts) + b]
+                    run = words[a : a + k + 1]
+                    if cost is not None:
+                        assert len(run) == k + 1 and cost == round(word_distance(text, " ".join(run)) * 100)
+                        seen += 1
+    assert seen > 300
+
+
+def test_lines_of_very_different_lengths_are_aligned_together():
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    pairs = [(some(rng.choice((0, 1, 7, 40, 900))), some(rng.choice((0, 1, 9, 60, 400)))) for _ in range(60)] * 5 + [(some(3), some(4)) for _ in range(300)]
+    for edge, middle, diagonal, vertical in ((1, 100, 100, 100), (90, 30, 20, 110)):
+        got = alignment_costs([a for a, _ in pairs], [b for _, b in pairs], edge, middle, diagonal, vertical)
+        each = {p: alignment_cost(*p, edge, middle, diagonal, vertical) for p in set(pairs)}
+        assert got.tolist() == [each[p] for p in pairs]
