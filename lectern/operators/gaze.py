@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import affine_2d, segment_distance
+from .match import spread
 from .temporal import asof
 
 FAR, UNMATCHED = 1e7, 10_000.0
@@ -60,13 +61,17 @@ def dwell_areas(corners: DataFrame, keys: Sequence[str], view_width: float, view
 
 def nearest_segments(found: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, label_id, segment_id, dist): for each labelled segment (label_id, x1, y1, x2, y2) of a frame the nearest found one
-    (segment_id, ...), none if all are turned too far. Pairs stay within a frame, which bounds its segments."""
-    a, b = labelled.alias("a"), found.alias("b")
+    (segment_id, ...), none if all are turned too far. A frame's found segments, which it bounds, are one row that its labelled ones meet: pairs are
+    no rows, and are not sorted."""
     side = ("x1", "y1", "x2", "y2")
-    d = segment_distance([F.col(f"a.{s}") for s in side], [F.col(f"b.{s}") for s in side], far=FAR)
-    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.label_id", "b.segment_id", d.alias("dist")).filter(F.col("dist") < FAR)
-    best = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "label_id").orderBy("dist", "segment_id"))).filter("__n = 1").drop("__n")
-    return labelled.select(*keys, "label_id").join(best, [*keys, "label_id"], "left")
+    per_frame = spread(found.select(*keys, "segment_id", *side), *keys).groupBy(*keys).agg(F.collect_list(F.struct("segment_id", *side)).alias("__found"))
+
+    def near(b: Column) -> Column:
+        return F.struct(segment_distance([F.col(s) for s in side], [b[s] for s in side], far=FAR).alias("dist"), b["segment_id"].alias("segment_id"))
+
+    best = F.array_min(F.filter(F.transform("__found", near), lambda p: p["dist"] < FAR))
+    met = spread(labelled.select(*keys, "label_id", *side), *keys).join(per_frame, list(keys), "left")
+    return met.select(*keys, "label_id", best.alias("b")).select(*keys, "label_id", "b.segment_id", "b.dist")
 
 
 def assignment_total(nearest: DataFrame) -> DataFrame:

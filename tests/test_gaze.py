@@ -25,3 +25,14 @@ def test_nearest_segments(spark):
     near = gaze.nearest_segments(found, labelled, ["f"])
     assert {(r["label_id"], r["segment_id"], r["dist"]) for r in near.collect()} == {(1, 7, 2.0), (2, None, None)}
     assert gaze.assignment_total(near).first()[0] == 10_002.0
+
+
+def test_pairs_of_segments_are_no_rows_and_the_first_id_wins_a_tie(spark):
+    side = "x1 double, y1 double, x2 double, y2 double"
+    labelled = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 0.0), (2, 1, 0.0, 0.0, 1.0, 0.0), (None, 1, 0.0, 0.0, 1.0, 0.0)], f"f int, label_id int, {side}")
+    found = spark.createDataFrame([(1, 9, 0.0, 2.0, 1.0, 2.0), (1, 4, 0.0, -2.0, 1.0, -2.0), (1, 3, None, 0.0, 1.0, 0.0), (None, 5, 0.0, 0.0, 1.0, 0.0)], f"f int, segment_id int, {side}")
+    near = gaze.nearest_segments(found, labelled, ["f"])
+    assert near.columns == ["f", "label_id", "segment_id", "dist"]
+    assert {(r["f"], r["segment_id"], r["dist"]) for r in near.collect()} == {(1, 4, 4.0), (2, None, None), (None, None, None)}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "array_min" in plan
