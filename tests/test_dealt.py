@@ -1,10 +1,23 @@
 """Words of documents are dealt by document once, as texts."""
 
 from lectern.operators import geometry
-from lectern.plans.inputs import KEYS, doc_words
+from lectern.plans.inputs import KEYS, doc_lines, doc_words
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_words_are_exchanged_as_texts(spark):
     df = geometry.editable_words(doc_words(spark, "/root/testdata/sf0.001"), KEYS, 1280, 720)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "word_idx" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_only_wanted_documents_are_split_and_all_of_their_words_stay(spark):
+    only = doc_lines(spark, SF).select("doc_id").distinct().filter("doc_id % 3 = 0")
+    some = doc_words(spark, SF, only)
+    want = doc_words(spark, SF).filter("doc_id % 3 = 0")
+    assert some.count() == want.count() > 0 and some.exceptAll(want).isEmpty()
+    # lines and words of the same documents meet without being dealt again, and what chooses the documents moves to them
+    df = some.join(doc_lines(spark, SF, dealt=True, only=only).select("doc_id", "line_idx"), ["doc_id", "line_idx"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any("word_idx" in line or "line_idx" in line for line in plan.splitlines() if "Exchange" in line)
