@@ -1,7 +1,12 @@
 """Words of documents are dealt by document once, as texts."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from lectern.operators import geometry
+from lectern.plans import driver
 from lectern.plans.inputs import KEYS, doc_lines, doc_words
+from lectern.plans.session import configure
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +26,30 @@ def test_only_wanted_documents_are_split_and_all_of_their_words_stay(spark):
     df = some.join(doc_lines(spark, SF, dealt=True, only=only).select("doc_id", "line_idx"), ["doc_id", "line_idx"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any("word_idx" in line or "line_idx" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def exchanged(df):
+    """What the exchanges of the plan that ran carry, without reused ones and those of the corpus, which have no doc_id."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if " Exchange " in line and "ReusedExchange" not in line and "doc_id" in line]
+
+
+@pytest.mark.parametrize("name, times", [("char_width_means", 2), ("anchor_line_matches", 1)])
+def test_matching_exchanges_texts_once_and_no_words(spark, name, times):
+    """The choice of a text, the anchored lines and what follows from them are made where a document's text was dealt to. Of the widths this is the
+    plan after the stage table: its anchored lines are dealt for their words, and for their corpus lines."""
+    found = exchanged(driver.QUERIES[name](configure(spark), SF))
+    assert len(found) == times and all("REPARTITION_BY_NUM" in line for line in found), found
+
+
+def test_rows_of_one_id_share_their_perfect_words(spark, tmp_path):
+    """Two rows of a doc_id are lines of one document: their anchored line is matched once, its words are perfect as often as they stand there."""
+    once = driver.perfect_words(configure(spark), SF)
+    some = once.groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").first()["doc_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    short = docs.filter(F.col("doc_id") == some).withColumn("text", F.lit("x"))
+    docs.filter(F.col("doc_id") == some).unionByName(short).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = driver.perfect_words(configure(spark), str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.filter(F.col("doc_id") == some).collect())) != []
