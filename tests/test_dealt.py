@@ -35,7 +35,7 @@ def exchanged(df):
     return [line for line in plan.splitlines() if " Exchange " in line and "ReusedExchange" not in line and "doc_id" in line]
 
 
-@pytest.mark.parametrize("name, times", [("char_width_means", 2), ("gap_fill_windows", 1), ("inner_affine_medians", 1), ("anchor_line_matches", 1)])
+@pytest.mark.parametrize("name, times", [("char_width_means", 2), ("gap_fill_windows", 1), ("inner_affine_medians", 1), ("scroll_positions", 1), ("anchor_line_matches", 1)])
 def test_matching_exchanges_texts_once_and_no_words(spark, name, times):
     """The choice of a text, the anchored lines and what follows from them are made where a document's text was dealt to. Of the widths this is the
     plan after the stage table: its anchored lines are dealt for their words, and for their corpus lines."""
