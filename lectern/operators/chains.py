@@ -1,14 +1,16 @@
 """Chains of rows, followed by pointer doubling: as many rounds as the logarithm of the longest chain, whatever a document holds.
 
-Every round is a stage table, so a lost executor costs one round.
+Every round is a stage table, so a lost executor costs one round. Of numbers with one gap a key the chain is followed where the key's numbers are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..sinks.scratch import cut
 
@@ -28,36 +30,33 @@ def roots(nodes: DataFrame, node: str, before: str) -> DataFrame:
     return table.select(F.col("node").alias(node), F.col("ptr").alias("root"))
 
 
-def reachable(nodes: DataFrame, keys: Sequence[str], node: str, after: str, start: str) -> DataFrame:
-    """(keys, node) of the nodes on the paths from those where `start` is true; `after` is the next node, null at an end.
+@F.pandas_udf(ArrayType(DoubleType()))
+def kept(values: pd.Series, gaps: pd.Series) -> pd.Series:
+    """Of ascending values the first, and each that is its row's gap or more above the last one kept."""
+    out = []
+    for all_values, gap in zip(values, gaps, strict=True):
+        found: list[float] = []
+        for v in all_values.tolist():
+            # undefined values are the greatest, as in Spark's order
+            if not found or not v < found[-1] + gap:
+                found.append(v)
+        out.append(found)
+    return pd.Series(out, dtype=object)
 
-    What is marked moves ahead by a power of two a round, with jumps made of two jumps of the round before.
+
+def distinct_values(values: DataFrame, keys: Sequence[str], value: Column, gap: Column) -> DataFrame:
+    """(keys, values, gap): a key's distinct values, ascending, without nulls, and `gap`, an aggregate; without one nothing is far enough.
+
+    One array in one task, of eight bytes a value. So nothing is written, and rows stay where they were dealt by key.
     """
-    jumps = cut(nodes.select(*keys, F.col(node).alias("node"), F.col(after).alias("after"), F.col(start).alias("marked")))
-    while True:
-        landed = jumps.filter("marked AND after IS NOT NULL").select(*keys, F.col("after").alias("node")).distinct()
-        if landed.isEmpty():
-            return jumps.filter("marked").select(*keys, F.col("node").alias(node))
-        ahead = jumps.select(*keys, F.col("node").alias("after"), F.col("after").alias("far"))
-        hit = landed.withColumn("hit", F.lit(True))
-        marked = jumps.join(hit, [*keys, "node"], "left").select(*keys, "node", "after", (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked"))
-        jumps = cut(marked.join(ahead, [*keys, "after"], "left").select(*keys, "node", F.col("far").alias("after"), "marked"))
+    found = values.groupBy(*keys).agg(F.array_sort(F.collect_set(value.cast("double"))).alias("values"), F.coalesce(gap, F.lit(float("inf"))).alias("gap"))
+    return found.filter(F.size("values") > 0)
 
 
 def last_kept(values: DataFrame, keys: Sequence[str], value: str, gap: str) -> DataFrame:
     """(keys, value): from the least distinct value on, each that is `gap` (a column, one a key) or more above the last one kept.
 
-    Nulls are not values. Each value's successor, the least one that far above it, is found in one ordered stream; then chains are followed.
+    Nulls are not values. The chain is followed where the key's values are, one after the other.
     """
-    v = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.max(gap).alias("gap"))
-    # from the greatest down, a value before a question at the same height; without a gap nothing is far enough
-    asked = v.select(*keys, F.coalesce(F.col("v") + F.col("gap"), F.lit(float("inf"))).alias("at"), F.lit(1).alias("side"), "v")
-    both = v.select(*keys, F.col("v").alias("at"), F.lit(0).alias("side"), "v").unionByName(asked)
-    down = Window.partitionBy(*keys).orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    above = F.last(F.when(F.col("side") == 0, F.col("at")), ignorenulls=True).over(down)
-    up = Window.partitionBy(*keys).orderBy("v")
-    following = both.withColumn("next", above).filter("side = 1")
-    # a gap of nothing keeps every value
-    after = F.when(F.col("next") > F.col("v"), F.col("next")).when(F.col("next").isNotNull(), F.lead("v").over(up))
-    nodes = following.select(*keys, "v", after.alias("next"), (F.row_number().over(up) == 1).alias("first"))
-    return reachable(nodes, keys, "v", "next", "first").select(*keys, F.col("v").alias(value))
+    found = distinct_values(values, keys, F.col(value), F.max(gap))
+    return found.select(*keys, F.explode(kept("values", "gap")).alias(value)).withColumn(value, F.col(value).cast(values.schema[value].dataType))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.scalar import height, outside_image, width
 from ..sinks.scratch import cut
-from .chains import last_kept
+from .chains import distinct_values, kept
 
 SPACE_WIDTH, NEAR_MEDIAN = 5.0, 0.1
 MIN_EDIT_HEIGHT, MAX_EDIT_HEIGHT = 5, 70
@@ -72,31 +75,42 @@ def document_text(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     return line.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda w: w["line"]), "\n").alias("text"))
 
 
+def _centres(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, values, gap): vertical line centres, and half the median height."""
+    centre = (F.col("bbox.top") + F.col("bbox.bottom")) / 2
+    return distinct_values(lines, keys, centre, F.median(height("bbox")) * 0.5)
+
+
 def line_centres(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, centre): vertical line centres, without those closer than half the median height to the last one kept, from the top."""
-    centre = (F.col("bbox.top") + F.col("bbox.bottom")) / 2
-    gaps = lines.groupBy(*keys).agg((F.median(height("bbox")) * 0.5).alias("gap"))
-    return last_kept(lines.select(*keys, centre.alias("centre")).join(gaps, list(keys)), keys, "centre", "gap")
+    return _centres(lines, keys).select(*keys, F.explode(kept("values", "gap")).alias("centre"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _nearest(places: pd.Series, centres: pd.Series) -> pd.Series:
+    """The centre nearest to each place, the lower on a tie."""
+    out = []
+    for at, c in zip(places, map(np.asarray, centres), strict=True):
+        i = np.searchsorted(c, at, "right")
+        up, down = c[np.maximum(i - 1, 0)], c[np.minimum(i, len(c) - 1)]
+        out.append(np.where((i == len(c)) | (i > 0) & ~(at - up > down - at), up, down))
+    return pd.Series(out, dtype=object)
 
 
 def reading_order(words: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """words with `reading_idx`: by the nearest kept line centre (the upper on a tie), then by horizontal centre.
 
-    Words and centres stand in one ordered stream a document, and a word is between the last centre before it and the first after it.
+    Words share few heights: a document's distinct ones meet its centres as an array, and words have theirs from a lookup, where they were dealt to.
+    A word without a height stands at the top; a document without lines has no words.
     """
     y, x = (F.col("bbox.top") + F.col("bbox.bottom")) / 2, (F.col("bbox.left") + F.col("bbox.right")) / 2
-    rows = words.select(*keys, y.alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in words.columns]).alias("__row"))
-    both = rows.unionByName(line_centres(lines, keys).select(*keys, F.col("centre").alias("__at"), F.lit(0).alias("__side"), F.col("centre").alias("__c")), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__at", "__side")
-    above = F.last("__c", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # the other way round, so that both are running values
-    below = F.last("__c", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0))
-    near = both.withColumn("__up", above).withColumn("__down", below).filter("__side = 1 AND (__up IS NOT NULL OR __down IS NOT NULL)")
-    upper = F.col("__down").isNull() | (F.col("__at") - F.col("__up") <= F.col("__down") - F.col("__at"))
-    # the keys themselves, by which the rows are dealt already
-    placed = near.select(*[F.col(c if c in keys else f"__row.{c}").alias(c) for c in words.columns], F.when(upper, F.col("__up")).otherwise(F.col("__down")).alias("__line"))
+    placed = words.withColumn("__at", F.coalesce(y, F.lit(float("-inf"))))
+    heights = placed.select(*keys, "__at").distinct().groupBy(*keys).agg(F.collect_list("__at").alias("all"))
+    near = heights.join(_centres(lines, keys), list(keys)).select(*keys, F.explode(F.arrays_zip("all", _nearest("all", kept("values", "gap")).alias("near"))).alias("h"))
+    # heights are hashed, so that words are not sorted for them
+    found = placed.join(near.select(*keys, F.col("h.all").alias("__at"), F.col("h.near").alias("__line")).hint("shuffle_hash"), [*keys, "__at"])
     in_order = Window.partitionBy(*keys).orderBy("__line", x, "line_idx", "word_idx")
-    return placed.withColumn("reading_idx", F.row_number().over(in_order) - 1).drop("__line")
+    return found.select(*words.columns, (F.row_number().over(in_order) - 1).alias("reading_idx"))
 
 
 def heatmap(points: DataFrame, x: str, y: str, size: int = 100, dense: bool = True) -> DataFrame:

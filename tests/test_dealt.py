@@ -43,6 +43,23 @@ def test_matching_exchanges_texts_once_and_no_words(spark, name, times):
     assert len(found) == times and all("REPARTITION_BY_NUM" in line for line in found), found
 
 
+def test_reading_order_exchanges_no_words_and_writes_no_stage_tables(spark, monkeypatch):
+    """Texts are dealt once; besides them, a document's heights leave Python for the words. Nothing is checkpointed."""
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.checkpoint", lambda *_: pytest.fail("a stage table"))
+    found = exchanged(driver.QUERIES["reading_order"](configure(spark), SF))
+    assert sorted("REPARTITION_BY_NUM" in line for line in found) == [False, True], found
+
+
+def test_reading_order_of_odd_places(spark):
+    """Words of one line at several heights, on a tie, beyond both ends, without a box, and of documents without lines or id."""
+    box = "struct(0D AS left, y - 1 AS top, x AS right, y + 1 AS bottom) AS bbox"
+    lines = spark.createDataFrame([(1, 0, 10.0), (1, 1, 10.5), (1, 2, 20.0), (None, 0, 5.0)], "doc int, line_idx int, y double").selectExpr("doc", "line_idx", "0D AS x", "y").selectExpr("doc", "line_idx", box)
+    places = [(1, 0, 15.0, 3.0), (1, 1, 15.25, 2.0), (1, 2, -7.0, 2.0), (1, 3, 99.0, 1.0), (1, 4, None, 1.0), (1, 5, 20.0, 0.0), (2, 0, 10.0, 0.0), (None, 0, 5.0, 0.0)]
+    words = spark.createDataFrame(places, "doc int, word_idx int, y double, x double").selectExpr("doc", "0 AS line_idx", "word_idx", box)
+    got = geometry.reading_order(words, lines, ["doc"]).orderBy("reading_idx").collect()
+    assert [(r["doc"], r["word_idx"], r["reading_idx"]) for r in got] == [(1, w, i) for i, w in enumerate([4, 2, 0, 5, 3, 1])]
+
+
 def test_rows_of_one_id_share_their_perfect_words(spark, tmp_path):
     """Two rows of a doc_id are lines of one document: their anchored line is matched once, its words are perfect as often as they stand there."""
     once = driver.perfect_words(configure(spark), SF)
