@@ -176,7 +176,10 @@ class LineRepair:
         self._costs: dict[tuple[int, tuple[int, ...]], int] = {}
         # steps are functions of the few boxes that they look at: most are met again, in later sweeps and from other starts
         self._splits: dict[tuple, tuple[int, int]] = {}
-        self._gains: dict[tuple, int] = {}
+        self._gains: dict[int, list[int | None]] = {}
+        self._blank: list[int] | None = None
+        # where a climb from this state ends, and after how many sweeps
+        self._rests: dict[tuple, tuple[list[tuple[int, ...]], int]] = {}
 
     def cost(self, box: int, chosen: tuple[int, ...]) -> int:
         """Hundredths of the distance between a box's text and the words with these numbers."""
@@ -218,26 +221,61 @@ class LineRepair:
     def shifted(self, pairing: list[tuple[int, ...]], by: int) -> list[tuple[int, ...]]:
         return [pairing[i - by] if 0 <= i - by < self.n else () for i in range(self.n)]
 
-    def _pull(self, held: Held, box: int, from_lower: bool) -> tuple[int, int | None, int | None]:
-        """(gain, word, donor) of pulling the nearest word into an empty box, from lower or higher boxes or from off screen."""
-        donor = held.below(box) if from_lower else held.above(box)
+    def _gain(self, word: int) -> list[int | None]:
+        """What every box, empty, would gain by this word; None where it has not been asked for and is not priced."""
+        found = self._gains.get(word)
+        if found is None:
+            if self.known:
+                if self._blank is None:
+                    self._blank = [self.cost(box, ()) for box in range(self.n)]
+                priced_ahead = self.known[0][word * self.n : (word + 1) * self.n]
+                found = [None if x is None else y - x for x, y in zip(priced_ahead, self._blank, strict=True)]
+            else:
+                found = [None] * self.n
+            self._gains[word] = found
+        return found
+
+    def _gain_at(self, word: int, box: int) -> int:
+        gain = self._gains[word][box] = self.cost(box, ()) - self.cost(box, (word,))
+        return gain
+
+    def _offer(self, held: Held, donor: int | None, from_lower: bool) -> tuple[int | None, int]:
+        """The word that the nearest filled box, or off screen if there is none, would give to an empty one, and what giving it gains."""
         if donor is None:
             first, last = held.ends()
             if from_lower:
                 word = len(self.correct) - 1 if first is None else first - 1
             else:
                 word = 0 if last is None else last + 1
-            if not 0 <= word < len(self.correct):
-                return 0, None, None
-            return self.cost(box, ()) - self.cost(box, (word,)), word, None
+            return (word if 0 <= word < len(self.correct) else None), 0
         given = held.words[donor]
-        word = given[-1] if from_lower else given[0]
-        key = (box, word, donor, given)
-        gain = self._gains.get(key)
-        if gain is None:
-            # the donor is scored without its first word whichever side gives, as results depend on it
-            gain = self._gains[key] = self.cost(box, ()) + self.cost(donor, given) - self.cost(box, (word,)) - self.cost(donor, given[1:])
-        return gain, word, donor
+        # the donor is scored without its first word whichever side gives, as results depend on it
+        return given[-1] if from_lower else given[0], self.cost(donor, given) - self.cost(donor, given[1:])
+
+    def _pull(self, held: Held, box: int) -> int | None:
+        """Pull the nearest word into this empty box or the first one below it that gains; the box, or None if there is none down to the next filled one.
+
+        All of these have the same words on offer, so a box costs two look-ups."""
+        lower, upper = held.below(box), held.above(box)
+        (up_word, up_less), (low_word, low_less) = self._offer(held, upper, False), self._offer(held, lower, True)
+        up = self._gain(up_word) if up_word is not None else None
+        low = self._gain(low_word) if low_word is not None else None
+        for b in range(box, -1 if lower is None else lower, -1):
+            up_gain = low_gain = 0
+            if up is not None:
+                gain = up[b]
+                up_gain = (self._gain_at(up_word, b) if gain is None else gain) + up_less
+            if low is not None:
+                gain = low[b]
+                low_gain = (self._gain_at(low_word, b) if gain is None else gain) + low_less
+            if up_gain <= 0 and low_gain <= 0:
+                continue
+            word, donor = (low_word, lower) if low_gain > 0 and low_gain > up_gain else (up_word, upper)
+            held.put(b, (word,))
+            if donor is not None:
+                held.put(donor, held.words[donor][1:] if donor > b else held.words[donor][:-1])
+            return b
+        return None
 
     def _best_split(self, held: Held, box: int) -> tuple[int, int]:
         """The first cheapest way to leave words [:a] to the box before and [b:] to the one after."""
@@ -263,37 +301,45 @@ class LineRepair:
         """Sweeps from right to left until nothing gets better, twenty at most. Words pushed past an end are off screen."""
         if not self.correct:
             return pairing
-        held = Held(pairing)
-        for _ in range(SWEEPS):
+        held, path, rest = Held(pairing), [], None
+        for sweep in range(SWEEPS):
+            state = tuple([(i, held.words[i]) for i in held.filled])
+            known = self._rests.get(state)
+            # another start has been here, and comes to rest within the sweeps that are left
+            if known is not None and sweep + known[1] <= SWEEPS:
+                rest, more = known
+                break
+            path.append(state)
             moved = False
-            for box in range(self.n - 1, -1, -1):
+            box = self.n
+            while box > 0:
+                box -= 1
                 own = held.words[box]
-                if own:
-                    a, b = self._best_split(held, box)
-                    if (a, b) == (0, len(own)):
-                        continue
-                    if box:
-                        held.put(box - 1, held.words[box - 1] + own[:a])
-                    if box + 1 < self.n:
-                        held.put(box + 1, own[b:] + held.words[box + 1])
-                    held.put(box, own[a:b])
-                    moved = True
+                if not own:
+                    at = self._pull(held, box)
+                    moved |= at is not None
+                    # on from the box that was filled, or from the next filled one
+                    if at is None and (at := held.below(box)) is not None:
+                        at += 1
+                    box = at or 0
                     continue
-                up_gain, word, donor = self._pull(held, box, from_lower=False)
-                if up_gain <= 0:
-                    word = donor = None
-                low_gain, low_word, low_donor = self._pull(held, box, from_lower=True)
-                if low_gain > 0 and low_gain > up_gain:
-                    word, donor = low_word, low_donor
-                if word is None:
+                a, b = self._best_split(held, box)
+                if (a, b) == (0, len(own)):
                     continue
-                held.put(box, (word,))
-                if donor is not None:
-                    held.put(donor, held.words[donor][1:] if donor > box else held.words[donor][:-1])
+                if box:
+                    held.put(box - 1, held.words[box - 1] + own[:a])
+                if box + 1 < self.n:
+                    held.put(box + 1, own[b:] + held.words[box + 1])
+                held.put(box, own[a:b])
                 moved = True
             if not moved:
+                rest, more = held.words, 0
                 break
-        return held.words
+        if rest is None:
+            return held.words
+        for i, state in enumerate(reversed(path), 1):
+            self._rests[state] = rest, more + i
+        return rest
 
     def solve(self, spans: Sequence[tuple[int, int]]) -> tuple[list[tuple[int, ...]], int]:
         """The best pairing over all starts, and the start's shift; the first of equal ones."""

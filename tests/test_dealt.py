@@ -1,9 +1,12 @@
 """Words of documents are dealt by document once, as texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import geometry
+from lectern.functions.scalar import ascii_text
+from lectern.operators import geometry, repair
 from lectern.plans import driver
 from lectern.plans.inputs import KEYS, doc_lines, doc_words
 from lectern.plans.session import configure
@@ -70,3 +73,72 @@ def test_rows_of_one_id_share_their_perfect_words(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = driver.perfect_words(configure(spark), str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.filter(F.col("doc_id") == some).collect())) != []
+
+
+def test_empty_boxes_are_not_asked_one_by_one(monkeypatch):
+    """Empty boxes between two filled ones have the same words on offer; starts that meet go on as one."""
+    rng, asked = random.Random(7), []
+    below = repair.Held.below
+    monkeypatch.setattr(repair.Held, "below", lambda self, box: asked.append(box) or below(self, box))
+    texts = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(600)]
+    lefts = [60.0 * i for i in range(600)]
+    job = repair.LineRepair(texts, lefts, [x + 50 for x in lefts], " ".join(texts[100:105]))
+    found, _ = job.solve(job.estimated_spans({}, 8.0, 0.0, 1.0))
+    assert 0 < len(asked) < 1200, len(asked)
+    assert sum(map(len, found)) <= 5
+
+
+def climb_by_hand(job, pairing):
+    """Box by box, every empty one asks for itself."""
+    boxes, n, words = list(pairing), job.n, len(job.correct)
+    for _ in range(repair.SWEEPS):
+        moved = False
+        for box in range(n - 1, -1, -1):
+            if own := boxes[box]:
+                a, b = job._best_split(repair.Held(list(boxes)), box)
+                if (a, b) != (0, len(own)):
+                    if box:
+                        boxes[box - 1] += own[:a]
+                    if box + 1 < n:
+                        boxes[box + 1] = own[b:] + boxes[box + 1]
+                    boxes[box], moved = own[a:b], True
+                continue
+            held = [w for b in boxes for w in b]
+            best = (0, None, None)
+            for side, filled in ((1, [i for i in range(box + 1, n) if boxes[i]][:1]), (0, [i for i in range(box) if boxes[i]][-1:])):
+                if filled:
+                    donor, given = filled[0], boxes[filled[0]]
+                    word = given[0] if side else given[-1]
+                    gain = job.cost(box, ()) + job.cost(donor, given) - job.cost(box, (word,)) - job.cost(donor, given[1:])
+                else:
+                    donor, word = None, ((max(held) + 1 if held else 0) if side else (min(held) - 1 if held else words - 1))
+                    gain = job.cost(box, ()) - job.cost(box, (word,)) if 0 <= word < words else 0
+                if gain > best[0]:
+                    best = (gain, word, donor)
+            if best[1] is not None:
+                _, word, donor = best
+                boxes[box], moved = (word,), True
+                if donor is not None:
+                    boxes[donor] = boxes[donor][1:] if donor > box else boxes[donor][:-1]
+        if not moved:
+            break
+    return boxes
+
+
+def test_climbs_equal_a_loop():
+    rng = random.Random(8)
+    for k in range(150):
+        words = ["".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(rng.randint(1, 7))]
+        texts = [rng.choice([*words, "".join(rng.choices("abcd", k=rng.randint(0, 6)))]) for _ in range(rng.randint(1, 14))]
+        lefts = [20.0 * i for i in range(len(texts))]
+        known = repair.run_costs([(texts, words)])[0] if k % 2 else None
+        job = repair.LineRepair(texts, lefts, [x + 18 for x in lefts], " ".join(words), known)
+        start = job.first_pairing(job.estimated_spans({}, rng.choice([1.0, 4.0, 9.0]), 0.0, 1.0))
+        for by in repair.SHIFTS:
+            assert job.climb(job.shifted(start, by)) == climb_by_hand(job, job.shifted(start, by)), (texts, words, by)
+
+
+def test_ascii_text_of_odd_bytes(spark):
+    df = spark.sql("SELECT explode(array(NULL, '', 'abc', 'caf\u00e9', '\u00e9', cast(x'6180' AS string), cast(x'C3' AS string), cast(x'FF41' AS string))) AS t")
+    got = df.select(ascii_text("t").alias("a"), F.regexp_replace("t", r"[^\x00-\x7F]", "").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [None, "", "abc", "caf", "", "a", "", "A"]
